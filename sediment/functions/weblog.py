@@ -19,14 +19,20 @@ BOTS = "bot|crawler|spider|slurp|zgrab|masscan|nmap|curl|wget|python-requests|go
 _UNIT_SEPARATOR = "\u001f"
 
 
-def line_fields(line: Column) -> Column:
-    """The captured fields of a log line as an array, or null when the line has another shape.
+def side_by_side(line: Column) -> Column:
+    """The captured fields of a log line in one text; the line itself when it has another shape.
 
-    The expression runs once per line: the captures are put side by side and split, instead of one extraction
-    per field.  Lines that contain the separator themselves take the slower way.
+    The expression runs once per line instead of once per field.
+    """
+    return F.regexp_replace(line, LINE, _UNIT_SEPARATOR.join(f"${i + 1}" for i in range(len(FIELDS))))
+
+
+def line_fields(line: Column, joined: Column) -> Column:
+    """The captured fields as an array, or null when the line has another shape.
+
+    ``joined`` is :func:`side_by_side` of the line, worked out before.  Lines that contain the separator
+    themselves are read field by field.
     """
-    every = _UNIT_SEPARATOR.join(f"${i + 1}" for i in range(len(FIELDS)))
-    joined = F.regexp_replace(line, LINE, every)
     one_by_one = F.when(line.rlike(LINE), F.array(*(F.regexp_extract(line, LINE, i + 1) for i in range(len(FIELDS)))))
     return F.when(F.contains(line, F.lit(_UNIT_SEPARATOR)), one_by_one).when(
         F.contains(joined, F.lit(_UNIT_SEPARATOR)), F.split(joined, _UNIT_SEPARATOR)

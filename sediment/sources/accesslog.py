@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.functions.rows import computed
-from sediment.functions.weblog import FIELDS, TIME_FORMAT, line_fields
+from sediment.functions.weblog import FIELDS, TIME_FORMAT, line_fields, side_by_side
 
 
 def parse_lines(lines: DataFrame, server: str | Column, read_time: Column, line: str = "value") -> DataFrame:
@@ -15,7 +15,8 @@ def parse_lines(lines: DataFrame, server: str | Column, read_time: Column, line:
     A line of another shape is kept whole in ``log`` with the request's columns null; its ``ts`` is the time it
     was read, the only time it has.  An empty field is null.
     """
-    captured = computed(lines, _fields=line_fields(F.col(line)), _fb_ts=read_time)
+    joined = computed(lines, _joined=side_by_side(F.col(line)), _fb_ts=read_time)
+    captured = computed(joined, _fields=line_fields(F.col(line), F.col("_joined")))
 
     def field(name: str) -> Column:
         return F.nullif(F.col("_fields")[FIELDS.index(name)], F.lit(""))

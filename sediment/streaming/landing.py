@@ -6,7 +6,9 @@ write and the checkpoint adds nothing twice.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -17,16 +19,17 @@ from sediment.sources.versioned import VersionedTable, by_day
 
 
 def _run(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], interval: str | None) -> StreamingQuery:
-    def on_batch(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()  # read by several writes; rebuilt from the source when an executor is lost
-        try:
-            work(kept, number)
-        finally:
-            kept.unpersist()
-
-    writer = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+
+
+@contextmanager
+def _kept(df: DataFrame) -> Iterator[DataFrame]:
+    """Parsed once for several writes; parts lost with an executor are read from the source again."""
+    try:
+        yield df.persist()
+    finally:
+        df.unpersist()
 
 
 def land_documents(
@@ -35,9 +38,9 @@ def land_documents(
     """Document change events to their raw table and its quarantine."""
 
     def work(batch: DataFrame, number: int) -> None:
-        classified = documents.classify(batch)
-        bronze.append(documents.bronze_rows(classified, target), by_day("_cdc.ts"), ("documents", number))
-        quarantine.append(documents.quarantine_rows(classified), by_day("ts"), ("documents", number))
+        with _kept(documents.classify(batch)) as classified:
+            bronze.append(documents.bronze_rows(classified, target), by_day("_cdc.ts"), ("documents", number))
+            quarantine.append(documents.quarantine_rows(classified), by_day("ts"), ("documents", number))
 
     return _run(stream, checkpoint, work, interval)
 
@@ -55,12 +58,16 @@ def land_changes(
     """Relational change events of several tables, each to its own raw table; what cannot be read to ``dead``."""
 
     def work(batch: DataFrame, number: int) -> None:
+        unreadable: list[DataFrame] = []
+
         def write(table: str, records: DataFrame) -> None:
             events = envelopes.read_envelopes(records, tables[table], keys[table], target)
             raw(table).append(envelopes.flatten(events), by_day("_cdc.ts"), ("changes", number))
-            dead.append(envelopes.dead_letters(events), by_day("ts"), (f"changes-{table}", number))
+            unreadable.append(envelopes.dead_letters(events))
 
-        envelopes.route(batch, tables, write)
+        with _kept(batch) as records:
+            envelopes.route(records, tables, write)
+            dead.append(reduce(DataFrame.unionByName, unreadable), by_day("ts"), ("changes", number))
 
     return _run(stream, checkpoint, work, interval)
 
@@ -81,11 +88,11 @@ def land_json(
 
     def work(batch: DataFrame, number: int) -> None:
         head = table.head()
-        stored = T.StructType([f for f in head.struct.fields if f.name != jsonstream.ARRIVAL]) if head else T.StructType([])
-        known = T.StructType([f for f in stored.fields if f.name not in (contract or {})])
+        fixed = {jsonstream.ARRIVAL, *(contract or {})}
+        known = T.StructType([f for f in head.struct.fields if f.name not in fixed] if head else [])
         schema = jsonstream.evolve(table.path, known, jsonstream.infer_schema(batch, contract))
-        read = jsonstream.read_json(batch, schema, contract)
-        table.append(jsonstream.good_rows(read), by_day(jsonstream.ARRIVAL), ("json", number))
-        dead.append(jsonstream.dead_letters(read), by_day("timestamp"), ("json", number))
+        with _kept(jsonstream.read_json(batch, schema, contract)) as read:
+            table.append(jsonstream.good_rows(read), by_day(jsonstream.ARRIVAL), ("json", number))
+            dead.append(jsonstream.dead_letters(read), by_day("timestamp"), ("json", number))
 
     return _run(stream, checkpoint, work, interval)
