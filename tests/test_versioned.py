@@ -1,0 +1,248 @@
+from datetime import timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from sediment.operators import upkeep
+from sediment.operators.schema import SchemaConflict
+from sediment.sources.versioned import CommitConflict, VersionedTable, VersionNotFound, by_bucket, by_day, since
+from sediment.streaming.retry import with_retry
+from tests.conftest import rows
+from tests.helpers import log, utc
+
+DAY = by_day("_cdc.ts")
+
+
+def one(spark, n, day="2026-01-01", op="I"):
+    return log(spark, [(n, f"s{n}", "1", op, f"{day} 10:00:00", n)])
+
+
+class Clock:
+    def __init__(self):
+        self.now = utc(2026, 1, 1)
+
+    def __call__(self):
+        self.now += timedelta(hours=1)
+        return self.now
+
+
+@pytest.fixture
+def table(spark, path):
+    return VersionedTable(spark, path + "/t", Clock())
+
+
+def ids(df):
+    return [r[0] for r in rows(df, "id")]
+
+
+def test_versions_and_time_travel(spark, table):
+    assert table.head() is None and table.commits().count() == 0
+    with pytest.raises(VersionNotFound):
+        table.read()
+    table.append(one(spark, 1), DAY)  # create at 01:00, append at 02:00
+    table.append(one(spark, 2), DAY)  # 03:00
+    table.overwrite(one(spark, 9))  # 04:00
+    assert ids(table.read()) == [9] and ids(table.read(version=2)) == [1, 2]
+    assert ids(table.read(as_of=utc(2026, 1, 1, 3, 30))) == [1, 2] and ids(table.read(as_of=utc(2026, 1, 1, 2))) == [1]
+    with pytest.raises(VersionNotFound, match="expired or never existed"):
+        table.read(version=7)
+    with pytest.raises(VersionNotFound):
+        table.read(as_of=utc(2025, 1, 1))
+    assert rows(table.commits(), "version", "parent", "operation") == [(0, None, "create"), (1, 0, "append"), (2, 1, "append"), (3, 2, "overwrite")]
+
+
+def test_rollback(spark, table):
+    table.append(one(spark, 1), DAY)
+    table.append(one(spark, 2), DAY)
+    table.roll_back(1)
+    assert ids(table.read()) == [1]
+    assert rows(table.history(), "snapshot_id", "is_current_ancestor") == [(0, True), (1, True), (2, False), (3, True)]
+    assert table.read_since(1, table.head())[1] == "full"
+
+
+def test_a_version_is_taken_once(spark, table):
+    table.append(one(spark, 1), DAY)
+    with pytest.raises(CommitConflict, match="commit conflict"):
+        table.publish(table.head())
+
+
+def test_batch_is_written_once(spark, table):
+    assert table.append(one(spark, 1), DAY, ("s", 0)) is not None
+    assert table.append(one(spark, 1), DAY, ("s", 0)) is None
+    assert table.append(one(spark, 2), DAY, ("other", 0)) is not None
+    assert ids(table.read()) == [1, 2]
+
+
+def test_columns_and_types_evolve(spark, table):
+    table.append(spark.createDataFrame([(1, 1.5, "x")], "id int, f float, v string"))
+    table.append(spark.createDataFrame([(2**40, 2.5, "n")], "id bigint, f double, note string"))
+    assert table.read().schema.simpleString() == "struct<id:bigint,f:double,v:string,note:string>"
+    assert rows(table.read()) == [(1, 1.5, "x", None), (2**40, 2.5, None, "n")]
+    assert table.read(version=1).schema.simpleString() == "struct<id:int,f:float,v:string>"
+    with pytest.raises(SchemaConflict):
+        table.append(spark.createDataFrame([("x",)], "id string"))
+
+
+def test_nested_columns_evolve(spark, table):
+    table.append(spark.createDataFrame([((1,),)], "s struct<x: bigint>"))
+    table.append(spark.createDataFrame([((2, "y"),)], "s struct<x: bigint, y: string>"))
+    assert rows(table.read(), "s.x", "s.y") == [(1, None), (2, "y")]
+
+
+def test_layout_rules(spark, path):
+    schema = one(spark, 1).schema
+    with pytest.raises(ValueError, match="keys"):
+        by_bucket([], 4)
+    with pytest.raises(ValueError, match="nope"):
+        VersionedTable(spark, path + "/a").create(schema, by_bucket(["nope"], 4))
+    with pytest.raises(ValueError, match="key column"):
+        VersionedTable(spark, path + "/b").create(schema, by_bucket(["id", "nope"], 4))
+    with pytest.raises(ValueError, match="floating"):
+        VersionedTable(spark, path + "/c").append(spark.createDataFrame([(1.0,)], "x double"), by_bucket(["x"], 4))
+
+
+def test_bucket_survives_a_wider_key(spark):
+    layout = by_bucket(["id"], 16)
+    small, wide = spark.range(100).select(F.col("id").cast("int").alias("id")), spark.range(100)
+    assert rows(small.select("id", layout.value(small.schema))) == rows(wide.select("id", layout.value(wide.schema)))
+
+
+def test_rows_without_a_day(spark, table):
+    table.append(log(spark, [(1, "a", "1", "I", None, 1), (2, "b", "1", "I", "2026-01-01 00:00:00", 2)]), DAY)
+    assert ids(table.read()) == [1, 2]
+    upkeep.apply_retention(table, utc(2026, 6, 1), 30)
+    assert ids(table.read()) == [1]
+
+
+# ---- increments
+
+
+def test_increment_skips_replaced_and_deleted_units(spark, table):
+    for n in range(1, 6):
+        table.append(one(spark, n, f"2026-01-0{n}"), DAY)
+    upkeep.compact(table, min_files=1)
+    upkeep.apply_retention(table, utc(2026, 2, 1), 30)
+    df, mode = table.read_since(3, table.head())
+    assert mode == "incremental" and ids(df) == [4, 5]
+    assert ids(table.read_since(table.head().version, table.head())[0]) == []
+
+
+def test_fallback_reads(spark, table):
+    for n in range(1, 6):
+        table.append(one(spark, n, f"2026-01-0{n}"), DAY)
+    upkeep.expire(table, table.clock.now + timedelta(days=2), 1)
+    assert table.versions() == [5]
+    df, mode = table.read_since(2, table.head(), utc(2026, 1, 4, 12))
+    assert mode == "bounded" and ids(df) == [4, 5]
+    df, mode = table.read_since(2, table.head())
+    assert mode == "full" and ids(df) == [1, 2, 3, 4, 5]
+    table.overwrite(one(spark, 7))
+    table.append(one(spark, 8), DAY)
+    assert table.read_since(5, table.head())[1] == "full"
+
+
+def test_bounded_read_skips_folders(spark, table):
+    for n in range(1, 6):
+        table.append(one(spark, n, f"2026-01-0{n}"), DAY)
+    head = table.head()
+    df = since(table.scan(head.units, head.struct, head.layout, keep_layout=True), head.layout, utc(2026, 1, 4, 12))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(_part" in plan and "_part" in plan.split("PartitionFilters")[1]
+    assert df.rdd.getNumPartitions() == 3 and ids(df) == [4, 5]
+
+
+# ---- upkeep
+
+
+def test_compaction_keeps_rows_and_old_versions(spark, table):
+    for n in range(1, 7):
+        table.append(one(spark, n, "2026-01-01" if n < 6 else "2026-01-02"), DAY)
+    before = table.head()
+    (commit,) = upkeep.compact(table)
+    assert commit.operation == "replace" and ids(table.read()) == [1, 2, 3, 4, 5, 6]
+    assert {u.part: u.files for u in commit.units} == {"2026-01-01": 1, "2026-01-02": 1}
+    assert ids(table.read(version=before.version)) == [1, 2, 3, 4, 5, 6]
+    assert upkeep.compact(table) == []
+    assert rows(upkeep.total_rows_by_part(table), "part", "records") == [("2026-01-01", 5), ("2026-01-02", 1)]
+
+
+def test_compaction_commits_in_steps(spark, table):
+    for n in range(1, 5):
+        table.append(one(spark, n, f"2026-01-0{1 + n % 2}"), DAY)
+    assert len(upkeep.compact(table, min_files=2, commit_bytes=1)) == 2
+    assert ids(table.read()) == [1, 2, 3, 4]
+
+
+def test_small_file_parts(spark):
+    files = spark.createDataFrame([("a", 10)] * 6 + [("b", 10)] * 2 + [("c", 1000)] * 6, "part string, file_size_in_bytes long")
+    assert rows(upkeep.small_file_parts(files, "part", 100), "part", "files", "target_files") == [("a", 6, 1)]
+
+
+def test_retention_drops_whole_days_without_reading(spark, table):
+    table.append(one(spark, 1, "2026-01-01").unionByName(one(spark, 2, "2026-01-02")), DAY)
+    commit = upkeep.apply_retention(table, utc(2026, 2, 1, 23), 30)
+    assert commit.operation == "delete" and ids(table.read()) == [2]
+    assert upkeep.apply_retention(table, utc(2026, 2, 1, 23), 30) is None
+    assert upkeep.retention_cutoff(utc(2026, 2, 1, 23), 30) == utc(2026, 1, 2)
+
+
+def test_retention_of_flat_tables(spark, path):
+    df = spark.createDataFrame([(1, utc(2026, 1, 1)), (2, utc(2026, 1, 2)), (3, None)], "id long, ts timestamp")
+    assert upkeep.retention_column(df.columns) == "ts" and upkeep.retention_column(["id", "_cdc"]) == "_cdc.ts"
+    assert ids(upkeep.retained(df, utc(2026, 2, 1), 30)) == [2, 3]
+    flat = VersionedTable(spark, path + "/flat")
+    flat.append(df)
+    upkeep.apply_retention(flat, utc(2026, 2, 1), 30)
+    assert ids(flat.read()) == [2, 3]
+
+
+def test_expiry_keeps_the_newest(spark, table):
+    for n in range(3):
+        table.append(one(spark, n), DAY)
+    assert upkeep.expire(table, utc(2026, 1, 1, 2, 30), 0) == [0, 1]
+    assert upkeep.expire(table, utc(2027, 1, 1), 1) == [2] and table.versions() == [3]
+    assert ids(table.read()) == [0, 1, 2]
+
+
+def test_expired_versions_by_layer(spark):
+    df = spark.createDataFrame(
+        [(t, v, utc(2026, 1, d)) for t in ("x_raw.t", "x.t") for v, d in enumerate((1, 5, 9))], "table string, version long, committed_at timestamp"
+    )
+    assert rows(upkeep.expired_versions(df, utc(2026, 1, 10), ["x"]), "table", "version") == [("x.t", 0), ("x_raw.t", 0), ("x_raw.t", 1)]
+    assert rows(upkeep.expired_versions(df, utc(2027, 1, 1), ["x"], retain_last=2), "table", "version") == [("x.t", 0), ("x_raw.t", 0)]
+
+
+def test_unreferenced_files(spark, table):
+    table.append(one(spark, 1), DAY)
+    table.append(one(spark, 2), DAY)
+    table.overwrite(one(spark, 3))
+    upkeep.expire(table, utc(2027, 1, 1), 1)
+    assert upkeep.table_orphans(table, utc(2020, 1, 1)).count() == 0
+    far = utc(2100, 1, 1)
+    assert {r["folder"] for r in upkeep.table_orphans(table, far).collect()} == {"commit=1/_part=2026-01-01", "commit=2/_part=2026-01-01"}
+    assert upkeep.remove_orphans(table, utc(2020, 1, 1)) == 0
+    assert upkeep.remove_orphans(table, far) == 2
+    assert ids(table.read()) == [3] and upkeep.table_orphans(table, far).count() == 0
+
+
+# ---- retry
+
+
+def test_retry():
+    waits, calls = [], []
+
+    def work(message, fail):
+        calls.append(1)
+        if len(calls) <= fail:
+            raise RuntimeError(message)
+        return "done"
+
+    assert with_retry(lambda: work("Commit failed", 2), sleep=waits.append) == "done" and waits == [5, 10]
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        with_retry(lambda: work("conflict", 3), sleep=waits.append)
+    assert len(calls) == 3
+    calls.clear()
+    with pytest.raises(RuntimeError):
+        with_retry(lambda: work("other trouble", 1), sleep=waits.append)
+    assert len(calls) == 1
