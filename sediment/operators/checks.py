@@ -10,6 +10,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sediment.sources.versioned import VersionedTable
+
 
 @dataclass(frozen=True)
 class Contains:
@@ -61,6 +63,11 @@ def check_table(df: DataFrame, check: TableCheck) -> DataFrame:
     return seen.select(F.inline(F.array(*results)))
 
 
+def previous_rows(table: VersionedTable) -> int:
+    """Rows of the version before the present one: still readable, and what time travel is checked with."""
+    return table.read(version=table.resolve().parent).count()
+
+
 def key_counts(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Rows and distinct keys of one table, to compare raw table, state and source."""
     return df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.struct(*keys)).alias("keys")).select(

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import json
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.model import INSERT, META
+from sediment.sources import filesystem
+from sediment.sources.versioned import VersionedTable, by_day
 
 
 def as_changes(rows: DataFrame, keys: Sequence[str], ts: Column | datetime, source: str, target: str) -> DataFrame:
@@ -53,6 +56,20 @@ def chunk(rows: DataFrame, key: str, low: object, high: object) -> DataFrame:
     return rows.where(condition)
 
 
-def remaining(ranges: Sequence[tuple[object, object]], done: int) -> Iterator[tuple[int, tuple[object, object]]]:
-    """Chunks still to load after ``done`` of them were committed; a restart repeats at most one."""
-    return ((i, bounds) for i, bounds in enumerate(ranges) if i >= done)
+def load_in_chunks(
+    table: VersionedTable, rows: DataFrame, keys: Sequence[str], chunks: int, ts: datetime, source: str, target: str
+) -> int:
+    """Append ``rows`` to a raw table as inserts, one key range per commit; returns how many were still to do.
+
+    The ranges are decided once and kept beside the table, and a range whose commit is there is not loaded
+    again, so a load that was cut short goes on where it stopped.  Live changes may be appended meanwhile.
+    """
+    plan = f"{table.path}/_load.json"
+    if not filesystem.names(table.spark, table.path).count("_load.json"):
+        filesystem.create_text(table.spark, plan, json.dumps(key_ranges(rows, keys[0], chunks)))
+    ranges = json.loads(filesystem.read_text(table.spark, plan))
+    loaded = 0
+    for i, bounds in enumerate(ranges):
+        part = as_changes(chunk(rows, keys[0], *bounds), keys, ts, source, target)
+        loaded += table.append(part, by_day(f"{META}.ts"), ("initial-load", i)) is not None
+    return loaded

@@ -29,7 +29,7 @@ from sediment.sources import filesystem as files
 PART = "_part"
 BASE, PENDING = "base", "pending"
 
-_LOG_SCHEMA = (
+LOG_SCHEMA = (
     "version bigint, parent bigint, committed_at timestamp, operation string, summary map<string,string>, "
     "source_version bigint, max_ts timestamp"
 )
@@ -169,8 +169,8 @@ class VersionedTable:
     def commits(self) -> DataFrame:
         """One row per kept commit."""
         if not self.versions():
-            return self.spark.createDataFrame([], _LOG_SCHEMA)
-        return self.spark.read.schema(_LOG_SCHEMA).json(f"{self.path}/_commits")
+            return self.spark.createDataFrame([], LOG_SCHEMA)
+        return self.spark.read.schema(LOG_SCHEMA).json(f"{self.path}/_commits")
 
     def history(self) -> DataFrame:
         """Which versions lead to the present one; a version that was rolled back does not."""

@@ -8,6 +8,7 @@ from sediment.functions.contract import contract_types
 from sediment.model import KAFKA_SCHEMA
 from sediment.operators.schema import SchemaConflict
 from sediment.sources import accesslog, backfill, envelopes, files, jsonstream, kafka, tables
+from sediment.sources.versioned import VersionedTable
 from tests.conftest import rows
 from tests.helpers import utc
 
@@ -198,10 +199,29 @@ def test_chunks_cover_everything_once(spark):
     ranges = backfill.key_ranges(df, "id", 7)
     parts = [backfill.chunk(df, "id", *b) for b in ranges]
     assert len(ranges) == 7 and sum(p.count() for p in parts) == 1000
-    assert [i for i, _ in backfill.remaining(ranges, 5)] == [5, 6]
     assert backfill.key_ranges(df, "id", 1) == [(None, None)]
 
 
+def test_cut_short_load_goes_on(spark, path, monkeypatch):
+    table = VersionedTable(spark, path + "/t")
+    df = spark.range(100).withColumn("v", F.lit("x"))
+    write, calls = table.write_units, []
+
+    def failing(*args, **kwargs):
+        calls.append(1)
+        if len(calls) == 3:
+            raise RuntimeError("lost")
+        return write(*args, **kwargs)
+
+    monkeypatch.setattr(table, "write_units", failing)
+    with pytest.raises(RuntimeError):
+        backfill.load_in_chunks(table, df, ["id"], 4, utc(2026, 1, 1), "s", "t")
+    # rows that arrived since then belong to the last range, which was still open
+    more = df.unionByName(spark.range(100, 110).withColumn("v", F.lit("x")))
+    assert backfill.load_in_chunks(table, more, ["id"], 4, utc(2026, 1, 1), "s", "t") == 2
+    assert table.read().count() == 110 and table.read().select("id").distinct().count() == 110
+
+
 def test_copied_rows_yield_to_live_changes(spark):
     from sediment.operators.latest import current_state
     from tests.helpers import log

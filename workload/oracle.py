@@ -424,7 +424,13 @@ both_logs AS (
     sql["incremental_read"] = _with(CHANGES) + f"SELECT {full} FROM changes WHERE changes.{_HALVES[1]}"
     sql["compaction_rows"] = _with(CHANGES) + f"SELECT {full} FROM changes"
     sql["registered_csv"] = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders"
-    sql["chunked_load"] = "SELECT o_orderkey AS id, o_orderstatus AS status FROM orders"
+    sql["chunked_load"] = "SELECT o_orderkey AS id, o_orderstatus AS status, 'I' AS op FROM orders"
+    sql["maintenance_state"] = sql["cdc_merge_two_batches"]
+    sql["maintenance_health"] = _with(CHANGES, _latest("last", "changes")) + (
+        """SELECT 'app_raw.events' AS "table", 'bronze' AS layer, count(*) AS records, 0::BIGINT AS delete_files
+           FROM changes WHERE ts >= TIMESTAMP '2024-01-21'
+           UNION ALL SELECT 'app.events', 'silver', count(*), 0 FROM last WHERE op <> 'D'"""
+    )
     sql["stream_documents"] = _with(DOCUMENT_EVENTS) + (
         "SELECT 'bronze' AS kind, op AS label, count(*) AS rows FROM good GROUP BY op UNION ALL SELECT 'quarantine', reason, count(*) FROM aside GROUP BY reason"
     )

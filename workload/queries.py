@@ -18,9 +18,10 @@ from sediment.operators import checks, health, history, offsets, schema, upkeep
 from sediment.operators.access import Person, secured_view
 from sediment.operators.latest import OP, current_state, latest_per_key, newest_event_time
 from sediment.operators.merge import merge_changes, merge_guarded, merged_view, upsert
-from sediment.plans import business, web
+from sediment.plans import business, maintenance, web
 from sediment.session import scratch_dir
 from sediment.sources import accesslog, backfill, documents, envelopes, files, jsonstream, kafka, tables
+from sediment.sources.catalog import TableRoot
 from sediment.sources.versioned import VersionedTable, by_day, since
 from sediment.streaming import landing, silver
 from sediment.streaming import web as web_stream
@@ -657,14 +658,35 @@ def registered_csv(spark, sf):
 
 @query
 def chunked_load(spark, sf):
-    """A table loaded in key ranges, the first of them twice."""
+    """A table loaded in key ranges; a second call finds nothing left to do."""
     orders = derive.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
     table = VersionedTable(spark, scratch_dir(spark, "chunks"))
-    ranges = backfill.key_ranges(orders, "id", 4)
-    for bounds in [ranges[0], *ranges]:
-        rows = backfill.chunk(orders, "id", *bounds)
-        table.append(backfill.as_changes(rows, ["id"], HALF, "app.public.orders", "app_raw.orders"), by_day(f"{META}.ts"))
-    return current_state(table.read(), ["id"])
+    for _ in range(2):
+        backfill.load_in_chunks(table, orders, ["id"], 4, HALF, "app.public.orders", "app_raw.orders")
+    return table.read().select("id", "status", f"{META}.op")
+
+
+def _maintained(spark: SparkSession, sf: str) -> TableRoot:
+    """A raw table and its state, each half merged, then every kind of upkeep."""
+    root = TableRoot(spark, scratch_dir(spark, "tables"))
+    config = {"pipelines": [{"bronze": "app_raw.events", "keys": ["id"], "bucket_count": 4}], "bronze_namespaces": ["app_raw"]}
+    for half in _halves(derive.changes(spark, sf)):
+        root.table("app_raw.events").append(half, by_day(f"{META}.ts"))
+        silver.run_pipeline(_pipeline("merge-on-read"), root.table("app_raw.events"), root.table("app.events"))
+    scope = maintenance.scope_of(root, config)
+    for mode in (maintenance.COMPACT, maintenance.EXPIRE, maintenance.FOLD):
+        maintenance.maintain(root, scope, mode, NOW, bronze_ttl_days=10)
+    return root
+
+
+@query
+def maintenance_state(spark, sf):
+    return stamped(_maintained(spark, sf).table("app.events").read())
+
+
+@query
+def maintenance_health(spark, sf):
+    return _maintained(spark, sf).table(health.HEALTH_TABLE).read().select("table", "layer", "records", "delete_files")
 
 
 def _finish(running) -> None:
