@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.model import DELETE, UPDATE
@@ -18,7 +18,6 @@ from sediment.operators.latest import OP
 COMMIT = "commit"
 _S = "_s_"
 _RESET = "_reset"
-_COUNT = "_copies"
 
 # An increment is broadcast only when its stored size was measured and is below this bound.
 BROADCAST_LIMIT_BYTES = 64 << 20
@@ -47,52 +46,39 @@ def merge_changes(
     ``unique`` states that ``changes`` has one row per key already and saves the check.  ``small`` says its size
     was measured and may be broadcast: the target is then streamed past it without a shuffle.  Otherwise both
     sides are shuffled on the key once.  Rows with a null key are kept out of the join, so many of them cannot
-    pile up in one task.
+    pile up in one task; so are changes that share a key, which can only be inserts or an error.
+
+    The target is read once for the join and once more, by statistics alone where there are none, for rows with
+    a null key.  Merge several increments through a written table or :func:`fold_pending`, not by nesting.
     """
     keys = list(keys)
-    columns = target.columns
     held, loose = target.where(_has_key(keys)), target.where(~_has_key(keys))
     keyed, unkeyed = changes.where(_has_key(keys)), changes.where(~_has_key(keys))
+    parts = [loose, _inserted(unkeyed, target)]
+    if not unique:
+        repeated = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
+        parts.append(_refuse(held.select(*keys).join(repeated, keys, "left_semi"), target))
+        parts.append(_inserted(keyed.join(repeated, keys, "left_semi").select(*keyed.columns), target))
+        keyed = keyed.join(repeated, keys, "left_anti").select(*keyed.columns)
 
-    if unique:
-        keyed = keyed.withColumn(_COUNT, F.lit(1))
-    else:
-        keyed = keyed.withColumn(_COUNT, F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     if _RESET not in changes.columns:
         keyed = keyed.withColumn(_RESET, F.lit(False))
     source = keyed.select(*(F.col(f"`{c}`").alias(_S + c) for c in keyed.columns), F.lit(True).alias("_s"))
     stored = held.withColumn("_t", F.lit(True))
     on = reduce(and_, (F.col(f"`{k}`") == F.col(f"`{_S}{k}`") for k in keys))
-
     if small:
-        touched = stored.join(F.broadcast(source), on, "left")
-        parts = [_resolve(touched, columns, changes.columns, keys)]
-        wanted = source.where(F.col(_S + OP) != DELETE)
-        found = (
-            held.select(*keys)
-            .join(F.broadcast(keyed.select(*(F.col(f"`{k}`").alias(_S + k) for k in keys))), on, "left_semi")
-            .distinct()
-        )
-        fresh = wanted.join(found, on, "left_anti")
-        parts.append(_inserted(fresh, target, changes.columns, _S))
+        merged = _resolve(stored.join(F.broadcast(source), on, "left"), target.columns, changes.columns, keys)
+        found = held.select(*keys).join(F.broadcast(source.select(*(_S + k for k in keys))), on, "left_semi").distinct()
+        parts.append(_inserted(keyed.join(found, keys, "left_anti").select(*keyed.columns), target))
     else:
-        parts = [_resolve(stored.join(source, on, "full_outer"), columns, changes.columns, keys)]
-
-    parts.append(loose)
-    parts.append(_inserted(unkeyed.where(F.col(OP) != DELETE), target, changes.columns, ""))
-    return reduce(DataFrame.unionByName, parts)
+        merged = _resolve(stored.join(source, on, "full_outer"), target.columns, changes.columns, keys)
+    return reduce(DataFrame.unionByName, [merged, *parts])
 
 
 def _resolve(joined: DataFrame, columns: Sequence[str], changed: Sequence[str], keys: Sequence[str]) -> DataFrame:
     source, stored = F.col("_s").isNotNull(), F.col("_t").isNotNull()
     op = F.col(_S + OP)
-    clash = source & stored & (F.col(_S + _COUNT) > 1)
-    keep = (
-        F.when(clash, F.raise_error(F.lit("several changes match one stored row; keys must be unique")).cast("boolean"))
-        .when(~source, True)
-        .when(stored, ~op.eqNullSafe(DELETE))
-        .otherwise(op != DELETE)
-    )
+    keep = F.when(~source, True).when(stored, ~op.eqNullSafe(DELETE)).otherwise(op != DELETE)
 
     def column(name: str) -> Column:
         old = F.col(f"`{name}`")
@@ -105,10 +91,18 @@ def _resolve(joined: DataFrame, columns: Sequence[str], changed: Sequence[str],
     return joined.where(keep).select(*(column(c) for c in columns))
 
 
-def _inserted(rows: DataFrame, target: DataFrame, changed: Sequence[str], prefix: str) -> DataFrame:
-    return rows.select(
+def _refuse(clashes: DataFrame, target: DataFrame) -> DataFrame:
+    """No rows, or an error when there are clashes; counted first, so the check cannot move below the join."""
+    error = F.raise_error(F.lit("several changes match one stored row; keys must be unique")).cast("boolean")
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields]
+    return clashes.agg(F.count(F.lit(1)).alias("_n")).where(F.when(F.col("_n") > 0, error).otherwise(False)).select(*nothing)
+
+
+def _inserted(changes: DataFrame, target: DataFrame) -> DataFrame:
+    """Unmatched changes as rows of the target; deletes among them are ignored."""
+    return changes.where(F.col(OP) != DELETE).select(
         *(
-            (F.col(f"`{prefix}{f.name}`") if f.name in changed else F.lit(None)).cast(f.dataType).alias(f.name)
+            (F.col(f"`{f.name}`") if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
             for f in target.schema.fields
         )
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sediment.model import META
 from sediment.operators.health import layer_of
 from sediment.sources import filesystem as files
-from sediment.sources.versioned import BASE, PENDING, Commit, Unit, VersionedTable
+from sediment.sources.versioned import BASE, PENDING, Commit, Unit, VersionedTable, broadcastable
 
 # Days kept per layer, and the age below which an unreferenced file may belong to a running write.
 VERSION_DAYS = {"bronze": 1, "silver": 7, "sandbox": 7, "other": 7}
@@ -122,7 +122,11 @@ def compact(
 
 
 def fold(table: VersionedTable) -> Commit | None:
-    """Merge pending increments into the base; only the buckets they touch are read and written."""
+    """Merge pending increments into the base; only the buckets they touch are read and written.
+
+    When the increments are small enough to broadcast, the base is neither shuffled for the join nor for the
+    write.
+    """
     head = table.head()
     pending = head.of(PENDING) if head else ()
     if not pending:
@@ -130,7 +134,7 @@ def fold(table: VersionedTable) -> Commit | None:
     touched = {u.part for u in pending}
     merged = table.state_of(head, touched)
     gone = [u for u in head.units if u.part in touched]
-    return table.replace_units(gone, merged, "replace")
+    return table.replace_units(gone, merged, "replace", spread=not broadcastable(pending))
 
 
 # ---- versions and files ---------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.functions.weblog import is_bot, normal_page, status_between
+from sediment.session import scratch_dir
 from sediment.sources import filesystem as files
 from sediment.sources.tables import overwrite_partitions
 
@@ -128,17 +129,20 @@ def refresh(
     """Bring the three report tables under ``root`` up to date; returns their folders.
 
     When all three exist the last days are computed again, late rows included, and only their partitions are
-    replaced.  Otherwise the whole log is computed.  The log is read once.
+    replaced.  Otherwise the whole log is computed.  The log is read and grouped once, into a table in the
+    shared folder that all three reports are made from.
     """
     folders = {name: f"{root.rstrip('/')}/{name}" for name in REPORTS}
     complete = all(files.names(spark, f) for f in folders.values())
     rows = recent_days(log, as_of, days_back, zone) if complete else log
-    groups = request_groups(requests(rows, zone)).persist()
+    staged = scratch_dir(spark, "requests")
     try:
+        request_groups(requests(rows, zone)).write.parquet(staged)
+        groups = spark.read.parquet(staged)
         for name, report in REPORTS.items():
             overwrite_partitions(report(groups), folders[name], ["day"])
     finally:
-        groups.unpersist()
+        files.delete(spark, staged)
     return folders
 
 

@@ -17,8 +17,11 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return [s.getPath().getName() for s in fs.listStatus(target)] if fs.exists(target) else []
 
 
-def read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """Content of a small file; None when it does not exist."""
     fs, target = _open(spark, path)
+    if not fs.exists(target):
+        return None
     stream = fs.open(target)
     try:
         return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")

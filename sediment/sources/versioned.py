@@ -142,6 +142,11 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
+def broadcastable(units: Iterable[Unit]) -> bool:
+    """Whether an increment's stored size allows sending it to every executor."""
+    return sum(u.bytes for u in units) <= BROADCAST_LIMIT_BYTES
+
+
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime] = _now):
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
@@ -159,9 +164,10 @@ class VersionedTable:
         return self.commit(found[-1]) if found else None
 
     def commit(self, version: int) -> Commit:
-        if version not in self.versions():
+        text = files.read_text(self.spark, self._record(version))
+        if text is None:
             raise VersionNotFound(f"{self.path}: version {version} has expired or never existed")
-        raw = json.loads(files.read_text(self.spark, self._record(version)))
+        raw = json.loads(text)
         raw["layout"] = Layout(**{**raw["layout"], "keys": tuple(raw["layout"]["keys"])})
         raw["units"] = tuple(Unit(**u) for u in raw["units"])
         return Commit(**raw)
@@ -223,19 +229,23 @@ class VersionedTable:
         """Publish the version that follows ``parent`` with these units."""
         return self.publish(self._next(parent, operation, units, added, **more))
 
-    def write_units(self, df: DataFrame, version: int, layout: Layout, kind: str = BASE) -> list[Unit]:
+    def write_units(
+        self, df: DataFrame, version: int, layout: Layout, kind: str = BASE, spread: bool = True
+    ) -> list[Unit]:
         """Write rows as new folders and measure them; not visible until a commit names them.
 
         Rows are spread by partition value with a rebalance: small values share a task, and a value that holds
-        a third of all rows is split over several.  Counts come from the Parquet footers.
+        a third of all rows is split over several.  Without ``spread`` they are written where they are, right
+        for rows that come from the table's own folders.  Counts come from the Parquet footers.
         """
         folder = f"{self.path}/data/{COMMIT}={version}"
         value = layout.value(df.schema)
         if value is None:
             df.write.mode("overwrite").parquet(folder)
         else:
-            spread = df.withColumn(PART, value).hint("rebalance", F.col(PART))
-            spread.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(folder)
+            valued = df.withColumn(PART, value)
+            placed = valued.hint("rebalance", F.col(PART)) if spread else valued
+            placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(folder)
         if not any(not n.startswith("_") or "=" in n for n in files.names(self.spark, folder)):
             return []
         stored = self.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(folder)
@@ -272,10 +282,12 @@ class VersionedTable:
         added = self.write_units(df, max(self.versions()) + 1, head.layout)
         return self.advance(head, "overwrite", added, added, schema=df.schema.json())
 
-    def replace_units(self, gone: Iterable[Unit], df: DataFrame | None, operation: str, **more) -> Commit:
+    def replace_units(
+        self, gone: Iterable[Unit], df: DataFrame | None, operation: str, spread: bool = True, **more
+    ) -> Commit:
         """Put new rows in the place of some units; the other units are carried over untouched."""
         head, gone = self.head(), set(gone)
-        added = [] if df is None else self.write_units(df, max(self.versions()) + 1, head.layout)
+        added = [] if df is None else self.write_units(df, max(self.versions()) + 1, head.layout, spread=spread)
         kept = [u for u in head.units if u not in gone]
         return self.advance(head, operation, (*kept, *added), added, **more)
 
@@ -324,8 +336,7 @@ class VersionedTable:
             return base
         schema = T.StructType([*commit.struct.fields, T.StructField(OP, T.StringType())])
         changes = self.scan(pending, schema, commit.layout, keep_layout=True).drop(PART)
-        small = sum(u.bytes for u in pending) <= BROADCAST_LIMIT_BYTES
-        return merged_view(base, changes, commit.layout.keys, small=small)
+        return merged_view(base, changes, commit.layout.keys, small=broadcastable(pending))
 
     def read_since(self, after: int | None, head: Commit, max_ts: datetime | None = None) -> tuple[DataFrame, str]:
         """Rows appended after version ``after``, with how they were found.

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sediment.model import COPY_ON_WRITE, DELETE, Pipeline
 from sediment.operators.latest import OP, latest_per_key
-from sediment.operators.merge import BROADCAST_LIMIT_BYTES, merge_changes
+from sediment.operators.merge import merge_changes
 from sediment.operators.schema import plan_changes, state_schema
 from sediment.session import scratch_dir
 from sediment.sources.tables import for_each
@@ -20,6 +20,7 @@ from sediment.sources.versioned import (
     PENDING,
     Commit,
     VersionedTable,
+    broadcastable,
     by_bucket,
     observed_max_ts,
 )
@@ -108,14 +109,11 @@ def _merge(
     touched = {u.part for u in waiting}
     increment = staged.scan(waiting, changes.schema, state.layout)
     gone = [u for u in state.units if u.part in touched]
-    merged = merge_changes(
-        silver.state_of(state, touched),
-        increment,
-        pipeline.keys,
-        unique=not any(k in pipeline.casts for k in pipeline.keys),
-        small=sum(u.bytes for u in waiting) <= BROADCAST_LIMIT_BYTES,
-    )
-    return silver.replace_units(gone, merged, "overwrite", **more), keys
+    small = broadcastable(waiting)
+    unique = not any(k in pipeline.casts for k in pipeline.keys)
+    merged = merge_changes(silver.state_of(state, touched), increment, pipeline.keys, unique=unique, small=small)
+    # past a broadcast increment, rows of a bucket stay in the tasks that read them: nothing to spread
+    return silver.replace_units(gone, merged, "overwrite", spread=not small, **more), keys
 
 
 def _first_load(
