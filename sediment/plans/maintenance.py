@@ -65,8 +65,9 @@ def maintain(
     bronze_version_days: int = upkeep.VERSION_DAYS["bronze"],
     orphan_days: int = upkeep.ORPHAN_DAYS,
     bronze_ttl_days: int = upkeep.BRONZE_TTL_DAYS,
+    at_once: int = 4,
 ) -> None:
-    """One run over the tables of a mode; a table that fails does not hold up the others."""
+    """One run over the tables of a mode, some at the same time; a table that fails does not hold up the others."""
     if mode not in MODES:
         raise ValueError(f"mode {mode!r} is not one of {MODES}")
     raw = {*scope.bronze, *scope.extra}
@@ -88,7 +89,7 @@ def maintain(
                 rule = scope.retention[name]
                 upkeep.apply_retention(table, now, int(rule["days"]), rule["col"])
 
-    failures = for_each(scope.of(mode), care)
+    failures = for_each(scope.of(mode), care, at_once)
     if mode == FOLD:
         failures += for_each([health.HEALTH_TABLE], lambda _: collect_health(root, scope.silver_namespaces, now))
     if failures:

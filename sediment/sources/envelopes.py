@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 from sediment.functions import jsonvalues as J
 from sediment.functions.rows import computed
 from sediment.model import DELETE, INSERT, META, UPDATE
+from sediment.sources.tables import for_each
+
 
 def read_envelopes(records: DataFrame, row: T.StructType, keys: Sequence[str], target: str) -> DataFrame:
     """Each record with its parsed ``_event``, ``_key`` and the ``reason`` it cannot be used, if any.
@@ -83,15 +85,21 @@ def dead_letters(events: DataFrame) -> DataFrame:
     )
 
 
-def route(records: DataFrame, tables: Mapping[str, T.StructType], write: Callable[[str, DataFrame], None]) -> None:
+def route(
+    records: DataFrame, tables: Iterable[str], write: Callable[[str, DataFrame], None], at_once: int = 4
+) -> list[tuple[object, Exception]]:
     """One write per table for a batch of mixed topics; ``write`` gets the table name and its records.
 
     A topic ends in the table's name.  The table list is configuration, so the loop is as long as that list
-    and no record visits the driver.  Keep ``records`` persisted, or each table reads it anew.
+    and no record visits the driver.  Keep ``records`` persisted, or each table reads it anew.  Returns the
+    tables whose write failed.
     """
-    for table in tables:
+
+    def one(table: str) -> None:
         write(table, records.where(F.element_at(F.split("topic", "\\."), -1) == table))
 
+    return for_each(tables, one, at_once)
+
 
 def route_counts(events: DataFrame) -> DataFrame:
     """Usable events per target table and operation."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -74,12 +75,19 @@ def drop_with_data(spark: SparkSession, table: str) -> None:
     spark.sql(f"DROP TABLE IF EXISTS {table} PURGE")
 
 
-def for_each(items: Iterable, work: Callable) -> list[tuple[object, Exception]]:
-    """Run ``work`` on each item; a failure does not stop the others.  Returns the failures."""
-    failures = []
-    for item in items:
+def for_each(items: Iterable, work: Callable, at_once: int = 1) -> list[tuple[object, Exception]]:
+    """Run ``work`` on each item; a failure does not stop the others.  Returns the failures.
+
+    Work on small tables is mostly waiting for short jobs, so several items may run at once; Spark shares the
+    executors among their jobs.
+    """
+
+    def attempt(item: object) -> tuple[object, Exception] | None:
         try:
             work(item)
+            return None
         except Exception as error:  # noqa: BLE001 - every kind of failure is reported at the end
-            failures.append((item, error))
-    return failures
+            return item, error
+
+    with ThreadPoolExecutor(max_workers=at_once) as pool:
+        return [failure for failure in pool.map(attempt, items) if failure]

@@ -55,7 +55,11 @@ def land_changes(
     checkpoint: str,
     interval: str | None = None,
 ) -> StreamingQuery:
-    """Relational change events of several tables, each to its own raw table; what cannot be read to ``dead``."""
+    """Relational change events of several tables, each to its own raw table; what cannot be read to ``dead``.
+
+    A table that cannot be written fails the batch after the others are done; when the batch comes again they
+    skip it, because their commit logs name it.
+    """
 
     def work(batch: DataFrame, number: int) -> None:
         unreadable: list[DataFrame] = []
@@ -66,7 +70,9 @@ def land_changes(
             unreadable.append(envelopes.dead_letters(events))
 
         with _kept(batch) as records:
-            envelopes.route(records, tables, write)
+            failures = envelopes.route(records, tables, write)
+            if failures:
+                raise RuntimeError("; ".join(f"{table}: {error}" for table, error in failures))
             dead.append(reduce(DataFrame.unionByName, unreadable), by_day("ts"), ("changes", number))
 
     return _run(stream, checkpoint, work, interval)

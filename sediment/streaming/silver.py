@@ -150,11 +150,14 @@ def _later(previous: datetime | None, seen: str | None) -> str | None:
 
 
 def run_all(
-    pipelines: Sequence[Pipeline], bronze: Callable[[Pipeline], VersionedTable], silver: Callable[[Pipeline], VersionedTable]
+    pipelines: Sequence[Pipeline],
+    bronze: Callable[[Pipeline], VersionedTable],
+    silver: Callable[[Pipeline], VersionedTable],
+    at_once: int = 4,
 ) -> list[Outcome]:
-    """Run each pipeline; one that fails does not hold up the others, but fails the job at the end."""
+    """Run each pipeline, some at the same time; one that fails does not hold up the others, but fails the job at the end."""
     outcomes: list[Outcome] = []
-    failures = for_each(pipelines, lambda p: outcomes.append(run_pipeline(p, bronze(p), silver(p))))
+    failures = for_each(pipelines, lambda p: outcomes.append(run_pipeline(p, bronze(p), silver(p))), at_once)
     if failures:
         raise PipelinesFailed(failures)
     return outcomes

@@ -10,7 +10,9 @@ from sediment.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, 4)
+    session = local_session(4, 2)
+    # many small plans: compiling each costs more than it saves
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
     session.sparkContext.setLogLevel("OFF")
     return session
 
