@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import date, datetime, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,19 +49,12 @@ def apply_retention(table: VersionedTable, now: datetime, days: int, column: str
     column = column or retention_column(head.struct.fieldNames())
     cutoff = retention_cutoff(now, days).date()
     if head.layout.kind == "day" and head.layout.column == column:
-        old = [u for u in head.units if u.part and _day(u.part) and _day(u.part) < cutoff]
+        old = [u for u in head.units if (day := u.day) and day < cutoff]
         return table.replace_units(old, None, "delete") if old else None
     kept = retained(table.read(), now, days, column)
     return table.replace_units(head.units, kept, "delete") if head.units else None
 
 
-def _day(part: str) -> date | None:
-    try:
-        return date.fromisoformat(part)
-    except ValueError:
-        return None
-
-
 # ---- small files ----------------------------------------------------------------------------------------
 
 

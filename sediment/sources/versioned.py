@@ -12,9 +12,10 @@ of a state table are in ``base`` units; merge-on-read increments wait in ``pendi
 from __future__ import annotations
 
 import json
+import secrets
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import asdict, dataclass, field, replace
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -98,6 +99,14 @@ class Unit:
     def part(self) -> str | None:
         return self.path.partition(f"/{PART}=")[2] or None
 
+    @property
+    def day(self) -> date | None:
+        """The partition value as a day; None for rows without a time."""
+        try:
+            return date.fromisoformat(self.part or "")
+        except ValueError:
+            return None
+
 
 @dataclass(frozen=True)
 class Commit:
@@ -198,18 +207,49 @@ class VersionedTable:
             raise CommitConflict(f"commit conflict: {self.path} already has version {commit.version}")
         return commit
 
-    def _next(self, parent: Commit, operation: str, units: Iterable[Unit], added: Iterable[Unit], **more) -> Commit:
-        units = tuple(units)
-        return replace(
-            parent,
-            version=max(self.versions()) + 1,
-            parent=parent.version,
-            committed_at=self.clock().isoformat(),
-            operation=operation,
-            units=units,
-            summary=_summary(units, added),
-            **more,
-        )
+    def change(
+        self,
+        operation: str,
+        added: Iterable[Unit] = (),
+        gone: Iterable[Unit] | None = (),
+        batch: tuple[str, int] | None = None,
+        incoming: T.StructType | None = None,
+        **more,
+    ) -> Commit:
+        """Publish the version after the present one: some units come, some go (all of them for None).
+
+        Another job may commit meanwhile.  As long as it left the units alone that go here, the change is
+        simply put on top of it; otherwise it is a conflict, to be worked out again from the new state.
+        """
+        for last in (False, False, True):
+            head = self.head()
+            leaving = set(head.units if gone is None else gone)
+            if not leaving <= set(head.units):
+                raise CommitConflict(f"commit conflict: units of {self.path} were replaced meanwhile")
+            version = head.version + 1
+            new = [replace(u, commit=version) for u in added]
+            units = (*(u for u in head.units if u not in leaving), *new)
+            settings = dict(more)
+            if batch:
+                settings["batches"] = {**head.batches, batch[0]: batch[1]}
+            if incoming is not None:
+                settings["schema"] = merge_schemas(self.path, [head.struct, incoming]).json()
+            following = replace(
+                head,
+                version=version,
+                parent=head.version,
+                committed_at=self.clock().isoformat(),
+                operation=operation,
+                units=units,
+                summary=_summary(units, new),
+                **settings,
+            )
+            try:
+                return self.publish(following)
+            except CommitConflict:
+                if last:
+                    raise
+        raise AssertionError
 
     # ---- writing ----------------------------------------------------------------------------------------
 
@@ -225,27 +265,24 @@ class VersionedTable:
             Commit(0, None, self.clock().isoformat(), "create", schema.json(), layout, (), _summary((), ()))
         )
 
-    def advance(self, parent: Commit, operation: str, units: Iterable[Unit], added: Iterable[Unit], **more) -> Commit:
-        """Publish the version that follows ``parent`` with these units."""
-        return self.publish(self._next(parent, operation, units, added, **more))
-
-    def write_units(
-        self, df: DataFrame, version: int, layout: Layout, kind: str = BASE, spread: bool = True
-    ) -> list[Unit]:
+    def write_units(self, df: DataFrame, layout: Layout, kind: str = BASE, spread: bool = True) -> list[Unit]:
         """Write rows as new folders and measure them; not visible until a commit names them.
 
         Rows are spread by partition value with a rebalance: small values share a task, and a value that holds
         a third of all rows is split over several.  Without ``spread`` they are written where they are, right
         for rows that come from the table's own folders.  Counts come from the Parquet footers.
+
+        The folder's number grows with the versions, and no two writes share one.
         """
-        folder = f"{self.path}/data/{COMMIT}={version}"
+        number = (max(self.versions(), default=-1) + 1) << 20 | secrets.randbits(20)
+        folder = f"{self.path}/data/{COMMIT}={number}"
         value = layout.value(df.schema)
         if value is None:
-            df.write.mode("overwrite").parquet(folder)
+            df.write.parquet(folder)
         else:
             valued = df.withColumn(PART, value)
             placed = valued.hint("rebalance", F.col(PART)) if spread else valued
-            placed.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(PART).parquet(folder)
+            placed.write.partitionBy(PART).parquet(folder)
         if not any(not n.startswith("_") or "=" in n for n in files.names(self.spark, folder)):
             return []
         stored = self.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(folder)
@@ -256,45 +293,37 @@ class VersionedTable:
             .agg(F.sum("count").alias("records"), F.count("file").alias("files"), F.sum("size").alias("bytes"))
             .collect()
         )
-        return [Unit(r["path"], version, kind, r["records"], r["files"], r["bytes"]) for r in sorted(rows)]
+        return [Unit(r["path"], -1, kind, r["records"], r["files"], r["bytes"]) for r in sorted(rows)]
 
-    def append(
-        self, df: DataFrame, layout: Layout = Layout(), batch: tuple[str, int] | None = None, kind: str = BASE, **more
-    ) -> Commit | None:
+    def append(self, df: DataFrame, layout: Layout = Layout(), batch: tuple[str, int] | None = None) -> Commit | None:
         """Add rows; the table is created and columns are added as needed.
 
-        ``batch`` is (stream, batch id): a batch that was committed before is not written again.
+        ``batch`` is (stream, batch id): a batch that was committed before is not written again.  Files keep the
+        columns and types they came with; readers widen them to the merged schema.
         """
         head = self.head() or self.create(df.schema, layout)
         if batch and head.batches.get(batch[0], -1) >= batch[1]:
             return None
-        if kind == BASE:
-            # files keep the columns and types they came with; readers widen them to the merged schema
-            more["schema"] = merge_schemas(self.path, [head.struct, df.schema]).json()
-        added = self.write_units(df, max(self.versions()) + 1, head.layout, kind)
-        if batch:
-            more["batches"] = {**head.batches, batch[0]: batch[1]}
-        return self.advance(head, "append", (*head.units, *added), added, **more)
+        merge_schemas(self.path, [head.struct, df.schema])  # a conflict shows before anything is written
+        return self.change("append", self.write_units(df, head.layout), batch=batch, incoming=df.schema)
 
     def overwrite(self, df: DataFrame, layout: Layout = Layout()) -> Commit:
         """Replace the whole table."""
         head = self.head() or self.create(df.schema, layout)
-        added = self.write_units(df, max(self.versions()) + 1, head.layout)
-        return self.advance(head, "overwrite", added, added, schema=df.schema.json())
+        return self.change("overwrite", self.write_units(df, head.layout), None, schema=df.schema.json())
 
     def replace_units(
         self, gone: Iterable[Unit], df: DataFrame | None, operation: str, spread: bool = True, **more
     ) -> Commit:
         """Put new rows in the place of some units; the other units are carried over untouched."""
-        head, gone = self.head(), set(gone)
-        added = [] if df is None else self.write_units(df, max(self.versions()) + 1, head.layout, spread=spread)
-        kept = [u for u in head.units if u not in gone]
-        return self.advance(head, operation, (*kept, *added), added, **more)
+        added = [] if df is None else self.write_units(df, self.head().layout, spread=spread)
+        return self.change(operation, added, gone, **more)
 
     def roll_back(self, version: int) -> Commit:
         """Make an earlier version the present one again."""
-        target = self.commit(version)
-        return self.advance(target, "rollback", target.units, ())
+        target, now = self.commit(version), self.head()
+        back = replace(target, version=now.version + 1, parent=version, operation="rollback", committed_at=self.clock().isoformat())
+        return self.publish(back)
 
     # ---- reading ----------------------------------------------------------------------------------------
 
@@ -338,6 +367,14 @@ class VersionedTable:
         changes = self.scan(pending, schema, commit.layout, keep_layout=True).drop(PART)
         return merged_view(base, changes, commit.layout.keys, small=broadcastable(pending))
 
+    def read_days(self, first: date, last: date, version: int | None = None) -> DataFrame:
+        """Rows of the UTC days from ``first`` to ``last`` of a table laid out by day; other folders are not touched."""
+        commit = self.resolve(version)
+        if commit.layout.kind != "day":
+            raise ValueError(f"{self.path} is not laid out by day")
+        wanted = [u for u in commit.units if (day := u.day) and first <= day <= last]
+        return self.scan(wanted, commit.struct, commit.layout)
+
     def read_since(self, after: int | None, head: Commit, max_ts: datetime | None = None) -> tuple[DataFrame, str]:
         """Rows appended after version ``after``, with how they were found.
 
@@ -351,10 +388,16 @@ class VersionedTable:
             if all(c.operation not in ("overwrite", "rollback") for c in between):
                 new = [u for c in between if c.operation == "append" for u in c.units if u.commit == c.version]
                 return self.scan(new, head.struct, head.layout), "incremental"
-        rows = self.scan(head.units, head.struct, head.layout, keep_layout=True)
         if max_ts is None:
-            return rows.drop(COMMIT, PART), "full"
-        return since(rows, head.layout, max_ts).drop(COMMIT, PART), "bounded"
+            return self.scan(head.units, head.struct, head.layout), "full"
+        return self.scan_from(head, max_ts - timedelta(days=1)), "bounded"
+
+    def scan_from(self, commit: Commit, low: datetime, column: str = f"{META}.ts") -> DataFrame:
+        """Rows whose time is at or after ``low``; a table laid out by day opens no older folder."""
+        units = commit.units
+        if commit.layout.kind == "day":
+            units = [u for u in units if (day := u.day) and day >= low.astimezone(timezone.utc).date()]
+        return self.scan(units, commit.struct, commit.layout).where(F.col(column) >= F.lit(low))
 
     def files(self, commit: Commit | None = None) -> DataFrame:
         """One row per data file: file_path, file_format, record_count, file_size_in_bytes, part."""
@@ -375,13 +418,6 @@ class VersionedTable:
         return {u.path for v in self.versions() for u in self.commit(v).units}
 
 
-def since(rows: DataFrame, layout: Layout, max_ts: datetime, column: str = f"{META}.ts") -> DataFrame:
-    """Rows at most one day older than ``max_ts``; a table laid out by day skips older folders."""
-    low = max_ts - timedelta(days=1)
-    recent = rows.where(F.col(column) >= F.lit(low))
-    return recent.where(F.col(PART) >= F.lit(low.astimezone(timezone.utc).date())) if layout.kind == "day" else recent
-
-
 def observed_max_ts(log: DataFrame) -> tuple[DataFrame, Observation]:
     """The log with its largest event time taken along while it is read, not in a second pass."""
     seen = Observation()

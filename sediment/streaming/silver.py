@@ -15,6 +15,7 @@ from sediment.operators.latest import OP, latest_per_key
 from sediment.operators.merge import merge_changes
 from sediment.operators.schema import plan_changes, state_schema
 from sediment.session import scratch_dir
+from sediment.sources import filesystem
 from sediment.sources.tables import for_each
 from sediment.sources.versioned import (
     PENDING,
@@ -79,7 +80,7 @@ def _prepared(pipeline: Pipeline, silver: VersionedTable, log: DataFrame) -> Com
     plan = plan_changes(pipeline.target, state.struct, wanted)
     if not plan:
         return state
-    return silver.advance(state, "schema", state.units, (), schema=plan.applied_to(state.struct).json())
+    return silver.change("schema", schema=plan.applied_to(state.struct).json())
 
 
 def _merge(
@@ -93,51 +94,41 @@ def _merge(
     watched, seen = observed_max_ts(log)
     changes = latest_per_key(watched, pipeline.keys, pipeline.casts)
     if not state.units:
-        return _first_load(silver, state, changes, seen, source_version, batch)
-    version = max(silver.versions()) + 1
-    if pipeline.write_mode == COPY_ON_WRITE:
-        # the increment is written once to the shared folder: its size and buckets are known from there, and
-        # a lost executor costs no second read of the log
-        staged = VersionedTable(silver.spark, scratch_dir(silver.spark, "increment"))
-        waiting = staged.write_units(changes, 0, state.layout, PENDING)
-    else:
-        waiting = silver.write_units(changes, version, state.layout, PENDING)
-    more = _progress(state, seen, source_version, batch)
-    keys = sum(u.records for u in waiting)
+        # nothing to match: the living rows are the base, in either write mode
+        counted = Observation()
+        living = changes.observe(counted, F.count(F.lit(1)).alias("keys")).where(F.col(OP) != DELETE).drop(OP)
+        added = silver.write_units(living, state.layout)
+        return silver.change("append", added, batch=batch, **_progress(state, seen, source_version)), counted.get["keys"]
     if pipeline.write_mode != COPY_ON_WRITE:
-        return silver.advance(state, "append", (*state.units, *waiting), waiting, **more), keys
-    touched = {u.part for u in waiting}
-    increment = staged.scan(waiting, changes.schema, state.layout)
-    gone = [u for u in state.units if u.part in touched]
-    small = broadcastable(waiting)
-    unique = not any(k in pipeline.casts for k in pipeline.keys)
-    merged = merge_changes(silver.state_of(state, touched), increment, pipeline.keys, unique=unique, small=small)
-    # past a broadcast increment, rows of a bucket stay in the tasks that read them: nothing to spread
-    return silver.replace_units(gone, merged, "overwrite", spread=not small, **more), keys
-
-
-def _first_load(
-    silver: VersionedTable,
-    state: Commit,
-    changes: DataFrame,
-    seen: Observation,
-    source_version: int | None,
-    batch: tuple[str, int] | None,
-) -> tuple[Commit, int]:
-    """Into an empty table nothing is matched: the living rows are the base, in either write mode."""
-    counted = Observation()
-    living = changes.observe(counted, F.count(F.lit(1)).alias("keys")).where(F.col(OP) != DELETE).drop(OP)
-    added = silver.write_units(living, max(silver.versions()) + 1, state.layout)
-    more = _progress(state, seen, source_version, batch)
-    return silver.advance(state, "append", added, added, **more), counted.get["keys"]
-
-
-def _progress(state: Commit, seen: Observation, source_version: int | None, batch: tuple[str, int] | None) -> dict:
-    return {
-        "source_version": source_version,
-        "max_ts": _later(state.newest, seen.get["max_ts"]),
-        "batches": {**state.batches, batch[0]: batch[1]} if batch else state.batches,
-    }
+        waiting = silver.write_units(changes, state.layout, PENDING)
+        commit = silver.change("append", waiting, batch=batch, **_progress(state, seen, source_version))
+        return commit, sum(u.records for u in waiting)
+
+    # the increment is written once to the shared folder: its size and buckets are known from there, and a lost
+    # executor costs no second read of the log
+    staged = VersionedTable(silver.spark, scratch_dir(silver.spark, "increment"))
+    try:
+        waiting = staged.write_units(changes, state.layout, PENDING)
+        touched, small = {u.part for u in waiting}, broadcastable(waiting)
+        merged = merge_changes(
+            silver.state_of(state, touched),
+            staged.scan(waiting, changes.schema, state.layout),
+            pipeline.keys,
+            unique=not any(k in pipeline.casts for k in pipeline.keys),
+            small=small,
+        )
+        gone = [u for u in state.units if u.part in touched]
+        # past a broadcast increment, rows of a bucket stay in the tasks that read them: nothing to spread
+        commit = silver.replace_units(
+            gone, merged, "overwrite", spread=not small, batch=batch, **_progress(state, seen, source_version)
+        )
+        return commit, sum(u.records for u in waiting)
+    finally:
+        filesystem.delete(silver.spark, staged.path)
+
+
+def _progress(state: Commit, seen: Observation, source_version: int | None) -> dict:
+    return {"source_version": source_version, "max_ts": _later(state.newest, seen.get["max_ts"])}
 
 
 def _later(previous: datetime | None, seen: str | None) -> str | None:

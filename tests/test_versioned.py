@@ -1,11 +1,11 @@
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from sediment.operators import upkeep
 from sediment.operators.schema import SchemaConflict
-from sediment.sources.versioned import CommitConflict, VersionedTable, VersionNotFound, by_bucket, by_day, since
+from sediment.sources.versioned import CommitConflict, VersionedTable, VersionNotFound, by_bucket, by_day
 from sediment.streaming.retry import with_retry
 from tests.conftest import rows
 from tests.helpers import log, utc
@@ -62,7 +62,7 @@ def test_rollback(spark, table):
 
 def test_a_version_is_taken_once(spark, table):
     table.append(one(spark, 1), DAY)
-    with pytest.raises(CommitConflict, match="commit conflict"):
+    with pytest.raises(CommitConflict, match="already has version"):
         table.publish(table.head())
 
 
@@ -144,11 +144,48 @@ def test_fallback_reads(spark, table):
 def test_bounded_read_skips_folders(spark, table):
     for n in range(1, 6):
         table.append(one(spark, n, f"2026-01-0{n}"), DAY)
-    head = table.head()
-    df = since(table.scan(head.units, head.struct, head.layout, keep_layout=True), head.layout, utc(2026, 1, 4, 12))
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(_part" in plan and "_part" in plan.split("PartitionFilters")[1]
-    assert df.rdd.getNumPartitions() == 3 and ids(df) == [4, 5]
+    df = table.scan_from(table.head(), utc(2026, 1, 3, 12))
+    assert ids(df) == [4, 5] and len(df.inputFiles()) == 3
+    days = table.read_days(date(2026, 1, 2), date(2026, 1, 3))
+    assert ids(days) == [2, 3] and len(days.inputFiles()) == 2
+
+
+# ---- jobs at the same time
+
+
+def test_append_beside_another_job(spark, table):
+    for n in range(1, 3):
+        table.append(one(spark, n), DAY)
+    added = table.write_units(one(spark, 3), DAY)
+    upkeep.compact(table, min_files=2)  # commits while the append is under way
+    commit = table.change("append", added)
+    assert ids(table.read()) == [1, 2, 3] and {u.commit for u in commit.units} == {commit.version - 1, commit.version}
+    assert ids(table.read_since(2, commit)[0]) == [3]
+
+
+def test_units_replaced_meanwhile_are_a_conflict(spark, table):
+    for n in range(1, 3):
+        table.append(one(spark, n), DAY)
+    gone = table.head().units
+    upkeep.compact(table, min_files=2)
+    with pytest.raises(CommitConflict, match="replaced meanwhile"):
+        table.replace_units(gone, one(spark, 9), "replace")
+    assert ids(table.read()) == [1, 2]
+
+
+def test_lost_race_for_a_version_is_tried_again(spark, table, monkeypatch):
+    table.append(one(spark, 1), DAY)
+    publish, lost = table.publish, []
+
+    def racing(commit):
+        if not lost:
+            lost.append(commit.version)
+            VersionedTable(spark, table.path).append(one(spark, 2), DAY)
+        return publish(commit)
+
+    monkeypatch.setattr(table, "publish", racing)
+    commit = table.append(one(spark, 3), DAY)
+    assert (lost, commit.version) == ([2], 3) and ids(table.read()) == [1, 2, 3]
 
 
 # ---- upkeep
@@ -219,7 +256,8 @@ def test_unreferenced_files(spark, table):
     upkeep.expire(table, utc(2027, 1, 1), 1)
     assert upkeep.table_orphans(table, utc(2020, 1, 1)).count() == 0
     far = utc(2100, 1, 1)
-    assert {r["folder"] for r in upkeep.table_orphans(table, far).collect()} == {"commit=1/_part=2026-01-01", "commit=2/_part=2026-01-01"}
+    unnamed = {r["folder"] for r in upkeep.table_orphans(table, far).collect()}
+    assert len(unnamed) == 2 and not unnamed & {u.path for u in table.head().units}
     assert upkeep.remove_orphans(table, utc(2020, 1, 1)) == 0
     assert upkeep.remove_orphans(table, far) == 2
     assert ids(table.read()) == [3] and upkeep.table_orphans(table, far).count() == 0

@@ -22,7 +22,7 @@ from sediment.plans import business, maintenance, web
 from sediment.session import scratch_dir
 from sediment.sources import accesslog, backfill, documents, envelopes, files, jsonstream, kafka, tables
 from sediment.sources.catalog import TableRoot
-from sediment.sources.versioned import VersionedTable, by_day, since
+from sediment.sources.versioned import VersionedTable, by_day
 from sediment.streaming import landing, silver
 from sediment.streaming import web as web_stream
 from workload import derive
@@ -503,8 +503,7 @@ def bounded_fallback_rows(spark, sf):
     log = derive.changes(spark, sf)
     table = VersionedTable(spark, scratch_dir(spark, "bronze"))
     head = table.append(log, by_day(f"{META}.ts"))
-    rows = table.scan(head.units, head.struct, head.layout, keep_layout=True)
-    recent = since(rows, head.layout, datetime(2024, 1, 29, 12, tzinfo=timezone.utc))
+    recent = table.scan_from(head, datetime(2024, 1, 28, 12, tzinfo=timezone.utc))
     return stamped(recent.select("id", "status", "amount", f"{META}.ts", f"{META}.offset"))
 
 
