@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +16,7 @@ from sediment.operators.schema import merge_schemas
 ARRIVAL = "_kafka_ts"
 
 
-def infer_schema(records: DataFrame, contract: Mapping[str, str] | None = None) -> T.StructType:
+def infer_schema(records: DataFrame, contract: Mapping[str, str] | None = None, millis: Sequence[str] = ()) -> T.StructType:
     """Schema of the undeclared fields seen in ``records``; one aggregate, one row to the driver.
 
     Nested objects become structs, whole numbers bigint, other numbers double.  A field that was only ever
@@ -27,7 +27,7 @@ def infer_schema(records: DataFrame, contract: Mapping[str, str] | None = None)
     if text in (None, "VOID") or not text.startswith("OBJECT<"):
         return T.StructType([])
     found = T.DataType.fromDDL(text.replace("OBJECT<", "STRUCT<"))
-    declared = set(contract_types(contract))
+    declared = {*contract_types(contract), *millis}
     return T.StructType([T.StructField(f.name, _column_type(f.dataType), True) for f in _typed(found) if f.name not in declared])
 
 
@@ -51,14 +51,17 @@ def evolve(table: str, stored: T.StructType, batch: T.StructType) -> T.StructTyp
     return merge_schemas(table, [stored, batch])
 
 
-def read_json(records: DataFrame, schema: T.StructType, contract: Mapping[str, str] | None = None) -> DataFrame:
+def read_json(
+    records: DataFrame, schema: T.StructType, contract: Mapping[str, str] | None = None, millis: Sequence[str] = ()
+) -> DataFrame:
     """Kafka-shaped records with ``reason``, the event's columns in ``_row`` and its arrival time.
 
     A declared field is converted (``"19.75"`` to 19.75); when its value does not convert, the record's reason
     is ``contract`` and the flow goes on.  A text that is no JSON object is ``not-json``.  Undeclared fields are
     read strictly by ``schema``: a value of another type fails the batch, because nobody said what it means.
+    Fields in ``millis`` hold epoch milliseconds and become timestamps.
     """
-    declared = contract_types(contract)
+    declared = {**contract_types(contract), **dict.fromkeys(millis, "bigint")}
     undeclared = T.StructType([f for f in schema.fields if f.name not in declared])
     opened = computed(records, _v=J.variant(F.col("value")))
     fields = computed(
@@ -72,7 +75,9 @@ def read_json(records: DataFrame, schema: T.StructType, contract: Mapping[str, s
         given = F.coalesce(F.col(f"_given.`{name}`") != "VOID", F.lit(False))
         broken = broken | (given & F.col(f"_typed.`{name}`").isNull())
     judged = fields.withColumn("reason", F.when(~F.col("_is_event"), "not-json").when(broken, "contract"))
-    columns = [F.col(f"_typed.`{n}`").alias(n) for n in declared]
+    columns = [
+        (F.timestamp_millis(F.col(f"_typed.`{n}`")) if n in millis else F.col(f"_typed.`{n}`")).alias(n) for n in declared
+    ]
     if undeclared.fields:
         body = F.from_json("value", undeclared, {"mode": "FAILFAST"})
         judged = computed(judged, _body=F.when(F.col("reason").isNull(), body))

@@ -11,10 +11,11 @@ from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from sediment.sources import documents, envelopes, jsonstream
+from sediment.sources import accesslog, documents, envelopes, jsonstream
 from sediment.sources.versioned import VersionedTable, by_day
 
 
@@ -85,6 +86,7 @@ def land_json(
     contract: Mapping[str, str] | None,
     checkpoint: str,
     interval: str | None = None,
+    millis: Sequence[str] = (),
 ) -> StreamingQuery:
     """A JSON event stream to its table: new fields become columns, broken records go to ``dead``.
 
@@ -94,11 +96,24 @@ def land_json(
 
     def work(batch: DataFrame, number: int) -> None:
         head = table.head()
-        fixed = {jsonstream.ARRIVAL, *(contract or {})}
+        fixed = {jsonstream.ARRIVAL, *(contract or {}), *millis}
         known = T.StructType([f for f in head.struct.fields if f.name not in fixed] if head else [])
-        schema = jsonstream.evolve(table.path, known, jsonstream.infer_schema(batch, contract))
-        with _kept(jsonstream.read_json(batch, schema, contract)) as read:
+        schema = jsonstream.evolve(table.path, known, jsonstream.infer_schema(batch, contract, millis))
+        with _kept(jsonstream.read_json(batch, schema, contract, millis)) as read:
             table.append(jsonstream.good_rows(read), by_day(jsonstream.ARRIVAL), ("json", number))
             dead.append(jsonstream.dead_letters(read), by_day("timestamp"), ("json", number))
 
     return _run(stream, checkpoint, work, interval)
+
+
+def land_access_log(lines: DataFrame, table: VersionedTable, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Log lines (``value``, ``server``) of any number of servers to one table, laid out by day.
+
+    Lines of another shape land too, whole, with the time of the batch.
+    """
+
+    def work(batch: DataFrame, number: int) -> None:
+        parsed = accesslog.parse_lines(batch, F.col("server"), F.current_timestamp())
+        table.append(parsed, by_day("ts"), ("access-log", number))
+
+    return _run(lines, checkpoint, work, interval)

@@ -171,3 +171,35 @@ def test_scan_reads_only_what_is_asked_for(spark, path):
     out = merge_changes(t, t.withColumn("_op", F.lit("U")), ["id"], unique=True).select("id", "v")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "w:string" not in plan and "IsNotNull(id)" in plan
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_splitting_an_ordered_log_does_not_matter(spark, seed):
+    rng = random.Random(seed)
+    data = [(rng.randrange(8), f"v{i}", "1", rng.choice("IUUD"), f"2026-01-01 00:{i:02d}:00", i) for i in range(60)]
+    cuts = sorted(rng.sample(range(1, 60), 2))
+    state = None
+    for first, last in zip([0, *cuts], [*cuts, 60]):
+        increment = latest_per_key(log(spark, data[first:last]), ["id"])
+        base = spark.createDataFrame([] if state is None else state, "id long, status string, amount decimal(10,2)")
+        state = merge_changes(base, increment, ["id"], unique=True, small=seed % 2 == 0).collect()
+    assert sorted(map(tuple, state)) == rows(current_state(log(spark, data), ["id"]))
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_a_key_with_a_third_of_all_rows(spark, small):
+    """One key holds a third of the log, another third has no key at all."""
+    n = 30000
+    key = F.when(F.col("i") % 3 == 0, 7).when(F.col("i") % 3 == 1, None).otherwise(F.col("i"))
+    hot = spark.range(n).toDF("i").select(
+        key.cast("long").alias("id"),
+        F.concat(F.lit("v"), "i").alias("status"),
+        F.struct(F.lit("U").alias("op"), F.timestamp_seconds("i").alias("ts"), F.col("i").alias("offset")).alias("_cdc"),
+    )
+    increment = latest_per_key(hot, ["id"])
+    stored = spark.range(n).select(F.when(F.col("id") % 3 == 2, F.col("id")).alias("id"), F.lit("old").alias("status"))
+    out = merge_changes(stored, increment, ["id"], unique=True, small=small)
+    # stored rows without a key stay, all others are replaced, and the log adds key 7 and one row without a key
+    assert rows(out.where("id IS NULL").groupBy("status").count()) == [("old", n * 2 // 3), (f"v{n - 2}", 1)]
+    assert out.where("id IS NOT NULL").count() == n // 3 + 1 and out.where("id IS NOT NULL AND status = 'old'").count() == 0
+    assert rows(out.where("id = 7"), "status") == [(f"v{n - 3}",)]

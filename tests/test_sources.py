@@ -100,6 +100,14 @@ def test_new_fields_become_columns(spark):
     assert jsonstream.infer_schema(records(spark, ["nope"])).fields == []
 
 
+def test_epoch_milliseconds_become_timestamps(spark):
+    df = records(spark, ['{"ts":1757600000123,"remote":"1.1.1.1"}', '{"ts":"soon"}'])
+    schema = jsonstream.infer_schema(df, millis=["ts"])
+    read = jsonstream.read_json(df, schema, millis=["ts"])
+    assert rows(jsonstream.good_rows(read), F.col("ts").cast("string"), "remote") == [("2025-09-11 14:13:20.123", "1.1.1.1")]
+    assert rows(jsonstream.dead_letters(read), "reason") == [("contract",)]
+
+
 def test_contract_types():
     assert contract_types({"a": "int32", "b": "boolean"}) == {"a": "int", "b": "boolean"}
     with pytest.raises(ValueError, match="decimal"):

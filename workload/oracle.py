@@ -434,6 +434,9 @@ both_logs AS (
     sql["stream_documents"] = _with(DOCUMENT_EVENTS) + (
         "SELECT 'bronze' AS kind, op AS label, count(*) AS rows FROM good GROUP BY op UNION ALL SELECT 'quarantine', reason, count(*) FROM aside GROUP BY reason"
     )
+    sql["stream_access_log"] = _with(ACCESS_LOG) + (
+        "SELECT server, code, method, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, count(log) AS unparsed FROM access_log GROUP BY ALL"
+    )
     sql["stream_changes"] = sql["topic_route_counts"]
     sql["stream_json"] = _with(JSON_EVENTS) + (
         """SELECT 'good' AS kind, count(*) AS rows, CAST(sum(props_k) AS BIGINT) AS k FROM json_good

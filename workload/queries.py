@@ -747,6 +747,17 @@ def stream_json(spark, sf):
     )
 
 
+@query
+def stream_access_log(spark, sf):
+    """Log lines of three servers delivered as text files, landed in one table."""
+    root = scratch_dir(spark, "stream")
+    derive.access_lines(spark, sf).select("value", "server").write.partitionBy("server").text(f"{root}/lines")
+    lines = spark.readStream.schema("value string, server string").text(f"{root}/lines")
+    table = VersionedTable(spark, f"{root}/log")
+    _finish(landing.land_access_log(lines, table, f"{root}/checkpoint"))
+    return table.read().groupBy("server", "code", "method").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), F.count("log").alias("unparsed"))
+
+
 @query
 def stream_web_hourly(spark, sf):
     """Hours the stream has given out after the whole log; the last hours stay open for late rows."""
