@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,8 +33,8 @@ def retention_column(columns: Sequence[str]) -> str:
 
 
 def retention_cutoff(now: datetime, days: int) -> datetime:
-    """Midnight ``days`` ago, so that whole days go."""
-    return (now - timedelta(days=days)).replace(hour=0, minute=0, second=0, microsecond=0)
+    """Midnight (UTC) ``days`` ago, so that whole days go."""
+    return (now.astimezone(timezone.utc) - timedelta(days=days)).replace(hour=0, minute=0, second=0, microsecond=0)
 
 
 def retained(df: DataFrame, now: datetime, days: int, column: str | None = None) -> DataFrame:

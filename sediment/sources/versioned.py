@@ -421,4 +421,10 @@ class VersionedTable:
 def observed_max_ts(log: DataFrame) -> tuple[DataFrame, Observation]:
     """The log with its largest event time taken along while it is read, not in a second pass."""
     seen = Observation()
-    return log.observe(seen, F.max(f"{META}.ts").cast("string").alias("max_ts")), seen
+    return log.observe(seen, F.max(F.unix_micros(f"{META}.ts")).alias("max_micros")), seen
+
+
+def observed_time(seen: Observation) -> datetime | None:
+    """What :func:`observed_max_ts` saw, once the log was read."""
+    micros = seen.get["max_micros"]
+    return None if micros is None else datetime(1970, 1, 1, tzinfo=timezone.utc) + timedelta(microseconds=micros)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
@@ -24,6 +24,7 @@ from sediment.sources.versioned import (
     broadcastable,
     by_bucket,
     observed_max_ts,
+    observed_time,
 )
 from sediment.streaming.retry import with_retry
 
@@ -99,7 +100,9 @@ def _merge(
         living = changes.observe(counted, F.count(F.lit(1)).alias("keys")).where(F.col(OP) != DELETE).drop(OP)
         added = silver.write_units(living, state.layout)
         return silver.change("append", added, batch=batch, **_progress(state, seen, source_version)), counted.get["keys"]
-    if pipeline.write_mode != COPY_ON_WRITE:
+    # casts can make keys equal; only merging at once shows whether they then match one stored row
+    recast = any(k in pipeline.casts for k in pipeline.keys)
+    if pipeline.write_mode != COPY_ON_WRITE and not recast:
         waiting = silver.write_units(changes, state.layout, PENDING)
         commit = silver.change("append", waiting, batch=batch, **_progress(state, seen, source_version))
         return commit, sum(u.records for u in waiting)
@@ -114,7 +117,7 @@ def _merge(
             silver.state_of(state, touched),
             staged.scan(waiting, changes.schema, state.layout),
             pipeline.keys,
-            unique=not any(k in pipeline.casts for k in pipeline.keys),
+            unique=not recast,
             small=small,
         )
         gone = [u for u in state.units if u.part in touched]
@@ -128,15 +131,12 @@ def _merge(
 
 
 def _progress(state: Commit, seen: Observation, source_version: int | None) -> dict:
-    return {"source_version": source_version, "max_ts": _later(state.newest, seen.get["max_ts"])}
+    return {"source_version": source_version, "max_ts": _later(state.newest, observed_time(seen))}
 
 
-def _later(previous: datetime | None, seen: str | None) -> str | None:
+def _later(previous: datetime | None, seen: datetime | None) -> str | None:
     """The larger of the two, so the mark never moves back."""
-    latest = datetime.fromisoformat(seen) if seen else None
-    if latest is not None and latest.tzinfo is None:
-        latest = latest.replace(tzinfo=timezone.utc)
-    known = [t for t in (previous, latest) if t is not None]
+    known = [t for t in (previous, seen) if t is not None]
     return max(known).isoformat() if known else None
 
 

@@ -99,6 +99,34 @@ def test_schema_evolution(spark, path, mode):
         run_pipeline(Pipeline("shop_raw.orders", ("id",), mode, 2, {"status": "date"}), bronze, state)
 
 
+@pytest.mark.parametrize("mode", MODES)
+def test_keys_made_equal_by_a_cast(spark, path, mode):
+    bronze, state = tables(spark, path)
+    p = Pipeline("shop_raw.orders", ("status",), mode, 2, {"status": "int"})
+    bronze.append(log(spark, [(1, "1", "1", "I", "2026-01-01 00:00:00", 1)]), DAY)
+    run_pipeline(p, bronze, state)
+    bronze.append(log(spark, [(2, "2", "1", "I", "2026-01-02 00:00:00", 2), (3, "02", "1", "I", "2026-01-02 00:00:00", 3)]), DAY)
+    run_pipeline(p, bronze, state)  # nothing stored has the key 2: both are inserted
+    assert rows(state.read(), "id", "status") == [(1, 1), (2, 2), (3, 2)]
+    bronze.append(log(spark, [(4, "1", "1", "U", "2026-01-03 00:00:00", 4), (5, "01", "1", "U", "2026-01-03 00:00:00", 5)]), DAY)
+    with pytest.raises(Exception, match="several changes match"):
+        run_pipeline(p, bronze, state)
+    assert rows(state.read(), "id", "status") == [(1, 1), (2, 2), (3, 2)]
+
+
+def test_mark_does_not_depend_on_the_session_zone(spark, path):
+    bronze, state = tables(spark, path)
+    bronze.append(log(spark, [(1, "a", "1", "I", "2026-01-01 23:30:00", 1)]), DAY)
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        run_pipeline(Pipeline("shop_raw.orders", ("id",)), bronze, state)
+        bronze.append(bronze.read(), DAY)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert state.head().newest == utc(2026, 1, 1, 23, 30)
+    assert {u.part for u in bronze.head().units} == {"2026-01-01"}
+
+
 def test_only_touched_buckets_are_rewritten(spark, path):
     bronze, state = tables(spark, path)
     p = Pipeline("shop_raw.orders", ("id",), "copy-on-write", 8)

@@ -405,6 +405,7 @@ def _saved(records: DataFrame) -> DataFrame:
 
 @query
 def merged_offsets(spark, sf):
+    """Saved positions of every topic; the later delivery brought records of two of them."""
     records = derive.records(spark, sf)
     later = records.where((F.col("timestamp") >= F.lit(HALF)) & F.col("topic").isin("app.public.view", "app.public.click"))
     return offsets.merge_offsets(_saved(records), offsets.next_offsets(later))
