@@ -67,15 +67,18 @@ def merge_changes(
     stored = held.withColumn("_t", F.lit(True))
     on = reduce(and_, (F.col(f"`{k}`") == F.col(f"`{_S}{k}`") for k in keys))
     if small:
-        merged = _resolve(stored.join(F.broadcast(source), on, "left"), target.columns, changes.columns, keys)
+        # every joined row has its stored key, so a filter on the key passes through to the scan of the target
+        merged = _resolve(stored.join(F.broadcast(source), on, "left"), target.columns, changes.columns, keys, False)
         found = held.select(*keys).join(F.broadcast(source.select(*(_S + k for k in keys))), on, "left_semi").distinct()
         parts.append(_inserted(keyed.join(found, keys, "left_anti").select(*keyed.columns), target))
     else:
-        merged = _resolve(stored.join(source, on, "full_outer"), target.columns, changes.columns, keys)
+        merged = _resolve(stored.join(source, on, "full_outer"), target.columns, changes.columns, keys, True)
     return reduce(DataFrame.unionByName, [merged, *parts])
 
 
-def _resolve(joined: DataFrame, columns: Sequence[str], changed: Sequence[str], keys: Sequence[str]) -> DataFrame:
+def _resolve(
+    joined: DataFrame, columns: Sequence[str], changed: Sequence[str], keys: Sequence[str], outer: bool
+) -> DataFrame:
     source, stored = F.col("_s").isNotNull(), F.col("_t").isNotNull()
     op = F.col(_S + OP)
     keep = F.when(~source, True).when(stored, ~op.eqNullSafe(DELETE)).otherwise(op != DELETE)
@@ -83,7 +86,7 @@ def _resolve(joined: DataFrame, columns: Sequence[str], changed: Sequence[str],
     def column(name: str) -> Column:
         old = F.col(f"`{name}`")
         if name in keys:
-            return F.coalesce(old, F.col(f"`{_S}{name}`")).alias(name)
+            return F.coalesce(old, F.col(f"`{_S}{name}`")).alias(name) if outer else old
         if name in changed:
             return F.when(source, F.col(f"`{_S}{name}`")).otherwise(old).alias(name)
         return F.when(F.coalesce(F.col(_S + _RESET), F.lit(False)), None).otherwise(old).alias(name)

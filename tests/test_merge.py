@@ -203,3 +203,10 @@ def test_a_key_with_a_third_of_all_rows(spark, small):
     assert rows(out.where("id IS NULL").groupBy("status").count()) == [("old", n * 2 // 3), (f"v{n - 2}", 1)]
     assert out.where("id IS NOT NULL").count() == n // 3 + 1 and out.where("id IS NOT NULL AND status = 'old'").count() == 0
     assert rows(out.where("id = 7"), "status") == [(f"v{n - 3}",)]
+
+
+def test_filter_on_the_key_reaches_the_scan(spark, path):
+    spark.range(10).withColumn("v", F.lit("v")).write.parquet(path + "/t")
+    out = merge_changes(spark.read.parquet(path + "/t"), changes(spark, [(5, "x", "U")]), ["id"], unique=True, small=True)
+    assert rows(out.where("id = 5")) == [(5, "x")]
+    assert "EqualTo(id,5)" in out.where("id = 5")._jdf.queryExecution().executedPlan().toString()
