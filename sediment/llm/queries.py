@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sediment.llm import decontamination, embeddings
+from sediment.llm.decontamination import contaminated
+from sediment.llm.embeddings import near_vectors
 from sediment.llm.language import identify
 from sediment.llm.packing import pack
+from sediment.llm.secrets import scan_secrets
 from sediment.llm.token_counts import token_counts
 from sediment.llm.urls import judge_urls
 
@@ -16,14 +20,26 @@ def op1_pack(spark: SparkSession, sf: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op2_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(spark, spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
 def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(spark, spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op5_contaminated(spark: SparkSession, sf: str) -> DataFrame:
+    return contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+
+
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_secrets(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
 
@@ -33,4 +49,4 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {}
+    return {"op2_near_vectors": embeddings.ORACLE_SQL, "op5_contaminated": decontamination.ORACLE_SQL}
