@@ -12,6 +12,7 @@ from sediment.llm.embeddings import near_vectors
 from sediment.llm.language import identify
 from sediment.llm.packing import pack
 from sediment.llm.secrets import scan_secrets
+from sediment.llm.substrings import repeated_bytes
 from sediment.llm.token_counts import token_counts
 from sediment.llm.urls import judge_urls
 
@@ -24,6 +25,11 @@ def op2_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(spark, spark.read.parquet(f"{sf}/embeddings.parquet"))
 
 
+def op3_repeated_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    found = repeated_bytes(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_language(spark: SparkSession, sf: str) -> DataFrame:
     return identify(spark, spark.read.parquet(f"{sf}/documents.parquet"))
 

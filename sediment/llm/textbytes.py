@@ -57,7 +57,8 @@ class Texts:
     """The UTF-8 bytes of a text column, laid end to end; a null text is empty."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
-        column = pc.fill_null(column.cast(pa.large_string()), "")
+        kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+        column = pc.fill_null(column.cast(kind), "")
         if lower:
             column = pc.utf8_lower(column)
         _, offsets, data = column.buffers()
