@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sediment.llm import decontamination, embeddings
+from sediment.llm import decontamination, embeddings, jaccard
 from sediment.llm.decontamination import contaminated
 from sediment.llm.embeddings import near_vectors
+from sediment.llm.jaccard import near_documents
 from sediment.llm.language import identify
 from sediment.llm.packing import pack
 from sediment.llm.secrets import scan_secrets
@@ -42,6 +43,10 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op7_near_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return near_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return scan_secrets(spark, spark.read.parquet(f"{sf}/documents.parquet"))
 
@@ -55,4 +60,8 @@ def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def statements() -> dict[str, str]:
-    return {"op2_near_vectors": embeddings.ORACLE_SQL, "op5_contaminated": decontamination.ORACLE_SQL}
+    return {
+        "op2_near_vectors": embeddings.ORACLE_SQL,
+        "op5_contaminated": decontamination.ORACLE_SQL,
+        "op7_near_documents": jaccard.ORACLE_SQL,
+    }
