@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,12 +12,15 @@ from sediment.llm.decontamination import contaminated
 from sediment.llm.embeddings import near_vectors
 from sediment.llm.jaccard import near_documents
 from sediment.llm.language import identify
+from sediment.llm.lm import score_texts
 from sediment.llm.packing import pack
 from sediment.llm.secrets import scan_secrets
 from sediment.llm.substrings import repeated_bytes
 from sediment.llm.token_counts import token_counts
 from sediment.llm.urls import judge_urls
 
+Query = Callable[[SparkSession, str], DataFrame]
+
 
 def op1_pack(spark: SparkSession, sf: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf}/documents.parquet"))
@@ -51,12 +55,33 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return scan_secrets(spark, spark.read.parquet(f"{sf}/documents.parquet"))
 
 
+def op9_scores(spark: SparkSession, sf: str) -> DataFrame:
+    return score_texts(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
-def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: work for name, work in globals().items() if name.startswith("op") and callable(work)}
+def reach_workers(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, unless they find it already."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment
+    parts = [p for p in known.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in parts:
+        known["PYTHONPATH"] = os.pathsep.join([*parts, root])
+
+
+def _query(work: Query) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        reach_workers(spark)
+        return work(spark, sf)
+
+    return run
+
+
+def registered() -> dict[str, Query]:
+    return {name: _query(work) for name, work in globals().items() if name.startswith("op") and callable(work)}
 
 
 def statements() -> dict[str, str]:
