@@ -1,25 +1,58 @@
-"""A corpus run in stages; each takes the documents the one before kept."""
+"""A corpus run in stages; each takes the documents that the one before kept."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sediment.llm.packing import pack
+from sediment.llm import decontamination, jaccard, language, packing, secrets
+from sediment.llm.queries import reach_workers
 from sediment.session import scratch_dir
 
-#: SQL cannot express language models or packing.
+#: SQL cannot express the language model, the learned formats or packing.
 ORACLE_SQL = None
 
 
-def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or in no learned language with a probability of a half, go."""
+    return language.accepted(spark, docs)
 
 
-STAGES = [("packing", packed)]
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar documents the one with the smallest id stays; documents without an id stay."""
+    copies = jaccard.near_documents(spark, docs).where("not kept").select("doc_id")
+    return docs.join(copies, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    gone = decontamination.contaminated(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("gone"))
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Credentials are replaced by a mark; all documents stay."""
+    return secrets.redact_secrets(spark, docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language identification", identify_language),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("secret scan", redact_secrets),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written to the shared folder and read again."""
+    reach_workers(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
         where = scratch_dir(spark, f"pipeline-{name.replace(' ', '-')}")

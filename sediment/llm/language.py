@@ -115,40 +115,59 @@ def train(spark: SparkSession, docs: DataFrame, smoothing: float = 0.1, lang_col
     return Model([r.lang for r in found], np.log(texts / texts.sum()), log_p)
 
 
+def _best(grams: Grams, model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    """Most probable language and its posterior probability for each text."""
+    best, posterior = [NONE] * len(texts), np.zeros(len(texts))
+    if model is None:
+        return best, posterior
+    buckets, owners, lettered = grams.of(texts)
+    # each distinct n-gram of a text once, with its count
+    key, n = np.unique(owners * BUCKETS + buckets, return_counts=True)
+    rows = model.log_p[key & (BUCKETS - 1)].astype(np.float64) * n[:, None]
+    of = key // BUCKETS
+    total = np.stack([np.bincount(of, rows[:, k], len(texts)) for k in range(len(model.languages))], axis=1) + model.prior
+    top = total.argmax(axis=1)
+    share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    for i in np.flatnonzero(lettered):
+        best[i] = model.languages[top[i]]
+    posterior[lettered] = share[lettered]
+    return best, posterior
+
+
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Most probable language of each whole text and its posterior probability; ``und`` and 0 without a letter.
 
     The model is broadcast. Texts are scored batch by batch: rows of the log-probability matrix are taken for the
-    n-grams that occur and summed by text. Ties go to the first language in alphabetical order. Repeated rows are
-    scored each; without a model every text is ``und``.
+    n-grams that occur and summed by text. Ties go to the first language in alphabetical order. Null texts are empty;
+    repeated rows are scored each; without a model every text is ``und``; other columns are not read.
     """
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, model = Grams(), shared.value
         for batch in pieces_of(batches, 1 << 20):
-            texts = pc.fill_null(batch.column("text"), "").to_pylist()
-            best, posterior = [NONE] * len(texts), np.zeros(len(texts))
-            if model is not None:
-                buckets, owners, lettered = grams.of(texts)
-                # each distinct n-gram of a text once, with its count
-                key, n = np.unique(owners * BUCKETS + buckets, return_counts=True)
-                rows = model.log_p[key & (BUCKETS - 1)].astype(np.float64) * n[:, None]
-                total = np.zeros((len(texts), len(model.languages)))
-                of = key // BUCKETS
-                for k in range(len(model.languages)):
-                    total[:, k] = np.bincount(of, rows[:, k], len(texts))
-                total += model.prior
-                top = total.argmax(axis=1)
-                share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-                for i in np.flatnonzero(lettered):
-                    best[i] = model.languages[top[i]]
-                posterior[lettered] = share[lettered]
+            best, posterior = _best(grams, model, pc.fill_null(batch.column("text"), "").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best), pa.array(posterior)], names=["doc_id", "lang_pred", "score"])
 
     return docs.selectExpr(f"cast(`{id_column}` as long) doc_id", f"cast(`{text_column}` as string) text").mapInArrow(score, SCHEMA)
 
 
+def accepted(spark: SparkSession, docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+    """The rows, with all columns, whose text is in a learned language with at least this posterior probability.
+
+    The model is of the learnable rows of ``docs`` itself. Texts without a letter are rejected.
+    """
+    shared = spark.sparkContext.broadcast(train(spark, docs.where(learnable(F.col("doc_id")))))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, model = Grams(), shared.value
+        for batch in pieces_of(batches, 1 << 20):
+            best, posterior = _best(grams, model, pc.fill_null(batch.column("text"), "").to_pylist())
+            yield batch.filter(pa.array((np.array(best) != NONE) & (posterior >= least_score)))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Languages of all documents by a model of those that may be learned from; ``held_out`` marks the others.
 
