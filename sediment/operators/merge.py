@@ -9,8 +9,9 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.model import DELETE, UPDATE
 from sediment.operators.latest import OP
@@ -19,22 +20,26 @@ COMMIT = "commit"
 _S = "_s_"
 _RESET = "_reset"
 
-# An increment is broadcast only when its stored size was measured and is below this bound.
-BROADCAST_LIMIT_BYTES = 64 << 20
+_SALTS = 1024
 
 
 def _has_key(keys: Sequence[str]) -> Column:
     return reduce(and_, (F.col(f"`{k}`").isNotNull() for k in keys))
 
 
-def merge_changes(
-    target: DataFrame,
-    changes: DataFrame,
-    keys: Sequence[str],
-    *,
-    unique: bool = False,
-    small: bool = False,
-) -> DataFrame:
+def _salt(columns: Sequence[str], keys: Sequence[str]) -> Column:
+    """0 for rows with a key; rows without one, which match nothing, are dealt out by some of their content."""
+    spread = F.pmod(F.xxhash64(F.lit(0), *(F.col(f"`{c}`").cast("string") for c in columns)), F.lit(_SALTS)).cast("int")
+    return F.when(_has_key(keys), F.lit(0)).otherwise(spread)
+
+
+def _telling(df: DataFrame, keys: Sequence[str]) -> list[str]:
+    """At most two columns to deal out rows by, numbers and times first; few, because they are read for it."""
+    kinds = (T.NumericType, T.DatetimeType), (T.StringType,)
+    return [f.name for kind in kinds for f in df.schema.fields if isinstance(f.dataType, kind) and f.name not in keys][:2]
+
+
+def merge_changes(target: DataFrame, changes: DataFrame, keys: Sequence[str], *, unique: bool = False) -> DataFrame:
     """State after ``changes``; columns are those of ``target``.
 
     * matched and deleted -> gone; matched -> the change's columns replace the stored ones, columns only the
@@ -43,77 +48,58 @@ def merge_changes(
     * a null key matches nothing, so such a change is inserted each time;
     * several changes that match one stored row are an error, as in MERGE.
 
-    ``unique`` states that ``changes`` has one row per key already and saves the check.  ``small`` says its size
-    was measured and may be broadcast: the target is then streamed past it without a shuffle.  Otherwise both
-    sides are shuffled on the key once.  Rows with a null key are kept out of the join, so many of them cannot
-    pile up in one task; so are changes that share a key, which can only be inserts or an error.
-
-    The target is read once for the join and once more, by statistics alone where there are none, for rows with
-    a null key.  Merge several increments through a written table or :func:`fold_pending`, not by nesting.
+    ``unique`` states that ``changes`` has one row per key already and saves the check.  The target is read once.
+    Changes that bring all its columns are one anti join and a union, for which the planner may send the changed keys to
+    the target's rows instead of shuffling them.  Otherwise, and where keys may repeat, it is one full join; repeated
+    keys are counted on the join's own partitioning.  Rows with a null key, which match nothing, are spread by content.
+    Merge several increments through a written table or :func:`fold_pending`, not by nesting.
     """
     keys = list(keys)
-    held, loose = target.where(_has_key(keys)), target.where(~_has_key(keys))
-    keyed, unkeyed = changes.where(_has_key(keys)), changes.where(~_has_key(keys))
-    parts = [loose, _inserted(unkeyed, target)]
+    stored = target.withColumn("_at", _salt(_telling(target, keys), keys))
+    source = changes.withColumn("_at", _salt(_telling(changes.drop(OP), keys), keys))
+    source = source.select(*(F.col(f"`{c}`").alias(_S + c) for c in source.columns))
+    on = reduce(and_, (F.col(f"`{k}`") == F.col(f"`{_S}{k}`") for k in [*keys, "_at"]))
+    if unique and set(target.columns) <= set(changes.columns):
+        kept = stored.join(source.select(*(F.col(f"`{_S}{k}`") for k in [*keys, "_at"])), on, "left_anti")
+        return kept.select(*(F.col(f"`{c}`") for c in target.columns)).unionByName(_inserted(changes, target))
     if not unique:
-        repeated = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).drop("_n")
-        parts.append(_refuse(held.select(*keys).join(repeated, keys, "left_semi"), target))
-        parts.append(_inserted(keyed.join(repeated, keys, "left_semi").select(*keyed.columns), target))
-        keyed = keyed.join(repeated, keys, "left_anti").select(*keyed.columns)
-
-    if _RESET not in changes.columns:
-        keyed = keyed.withColumn(_RESET, F.lit(False))
-    source = keyed.select(*(F.col(f"`{c}`").alias(_S + c) for c in keyed.columns), F.lit(True).alias("_s"))
-    stored = held.withColumn("_t", F.lit(True))
-    on = reduce(and_, (F.col(f"`{k}`") == F.col(f"`{_S}{k}`") for k in keys))
-    if small:
-        # every joined row has its stored key, so a filter on the key passes through to the scan of the target
-        merged = _resolve(stored.join(F.broadcast(source), on, "left"), target.columns, changes.columns, keys, False)
-        found = held.select(*keys).join(F.broadcast(source.select(*(_S + k for k in keys))), on, "left_semi").distinct()
-        parts.append(_inserted(keyed.join(found, keys, "left_anti").select(*keyed.columns), target))
-    else:
-        merged = _resolve(stored.join(source, on, "full_outer"), target.columns, changes.columns, keys, True)
-    return reduce(DataFrame.unionByName, [merged, *parts])
-
-
-def _resolve(
-    joined: DataFrame, columns: Sequence[str], changed: Sequence[str], keys: Sequence[str], outer: bool
-) -> DataFrame:
+        alike = Window.partitionBy(*(F.col(f"`{_S}{k}`") for k in [*keys, "_at"]))
+        source = source.withColumn("_n", F.when(F.col(_S + "_at") == 0, F.count(F.lit(1)).over(alike)))
+    joined = stored.withColumn("_t", F.lit(True)).join(source.withColumn("_s", F.lit(True)), on, "full_outer")
+    return _resolve(joined, target.columns, changes.columns, keys, unique)
+
+
+def _resolve(joined: DataFrame, columns: Sequence[str], changed: Sequence[str], keys: Sequence[str], unique: bool) -> DataFrame:
     source, stored = F.col("_s").isNotNull(), F.col("_t").isNotNull()
     op = F.col(_S + OP)
     keep = F.when(~source, True).when(stored, ~op.eqNullSafe(DELETE)).otherwise(op != DELETE)
+    if not unique:
+        error = F.raise_error(F.lit("several changes match one stored row; keys must be unique")).cast("boolean")
+        keep = F.when(source & stored & (F.col("_n") > 1), error).otherwise(keep)
 
     def column(name: str) -> Column:
         old = F.col(f"`{name}`")
         if name in keys:
-            return F.coalesce(old, F.col(f"`{_S}{name}`")).alias(name) if outer else old
+            return F.coalesce(old, F.col(f"`{_S}{name}`")).alias(name)
         if name in changed:
             return F.when(source, F.col(f"`{_S}{name}`")).otherwise(old).alias(name)
-        return F.when(F.coalesce(F.col(_S + _RESET), F.lit(False)), None).otherwise(old).alias(name)
+        if _RESET in changed:
+            return F.when(F.coalesce(F.col(_S + _RESET), F.lit(False)), None).otherwise(old).alias(name)
+        return old
 
     return joined.where(keep).select(*(column(c) for c in columns))
 
 
-def _refuse(clashes: DataFrame, target: DataFrame) -> DataFrame:
-    """No rows, or an error when there are clashes; counted first, so the check cannot move below the join."""
-    error = F.raise_error(F.lit("several changes match one stored row; keys must be unique")).cast("boolean")
-    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in target.schema.fields]
-    return clashes.agg(F.count(F.lit(1)).alias("_n")).where(F.when(F.col("_n") > 0, error).otherwise(False)).select(*nothing)
-
-
 def _inserted(changes: DataFrame, target: DataFrame) -> DataFrame:
-    """Unmatched changes as rows of the target; deletes among them are ignored."""
+    """Changes as rows of the target, without the deletes."""
     return changes.where(F.col(OP) != DELETE).select(
-        *(
-            (F.col(f"`{f.name}`") if f.name in changes.columns else F.lit(None)).cast(f.dataType).alias(f.name)
-            for f in target.schema.fields
-        )
+        *(F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in target.schema.fields)
     )
 
 
-def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str], *, small: bool = False) -> DataFrame:
+def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Update what matches, insert the rest, delete nothing."""
-    return merge_changes(target, source.withColumn(OP, F.lit(UPDATE)), keys, small=small)
+    return merge_changes(target, source.withColumn(OP, F.lit(UPDATE)), keys)
 
 
 def fold_pending(pending: DataFrame, keys: Sequence[str], order: str = COMMIT) -> DataFrame:
@@ -141,9 +127,9 @@ def fold_pending(pending: DataFrame, keys: Sequence[str], order: str = COMMIT) -
     return folded.unionByName(unkeyed)
 
 
-def merged_view(base: DataFrame, pending: DataFrame, keys: Sequence[str], *, small: bool = False) -> DataFrame:
+def merged_view(base: DataFrame, pending: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge-on-read: ``base`` as it would be after every pending increment was folded in."""
-    return merge_changes(base, fold_pending(pending, keys), keys, unique=True, small=small)
+    return merge_changes(base, fold_pending(pending, keys), keys, unique=True)
 
 
 def merge_guarded(target: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:

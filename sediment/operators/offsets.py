@@ -56,12 +56,15 @@ def backlog(ends: DataFrame, committed: DataFrame, threshold: int | None = None)
     """Unread records per (group, topic); with a threshold, only those above it.
 
     ``ends``: topic, partition, next_offset of the newest record.  ``committed``: group, topic, partition,
-    next_offset.  One row per partition on both sides.
+    next_offset.  One row per partition on both sides.  A partition of a group's topic for which it has committed
+    nothing counts from the first record: ``earliest`` in ``ends`` if that column is there, else 0.
     """
+    first = F.col("earliest") if "earliest" in ends.columns else F.lit(0)
+    wanted = committed.select("group", "topic").distinct().join(ends, "topic")
+    read = committed.withColumnRenamed("next_offset", "_read")
     lag = (
-        committed.withColumnRenamed("next_offset", "_read")
-        .join(ends, _AT)
+        wanted.join(read, ["group", *_AT], "left")
         .groupBy("group", "topic")
-        .agg(F.sum(F.greatest(F.col("next_offset") - F.col("_read"), F.lit(0))).alias("backlog"))
+        .agg(F.sum(F.greatest(F.col("next_offset") - F.coalesce("_read", first), F.lit(0))).alias("backlog"))
     )
     return lag if threshold is None else lag.where(F.col("backlog") > threshold)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from sediment.model import META
 from sediment.operators.health import layer_of
 from sediment.sources import filesystem as files
-from sediment.sources.versioned import BASE, PENDING, Commit, Unit, VersionedTable, broadcastable
+from sediment.sources.versioned import BASE, PENDING, Commit, Unit, VersionedTable
 
 # Days kept per layer, and the age below which an unreferenced file may belong to a running write.
 VERSION_DAYS = {"bronze": 1, "silver": 7, "sandbox": 7, "other": 7}
@@ -44,15 +44,29 @@ def retained(df: DataFrame, now: datetime, days: int, column: str | None = None)
 
 
 def apply_retention(table: VersionedTable, now: datetime, days: int, column: str | None = None) -> Commit | None:
-    """Drop old rows.  In a table laid out by the day of the time column only folders are dropped, nothing is read."""
+    """Drop old rows.  In a table laid out by the day of the time column only folders are dropped, nothing is read.
+
+    In another only the units that hold old rows are rewritten.  What is committed meanwhile is carried over.
+    """
     head = table.head()
     column = column or retention_column(head.struct.fieldNames())
     cutoff = retention_cutoff(now, days).date()
     if head.layout.kind == "day" and head.layout.column == column:
         old = [u for u in head.units if (day := u.day) and day < cutoff]
         return table.replace_units(old, None, "delete") if old else None
-    kept = retained(table.read(), now, days, column)
-    return table.replace_units(head.units, kept, "delete") if head.units else None
+    old = _units_before(table, head, retention_cutoff(now, days), column)
+    if not old:
+        return None
+    kept = retained(table.scan(old, head.struct, head.layout), now, days, column)
+    return table.replace_units(old, kept, "delete")
+
+
+def _units_before(table: VersionedTable, head: Commit, cutoff: datetime, column: str) -> list[Unit]:
+    """The units that hold a row older than ``cutoff``; the filter reaches the scan, so files without one are skipped."""
+    rows = table.scan(head.of(BASE), head.struct, head.layout).where(F.col(column) < F.lit(cutoff))
+    folder = F.regexp_extract(F.col("_metadata.file_path"), _FOLDER, 1)
+    paths = {r["folder"] for r in rows.select(folder.alias("folder")).distinct().collect()}
+    return [u for u in head.of(BASE) if u.path in paths]
 
 
 # ---- small files ----------------------------------------------------------------------------------------
@@ -115,11 +129,7 @@ def compact(
 
 
 def fold(table: VersionedTable) -> Commit | None:
-    """Merge pending increments into the base; only the buckets they touch are read and written.
-
-    When the increments are small enough to broadcast, the base is neither shuffled for the join nor for the
-    write.
-    """
+    """Merge pending increments into the base; only the buckets they touch are read and written."""
     head = table.head()
     pending = head.of(PENDING) if head else ()
     if not pending:
@@ -127,7 +137,7 @@ def fold(table: VersionedTable) -> Commit | None:
     touched = {u.part for u in pending}
     merged = table.state_of(head, touched)
     gone = [u for u in head.units if u.part in touched]
-    return table.replace_units(gone, merged, "replace", spread=not broadcastable(pending))
+    return table.replace_units(gone, merged, "replace")
 
 
 # ---- versions and files ---------------------------------------------------------------------------------
@@ -189,11 +199,3 @@ def remove_orphans(table: VersionedTable, now: datetime, days: int = ORPHAN_DAYS
     everything = present.groupBy("folder").agg(F.count(F.lit(1)).alias("all"))
     gone = orphans.join(everything, "folder").where(F.col("old") == F.col("all")).select("folder").collect()
     return sum(files.delete(table.spark, f"{table.path}/data/{r['folder']}") for r in gone)
-
-
-def total_rows_by_part(table: VersionedTable) -> DataFrame:
-    """Rows per partition value of the present version, from the commit record."""
-    head = table.head()
-    return table.spark.createDataFrame(
-        [(u.part, u.records, u.files, u.bytes) for u in head.of(BASE)], "part string, records bigint, files bigint, bytes bigint"
-    ).groupBy("part").agg(F.sum("records").alias("records"), F.sum("files").alias("files"), F.sum("bytes").alias("bytes"))

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sediment.model import INSERT, META
 from sediment.sources import filesystem
 from sediment.sources.versioned import VersionedTable, by_day
 
+#: Keys that are sampled to place the cuts of a key without quantiles.
+SAMPLE = 10_000
+
 
 def as_changes(rows: DataFrame, keys: Sequence[str], ts: Column | datetime, source: str, target: str) -> DataFrame:
     """Table rows as insert changes, to be appended to the raw table.
@@ -31,15 +36,22 @@ def as_changes(rows: DataFrame, keys: Sequence[str], ts: Column | datetime, sour
 
 
 def key_ranges(rows: DataFrame, key: str, chunks: int) -> list[tuple[object, object]]:
-    """Bounds of about equal chunks of an orderable numeric key: (exclusive low, inclusive high).
+    """Bounds of about equal chunks of an orderable key: (exclusive low, inclusive high).
 
-    The first low and the last high are None, so the chunks cover rows that arrive later too.  Only the bounds
-    come to the driver.
+    Numeric keys are cut at their quantiles; keys of any other type at the quantiles of a sample in their own order.
+    The first low and the last high are None, so the chunks cover rows that arrive later too.  Only the bounds come to
+    the driver.
     """
     shares = [i / chunks for i in range(1, chunks)]
     if not shares:
         return [(None, None)]
-    cuts = rows.agg(F.percentile_approx(key, shares, 10000).alias("c")).first()["c"] or []
+    if isinstance(rows.schema[key].dataType, T.NumericType):
+        cuts = rows.agg(F.percentile_approx(key, shares, 10000).alias("c")).first()["c"] or []
+    else:
+        # a bounded sample of distinct keys, by hash: it only places the cuts, no row depends on it
+        kept = rows.select(key).where(F.col(key).isNotNull()).distinct().orderBy(F.xxhash64(key)).limit(SAMPLE)
+        found = sorted(r[0] for r in kept.collect())
+        cuts = [found[int(s * len(found))] for s in shares] if found else []
     edges = [None, *sorted(set(cuts)), None]
     return list(zip(edges[:-1], edges[1:]))
 
@@ -48,28 +60,41 @@ def chunk(rows: DataFrame, key: str, low: object, high: object) -> DataFrame:
     """Rows of one range; a null key belongs to the first."""
     condition = F.lit(True)
     if low is not None:
-        condition = condition & (F.col(key) > F.lit(low))
+        condition = condition & (F.col(key) > low)
     if high is not None:
-        condition = condition & (F.col(key) <= F.lit(high))
+        condition = condition & (F.col(key) <= high)
     if low is None:
         condition = condition | F.col(key).isNull()
     return rows.where(condition)
 
 
 def load_in_chunks(
-    table: VersionedTable, rows: DataFrame, keys: Sequence[str], chunks: int, ts: datetime, source: str, target: str
+    table: VersionedTable,
+    rows: DataFrame,
+    keys: Sequence[str],
+    chunks: int,
+    ts: datetime,
+    source: str,
+    target: str,
+    load: str | None = None,
 ) -> int:
     """Append ``rows`` to a raw table as inserts, one key range per commit; returns how many were still to do.
 
-    The ranges are decided once and kept beside the table, and a range whose commit is there is not loaded
-    again, so a load that was cut short goes on where it stopped.  Live changes may be appended meanwhile.
+    ``load`` names the load; by default it is its time, so asking for another one is asking with a later time.  The
+    ranges of a load are decided once and kept beside the table, and a range whose commit is there is not loaded again,
+    so a load that was cut short goes on where it stopped.  Live changes may be appended meanwhile.
     """
-    plan = f"{table.path}/_load.json"
-    if not filesystem.names(table.spark, table.path).count("_load.json"):
-        filesystem.create_text(table.spark, plan, json.dumps(key_ranges(rows, keys[0], chunks)))
+    load = load or ts.isoformat()
+    dtype = rows.schema[keys[0]].dataType
+    plan = f"{table.path}/_loads/{hashlib.sha256(load.encode()).hexdigest()[:32]}.json"
+    if filesystem.read_text(table.spark, plan) is None:
+        # bounds are kept as text, which every key type can be read back from
+        edges = [(low if low is None else str(low), high if high is None else str(high)) for low, high in key_ranges(rows, keys[0], chunks)]
+        filesystem.create_text(table.spark, plan, json.dumps(edges))
     ranges = json.loads(filesystem.read_text(table.spark, plan))
     loaded = 0
     for i, bounds in enumerate(ranges):
-        part = as_changes(chunk(rows, keys[0], *bounds), keys, ts, source, target)
-        loaded += table.append(part, by_day(f"{META}.ts"), ("initial-load", i)) is not None
+        low, high = (b if b is None else F.lit(b).cast(dtype) for b in bounds)
+        part = as_changes(chunk(rows, keys[0], low, high), keys, ts, source, target)
+        loaded += table.append(part, by_day(f"{META}.ts"), (f"load {load}", i)) is not None
     return loaded

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +33,32 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def create_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a new small file; False when it exists already."""
+    """Write a new small file; False when it exists already.
+
+    The file is written under another name and renamed without overwriting, so readers see all of it or nothing, and a
+    writer that dies leaves no torn file. Two writers at once are told apart where rename is atomic, as in HDFS; object
+    stores do not promise that, so there a table may have one writer only.
+    """
     fs, target = _open(spark, path)
     if fs.exists(target):
         return False
-    stream = fs.create(target, False)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    waiting = hadoop.Path(target.getParent(), f"_{uuid.uuid4().hex}.tmp")
+    stream = fs.create(waiting, False)
     stream.write(bytearray(text, "utf-8"))
     stream.close()
+    kind = getattr(hadoop, "Options$Rename")
+    options = spark.sparkContext._gateway.new_array(kind, 1)
+    options[0] = kind.NONE
+    try:
+        hadoop.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(
+            fs.makeQualified(waiting), fs.makeQualified(target), options
+        )
+    except Py4JJavaError as error:
+        fs.delete(waiting, False)
+        if "FileAlreadyExistsException" in error.java_exception.getClass().getName():
+            return False
+        raise
     return True
 
 

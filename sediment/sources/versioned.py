@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from sediment.model import META
 from sediment.operators.latest import OP
-from sediment.operators.merge import BROADCAST_LIMIT_BYTES, COMMIT, merged_view
+from sediment.operators.merge import COMMIT, merged_view
 from sediment.operators.schema import merge_schemas
 from sediment.sources import filesystem as files
 
@@ -151,11 +151,6 @@ def _now() -> datetime:
     return datetime.now(timezone.utc)
 
 
-def broadcastable(units: Iterable[Unit]) -> bool:
-    """Whether an increment's stored size allows sending it to every executor."""
-    return sum(u.bytes for u in units) <= BROADCAST_LIMIT_BYTES
-
-
 class VersionedTable:
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], datetime] = _now):
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
@@ -265,12 +260,11 @@ class VersionedTable:
             Commit(0, None, self.clock().isoformat(), "create", schema.json(), layout, (), _summary((), ()))
         )
 
-    def write_units(self, df: DataFrame, layout: Layout, kind: str = BASE, spread: bool = True) -> list[Unit]:
+    def write_units(self, df: DataFrame, layout: Layout, kind: str = BASE) -> list[Unit]:
         """Write rows as new folders and measure them; not visible until a commit names them.
 
         Rows are spread by partition value with a rebalance: small values share a task, and a value that holds
-        a third of all rows is split over several.  Without ``spread`` they are written where they are, right
-        for rows that come from the table's own folders.  Counts come from the Parquet footers.
+        a third of all rows is split over several.  Counts come from the Parquet footers.
 
         The folder's number grows with the versions, and no two writes share one.
         """
@@ -280,9 +274,7 @@ class VersionedTable:
         if value is None:
             df.write.parquet(folder)
         else:
-            valued = df.withColumn(PART, value)
-            placed = valued.hint("rebalance", F.col(PART)) if spread else valued
-            placed.write.partitionBy(PART).parquet(folder)
+            df.withColumn(PART, value).hint("rebalance", F.col(PART)).write.partitionBy(PART).parquet(folder)
         if not any(not n.startswith("_") or "=" in n for n in files.names(self.spark, folder)):
             return []
         stored = self.spark.read.schema(df.schema).option("recursiveFileLookup", "true").parquet(folder)
@@ -313,18 +305,12 @@ class VersionedTable:
         return self.change("overwrite", self.write_units(df, head.layout), None, schema=df.schema.json())
 
     def replace_units(
-        self, gone: Iterable[Unit], df: DataFrame | None, operation: str, spread: bool = True, **more
+        self, gone: Iterable[Unit], df: DataFrame | None, operation: str, **more
     ) -> Commit:
         """Put new rows in the place of some units; the other units are carried over untouched."""
-        added = [] if df is None else self.write_units(df, self.head().layout, spread=spread)
+        added = [] if df is None else self.write_units(df, self.head().layout)
         return self.change(operation, added, gone, **more)
 
-    def roll_back(self, version: int) -> Commit:
-        """Make an earlier version the present one again."""
-        target, now = self.commit(version), self.head()
-        back = replace(target, version=now.version + 1, parent=version, operation="rollback", committed_at=self.clock().isoformat())
-        return self.publish(back)
-
     # ---- reading ----------------------------------------------------------------------------------------
 
     def scan(self, units: Iterable[Unit], schema: T.StructType, layout: Layout, keep_layout: bool = False) -> DataFrame:
@@ -359,21 +345,18 @@ class VersionedTable:
     def state_of(self, commit: Commit, parts: set[str | None] | None = None) -> DataFrame:
         """Rows of a version, or of some of its parts."""
         wanted = [u for u in commit.units if parts is None or u.part in parts]
-        base = self.scan([u for u in wanted if u.kind == BASE], commit.struct, commit.layout)
+        base = [u for u in wanted if u.kind == BASE]
         pending = [u for u in wanted if u.kind == PENDING]
         if not pending:
-            return base
+            return self.scan(base, commit.struct, commit.layout)
+        touched = {u.part for u in pending}
         schema = T.StructType([*commit.struct.fields, T.StructField(OP, T.StringType())])
         changes = self.scan(pending, schema, commit.layout, keep_layout=True).drop(PART)
-        return merged_view(base, changes, commit.layout.keys, small=broadcastable(pending))
-
-    def read_days(self, first: date, last: date, version: int | None = None) -> DataFrame:
-        """Rows of the UTC days from ``first`` to ``last`` of a table laid out by day; other folders are not touched."""
-        commit = self.resolve(version)
-        if commit.layout.kind != "day":
-            raise ValueError(f"{self.path} is not laid out by day")
-        wanted = [u for u in commit.units if (day := u.day) and first <= day <= last]
-        return self.scan(wanted, commit.struct, commit.layout)
+        held = self.scan([u for u in base if u.part in touched], commit.struct, commit.layout)
+        merged = merged_view(held, changes, commit.layout.keys)
+        # parts without a change pass the join by
+        rest = [u for u in base if u.part not in touched]
+        return merged.unionByName(self.scan(rest, commit.struct, commit.layout)) if rest else merged
 
     def read_since(self, after: int | None, head: Commit, max_ts: datetime | None = None) -> tuple[DataFrame, str]:
         """Rows appended after version ``after``, with how they were found.
@@ -385,7 +368,7 @@ class VersionedTable:
         kept = set(self.versions())
         if after is not None and all(v in kept for v in range(after, head.version + 1)):
             between = [self.commit(v) for v in range(after + 1, head.version + 1)]
-            if all(c.operation not in ("overwrite", "rollback") for c in between):
+            if all(c.operation != "overwrite" for c in between):
                 new = [u for c in between if c.operation == "append" for u in c.units if u.commit == c.version]
                 return self.scan(new, head.struct, head.layout), "incremental"
         if max_ts is None:

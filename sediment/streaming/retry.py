@@ -1,28 +1,24 @@
-"""Retry of work that lost a race for a commit."""
+"""Work that lost a race for a commit is worked out again from the new state."""
 
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import TypeVar
 
-Result = TypeVar("Result")
+from sediment.sources.versioned import CommitConflict
 
+Result = TypeVar("Result")
 
-def is_conflict(error: Exception) -> bool:
-    text = f"{type(error).__name__} {error}".lower()
-    return "commit" in text or "conflict" in text
+#: Seconds to wait before each further try.
+PAUSES = (5.0, 10.0)
 
 
-def with_retry(
-    work: Callable[[], Result], attempts: int = 3, pause: float = 5.0, sleep: Callable[[float], None] = time.sleep
-) -> Result:
-    """Run ``work`` again after a conflict, waiting longer each time; any other error is raised at once."""
-    for attempt in range(1, attempts):
+def with_retry(work: Callable[[], Result], pauses: Iterable[float] = PAUSES, sleep: Callable[[float], None] = time.sleep) -> Result:
+    """The result of ``work``, tried again after each pause while another writer's commit comes first."""
+    for pause in pauses:
         try:
             return work()
-        except Exception as error:  # noqa: BLE001 - the kind of a conflict differs by table format
-            if not is_conflict(error):
-                raise
-            sleep(pause * attempt)
+        except CommitConflict:
+            sleep(pause)
     return work()

@@ -21,11 +21,11 @@ from sediment.sources.versioned import (
     PENDING,
     Commit,
     VersionedTable,
-    broadcastable,
     by_bucket,
     observed_max_ts,
     observed_time,
 )
+from sediment.streaming.landing import run_batches
 from sediment.streaming.retry import with_retry
 
 
@@ -107,31 +107,28 @@ def _merge(
         commit = silver.change("append", waiting, batch=batch, **_progress(state, seen, source_version))
         return commit, sum(u.records for u in waiting)
 
-    # the increment is written once to the shared folder: its size and buckets are known from there, and a lost
-    # executor costs no second read of the log
+    # the increment is written once to the shared folder: its buckets are known from there, and a lost executor costs
+    # no second read of the log
     staged = VersionedTable(silver.spark, scratch_dir(silver.spark, "increment"))
     try:
         waiting = staged.write_units(changes, state.layout, PENDING)
-        touched, small = {u.part for u in waiting}, broadcastable(waiting)
+        touched = {u.part for u in waiting}
         merged = merge_changes(
             silver.state_of(state, touched),
             staged.scan(waiting, changes.schema, state.layout),
             pipeline.keys,
             unique=not recast,
-            small=small,
         )
         gone = [u for u in state.units if u.part in touched]
-        # past a broadcast increment, rows of a bucket stay in the tasks that read them: nothing to spread
-        commit = silver.replace_units(
-            gone, merged, "overwrite", spread=not small, batch=batch, **_progress(state, seen, source_version)
-        )
+        commit = silver.replace_units(gone, merged, "overwrite", batch=batch, **_progress(state, seen, source_version))
         return commit, sum(u.records for u in waiting)
     finally:
         filesystem.delete(silver.spark, staged.path)
 
 
 def _progress(state: Commit, seen: Observation, source_version: int | None) -> dict:
-    return {"source_version": source_version, "max_ts": _later(state.newest, observed_time(seen))}
+    merged = {} if source_version is None else {"source_version": source_version}
+    return {**merged, "max_ts": _later(state.newest, observed_time(seen))}
 
 
 def _later(previous: datetime | None, seen: datetime | None) -> str | None:
@@ -154,16 +151,7 @@ def run_all(
     return outcomes
 
 
-def stream_merge(pipeline: Pipeline, log: DataFrame, silver: VersionedTable, checkpoint: str, name: str) -> StreamingQuery:
+def stream_merge(pipeline: Pipeline, log: DataFrame, silver: VersionedTable, checkpoint: str) -> StreamingQuery:
     """Merge a streaming change log batch by batch until the available input is used up."""
-
-    def on_batch(batch: DataFrame, number: int) -> None:
-        merge_batch(pipeline, silver, batch, (name, number))
-
-    return (
-        log.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return run_batches(log, checkpoint, lambda batch, name: merge_batch(pipeline, silver, batch, name))
 

@@ -54,48 +54,42 @@ def test_hot_key_is_reduced_before_the_shuffle(spark):
 # ---- merge
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_arms(spark, small):
+def test_arms(spark):
     t = target(spark, [(1, "a"), (2, "b"), (3, "c")])
     c = changes(spark, [(1, "A", "U"), (2, None, "D"), (4, "d", "I"), (5, None, "D")])
-    assert rows(merge_changes(t, c, ["id"], small=small)) == [(1, "A"), (3, "c"), (4, "d")]
+    assert rows(merge_changes(t, c, ["id"])) == [(1, "A"), (3, "c"), (4, "d")]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_insert_matching_a_row_updates_it(spark, small):
-    out = merge_changes(target(spark, [(1, "a")]), changes(spark, [(1, "A", "I")]), ["id"], small=small)
+def test_insert_matching_a_row_updates_it(spark):
+    out = merge_changes(target(spark, [(1, "a")]), changes(spark, [(1, "A", "I")]), ["id"])
     assert rows(out) == [(1, "A")]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_null_keys_never_match(spark, small):
+def test_null_keys_never_match(spark):
     t = target(spark, [(None, "x"), (1, "a")])
     c = changes(spark, [(None, "y", "I"), (None, "z", "D"), (1, None, "D")])
-    assert rows(merge_changes(t, c, ["id"], unique=True, small=small)) == [(None, "x"), (None, "y")]
+    assert rows(merge_changes(t, c, ["id"], unique=True)) == [(None, "x"), (None, "y")]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_composite_key_and_all_columns_keys(spark, small):
+def test_composite_key_and_all_columns_keys(spark):
     t = spark.createDataFrame([(1, 1, "a"), (1, 2, "b")], "a int, b int, v string")
     c = spark.createDataFrame([(1, 2, "B", "U"), (2, 2, "c", "I")], "a int, b int, v string, _op string")
-    assert rows(merge_changes(t, c, ["a", "b"], small=small)) == [(1, 1, "a"), (1, 2, "B"), (2, 2, "c")]
-    assert rows(merge_changes(t.select("a", "b"), c.drop("v"), ["a", "b"], small=small)) == [(1, 1), (1, 2), (2, 2)]
+    assert rows(merge_changes(t, c, ["a", "b"])) == [(1, 1, "a"), (1, 2, "B"), (2, 2, "c")]
+    assert rows(merge_changes(t.select("a", "b"), c.drop("v"), ["a", "b"])) == [(1, 1), (1, 2), (2, 2)]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_target_only_columns(spark, small):
+def test_target_only_columns(spark):
     t = spark.createDataFrame([(1, "a", "kept")], "id long, v string, legacy string")
-    out = merge_changes(t, changes(spark, [(1, "A", "U"), (2, "b", "I")]), ["id"], small=small)
+    out = merge_changes(t, changes(spark, [(1, "A", "U"), (2, "b", "I")]), ["id"])
     assert rows(out) == [(1, "A", "kept"), (2, "b", None)]
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_several_changes_for_one_row(spark, small):
+def test_several_changes_for_one_row(spark):
     twice = changes(spark, [(1, "A", "U"), (1, "B", "U")])
     with pytest.raises(Exception, match="several changes match"):
-        merge_changes(target(spark, [(1, "a")]), twice, ["id"], small=small).collect()
+        merge_changes(target(spark, [(1, "a")]), twice, ["id"]).collect()
     # without a stored row nothing is matched twice
-    assert rows(merge_changes(target(spark, [(9, "x")]), twice, ["id"], small=small)) == [(1, "A"), (1, "B"), (9, "x")]
+    assert rows(merge_changes(target(spark, [(9, "x")]), twice, ["id"])) == [(1, "A"), (1, "B"), (9, "x")]
 
 
 def test_null_operation(spark):
@@ -126,7 +120,6 @@ def test_deleted_and_back_again_starts_from_null(spark):
     )
     expected = [(1, "again", None), (2, "BB", "kept"), (None, "x", None), (None, "y", None)]
     assert rows(merged_view(base, pending, ["id"])) == expected
-    assert rows(merged_view(base, pending, ["id"], small=True)) == expected
     assert fold_pending(pending, ["id"]).count() == 5
 
 
@@ -157,20 +150,33 @@ def test_merge_on_read_equals_merging_one_by_one(spark, seed):
     base = spark.createDataFrame([(k, *x) for k, x in start.items()], "id long, v string, legacy string")
     expected = brute_force(start, increments)
     pending = spark.createDataFrame([(*c, i) for i, inc in enumerate(increments) for c in inc], "id long, v string, _op string, commit int")
-    for small in (False, True):
-        assert rows(merged_view(base, pending, ["id"], small=small)) == expected
+    assert rows(merged_view(base, pending, ["id"])) == expected
     state = base
     for inc in increments:
         state = spark.createDataFrame(merge_changes(state, changes(spark, inc), ["id"]).collect(), base.schema)
     assert rows(state) == expected
 
 
-def test_scan_reads_only_what_is_asked_for(spark, path):
-    spark.range(10).select("id", F.lit("v").alias("v"), F.lit("w").alias("w")).write.parquet(path + "/t")
+def executed(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_target_is_read_once_and_only_what_is_asked_for(spark, path):
+    columns = [F.lit(c).alias(c) for c in ("a", "b", "v", "w")]
+    spark.range(10).select("id", *columns).write.parquet(path + "/t")
     t = spark.read.parquet(path + "/t")
-    out = merge_changes(t, t.withColumn("_op", F.lit("U")), ["id"], unique=True).select("id", "v")
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert "w:string" not in plan and "IsNotNull(id)" in plan
+    inserted = spark.createDataFrame([(1, "a", "b", "v", "w", "U")], "id long, a string, b string, v string, w string, _op string")
+    plan = executed(merge_changes(t, inserted, ["id"], unique=True).select("id", "v"))
+    assert plan.count("FileScan") == 1 and "w:string" not in plan
+    # columns that only the target has, and keys that may repeat: one join, the count on its own partitioning
+    narrow = inserted.drop("w")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = executed(merge_changes(t, narrow, ["id"]))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 2 and plan.count("Join") == 1
+    assert rows(merge_changes(t, narrow, ["id"]).where("id = 1"), "v", "w") == [("v", "w")]
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -182,12 +188,11 @@ def test_splitting_an_ordered_log_does_not_matter(spark, seed):
     for first, last in zip([0, *cuts], [*cuts, 60]):
         increment = latest_per_key(log(spark, data[first:last]), ["id"])
         base = spark.createDataFrame([] if state is None else state, "id long, status string, amount decimal(10,2)")
-        state = merge_changes(base, increment, ["id"], unique=True, small=seed % 2 == 0).collect()
+        state = merge_changes(base, increment, ["id"], unique=True).collect()
     assert sorted(map(tuple, state)) == rows(current_state(log(spark, data), ["id"]))
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_a_key_with_a_third_of_all_rows(spark, small):
+def test_a_key_with_a_third_of_all_rows(spark):
     """One key holds a third of the log, another third has no key at all."""
     n = 30000
     key = F.when(F.col("i") % 3 == 0, 7).when(F.col("i") % 3 == 1, None).otherwise(F.col("i"))
@@ -198,7 +203,7 @@ def test_a_key_with_a_third_of_all_rows(spark, small):
     )
     increment = latest_per_key(hot, ["id"])
     stored = spark.range(n).select(F.when(F.col("id") % 3 == 2, F.col("id")).alias("id"), F.lit("old").alias("status"))
-    out = merge_changes(stored, increment, ["id"], unique=True, small=small)
+    out = merge_changes(stored, increment, ["id"], unique=True)
     # stored rows without a key stay, all others are replaced, and the log adds key 7 and one row without a key
     assert rows(out.where("id IS NULL").groupBy("status").count()) == [("old", n * 2 // 3), (f"v{n - 2}", 1)]
     assert out.where("id IS NOT NULL").count() == n // 3 + 1 and out.where("id IS NOT NULL AND status = 'old'").count() == 0
@@ -207,6 +212,6 @@ def test_a_key_with_a_third_of_all_rows(spark, small):
 
 def test_filter_on_the_key_reaches_the_scan(spark, path):
     spark.range(10).withColumn("v", F.lit("v")).write.parquet(path + "/t")
-    out = merge_changes(spark.read.parquet(path + "/t"), changes(spark, [(5, "x", "U")]), ["id"], unique=True, small=True)
+    out = merge_changes(spark.read.parquet(path + "/t"), changes(spark, [(5, "x", "U")]), ["id"], unique=True)
     assert rows(out.where("id = 5")) == [(5, "x")]
     assert "EqualTo(id,5)" in out.where("id = 5")._jdf.queryExecution().executedPlan().toString()

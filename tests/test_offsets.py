@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sediment.operators.offsets import backlog, merge_offsets, next_offsets, offsets_json, starting_offsets
 from tests.conftest import rows
 
@@ -31,3 +33,10 @@ def test_backlog(spark):
     ends = saved(spark, {0: 10, 1: 10})
     assert rows(backlog(ends, committed)) == [("g", TOPIC, 7)]
     assert rows(backlog(ends, committed, 7)) == [] and rows(backlog(ends, committed, 6)) == [("g", TOPIC, 7)]
+
+
+def test_partitions_without_a_position_count(spark):
+    committed = spark.createDataFrame([("g", TOPIC, 0, 4)], "group string, topic string, partition int, next_offset long")
+    ends = saved(spark, {0: 10, 1: 5000})
+    assert rows(backlog(ends, committed)) == [("g", TOPIC, 5006)]
+    assert rows(backlog(ends.withColumn("earliest", F.lit(4900)), committed)) == [("g", TOPIC, 106)]

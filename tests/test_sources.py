@@ -56,11 +56,12 @@ def test_flatten(spark):
     assert rows(envelopes.route_counts(events)) == [("shop_raw.orders", "D", 1), ("shop_raw.orders", "I", 2), ("shop_raw.orders", "U", 1)]
 
 
-def test_route(spark):
-    df = records(spark, ["a"], "s.public.orders").unionByName(records(spark, ["b", "c"], "s.public.items"))
-    seen = {}
-    envelopes.route(df, {"orders": ROW, "items": ROW}, lambda table, part: seen.update({table: rows(part, "value")}))
-    assert seen == {"orders": [("a",)], "items": [("b",), ("c",)]}
+def test_values_that_do_not_fit_are_set_aside(spark):
+    row = {"id": 1, "status": "new", "amount": "abc"}
+    values = [envelope("c", after=row), envelope("c", after={**row, "id": "oops", "amount": 1}), envelope("c", after={**row, "amount": None}), {"op": "c", "after": row}, {**envelope("c"), "after": "text"}]
+    events = envelopes.read_envelopes(records(spark, [json.dumps(v) for v in values], key='{"id": 1}'), ROW, ["id"], "shop_raw.{table}")
+    assert rows(envelopes.dead_letters(events), "offset", "reason") == [(0, "bad-value"), (1, "bad-value"), (3, "no-table"), (4, "bad-row")]
+    assert rows(envelopes.flatten(events), "id", "amount") == [(1, None)]
 
 
 # ---- JSON streams
@@ -230,6 +231,21 @@ def test_cut_short_load_goes_on(spark, path, monkeypatch):
     assert table.read().count() == 110 and table.read().select("id").distinct().count() == 110
 
 
+def test_a_load_can_be_asked_for_again(spark, path):
+    table, day = VersionedTable(spark, path + "/t"), utc(2026, 1, 1)
+    for kind in ("decimal(20,3)", "date", "string", "timestamp"):
+        at = VersionedTable(spark, f"{path}/{kind[:4]}")
+        df = spark.range(1, 60).select((F.expr("date_add(date'2026-01-01', cast(id as int))") if kind in ("date", "timestamp") else F.col("id")).cast(kind).alias("id"))
+        assert backfill.load_in_chunks(at, df, ["id"], 3, day, "s", "t") == 3
+        assert backfill.load_in_chunks(at, df, ["id"], 3, day, "s", "t") == 0
+        assert at.read().count() == 59 and at.read().select("id").distinct().count() == 59
+    df = spark.range(40).withColumn("v", F.lit("x"))
+    assert backfill.load_in_chunks(table, df, ["id"], 2, day, "s", "t") == 2
+    more = spark.range(70).withColumn("v", F.lit("y"))
+    assert backfill.load_in_chunks(table, more, ["id"], 2, utc(2026, 2, 1), "s", "t") == 2
+    assert table.read().count() == 110 and table.read().where("v = 'y'").count() == 70
+
+
 def test_copied_rows_yield_to_live_changes(spark):
     from sediment.operators.latest import current_state
     from tests.helpers import log

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sediment.operators import upkeep
+from sediment.sources import filesystem
 from sediment.operators.schema import SchemaConflict
 from sediment.sources.versioned import CommitConflict, VersionedTable, VersionNotFound, by_bucket, by_day
 from sediment.streaming.retry import with_retry
@@ -51,15 +52,6 @@ def test_versions_and_time_travel(spark, table):
     assert rows(table.commits(), "version", "parent", "operation") == [(0, None, "create"), (1, 0, "append"), (2, 1, "append"), (3, 2, "overwrite")]
 
 
-def test_rollback(spark, table):
-    table.append(one(spark, 1), DAY)
-    table.append(one(spark, 2), DAY)
-    table.roll_back(1)
-    assert ids(table.read()) == [1]
-    assert rows(table.history(), "snapshot_id", "is_current_ancestor") == [(0, True), (1, True), (2, False), (3, True)]
-    assert table.read_since(1, table.head())[1] == "full"
-
-
 def test_a_version_is_taken_once(spark, table):
     table.append(one(spark, 1), DAY)
     with pytest.raises(CommitConflict, match="already has version"):
@@ -146,8 +138,6 @@ def test_bounded_read_skips_folders(spark, table):
         table.append(one(spark, n, f"2026-01-0{n}"), DAY)
     df = table.scan_from(table.head(), utc(2026, 1, 3, 12))
     assert ids(df) == [4, 5] and len(df.inputFiles()) == 3
-    days = table.read_days(date(2026, 1, 2), date(2026, 1, 3))
-    assert ids(days) == [2, 3] and len(days.inputFiles()) == 2
 
 
 # ---- jobs at the same time
@@ -200,7 +190,7 @@ def test_compaction_keeps_rows_and_old_versions(spark, table):
     assert {u.part: u.files for u in commit.units} == {"2026-01-01": 1, "2026-01-02": 1}
     assert ids(table.read(version=before.version)) == [1, 2, 3, 4, 5, 6]
     assert upkeep.compact(table) == []
-    assert rows(upkeep.total_rows_by_part(table), "part", "records") == [("2026-01-01", 5), ("2026-01-02", 1)]
+    assert {u.part: u.records for u in table.head().units} == {"2026-01-01": 5, "2026-01-02": 1}
 
 
 def test_compaction_commits_in_steps(spark, table):
@@ -269,18 +259,57 @@ def test_unreferenced_files(spark, table):
 def test_retry():
     waits, calls = [], []
 
-    def work(message, fail):
+    def work(error, fail):
         calls.append(1)
         if len(calls) <= fail:
-            raise RuntimeError(message)
+            raise error
         return "done"
 
-    assert with_retry(lambda: work("Commit failed", 2), sleep=waits.append) == "done" and waits == [5, 10]
+    assert with_retry(lambda: work(CommitConflict("x"), 2), sleep=waits.append) == "done" and waits == [5, 10]
     calls.clear()
-    with pytest.raises(RuntimeError):
-        with_retry(lambda: work("conflict", 3), sleep=waits.append)
+    with pytest.raises(CommitConflict):
+        with_retry(lambda: work(CommitConflict("x"), 3), sleep=waits.append)
     assert len(calls) == 3
     calls.clear()
+    # an error that only speaks of commits is none
     with pytest.raises(RuntimeError):
-        with_retry(lambda: work("other trouble", 1), sleep=waits.append)
+        with_retry(lambda: work(RuntimeError("no such file: t/_commits/1.json, commit conflict"), 1), sleep=waits.append)
     assert len(calls) == 1
+
+
+# ---- commit records and retention
+
+
+def test_a_writer_that_dies_leaves_no_torn_record(spark, table, monkeypatch):
+    table.append(one(spark, 1), DAY)
+    folder = f"{table.path}/_commits"
+    # the remains of a writer that died before the rename
+    stream = filesystem._open(spark, f"{folder}/_dead.tmp")[0].create(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_dead.tmp"), False)
+    stream.close()
+    assert ids(table.read()) == [1] and table.versions() == [0, 1]
+    table.append(one(spark, 2), DAY)
+    assert ids(table.read()) == [1, 2]
+    # a record that appears between the test for it and the rename wins
+    monkeypatch.setattr(filesystem, "names", lambda *a: [])
+    assert not filesystem.create_text(spark, f"{folder}/{1:012d}.json", "{}")
+    assert filesystem.create_text(spark, f"{folder}/other", "a") and filesystem.read_text(spark, f"{folder}/other") == "a"
+
+
+def test_retention_keeps_what_is_committed_meanwhile(spark, table, monkeypatch):
+    for n, day in ((1, "2026-01-01"), (2, "2026-03-01"), (3, "2026-03-02")):
+        table.append(one(spark, n, day))
+    young = [u for u in table.head().units if u.commit > 1]
+    scan, late = table.scan, []
+
+    def racing(*args, **kwargs):
+        if not late:
+            late.append(1)
+            VersionedTable(spark, table.path).append(one(spark, 4, "2026-03-03"))
+        return scan(*args, **kwargs)
+
+    monkeypatch.setattr(table, "scan", racing)
+    upkeep.apply_retention(table, utc(2026, 3, 5), 30)
+    assert ids(table.read()) == [2, 3, 4]
+    # units without old rows are left as they are
+    assert set(young) <= set(table.head().units)
+    assert upkeep.apply_retention(table, utc(2026, 3, 5), 30) is None

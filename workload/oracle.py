@@ -220,9 +220,9 @@ def statements() -> dict[str, str]:
         WHERE CASE WHEN s.id IS NULL OR s.ts < f.ts THEN true ELSE s.op <> 'D' END"""
     )
     sql["cdc_merge_replay"] = _with(CHANGES, _latest("last", "changes")) + _ALIVE
-    daily = "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount FROM orders WHERE o_orderstatus = '{}' GROUP BY ALL"
+    daily = "SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n, sum(CAST(o_totalprice AS DECIMAL(18,2))) AS amount FROM orders WHERE o_orderstatus {} 'F' GROUP BY ALL"
     sql["upsert_star"] = f"""
-        WITH t AS ({daily.format('F')}), s AS ({daily.format('O')})
+        WITH t AS ({daily.format('=')}), s AS ({daily.format('<>')})
         SELECT CAST(coalesce(s.day, t.day) AS VARCHAR) AS day, coalesce(s.n, t.n) AS rows, CAST(coalesce(s.amount, t.amount) AS DOUBLE) AS amount
         FROM t FULL JOIN s ON t.day = s.day"""
     sql["mor_view"] = _with(CHANGES, _batches("off % 3 = 0", "off % 3 = 1", "off % 3 = 2")) + _ALIVE
@@ -345,8 +345,8 @@ both_logs AS (
     )
     sql["offset_backlog"] = _with(RECORDS) + (
         f"""SELECT 'sink-app' AS "group", topic, CAST(sum(n - c) AS BIGINT) AS backlog FROM (
-              SELECT topic, partition, max(off) + 1 AS n, max(off) FILTER (ts < {_HALF}) + 1 AS c FROM records GROUP BY ALL)
-            WHERE c IS NOT NULL GROUP BY topic HAVING sum(n - c) > 100"""
+              SELECT topic, partition, max(off) + 1 AS n, coalesce(max(off) FILTER (ts < {_HALF} AND partition <> 3) + 1, 0) AS c FROM records GROUP BY ALL)
+            GROUP BY topic HAVING sum(n - c) > 100"""
     )
 
     # health, versions, retention
@@ -437,7 +437,18 @@ both_logs AS (
     sql["stream_access_log"] = _with(ACCESS_LOG) + (
         "SELECT server, code, method, count(*) AS rows, CAST(sum(size) AS BIGINT) AS bytes, count(log) AS unparsed FROM access_log GROUP BY ALL"
     )
-    sql["stream_changes"] = sql["topic_route_counts"]
+    sql["stream_changes"] = _with(ENVELOPES) + """
+        SELECT 'app_raw.' || event_type AS target, op, event_id AS "offset", user_id AS id, CASE WHEN op <> 'D' THEN event_type END AS status,
+               round(CAST(CASE WHEN op = 'D' THEN 0 ELSE value END AS DOUBLE), 2) AS amount, CASE WHEN event_id % 11 = 0 THEN 'n' || event_id END AS note
+        FROM events_read WHERE NOT (event_id % 13 = 0 AND event_type IN ('view', 'click'))
+        UNION ALL SELECT 'bad-value', 'dead', event_id, NULL, NULL, NULL, NULL FROM events_read WHERE event_id % 13 = 0 AND event_type IN ('view', 'click')
+        UNION ALL SELECT 'bad-envelope', 'dead', event_id, NULL, NULL, NULL, NULL FROM events WHERE event_id % 37 <> 0 AND event_id % 41 = 0"""
+    sql["stream_two_sources"] = sql["stream_access_log"]
+    sql["stream_new_checkpoint"] = sql["document_state"]
+    sql["retention_flat_table"] = sql["retention_kept_rows"]
+    sql["replaced_table"] = "SELECT o_orderkey, o_orderstatus FROM orders"
+    sql["table_from_query"] = "SELECT o_orderstatus, count(*) AS rows FROM orders WHERE o_orderstatus <> 'F' GROUP BY ALL"
+    sql["dropped_and_listed"] = "SELECT 'orders_' || lower(o_orderstatus) AS \"table\", o_orderkey FROM orders WHERE o_orderstatus <> 'O'"
     sql["stream_json"] = _with(JSON_EVENTS) + (
         """SELECT 'good' AS kind, count(*) AS rows, CAST(sum(props_k) AS BIGINT) AS k FROM json_good
            UNION ALL SELECT reason, count(*), NULL FROM json_read WHERE reason IS NOT NULL GROUP BY reason"""

@@ -5,6 +5,7 @@ Times and days come out as text, so that two engines print them alike.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date, datetime, timezone
 from functools import reduce
@@ -145,9 +146,8 @@ def cdc_merge_replay(spark, sf):
 @query
 def upsert_star(spark, sf):
     orders = derive.table(spark, sf, "orders").withColumn("amount", F.col("o_totalprice").cast("decimal(18,2)"))
-    days = [
-        business.daily_totals(orders.where(F.col("o_orderstatus") == s), "o_orderdate", "amount") for s in ("F", "O")
-    ]
+    finished = F.col("o_orderstatus") == "F"
+    days = [business.daily_totals(orders.where(part), "o_orderdate", "amount") for part in (finished, ~finished)]
     return stamped(upsert(days[0], days[1], ["day"]))
 
 
@@ -426,7 +426,8 @@ def starting_offsets_text(spark, sf):
 @query
 def offset_backlog(spark, sf):
     records = derive.records(spark, sf)
-    committed = _saved(records).withColumn("group", F.lit("sink-app"))
+    # nothing was ever committed for partition 3
+    committed = _saved(records).where("partition <> 3").withColumn("group", F.lit("sink-app"))
     return offsets.backlog(offsets.next_offsets(records), committed, 100)
 
 
@@ -649,6 +650,55 @@ def retention_drops_days(spark, sf):
     return stamped(table.read().select("id", "status", "amount", f"{META}.ts", f"{META}.offset"))
 
 
+@query
+def retention_flat_table(spark, sf):
+    """Old rows of a table without day folders; only the appends that hold some are rewritten."""
+    table = VersionedTable(spark, scratch_dir(spark, "bronze"))
+    for half in _halves(derive.changes(spark, sf)):
+        table.append(half)
+    upkeep.apply_retention(table, NOW, 10)
+    return stamped(table.read().select("id", "status", "amount", f"{META}.ts", f"{META}.offset"))
+
+
+def _namespace(spark: SparkSession) -> str:
+    """A new namespace of the catalog."""
+    name = f"ns_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE NAMESPACE {name} LOCATION '{scratch_dir(spark, name)}'")
+    return name
+
+
+@query
+def replaced_table(spark, sf):
+    """A catalog table written anew, then appended to, read by name [K1, K2, S13]."""
+    ns, orders = _namespace(spark), derive.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    tables.create_or_replace(orders, f"{ns}.orders")
+    tables.create_or_replace(orders.where("o_orderstatus <> 'F'"), f"{ns}.orders")
+    tables.append(orders.where("o_orderstatus = 'F'").select("o_orderkey", "o_orderstatus"), f"{ns}.orders")
+    return tables.table_or_none(spark, f"{ns}.orders").select("o_orderkey", "o_orderstatus")
+
+
+@query
+def table_from_query(spark, sf):
+    """A table made from a query and a view over it [K6]."""
+    ns = _namespace(spark)
+    tables.create_as(business.count_by(derive.table(spark, sf, "orders"), "o_orderstatus"), f"{ns}.by_status")
+    tables.create_view(spark, f"{ns}.open_status", f"SELECT * FROM {ns}.by_status WHERE o_orderstatus <> 'F'")
+    return spark.table(f"{ns}.open_status")
+
+
+@query
+def dropped_and_listed(spark, sf):
+    """What a namespace lists after one of its tables was dropped with its data, and the rows of those left [K11, S13, S14]."""
+    ns, orders = _namespace(spark), derive.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    for status in ("F", "O", "P"):
+        tables.create_as(orders.where(F.col("o_orderstatus") == status), f"{ns}.orders_{status.lower()}")
+    tables.drop_with_data(spark, f"{ns}.orders_o")
+    assert tables.table_or_none(spark, f"{ns}.orders_o") is None
+    listed = [n for n in tables.all_tables(spark, [ns, "no_such_namespace"])]
+    rows = [spark.table(n).select(F.lit(n.split(".")[1]).alias("table"), "o_orderkey") for n in listed]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @query
 def registered_csv(spark, sf):
     folder = f"{scratch_dir(spark, 'csv')}/orders"
@@ -703,7 +753,7 @@ def stream_merge(spark, sf):
     for half in _halves(log):
         half.write.mode("append").parquet(f"{root}/log")
         stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
-        _finish(silver.stream_merge(_pipeline(COPY_ON_WRITE), stream, state, f"{root}/checkpoint", "merge"))
+        _finish(silver.stream_merge(_pipeline(COPY_ON_WRITE), stream, state, f"{root}/checkpoint"))
     return stamped(state.read())
 
 
@@ -722,18 +772,51 @@ def stream_documents(spark, sf):
 
 @query
 def stream_changes(spark, sf):
-    root, names = scratch_dir(spark, "stream"), ["view", "signup", "purchase", "click", "error"]
-    derive.envelopes(spark, sf).write.parquet(f"{root}/topic")
-    raw = {n: VersionedTable(spark, f"{root}/raw/{n}") for n in names}
-    dead = VersionedTable(spark, f"{root}/dead")
-    _finish(
-        landing.land_changes(
-            kafka.file_stream(spark, f"{root}/topic"), {n: _ROW for n in names}, {n: ["id"] for n in names},
-            raw.__getitem__, dead, "app_raw.{table}", f"{root}/checkpoint",
+    """No list of tables; two have declared columns and some amounts that do not fit, some rows bring a column of their own."""
+    root = scratch_dir(spark, "stream")
+    more = F.concat(F.lit('"note":"n'), F.col("offset").cast("string"), F.lit('","amount":'))
+    misfit = (F.col("offset") % 13 == 0) & F.col("topic").rlike("(view|click)$")
+    value = F.when(misfit, F.regexp_replace("value", '"amount":[0-9.]+', '"amount":"abc"')).otherwise(F.col("value"))
+    value = F.when(F.col("offset") % 11 == 0, F.replace(value, F.lit('"amount":'), more)).otherwise(value)
+    derive.envelopes(spark, sf).withColumn("value", value).write.parquet(f"{root}/topic")
+    tables_at, dead = TableRoot(spark, f"{root}/raw"), VersionedTable(spark, f"{root}/dead")
+    declared = {f"app_raw.{n}": _ROW for n in ("view", "click")}
+    _finish(landing.land_changes(kafka.file_stream(spark, f"{root}/topic"), tables_at.table, dead, "app_raw.{table}", f"{root}/checkpoint", declared))
+    landed = [
+        tables_at.table(n).read().select(
+            F.col(f"{META}.target").alias("target"), F.col(f"{META}.op").alias("op"), F.col(f"{META}.offset").alias("offset"),
+            "id", "status", F.round(F.col("amount").cast("double"), 2).alias("amount"), "note",
         )
+        for n in tables_at.tables()
+    ]
+    aside = dead.read().select(
+        F.col("reason").alias("target"), F.lit("dead").alias("op"), "offset", *(F.lit(None).cast(t).alias(c) for c, t in (("id", "long"), ("status", "string"), ("amount", "double"), ("note", "string")))
     )
-    rows = reduce(DataFrame.unionByName, (t.read() for t in raw.values()))
-    return rows.groupBy(F.col(f"{META}.target").alias("target"), F.col(f"{META}.op").alias("op")).count()
+    return reduce(DataFrame.unionByName, [*landed, aside])
+
+
+@query
+def stream_two_sources(spark, sf):
+    """Two servers' lines by two streams into one table."""
+    root = scratch_dir(spark, "stream")
+    lines = derive.access_lines(spark, sf).select("value", "server")
+    table = VersionedTable(spark, f"{root}/log")
+    for name, part in (("one", F.col("server") == "web01"), ("rest", F.col("server") != "web01")):
+        lines.where(part).write.parquet(f"{root}/{name}")
+        stream = spark.readStream.schema("value string, server string").parquet(f"{root}/{name}")
+        _finish(landing.land_access_log(stream, table, f"{root}/checkpoint-{name}"))
+    return table.read().groupBy("server", "code", "method").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("bytes"), F.count("log").alias("unparsed"))
+
+
+@query
+def stream_new_checkpoint(spark, sf):
+    """The same stream after its checkpoint was renewed, over more input: the state misses nothing."""
+    root, records = scratch_dir(spark, "stream"), derive.document_events(spark, sf)
+    bronze, quarantine = VersionedTable(spark, f"{root}/bronze"), VersionedTable(spark, f"{root}/quarantine")
+    for early in (True, False):
+        records.where((F.col("timestamp") < F.lit(HALF)) == F.lit(early)).write.mode("append").parquet(f"{root}/topic")
+        _finish(landing.land_documents(kafka.file_stream(spark, f"{root}/topic"), bronze, quarantine, "crm_raw.customers", f"{root}/checkpoint-{early}"))
+    return current_state(bronze.read(), ["_id"])
 
 
 @query
