@@ -83,6 +83,8 @@ class Pipeline:
     bucket_count: int = 16
     casts: Mapping[str, str] = field(default_factory=dict)
     silver: str = ""
+    #: A column with the time of a row: a change that is older than the stored row is then ignored.
+    guard_ts: str = ""
 
     def __post_init__(self) -> None:
         if not self.bronze:
@@ -91,6 +93,8 @@ class Pipeline:
             raise ValueError(f"{self.bronze}: 'keys' must not be empty")
         if self.write_mode not in WRITE_MODES:
             raise ValueError(f"{self.bronze}: write_mode {self.write_mode!r} is not one of {WRITE_MODES}")
+        if self.guard_ts and self.write_mode != COPY_ON_WRITE:
+            raise ValueError(f"{self.bronze}: guard_ts compares with stored rows, which needs write_mode {COPY_ON_WRITE!r}")
         if self.bucket_count < 1:
             raise ValueError(f"{self.bronze}: bucket_count must be positive")
 
@@ -106,7 +110,7 @@ class Pipeline:
 
 def read_pipelines(document: Mapping | None) -> list[Pipeline]:
     """Pipelines of a configuration document; keys of other jobs in it are ignored."""
-    known = ("bronze", "keys", "write_mode", "bucket_count", "casts", "silver")
+    known = ("bronze", "keys", "write_mode", "bucket_count", "casts", "silver", "guard_ts")
     pipelines = []
     for entry in (document or {}).get("pipelines") or ():
         given = {name: entry[name] for name in known if entry.get(name) is not None}

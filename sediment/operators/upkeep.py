@@ -88,7 +88,8 @@ def small_file_parts(
 def _crowded(head: Commit, target_bytes: int, min_files: int) -> list[list[Unit]]:
     by_part: dict[str | None, list[Unit]] = {}
     for u in head.of(BASE):
-        by_part.setdefault(u.part, []).append(u)
+        if u.bytes < target_bytes * u.files:
+            by_part.setdefault(u.part, []).append(u)
     crowded = []
     for units in by_part.values():
         count, size = sum(u.files for u in units), sum(u.bytes for u in units)
@@ -103,10 +104,10 @@ def compact(
     min_files: int = MIN_INPUT_FILES,
     commit_bytes: int = COMMIT_BYTES,
 ) -> list[Commit]:
-    """Rewrite the partitions that hold many small files; the rows stay the same.
+    """Rewrite the small files of partitions that hold many; the rows stay the same.
 
-    Partitions are taken together up to ``commit_bytes`` per commit, so a run that is cut short keeps what it
-    finished.  Within a commit rows are spread by volume: neither one large day nor many small ones hold it up.
+    Appends whose files are at the target size already are left alone.  ``commit_bytes`` is how much goes into one
+    commit, so a run that is cut short keeps what it finished.  Within a commit rows are spread by volume: neither one large day nor many small ones hold it up.
     Readers see the old files until the commit, and older versions keep them.
     """
     head = table.head()

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 from zoneinfo import ZoneInfo
 
 from pyspark.sql import DataFrame, SparkSession
@@ -124,23 +124,30 @@ REPORTS = {"web_hourly": hourly, "web_ip_daily": ip_daily, "web_page_daily": pag
 
 
 def refresh(
-    spark: SparkSession, log: DataFrame, root: str, as_of: date, days_back: int = DAYS_BACK, zone: str = REPORT_ZONE
+    spark: SparkSession,
+    log: DataFrame,
+    root: str,
+    as_of: date,
+    days_back: int = DAYS_BACK,
+    zone: str = REPORT_ZONE,
+    computed_at: datetime | None = None,
 ) -> Mapping[str, str]:
     """Bring the three report tables under ``root`` up to date; returns their folders.
 
     When all three exist the last days are computed again, late rows included, and only their partitions are
-    replaced.  Otherwise the whole log is computed.  The log is read and grouped once, into a table in the
+    replaced.  Otherwise the whole log is computed.  ``computed_at``, by default now, is a column of each.  The log is read and grouped once, into a table in the
     shared folder that all three reports are made from.
     """
     folders = {name: f"{root.rstrip('/')}/{name}" for name in REPORTS}
     complete = all(files.names(spark, f) for f in folders.values())
     rows = recent_days(log, as_of, days_back, zone) if complete else log
+    at = computed_at or datetime.now(timezone.utc)
     staged = scratch_dir(spark, "requests")
     try:
         request_groups(requests(rows, zone)).write.parquet(staged)
         groups = spark.read.parquet(staged)
         for name, report in REPORTS.items():
-            overwrite_partitions(report(groups), folders[name], ["day"])
+            overwrite_partitions(report(groups).withColumn("computed_at", F.lit(at)), folders[name], ["day"])
     finally:
         files.delete(spark, staged)
     return folders

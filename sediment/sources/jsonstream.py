@@ -16,7 +16,9 @@ from sediment.operators.schema import merge_schemas
 ARRIVAL = "_kafka_ts"
 
 
-def infer_schema(records: DataFrame, contract: Mapping[str, str] | None = None, millis: Sequence[str] = ()) -> T.StructType:
+def infer_schema(
+    records: DataFrame, contract: Mapping[str, str] | None = None, millis: Sequence[str] = (), whole: Sequence[str] = ()
+) -> T.StructType:
     """Schema of the undeclared fields seen in ``records``; one aggregate, one row to the driver.
 
     Nested objects become structs, whole numbers bigint, other numbers double.  A field that was only ever
@@ -27,7 +29,7 @@ def infer_schema(records: DataFrame, contract: Mapping[str, str] | None = None,
     if text in (None, "VOID") or not text.startswith("OBJECT<"):
         return T.StructType([])
     found = T.DataType.fromDDL(text.replace("OBJECT<", "STRUCT<"))
-    declared = {*contract_types(contract), *millis}
+    declared = {*contract_types(contract), *millis, *whole}
     return T.StructType([T.StructField(f.name, _column_type(f.dataType), True) for f in _typed(found) if f.name not in declared])
 
 
@@ -52,23 +54,28 @@ def evolve(table: str, stored: T.StructType, batch: T.StructType) -> T.StructTyp
 
 
 def read_json(
-    records: DataFrame, schema: T.StructType, contract: Mapping[str, str] | None = None, millis: Sequence[str] = ()
+    records: DataFrame,
+    schema: T.StructType,
+    contract: Mapping[str, str] | None = None,
+    millis: Sequence[str] = (),
+    whole: Sequence[str] = (),
 ) -> DataFrame:
     """Kafka-shaped records with ``reason``, the event's columns in ``_row`` and its arrival time.
 
     A declared field is converted (``"19.75"`` to 19.75); when its value does not convert, the record's reason
     is ``contract`` and the flow goes on.  A text that is no JSON object is ``not-json``.  Undeclared fields are
     read strictly by ``schema``: a value of another type fails the batch, because nobody said what it means.
-    Fields in ``millis`` hold epoch milliseconds and become timestamps.
+    Fields in ``millis`` hold epoch milliseconds and become timestamps.  Fields in ``whole`` become their JSON text.
     """
     declared = {**contract_types(contract), **dict.fromkeys(millis, "bigint")}
-    undeclared = T.StructType([f for f in schema.fields if f.name not in declared])
+    undeclared = T.StructType([f for f in schema.fields if f.name not in declared and f.name not in whole])
     opened = computed(records, _v=J.variant(F.col("value")))
     fields = computed(
         opened,
         _is_event=J.is_object(F.col("_v")),
         _given=F.struct(F.lit(0), *(J.json_type(J.member(F.col("_v"), n)).alias(n) for n in declared)),
         _typed=F.struct(F.lit(0), *(J.member(F.col("_v"), n, kind).alias(n) for n, kind in declared.items())),
+        _whole=F.struct(F.lit(0), *(F.to_json(J.member(F.col("_v"), n)).alias(n) for n in whole)),
     )
     broken = F.lit(False)
     for name in declared:
@@ -82,6 +89,7 @@ def read_json(
         body = F.from_json("value", undeclared, {"mode": "FAILFAST"})
         judged = computed(judged, _body=F.when(F.col("reason").isNull(), body))
         columns += [F.col(f"_body.`{f.name}`").alias(f.name) for f in undeclared.fields]
+    columns += [F.col(f"_whole.`{n}`").alias(n) for n in whole]
     columns.append(F.col("timestamp").alias(ARRIVAL))
     return judged.select("key", "value", "topic", "partition", "offset", "timestamp", "reason", F.struct(*columns).alias("_row"))
 

@@ -28,6 +28,8 @@ from sediment.operators.schema import merge_schemas
 from sediment.sources import filesystem as files
 
 PART = "_part"
+#: Operations that keep rows as they are, in other folders.
+REWRITES = ("replace", "delete")
 BASE, PENDING = "base", "pending"
 
 LOG_SCHEMA = (
@@ -94,6 +96,8 @@ class Unit:
     records: int
     files: int
     bytes: int
+    #: The last commit whose appended rows it holds; a rewrite keeps it, so it then differs from ``commit``.
+    origin: int = -1
 
     @property
     def part(self) -> str | None:
@@ -222,7 +226,9 @@ class VersionedTable:
             if not leaving <= set(head.units):
                 raise CommitConflict(f"commit conflict: units of {self.path} were replaced meanwhile")
             version = head.version + 1
-            new = [replace(u, commit=version) for u in added]
+            # rows that were only put elsewhere are as old as the newest of the units they came from
+            moved = max((u.origin for u in leaving), default=version) if operation in REWRITES else version
+            new = [replace(u, commit=version, origin=moved) for u in added]
             units = (*(u for u in head.units if u not in leaving), *new)
             settings = dict(more)
             if batch:
@@ -358,12 +364,14 @@ class VersionedTable:
         rest = [u for u in base if u.part not in touched]
         return merged.unionByName(self.scan(rest, commit.struct, commit.layout)) if rest else merged
 
-    def read_since(self, after: int | None, head: Commit, max_ts: datetime | None = None) -> tuple[DataFrame, str]:
+    def read_since(self, after: int | None, head: Commit, max_ts: datetime | None = None, bounded: bool = False) -> tuple[DataFrame, str]:
         """Rows appended after version ``after``, with how they were found.
 
         ``incremental``: the folders of the append commits in between; replaced and deleted units are no news.
-        When one of those commits has expired or the table was overwritten, rows of the last day before
-        ``max_ts`` are read again (``bounded``; whole days by folder, then the exact time), or all (``full``).
+        When one of those commits has expired, the units that the head lists as appended since are read (``listed``),
+        as long as none of them was rewritten meanwhile.  Otherwise, or when the table was overwritten, all rows are
+        read again (``full``).  ``bounded`` asks for the last day before ``max_ts`` instead (whole days by folder,
+        then the exact time): cheaper, but rows of an older time that arrived meanwhile are then never seen.
         """
         kept = set(self.versions())
         if after is not None and all(v in kept for v in range(after, head.version + 1)):
@@ -371,9 +379,13 @@ class VersionedTable:
             if all(c.operation != "overwrite" for c in between):
                 new = [u for c in between if c.operation == "append" for u in c.units if u.commit == c.version]
                 return self.scan(new, head.struct, head.layout), "incremental"
-        if max_ts is None:
-            return self.scan(head.units, head.struct, head.layout), "full"
-        return self.scan_from(head, max_ts - timedelta(days=1)), "bounded"
+        elif after is not None and after <= head.version:
+            new = [u for u in head.of(BASE) if u.origin > after]
+            if all(u.commit == u.origin for u in new):
+                return self.scan(new, head.struct, head.layout), "listed"
+        if bounded and max_ts is not None:
+            return self.scan_from(head, max_ts - timedelta(days=1)), "bounded"
+        return self.scan(head.units, head.struct, head.layout), "full"
 
     def scan_from(self, commit: Commit, low: datetime, column: str = f"{META}.ts") -> DataFrame:
         """Rows whose time is at or after ``low``; a table laid out by day opens no older folder."""

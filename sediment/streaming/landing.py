@@ -28,7 +28,9 @@ from sediment.sources.versioned import VersionedTable, by_day
 Batch = tuple[str, int]
 
 
-def run_batches(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, Batch], None], interval: str | None = None) -> StreamingQuery:
+def run_batches(
+    stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, Batch], None], interval: str | None = None, output: str = "append"
+) -> StreamingQuery:
     """Runs ``work`` on every batch, with the batch's name: the stream's id and the batch's number."""
     spark = stream.sparkSession
 
@@ -37,7 +39,8 @@ def run_batches(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, B
         work(batch, (kept["id"], number))
 
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
-    return stream.writeStream.foreachBatch(named).option("checkpointLocation", checkpoint).trigger(**trigger).start()
+    writer = stream.writeStream.outputMode(output).foreachBatch(named)
+    return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
 @contextmanager
@@ -120,19 +123,22 @@ def land_json(
     checkpoint: str,
     interval: str | None = None,
     millis: Sequence[str] = (),
+    whole: Sequence[str] = (),
 ) -> StreamingQuery:
     """A JSON event stream to its table: new fields become columns, broken records go to ``dead``.
 
     Undeclared fields are read by the stored schema widened by the batch; one whose type changed fails the
-    batch before anything is written.
+    batch before anything is written.  Fields in ``whole`` are kept as one column of JSON text each, whatever they
+    hold, so that an object keyed by ids does not become a column for every id.  The source is read once.
     """
 
     def work(batch: DataFrame, name: Batch) -> None:
         head = table.head()
-        fixed = {jsonstream.ARRIVAL, *(contract or {}), *millis}
+        fixed = {jsonstream.ARRIVAL, *(contract or {}), *millis, *whole}
         known = T.StructType([f for f in head.struct.fields if f.name not in fixed] if head else [])
-        schema = jsonstream.evolve(table.path, known, jsonstream.infer_schema(batch, contract, millis))
-        with _kept(jsonstream.read_json(batch, schema, contract, millis)) as read:
+        with _kept(batch) as records:
+            schema = jsonstream.evolve(table.path, known, jsonstream.infer_schema(records, contract, millis, whole))
+            read = jsonstream.read_json(records, schema, contract, millis, whole)
             table.append(jsonstream.good_rows(read), by_day(jsonstream.ARRIVAL), name)
             dead.append(jsonstream.dead_letters(read), by_day("timestamp"), name)
 

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from sediment.model import COPY_ON_WRITE, DELETE, Pipeline
 from sediment.operators.latest import OP, latest_per_key
-from sediment.operators.merge import merge_changes
+from sediment.operators.merge import merge_changes, merge_guarded
 from sediment.operators.schema import plan_changes, state_schema
 from sediment.session import scratch_dir
 from sediment.sources import filesystem
@@ -34,7 +34,7 @@ class Outcome:
     """What one run of a pipeline did."""
 
     bronze: str
-    mode: str  # incremental, bounded, full, batch; or skipped, current
+    mode: str  # incremental, listed, bounded, full, batch; or skipped, current
     keys: int = 0
     version: int | None = None
 
@@ -45,9 +45,11 @@ class PipelinesFailed(RuntimeError):
         self.failures = failures
 
 
-def run_pipeline(pipeline: Pipeline, bronze: VersionedTable, silver: VersionedTable) -> Outcome:
+def run_pipeline(pipeline: Pipeline, bronze: VersionedTable, silver: VersionedTable, bounded: bool = False) -> Outcome:
     """Merge what was appended to ``bronze`` since the last run.
 
+    ``bounded`` is passed to :meth:`VersionedTable.read_since`.
+
     The raw version merged and the largest event time are part of the commit that holds the rows, so they
     cannot get out of step.  Merging the same changes again gives the same state.
     """
@@ -57,7 +59,7 @@ def run_pipeline(pipeline: Pipeline, bronze: VersionedTable, silver: VersionedTa
     state = _prepared(pipeline, silver, bronze.scan((), head.struct, head.layout))
     if state.source_version == head.version:
         return Outcome(pipeline.bronze, "current")
-    log, mode = bronze.read_since(state.source_version, head, state.newest)
+    log, mode = bronze.read_since(state.source_version, head, state.newest, bounded)
     commit, keys = with_retry(lambda: _merge(pipeline, silver, log, source_version=head.version))
     return Outcome(pipeline.bronze, mode, keys, commit.version)
 
@@ -113,12 +115,11 @@ def _merge(
     try:
         waiting = staged.write_units(changes, state.layout, PENDING)
         touched = {u.part for u in waiting}
-        merged = merge_changes(
-            silver.state_of(state, touched),
-            staged.scan(waiting, changes.schema, state.layout),
-            pipeline.keys,
-            unique=not recast,
-        )
+        stored, incoming = silver.state_of(state, touched), staged.scan(waiting, changes.schema, state.layout)
+        if pipeline.guard_ts:
+            merged = merge_guarded(stored, incoming, pipeline.keys, pipeline.guard_ts)
+        else:
+            merged = merge_changes(stored, incoming, pipeline.keys, unique=not recast)
         gone = [u for u in state.units if u.part in touched]
         commit = silver.replace_units(gone, merged, "overwrite", batch=batch, **_progress(state, seen, source_version))
         return commit, sum(u.records for u in waiting)

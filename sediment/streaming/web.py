@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from sediment.functions.weblog import is_bot, status_between
+from sediment.sources.versioned import VersionedTable, by_day
+from sediment.streaming.landing import run_batches
 
 LATENESS = "3 days"  # fixed value: how long late rows still count, as in the daily recomputation
 
 
 def hourly_counts(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
-    """Requests per hour and server, each hour given out once rows that late can no longer come.
+    """Requests per hour and server; in append mode each hour is given out once rows that late can no longer come.
 
     Distinct addresses need the exact recomputation of :func:`sediment.plans.web.refresh`.
     """
@@ -30,3 +33,27 @@ def hourly_counts(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
         )
         .select(F.col("_hour.start").alias("hour"), "server", "requests", "ok_2xx", "redirect_3xx", "client_error_4xx", "server_error_5xx", "bytes", "bot_requests")
     )
+
+
+def land_hours(log: DataFrame, table: VersionedTable, checkpoint: str, lateness: str = LATENESS, interval: str | None = None) -> StreamingQuery:
+    """Every change of an hour's counts as it comes, open hours too; :func:`newest_hours` has the last of each.
+
+    The state holds the hours that late rows can still reach.  Rows later than that are not in the stream's counts:
+    :func:`late_rows` says how many there were, and the daily recomputation has them.
+    """
+
+    def work(batch: DataFrame, name: tuple[str, int]) -> None:
+        table.append(batch.withColumn("_batch", F.lit(name[1]).cast("long")), by_day("hour"), name)
+
+    return run_batches(hourly_counts(log, lateness), checkpoint, work, interval, "update")
+
+
+def newest_hours(landed: DataFrame) -> DataFrame:
+    """The last counts of each hour and server."""
+    counts = [c for c in landed.columns if c not in ("hour", "server", "_batch")]
+    return landed.groupBy("hour", "server").agg(F.max_by(F.struct(*counts), "_batch").alias("_last")).select("hour", "server", "_last.*")
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came too late for the counts, over the query's kept progress reports."""
+    return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])

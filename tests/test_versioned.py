@@ -124,10 +124,17 @@ def test_fallback_reads(spark, table):
         table.append(one(spark, n, f"2026-01-0{n}"), DAY)
     upkeep.expire(table, table.clock.now + timedelta(days=2), 1)
     assert table.versions() == [5]
+    # the units that are listed say when they came
     df, mode = table.read_since(2, table.head(), utc(2026, 1, 4, 12))
-    assert mode == "bounded" and ids(df) == [4, 5]
-    df, mode = table.read_since(2, table.head())
-    assert mode == "full" and ids(df) == [1, 2, 3, 4, 5]
+    assert mode == "listed" and ids(df) == [3, 4, 5]
+    # unless some of them were rewritten together with older rows
+    table.append(one(spark, 6, "2026-01-05"), DAY)
+    upkeep.compact(table, min_files=2)
+    upkeep.expire(table, table.clock.now + timedelta(days=2), 1)
+    df, mode = table.read_since(5, table.head())
+    assert mode == "full" and ids(df) == [1, 2, 3, 4, 5, 6]
+    df, mode = table.read_since(5, table.head(), utc(2026, 1, 4, 12), bounded=True)
+    assert mode == "bounded" and ids(df) == [4, 5, 6]
     table.overwrite(one(spark, 7))
     table.append(one(spark, 8), DAY)
     assert table.read_since(5, table.head())[1] == "full"
@@ -193,6 +200,17 @@ def test_compaction_keeps_rows_and_old_versions(spark, table):
     assert {u.part: u.records for u in table.head().units} == {"2026-01-01": 5, "2026-01-02": 1}
 
 
+def test_compaction_leaves_large_files_alone(spark, table):
+    for n in range(1, 7):
+        table.append(one(spark, n), DAY)
+    size = max(u.bytes for u in table.head().units)
+    table.append(spark.range(100, 3000).join(one(spark, 1).drop("id")), DAY)
+    large = max(table.head().units, key=lambda u: u.bytes)
+    assert large.bytes > 3 * size
+    upkeep.compact(table, target_bytes=2 * size)
+    assert large in table.head().units and sum(u.files for u in table.head().units) < 7 and table.read().count() == 6 + 2900
+
+
 def test_compaction_commits_in_steps(spark, table):
     for n in range(1, 5):
         table.append(one(spark, n, f"2026-01-0{1 + n % 2}"), DAY)

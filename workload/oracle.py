@@ -293,7 +293,7 @@ both_logs AS (
     sql["web_page_daily"] = _with(ACCESS_LOG) + "SELECT * REPLACE (CAST(day AS VARCHAR) AS day) FROM page_daily"
     sql["web_recent_days"] = _with(ACCESS_LOG) + f"SELECT {_HOURLY} FROM hourly WHERE day >= DATE '2024-01-28'"
     sql["web_reports_refreshed"] = _with(ACCESS_LOG) + (
-        "SELECT CAST(day AS VARCHAR) AS day, ip, requests, client_error_4xx, distinct_pages, servers, bot FROM ip_daily"
+        "SELECT CAST(day AS VARCHAR) AS day, ip, requests, client_error_4xx, distinct_pages, servers, bot, '2024-01-31 00:00:00.000000' AS computed_at FROM ip_daily"
     )
     sql["web_error_share"] = _with(ACCESS_LOG) + (
         "SELECT count(*) AS requests, count(*) FILTER (code >= 400) AS errors, count(*) FILTER (code >= 400) / count(*) AS error_share FROM requests"
@@ -311,8 +311,7 @@ both_logs AS (
     )
     sql["stream_web_hourly"] = _with(ACCESS_LOG) + (
         f"""SELECT {_stamp('h')} AS hour, server, requests, ok_2xx, redirect_3xx, client_error_4xx, server_error_5xx, bytes, bot_requests FROM (
-              SELECT hour - INTERVAL 3 HOUR AS h, * FROM hourly)
-            WHERE h + INTERVAL 1 HOUR <= (SELECT max(ts) FROM requests) - INTERVAL 3 DAY"""
+              SELECT hour - INTERVAL 3 HOUR AS h, * FROM hourly)"""
     )
 
     # business reports

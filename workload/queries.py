@@ -328,8 +328,8 @@ def web_reports_refreshed(spark, sf):
     """The report tables written once in full and once for the last days, then read back."""
     root, log = scratch_dir(spark, "web"), derive.access_log(spark, sf)
     for _ in range(2):
-        folders = web.refresh(spark, log, root, date(2024, 1, 30))
-    return stamped(spark.read.parquet(folders["web_ip_daily"]).select("day", "ip", "requests", "client_error_4xx", "distinct_pages", "servers", "bot"))
+        folders = web.refresh(spark, log, root, date(2024, 1, 30), computed_at=NOW)
+    return stamped(spark.read.parquet(folders["web_ip_daily"]).select("day", "ip", "requests", "client_error_4xx", "distinct_pages", "servers", "bot", "computed_at"))
 
 
 @query
@@ -844,14 +844,11 @@ def stream_access_log(spark, sf):
 
 @query
 def stream_web_hourly(spark, sf):
-    """Hours the stream has given out after the whole log; the last hours stay open for late rows."""
+    """The last counts of every hour after the whole log went through the stream, open hours too."""
     root = scratch_dir(spark, "stream")
     log = derive.access_log(spark, sf)
     log.write.parquet(f"{root}/log")
     stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
-    counts = web_stream.hourly_counts(stream)
-    _finish(
-        counts.writeStream.format("parquet").option("path", f"{root}/hours").option("checkpointLocation", f"{root}/checkpoint")
-        .outputMode("append").trigger(availableNow=True).start()
-    )
-    return stamped(spark.read.schema(counts.schema).parquet(f"{root}/hours"))
+    table = VersionedTable(spark, f"{root}/hours")
+    _finish(web_stream.land_hours(stream, table, f"{root}/checkpoint"))
+    return stamped(web_stream.newest_hours(table.read()))
