@@ -12,7 +12,8 @@ def met_in_blocks(rows: DataFrame, keys: list[str], member: str, most: int) -> D
     pair in which their blocks are ``block_a`` and ``block_b`` in either order.
 
     Groups of up to ``most`` rows are one block. Larger ones are cut by the hash of ``member`` into blocks of about
-    half of that, and each pair of blocks becomes a group of its own. Groups of one row are left out.
+    half of that, and each pair of blocks becomes a group of its own. Groups of one row are left out. Deal the result
+    out by the keys and both blocks: the join's partitioning by the keys alone would keep a group in one task.
     """
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("group_rows")).where("group_rows > 1")
     blocks = F.when(F.col("group_rows") <= most, F.lit(1)).otherwise(F.ceil(F.col("group_rows") / F.lit(most // 2)).cast("int"))

@@ -287,7 +287,7 @@ def near_documents(
     wanted = near.join(kinds.select(F.col("rep").alias("id"), "copies"), "id").withColumnRenamed("id", "rep")
     held = wanted.join(texts, F.col("rep") == F.col("doc_id")).select("component", "rep", "copies", "text")
     fetched = stored(spark, held.mapInArrow(fetch, "component long, rep long, copies long, members binary"), "set-members")
-    blocks = met_in_blocks(fetched, ["component"], "rep", BUCKET)
+    blocks = met_in_blocks(fetched, ["component"], "rep", BUCKET).repartition("component", "block_a", "block_b")
     links = stored(
         spark,
         blocks.groupBy("component", "block_a", "block_b").applyInArrow(lambda t: _exact(t, similarity), "rep long, links long, root long"),
