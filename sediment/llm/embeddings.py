@@ -130,7 +130,7 @@ def near_vectors(
     rows = kinds.select("rep", "copies", "label", "v").mapInArrow(keyed, "rep long, copies long, label string, v array<double>, keys array<long>, dim int")
     dealt = rows.select("*", F.posexplode("keys").alias("t", "key"))
     names = ["label", "dim", "t", "key"]
-    blocks = met_in_blocks(dealt, names, "rep", BLOCK)
+    blocks = met_in_blocks(dealt, names, "rep", BLOCK).repartition(*names, "block_a", "block_b")
 
     def compare(group: pa.Table) -> pa.Table:
         rep, copies = (group.column(c).to_numpy() for c in ("rep", "copies"))
