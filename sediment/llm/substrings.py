@@ -195,9 +195,13 @@ def repeated_bytes(
     shards = max(1, -(-fetched.where("not hot").count() // SHARD_ROWS))
     dealt = fetched.where("not hot").withColumn("shard", F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int"))
     scanned = dealt.groupBy("shard").applyInArrow(lambda group: _scan(group, length), _SPANS)
-    strings = fetched.where("hot").mapInArrow(lambda batches: _strings(batches, length), "one long, two long, doc_id long, tie long, begin long, old boolean")
-    nth = F.row_number().over(Window.partitionBy("one", "two").orderBy("doc_id", "tie", "begin"))
-    apart = strings.where("not old").withColumn("nth", nth).where("nth > 1").unionByName(strings.where("old"), allowMissingColumns=True)
+    hot = fetched.where("hot").mapInArrow(lambda batches: _strings(batches, length), "one long, two long, doc_id long, tie long, begin long, old boolean")
+    strings = stored(spark, hot, "strings")
+    # a string that very many share: its first place by an aggregate, then a join that can split its rows
+    where = F.struct("doc_id", "tie", "begin")
+    firsts = strings.where("not old").groupBy("one", "two").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = strings.where("not old").join(stored(spark, firsts, "first-strings"), ["one", "two"]).where(~where.eqNullSafe(F.col("first")))
+    apart = later.select("doc_id", "tie", "begin").union(strings.where("old").select("doc_id", "tie", "begin"))
     again = met.where("old").select("doc_id", "tie", "begin", "end")
     spans = again.union(scanned).union(apart.select("doc_id", "tie", "begin", (F.col("begin") + length).alias("end")))
     return _removed(spans, texts)
