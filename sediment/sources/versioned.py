@@ -125,6 +125,8 @@ class Commit:
     source_version: int | None = None
     max_ts: str | None = None
     batches: dict[str, int] = field(default_factory=dict)
+    #: The last version that replaced the whole table.
+    rebuilt: int = -1
 
     @property
     def struct(self) -> T.StructType:
@@ -231,6 +233,8 @@ class VersionedTable:
             new = [replace(u, commit=version, origin=moved) for u in added]
             units = (*(u for u in head.units if u not in leaving), *new)
             settings = dict(more)
+            if operation == "overwrite":
+                settings["rebuilt"] = version
             if batch:
                 settings["batches"] = {**head.batches, batch[0]: batch[1]}
             if incoming is not None:
@@ -379,7 +383,7 @@ class VersionedTable:
             if all(c.operation != "overwrite" for c in between):
                 new = [u for c in between if c.operation == "append" for u in c.units if u.commit == c.version]
                 return self.scan(new, head.struct, head.layout), "incremental"
-        elif after is not None and after <= head.version:
+        elif after is not None and head.rebuilt <= after <= head.version:
             new = [u for u in head.of(BASE) if u.origin > after]
             if all(u.commit == u.origin for u in new):
                 return self.scan(new, head.struct, head.layout), "listed"

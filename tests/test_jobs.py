@@ -109,3 +109,40 @@ def test_commands(spark, root, path, capsys):
     root.table("shop.orders").read().write.option("header", "true").csv(path + "/csv")
     jobs.main(["register", "--source", path + "/csv", "--format", "csv", "--table", "jobs_ns.t"])
     assert "jobs_ns.t: 2 rows" in capsys.readouterr().out
+
+
+def test_landing_and_report_commands(spark, path, capsys):
+    from sediment.model import KAFKA_SCHEMA
+
+    body = {"op": "c", "ts_ms": 1757600000000, "before": None, "after": {"id": 1, "status": "new"}, "source": {"schema": "public", "table": "orders"}}
+    sent = [("{\"id\":1}", json.dumps(body), "shop.public.orders", 0, 0, NOW), (None, '{"t":"1.5"}', "sensors", 0, 0, NOW), (None, "nope", "sensors", 0, 1, NOW)]
+    spark.createDataFrame(sent, KAFKA_SCHEMA).write.parquet(path + "/topic")
+    line = '10.0.0.1 - - [11/Sep/2026:13:52:24 +0000] "GET /index.html HTTP/1.1" 200 512 "-" "curl/8.0"'
+    spark.createDataFrame([(line, "w1")], "value string, server string").write.partitionBy("server").text(path + "/lines")
+    config = {
+        "changes": {"prefix": "shop", "target": "shop_raw.{table}", "dead": "shop_raw.dead"},
+        "streams": [{"topic": "sensors", "table": "iot_raw.sensors", "contract": {"t": "float64"}}],
+        "log": {"table": "web_raw.access_log"}, "web": {"log": "web_raw.access_log", "namespace": "gold"},
+        "checks": [{"table": "shop_raw.orders", "rows": 1, "exact": True, "must": [{"status": {"contains": "ne"}}], "must_not": [{"status": "old"}]}],
+    }
+    with open(path + "/c.json", "w") as out:
+        json.dump(config, out)
+    root = TableRoot(spark, path + "/tables")
+    shared = ["--config", path + "/c.json", "--root", root.root]
+    jobs.main(["changes", *shared, "--files", path + "/topic"])
+    jobs.main(["json", *shared, "--files", path + "/topic"])
+    jobs.main(["log", *shared, "--files", path + "/lines"])
+    jobs.main(["web", *shared])
+    jobs.main(["check", *shared])
+    jobs.main(["report", "--root", root.root, "--table", "shop_raw.orders", "--by", "status"])
+    assert rows(root.table("shop_raw.orders").read(), "id", "status") == [(1, "new")]
+    assert rows(root.table("iot_raw.sensors").read(), "t") == [(1.5,)] and root.table("iot_raw.sensors__dead").read().count() == 1
+    assert rows(root.table("web_raw.access_log").read(), "code", "server") == [(200, "w1")]
+    assert spark.read.parquet(root.root + "/gold/web_hourly").select("requests", "computed_at").count() == 1
+    out = capsys.readouterr().out
+    assert "shop_raw.orders: must_0 >= 1, 1: ok" in out and "new" in out
+    config["checks"][0]["rows"] = 2
+    with open(path + "/c.json", "w") as file:
+        json.dump(config, file)
+    with pytest.raises(SystemExit):
+        jobs.main(["check", *shared])
