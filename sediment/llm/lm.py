@@ -22,6 +22,8 @@ _START, _END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5B)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
 #: Bits of the filter for each entry, probes for each entry, and the most bytes of the whole filter.
 ENTRY_BITS, PROBES, MOST_BYTES = 12, 4, 64 << 20
+#: Words with at least this share of all tokens are counted apart, unless a larger share is enough for the shards.
+HEAVY_SHARE = 2.0**-20
 #: Share of the bigram estimate in a probability.
 WEIGHT = 0.6
 BATCH_BYTES, BATCH_TEXTS = 4 << 20, 60_000
@@ -164,16 +166,18 @@ def _learned(group: pa.Table, bits: int, heavy_share: float) -> pa.Table:
     word, n = _summed([np.frombuffer(x, np.uint64) for x in columns["words"]], [np.frombuffer(x, "<u4") for x in columns["n"]])
     pair, m = _summed([_long(x, shard, bits) for x in columns["pairs"]], [np.frombuffer(x, "<u4") for x in columns["m"]])
     filled = segment(np.concatenate([word, pair]), np.concatenate([n, m]), MOST_BYTES * 8 >> bits)
-    heavy = n >= max(1, n.sum() * heavy_share)
+    heavy = np.flatnonzero(n >= max(1, n.sum() * heavy_share))
+    often = pa.array([[{"word": w, "n": k} for w, k in zip(word[heavy].view(np.int64).tolist(), n[heavy].tolist())]], pa.list_(_WORD_COUNT))
     return pa.table(
         {
             "shard": [shard], "tokens": [int(n.sum())], "distinct": [len(word)], "words": [word.tobytes()], "n": [n.astype("<i8").tobytes()],
-            "filter": [filled.tobytes()], "heavy": [word[heavy].tobytes()], "heavy_n": [n[heavy].astype("<i8").tobytes()],
+            "filter": [filled.tobytes()], "heavy": often,
         }
     )
 
 
-_LEARNED = "shard long, tokens long, distinct long, words binary, n binary, filter binary, heavy binary, heavy_n binary"
+_LEARNED = "shard long, tokens long, distinct long, words binary, n binary, filter binary, heavy array<struct<word:long,n:long>>"
+_WORD_COUNT = pa.struct([("word", pa.int64()), ("n", pa.int64())])
 _PACKED = "key long, kind int, batch long, texts long, a binary, b binary, c binary, d binary"
 
 
@@ -321,23 +325,24 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id",
     """
     shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(24, (shards - 1).bit_length())
-    heavy_share = 1 / (16 << bits)
+    heavy_share = max(1 / (16 << bits), HEAVY_SHARE)
     base = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     base = base.withColumn("held_out", ~learnable(F.col("doc_id")))
     counted = base.where("not held_out").select("text").mapInArrow(lambda b: _counted(b, bits), "shard long, words binary, n binary, pairs binary, m binary")
     learned = stored(spark, counted.groupBy("shard").applyInArrow(lambda t: _learned(t, bits, heavy_share), _LEARNED), "word-counts")
     sums = learned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    # bounded: the filter by MOST_BYTES and 8 bytes a shard, the frequent words by 1 / heavy_share in each shard
-    parts = learned.select("shard", "filter", "heavy", "heavy_n").orderBy("shard").collect()
+    # bounded: the filter by MOST_BYTES and 8 bytes a shard; of words with that share of all tokens there are at most
+    # 1 / heavy_share, and they are told before any comes here
+    parts = learned.select("shard", "filter").orderBy("shard").collect()
+    often = learned.select(F.inline("heavy")).where(F.col("n") >= max(1, sums.n * heavy_share)).collect()
     size, begin, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), 0
     for p in parts:
         size[p["shard"]], begin[p["shard"]] = len(p["filter"]) * 8, at
         at += len(p["filter"]) * 8
     data = np.frombuffer(b"".join(p["filter"] for p in parts), np.uint8)
-    words = np.frombuffer(b"".join(p["heavy"] for p in parts), np.uint64)
-    times = np.frombuffer(b"".join(p["heavy_n"] for p in parts), "<i8")
-    often = times >= max(1, sums.n * heavy_share)
-    model = spark.sparkContext.broadcast((Filter(bits, data, begin, size, sums.n, sums.v), words[often], times[often]))
+    words, times = np.array([r["word"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
+    order = np.argsort(words)
+    model = spark.sparkContext.broadcast((Filter(bits, data, begin, size, sums.n, sums.v), words[order], times[order]))
     none = F.lit(None).cast("binary")
     counts = learned.select(
         F.col("shard").alias("key"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("texts"), F.col("words").alias("a"), F.col("n").alias("b"), none.alias("c"), none.alias("d")
