@@ -73,11 +73,18 @@ def _units_before(table: VersionedTable, head: Commit, cutoff: datetime, column:
 
 
 def small_file_parts(
-    file_rows: DataFrame, part: str | Column, target_bytes: int = TARGET_FILE_BYTES, min_files: int = MIN_INPUT_FILES
+    file_rows: DataFrame,
+    part: str | Column,
+    target_bytes: int = TARGET_FILE_BYTES,
+    min_files: int = MIN_INPUT_FILES,
+    files: Column | None = None,
 ) -> DataFrame:
-    """Partitions worth compacting: many files that would fit in fewer, with the number to aim for."""
+    """Partitions worth compacting: many files that would fit in fewer, with the number to aim for.
+
+    A row is one file, or as many as ``files`` says.
+    """
     per_part = file_rows.groupBy(part if isinstance(part, Column) else F.col(part)).agg(
-        F.count(F.lit(1)).alias("files"), F.sum("file_size_in_bytes").alias("bytes")
+        F.sum(F.lit(1) if files is None else files).alias("files"), F.sum("file_size_in_bytes").alias("bytes")
     )
     wanted = F.greatest(F.ceil(F.col("bytes") / F.lit(target_bytes)), F.lit(1))
     return per_part.withColumn("target_files", wanted.cast("bigint")).where(
@@ -85,17 +92,15 @@ def small_file_parts(
     )
 
 
-def _crowded(head: Commit, target_bytes: int, min_files: int) -> list[list[Unit]]:
-    by_part: dict[str | None, list[Unit]] = {}
-    for u in head.of(BASE):
-        if u.bytes < target_bytes * u.files:
-            by_part.setdefault(u.part, []).append(u)
-    crowded = []
-    for units in by_part.values():
-        count, size = sum(u.files for u in units), sum(u.bytes for u in units)
-        if count >= min_files and max(1, -(-size // target_bytes)) < count:
-            crowded.append(units)
-    return crowded
+def _crowded(table: VersionedTable, head: Commit, target_bytes: int, min_files: int) -> list[list[Unit]]:
+    """The units with files below the target, of the partitions that :func:`small_file_parts` names."""
+    small = [u for u in head.of(BASE) if u.bytes < target_bytes * u.files]
+    if not small:
+        return []
+    rows = [(u.part, u.files, u.bytes) for u in small]
+    files = table.spark.createDataFrame(rows, "part string, n long, file_size_in_bytes long")
+    chosen = {r["part"] for r in small_file_parts(files, "part", target_bytes, min_files, F.col("n")).collect()}
+    return [[u for u in small if u.part == part] for part in sorted(chosen, key=str)]
 
 
 def compact(
@@ -113,7 +118,7 @@ def compact(
     head = table.head()
     groups: list[list[Unit]] = []
     room = 0
-    for units in _crowded(head, target_bytes, min_files) if head else []:
+    for units in _crowded(table, head, target_bytes, min_files) if head else []:
         size = sum(u.bytes for u in units)
         if not groups or size > room:
             groups.append([])
@@ -167,13 +172,9 @@ def expired_versions(
 
 def expire(table: VersionedTable, now: datetime, days: int, retain_last: int = 1) -> list[int]:
     """Forget old commit records; their folders become unreferenced.  Returns the versions that went."""
-    versions = table.versions()
-    cutoff = now - timedelta(days=days)
-    old = [
-        r["version"]
-        for r in table.commits().where(F.col("committed_at") < F.lit(cutoff)).select("version").collect()
-        if r["version"] in versions[:-retain_last]
-    ]
+    same = dict.fromkeys(VERSION_DAYS, days)
+    commits = table.commits().select(F.lit("t").alias("table"), "version", "committed_at")
+    old = [r["version"] for r in expired_versions(commits, now, (), same, retain_last).select("version").collect()]
     for version in old:
         files.delete(table.spark, table._record(version))
     return sorted(old)

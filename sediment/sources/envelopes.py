@@ -17,8 +17,8 @@ from sediment.operators.schema import SchemaConflict, merge_schemas
 def open_envelopes(records: DataFrame, target: str) -> DataFrame:
     """Each record with its parsed ``_event``, its row and key as JSON text, and the ``reason`` it cannot be used, if any.
 
-    ``target`` is the name pattern, e.g. ``shop_raw.{table}``.  The envelope may be wrapped in
-    ``{"schema": …, "payload": …}``.  ``reason`` is null for usable records; ``tombstone`` records carry nothing to
+    ``target`` is the name pattern, e.g. ``shop_raw.{table}``, or ``shop_raw.{schema}_{table}`` where two schemas have
+    tables of one name.  The envelope may be wrapped in ``{"schema": …, "payload": …}``.  ``reason`` is null for usable records; ``tombstone`` records carry nothing to
     store.  No table or column needs to be known.
     """
     envelope = T.StructType(
@@ -44,9 +44,11 @@ def open_envelopes(records: DataFrame, target: str) -> DataFrame:
         .when(F.col("_event.source.table").isNull(), "no-table")
         .when(~J.is_object(J.variant(F.col("_row_text"))), "bad-row")
     )
-    return events.withColumn("reason", reason).withColumn(
-        "_target", F.replace(F.lit(target), F.lit("{table}"), F.col("_event.source.table"))
-    )
+    source = F.col("_event.source")
+    named = F.replace(F.lit(target), F.lit("{table}"), source["table"])
+    if "{schema}" in target:
+        named = F.replace(named, F.lit("{schema}"), F.coalesce(source["schema"], source["db"], F.lit("")))
+    return events.withColumn("reason", reason).withColumn("_target", named)
 
 
 def typed_rows(events: DataFrame, row: T.StructType, keys: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -58,5 +59,5 @@ def source_topics(records: DataFrame, prefix: str, signal: str = "") -> DataFram
 
 def topic_pattern(prefix: str, signal: str = "") -> str:
     """Whole-name pattern of a source's table topics, as Kafka's ``subscribePattern`` takes it."""
-    barred = "(?!dlq$)" + (f"(?!{signal.replace('.', chr(92) + '.')}$)" if signal else "")
-    return "^" + prefix.replace(".", "\\.") + "\\." + barred + ".*$"
+    barred = "(?!dlq$)" + (f"(?!{re.escape(signal)}$)" if signal else "")
+    return "^" + re.escape(prefix) + "\\." + barred + ".*$"
