@@ -201,7 +201,8 @@ def repeated_bytes(
     where = F.struct("doc_id", "tie", "begin")
     firsts = strings.where("not old").groupBy("one", "two").agg(F.min(where).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     later = strings.where("not old").join(stored(spark, firsts, "first-strings"), ["one", "two"]).where(~where.eqNullSafe(F.col("first")))
-    apart = later.select("doc_id", "tie", "begin").union(strings.where("old").select("doc_id", "tie", "begin"))
+    later = stored(spark, later.select("doc_id", "tie", "begin"), "later-strings")
+    apart = later.union(strings.where("old").select("doc_id", "tie", "begin"))
     again = met.where("old").select("doc_id", "tie", "begin", "end")
     spans = again.union(scanned).union(apart.select("doc_id", "tie", "begin", (F.col("begin") + length).alias("end")))
     return _removed(spans, texts)
