@@ -20,8 +20,8 @@ SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _NOT_SPACE = ~table(SPACE)
 _START, _END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5B)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
-#: Bits of the filter for each entry, probes for each entry, and the most bytes of the whole filter.
-ENTRY_BITS, PROBES, MOST_BYTES = 12, 4, 64 << 20
+#: Bits of the filter for each entry at least, probes for each entry, and the most bytes of a filter that is broadcast.
+ENTRY_BITS, PROBES, BROADCAST_BYTES = 12, 4, 64 << 20
 #: Words with at least this share of all tokens are counted apart, unless a larger share is enough for the shards.
 HEAVY_SHARE = 2.0**-20
 #: Share of the bigram estimate in a probability.
@@ -100,12 +100,15 @@ def _places(h: np.ndarray, step: int, size: int) -> Iterator[np.ndarray]:
         yield (first + np.uint64(i) * stride) & (size - np.uint64(1) if isinstance(size, np.ndarray) else np.uint64(size - 1))
 
 
-def segment(h: np.ndarray, count: np.ndarray, most_bits: int) -> np.ndarray:
-    """The filter of one shard: each n-gram is entered once for every level up to its own."""
+def segment(h: np.ndarray, count: np.ndarray, most_bits: int | None = None) -> np.ndarray:
+    """The filter of one shard: each n-gram is entered once for every level up to its own.
+
+    It grows with its entries; a ceiling holds only if one is given, which :func:`score_texts` never does.
+    """
     levels = level(count)
     entries = int(levels.sum())
     size = 64
-    while size < ENTRY_BITS * entries and size * 2 <= most_bits:
+    while size < ENTRY_BITS * entries and (most_bits is None or size * 2 <= most_bits):
         size *= 2
     bits = np.zeros(size, bool)
     for step in range(1, int(levels.max(initial=0)) + 1):
@@ -115,7 +118,7 @@ def segment(h: np.ndarray, count: np.ndarray, most_bits: int) -> np.ndarray:
 
 
 class Filter(NamedTuple):
-    """All shards' segments laid end to end, with where each begins (in bits) and its size."""
+    """Segments laid end to end, with where each shard's begins (in bits), its size and the highest level in it."""
 
     bits: int
     data: np.ndarray
@@ -123,14 +126,19 @@ class Filter(NamedTuple):
     size: np.ndarray
     tokens: int
     distinct: int
+    highest: np.ndarray | None = None
 
     def levels(self, h: np.ndarray) -> np.ndarray:
-        """Levels found by repeated probes: one level after the other, until a probe misses."""
+        """Levels found by repeated probes: one level after the other, until a probe misses or no higher one is there."""
         found = np.zeros(len(h), np.int64)
         alive, step = np.arange(len(h)), 1
         shard = (h >> np.uint64(64 - self.bits)).astype(np.int64)
         alive = alive[self.size[shard] > 0]
-        while len(alive):
+        while True:
+            if self.highest is not None:
+                alive = alive[self.highest[shard[alive]] >= step]
+            if not len(alive):
+                return found
             own, begin, hit = h[alive], self.begin[shard[alive]], np.ones(len(alive), bool)
             for at in _places(own, step, self.size[shard[alive]].astype(np.uint64)):
                 at = begin + at.astype(np.int64)
@@ -138,7 +146,6 @@ class Filter(NamedTuple):
             alive = alive[hit]
             found[alive] = step
             step += 1
-        return found
 
 
 def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
@@ -165,43 +172,56 @@ def _learned(group: pa.Table, bits: int, heavy_share: float) -> pa.Table:
     columns = {c: group.column(c).to_pylist() for c in ("words", "n", "pairs", "m")}
     word, n = _summed([np.frombuffer(x, np.uint64) for x in columns["words"]], [np.frombuffer(x, "<u4") for x in columns["n"]])
     pair, m = _summed([_long(x, shard, bits) for x in columns["pairs"]], [np.frombuffer(x, "<u4") for x in columns["m"]])
-    filled = segment(np.concatenate([word, pair]), np.concatenate([n, m]), MOST_BYTES * 8 >> bits)
+    filled = segment(np.concatenate([word, pair]), np.concatenate([n, m]))
+    highest = int(level(np.concatenate([n, m])).max(initial=0))
     heavy = np.flatnonzero(n >= max(1, n.sum() * heavy_share))
     often = pa.array([[{"word": w, "n": k} for w, k in zip(word[heavy].view(np.int64).tolist(), n[heavy].tolist())]], pa.list_(_WORD_COUNT))
     return pa.table(
         {
             "shard": [shard], "tokens": [int(n.sum())], "distinct": [len(word)], "words": [word.tobytes()], "n": [n.astype("<i8").tobytes()],
-            "filter": [filled.tobytes()], "heavy": often,
+            "filter": [filled.tobytes()], "highest": [highest], "heavy": often,
         }
     )
 
 
-_LEARNED = "shard long, tokens long, distinct long, words binary, n binary, filter binary, heavy array<struct<word:long,n:long>>"
+_LEARNED = "shard long, tokens long, distinct long, words binary, n binary, filter binary, highest long, heavy array<struct<word:long,n:long>>"
 _WORD_COUNT = pa.struct([("word", pa.int64()), ("n", pa.int64())])
 _PACKED = "key long, kind int, batch long, texts long, a binary, b binary, c binary, d binary"
 
 
-def _scored(batches: Iterator[pa.RecordBatch], model: tuple[Filter, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """For each batch one row on its texts (kind 0) and one for each shard whose counts its words need (kind 1)."""
+def _log_chances(counts: np.ndarray, of_word: np.ndarray, of_pair: np.ndarray, seen: np.ndarray, both: np.ndarray, end: int, total: int) -> np.ndarray:
+    """Sum of the tokens' log10 probabilities for each text, from the counts of its words and pairs; ``end`` is the end's place."""
+    last = np.cumsum(counts) - 1
+    context = np.append(0.0, seen[of_word[:-1]])
+    context[last - counts + 1] = seen[end]  # as many texts start as end
+    single = ((seen + 1) / total)[of_word]
+    share = np.minimum(1.0, both[of_pair] / np.maximum(context, 1))
+    chance = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * single, single)
+    return np.bincount(np.repeat(np.arange(len(counts)), counts), np.log10(np.minimum(chance, 1.0)), len(counts))
+
+
+def _scored(batches: Iterator[pa.RecordBatch], bits: int, model: tuple[Filter | None, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """For each batch one row on its texts (kind 0) and one for each shard whose counts its words need (kind 1).
+
+    Without a filter at hand also one for each shard whose levels its words and pairs need (kind 4), and how its tokens
+    are made of them (kind 5).
+    """
     filtered, heavy, heavy_n = model
     batch_id = TaskContext.get().partitionId() << 40
-    total = filtered.tokens + filtered.distinct + 1
     for piece in pieces_of(batches, BATCH_BYTES):
         for start in range(0, piece.num_rows, BATCH_TEXTS):
             batch = piece.slice(start, BATCH_TEXTS)
             texts = batch.num_rows
             tokens = Tokens(batch.column("text"))
             word, of_word = np.unique(tokens.token, return_inverse=True)
-            pair, of_pair = np.unique(tokens.pairs(filtered.bits), return_inverse=True)
-            seen = expected(filtered.levels(word))
-            before = expected(filtered.levels(np.array([_END])))[0]  # as many texts start as end
-            at = np.searchsorted(word, tokens.previous)
-            context = np.where(tokens.previous == _START, before, seen[np.minimum(at, len(word) - 1)])
-            single = ((seen + 1) / total)[of_word]
-            both = expected(filtered.levels(pair))[of_pair]
-            share = np.minimum(1.0, both / np.maximum(context, 1))
-            chance = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * single, single)
-            score = np.bincount(tokens.of, np.log10(np.minimum(chance, 1.0)), texts)
+            pair, of_pair = np.unique(tokens.pairs(bits), return_inverse=True)
+            score = np.zeros(texts)
+            if filtered is not None:
+                seen, both = expected(filtered.levels(word)), expected(filtered.levels(pair))
+                end = int(np.searchsorted(word, _END))
+                score = _log_chances(tokens.counts, of_word, of_pair, seen, both, end, filtered.tokens + filtered.distinct + 1)
+            else:
+                yield from _levels_asked(word, of_word, pair, of_pair, batch_id, bits)
             # exact counts: the most frequent words are at hand, the others are asked for
             place = np.searchsorted(heavy, word)
             held = np.zeros(len(word), bool)
@@ -218,7 +238,7 @@ def _scored(batches: Iterator[pa.RecordBatch], model: tuple[Filter, np.ndarray,
                 ],
                 names=["key", "kind", "batch", "texts", "a", "b", "c", "d"],
             )
-            yield _asked(word, of_word[~mine], tokens.of[~mine], texts, batch_id, filtered.bits)
+            yield _asked(word, of_word[~mine], tokens.of[~mine], texts, batch_id, bits)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([-1 - batch_id]), pa.array([3], pa.int32()), pa.array([batch_id]), pa.array([texts]),
@@ -231,6 +251,27 @@ def _scored(batches: Iterator[pa.RecordBatch], model: tuple[Filter, np.ndarray,
             batch_id += 1
 
 
+def _levels_asked(word: np.ndarray, of_word: np.ndarray, pair: np.ndarray, of_pair: np.ndarray, batch_id: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Words and pairs whose levels are wanted, by shard, and the pair of each token and the word of each pair."""
+    word_of = np.zeros(len(pair), "<u4")
+    word_of[of_pair] = of_word
+    w, p = _shards(word, bits), _shards(pair, bits)
+    rows = [(-1 - batch_id, 5, 0, of_pair.astype("<u4").tobytes(), word_of.tobytes(), word.tobytes())]
+    rows += [
+        (s, 4, s, word[w[s] : w[s + 1]].tobytes(), _short(pair[p[s] : p[s + 1]], bits), None)
+        for s in range(1 << bits)
+        if w[s] < w[s + 1] or p[s] < p[s + 1]
+    ]
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([batch_id] * len(rows), pa.int64()),
+            pa.array([r[2] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3, 6)),
+            pa.array([None] * len(rows), pa.binary()),
+        ],
+        names=["key", "kind", "batch", "texts", "a", "b", "c", "d"],
+    )
+
+
 def _asked(word: np.ndarray, of_word: np.ndarray, of_text: np.ndarray, texts: int, batch_id: int, bits: int) -> pa.RecordBatch:
     """Words whose counts are wanted, by shard, with the texts that hold them and how often."""
     key, times = np.unique(of_word.astype(np.int64) * texts + of_text, return_counts=True)
@@ -260,15 +301,19 @@ def _asked(word: np.ndarray, of_word: np.ndarray, of_text: np.ndarray, texts: in
     )
 
 
-def _answered(group: pa.Table) -> pa.Table:
-    """Sums over the words of one shard for each asking batch (kind 1); rows on texts (kinds 0 and 3) pass."""
+def _answered(group: pa.Table, bits: int) -> pa.Table:
+    """Sums over the words of one shard for each asking batch (kind 1), levels (kind 4); rows on texts (kinds 0, 3, 5) pass."""
     rows = group.to_pylist()
     counts = [r for r in rows if r["kind"] == 2]
     word = np.frombuffer(counts[0]["a"], np.uint64) if counts else np.zeros(0, np.uint64)
     n = np.frombuffer(counts[0]["b"], "<i8") if counts else np.zeros(0, np.int64)
+    held = None
+    if counts and counts[0]["c"] is not None:
+        data, highest = np.frombuffer(counts[0]["c"], np.uint8), int(counts[0]["d"])
+        held = Filter(0, data, np.zeros(1, np.int64), np.array([len(data) * 8]), 0, 0, np.array([highest]))
     out = []
     for r in rows:
-        if r["kind"] in (0, 3):
+        if r["kind"] in (0, 3, 5):
             out.append((r["kind"], r["batch"], r["texts"], r["a"], r["b"], r["c"], r["d"]))
         elif r["kind"] == 1:
             h = np.frombuffer(r["a"], np.uint64)
@@ -282,6 +327,10 @@ def _answered(group: pa.Table) -> pa.Table:
             part = np.bincount(text, times * np.log10(each + 1.0), r["texts"])
             known = np.bincount(text, times * (each > 0), r["texts"]).astype("<u4")
             out.append((1, r["batch"], r["texts"], None, part.tobytes(), known.tobytes(), None))
+        elif r["kind"] == 4:  # a shard without counts holds nothing: all are at level 0
+            asked = np.frombuffer(r["a"], np.uint64), _long(r["b"], r["key"], bits)
+            levels = [(held.levels(h) if held is not None else np.zeros(len(h), np.int64)).astype(np.uint8).tobytes() for h in asked]
+            out.append((4, r["batch"], r["texts"], *levels, None, None))
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
     return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(["kind", "batch", "texts", "a", "b", "c", "d"], kinds))})
 
@@ -289,13 +338,22 @@ def _answered(group: pa.Table) -> pa.Table:
 def _finished(group: pa.Table, tokens: int, distinct: int) -> pa.Table:
     """The rows of one batch's texts."""
     part = known = None
-    for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["b"] or b"")):
+    words, pairs = [], []
+    for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["texts"], r["b"] or b"")):
         if r["kind"] == 0:
             counts, score = np.frombuffer(r["a"], "<i8"), np.frombuffer(r["d"], np.float64)
             part, known = np.frombuffer(r["b"], np.float64).copy(), np.frombuffer(r["c"], "<i8").copy()
         elif r["kind"] == 1:
             part += np.frombuffer(r["b"], np.float64)
             known += np.frombuffer(r["c"], "<u4")
+        elif r["kind"] == 4:  # in the order of the shards, as the hashes are
+            words.append(np.frombuffer(r["a"], np.uint8))
+            pairs.append(np.frombuffer(r["b"], np.uint8))
+        elif r["kind"] == 5:
+            of_pair, word_of = np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4")
+            seen, both = expected(np.concatenate(words)), expected(np.concatenate(pairs))
+            end = int(np.searchsorted(np.frombuffer(r["c"], np.uint64), _END))
+            score = _log_chances(counts, word_of[of_pair], of_pair, seen, both, end, tokens + distinct + 1)
         else:
             ids = pa.array(np.frombuffer(r["a"], "<i8"), mask=np.frombuffer(r["b"], bool))
             held_out = np.frombuffer(r["c"], bool)
@@ -308,14 +366,25 @@ def _finished(group: pa.Table, tokens: int, distinct: int) -> pa.Table:
     )
 
 
+def _whole(learned: DataFrame, bits: int, tokens: int, distinct: int) -> Filter:
+    """The filter of all shards, here at the driver."""
+    parts = learned.select("shard", "filter", "highest").orderBy("shard").collect()
+    size, begin, highest, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), 0
+    for p in parts:
+        size[p["shard"]], begin[p["shard"]], highest[p["shard"]] = len(p["filter"]) * 8, at, p["highest"]
+        at += len(p["filter"]) * 8
+    return Filter(bits, np.frombuffer(b"".join(p["filter"] for p in parts), np.uint8), begin, size, tokens, distinct, highest)
+
+
 def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Log10 probabilities of every whole text: by exact smoothed word counts, and by the bigram model of the filter.
 
     Learned from the texts whose ids may be (:func:`learnable`). Words and word pairs are counted in each batch, packed
     by hash range, and summed in one task for each range; nothing is dropped. Each range enters its n-grams of two
     and more occurrences into its own segment of a log-frequency Bloom filter: n-gram and level, for every level up to
-    its quantised count. The filter is broadcast; ``MOST_BYTES`` bounds it, and beyond that false positives rise. A
-    token's probability mixes the pair's share of its context, by levels found in repeated probes, with the add-one
+    its quantised count. A segment is sized by its entries, so false positives do not rise with the input. The filter is
+    broadcast up to ``BROADCAST_BYTES``; a larger one stays by hash range, where each batch asks once for the levels of its
+    words and pairs, with the same results. A token's probability mixes the pair's share of its context, by levels found in repeated probes, with the add-one
     share of the token; without a known context it is the latter.
 
     Exact counts never go to one place: words with more than a fixed share of all tokens, of which there can be only so
@@ -330,25 +399,20 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id",
     base = base.withColumn("held_out", ~learnable(F.col("doc_id")))
     counted = base.where("not held_out").select("text").mapInArrow(lambda b: _counted(b, bits), "shard long, words binary, n binary, pairs binary, m binary")
     learned = stored(spark, counted.groupBy("shard").applyInArrow(lambda t: _learned(t, bits, heavy_share), _LEARNED), "word-counts")
-    sums = learned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
-    # bounded: the filter by MOST_BYTES and 8 bytes a shard; of words with that share of all tokens there are at most
-    # 1 / heavy_share, and they are told before any comes here
-    parts = learned.select("shard", "filter").orderBy("shard").collect()
+    sums = learned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("size")).first()
+    # bounded: of words with that share of all tokens there are at most 1 / heavy_share, and they are told before any comes here
     often = learned.select(F.inline("heavy")).where(F.col("n") >= max(1, sums.n * heavy_share)).collect()
-    size, begin, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), 0
-    for p in parts:
-        size[p["shard"]], begin[p["shard"]] = len(p["filter"]) * 8, at
-        at += len(p["filter"]) * 8
-    data = np.frombuffer(b"".join(p["filter"] for p in parts), np.uint8)
     words, times = np.array([r["word"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
     order = np.argsort(words)
-    model = spark.sparkContext.broadcast((Filter(bits, data, begin, size, sums.n, sums.v), words[order], times[order]))
+    small = sums.size <= BROADCAST_BYTES
+    filtered = _whole(learned, bits, sums.n, sums.v) if small else None
+    model = spark.sparkContext.broadcast((filtered, words[order], times[order]))
     none = F.lit(None).cast("binary")
     counts = learned.select(
-        F.col("shard").alias("key"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("texts"), F.col("words").alias("a"), F.col("n").alias("b"), none.alias("c"), none.alias("d")
+        F.col("shard").alias("key"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("texts"), F.col("words").alias("a"), F.col("n").alias("b"), (none if small else F.col("filter")).alias("c"), (none if small else F.col("highest").cast("string").cast("binary")).alias("d")
     )
-    asked = base.mapInArrow(lambda b: _scored(b, model.value), _PACKED).union(counts)
-    answers = asked.groupBy("key").applyInArrow(_answered, "kind int, batch long, texts long, a binary, b binary, c binary, d binary")
+    asked = base.mapInArrow(lambda b: _scored(b, bits, model.value), _PACKED).union(counts)
+    answers = asked.groupBy("key").applyInArrow(lambda t: _answered(t, bits), "kind int, batch long, texts long, a binary, b binary, c binary, d binary")
     tokens, distinct = sums.n, sums.v
     return answers.groupBy("batch").applyInArrow(
         lambda t: _finished(t, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

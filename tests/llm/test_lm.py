@@ -67,3 +67,23 @@ def test_filter_levels():
     found = Filter(1, np.concatenate(parts), np.array([0, size[0]]), size, 1, 1).levels(h)
     assert (found >= level(counts)).all() and (found == level(counts)).mean() > 0.97
     assert level(np.array([0, 1, 2, 3, 4, 1024])).tolist() == [0, 0, 1, 1, 2, 10]
+
+
+def test_segments_grow_and_probing_ends():
+    h = np.random.default_rng(2).integers(0, 1 << 63, 60_000, dtype=np.uint64)
+    grown = segment(h, np.full(len(h), 2))
+    assert len(grown) * 8 >= lm.ENTRY_BITS * len(h)
+    full = np.full(8, 255, np.uint8)  # every probe hits
+    assert (Filter(0, full, np.zeros(1, int), np.array([64]), 1, 1, np.array([3])).levels(h) == 3).all()
+
+
+def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, texts, monkeypatch):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9000, None), (9004, "the " * 70_000), (None, "the of")]
+    want = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(lm, "_whole", None)  # nothing of it comes to the driver
+    got = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert [g[6] for g in got] == [w[6] for w in want]
+    assert {tuple(r)[-1] for r in score_texts(spark, texts([(None, "a b")])).collect()} == {0.0}
