@@ -87,9 +87,14 @@ def level(count: np.ndarray) -> np.ndarray:
     return np.maximum(np.frexp(count.astype(np.float64))[1] - 1, 0)
 
 
-def expected(level: np.ndarray) -> np.ndarray:
-    """The count that stands for a level: the geometric mean of its range; 0 for level 0."""
-    low = np.exp2(level.astype(np.float64))
+def doubled(count: np.ndarray, least: int) -> np.ndarray:
+    """Counts whose levels begin at 1 with ``least``: twice the count if that is 1, as level 0 stands for unseen."""
+    return count.astype(np.int64) * (2 // least)
+
+
+def expected(level: np.ndarray, least: int = 2) -> np.ndarray:
+    """The count that stands for a level: the geometric mean of its range; 0 for level 0. Level 1 begins at ``least``."""
+    low = np.exp2(level.astype(np.float64)) * least / 2
     return np.where(level > 0, np.sqrt(low * (2 * low - 1)), 0.0)
 
 
@@ -166,14 +171,14 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         )
 
 
-def _learned(group: pa.Table, bits: int, heavy_share: float) -> pa.Table:
+def _learned(group: pa.Table, bits: int, heavy_share: float, least: int) -> pa.Table:
     """Exact word counts of a shard, its part of the filter, and words that may be among the most frequent."""
     shard = group.column("shard")[0].as_py()
     columns = {c: group.column(c).to_pylist() for c in ("words", "n", "pairs", "m")}
     word, n = _summed([np.frombuffer(x, np.uint64) for x in columns["words"]], [np.frombuffer(x, "<u4") for x in columns["n"]])
     pair, m = _summed([_long(x, shard, bits) for x in columns["pairs"]], [np.frombuffer(x, "<u4") for x in columns["m"]])
-    filled = segment(np.concatenate([word, pair]), np.concatenate([n, m]))
-    highest = int(level(np.concatenate([n, m])).max(initial=0))
+    entered = doubled(np.concatenate([n, m]), least)
+    filled, highest = segment(np.concatenate([word, pair]), entered), int(level(entered).max(initial=0))
     heavy = np.flatnonzero(n >= max(1, n.sum() * heavy_share))
     often = pa.array([[{"word": w, "n": k} for w, k in zip(word[heavy].view(np.int64).tolist(), n[heavy].tolist())]], pa.list_(_WORD_COUNT))
     return pa.table(
@@ -200,7 +205,7 @@ def _log_chances(counts: np.ndarray, of_word: np.ndarray, of_pair: np.ndarray, s
     return np.bincount(np.repeat(np.arange(len(counts)), counts), np.log10(np.minimum(chance, 1.0)), len(counts))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], bits: int, model: tuple[Filter | None, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _scored(batches: Iterator[pa.RecordBatch], bits: int, least: int, model: tuple[Filter | None, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
     """For each batch one row on its texts (kind 0) and one for each shard whose counts its words need (kind 1).
 
     Without a filter at hand also one for each shard whose levels its words and pairs need (kind 4), and how its tokens
@@ -217,7 +222,7 @@ def _scored(batches: Iterator[pa.RecordBatch], bits: int, model: tuple[Filter |
             pair, of_pair = np.unique(tokens.pairs(bits), return_inverse=True)
             score = np.zeros(texts)
             if filtered is not None:
-                seen, both = expected(filtered.levels(word)), expected(filtered.levels(pair))
+                seen, both = expected(filtered.levels(word), least), expected(filtered.levels(pair), least)
                 end = int(np.searchsorted(word, _END))
                 score = _log_chances(tokens.counts, of_word, of_pair, seen, both, end, filtered.tokens + filtered.distinct + 1)
             else:
@@ -335,7 +340,7 @@ def _answered(group: pa.Table, bits: int) -> pa.Table:
     return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(["kind", "batch", "texts", "a", "b", "c", "d"], kinds))})
 
 
-def _finished(group: pa.Table, tokens: int, distinct: int) -> pa.Table:
+def _finished(group: pa.Table, tokens: int, distinct: int, least: int) -> pa.Table:
     """The rows of one batch's texts."""
     part = known = None
     words, pairs = [], []
@@ -351,7 +356,7 @@ def _finished(group: pa.Table, tokens: int, distinct: int) -> pa.Table:
             pairs.append(np.frombuffer(r["b"], np.uint8))
         elif r["kind"] == 5:
             of_pair, word_of = np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4")
-            seen, both = expected(np.concatenate(words)), expected(np.concatenate(pairs))
+            seen, both = expected(np.concatenate(words), least), expected(np.concatenate(pairs), least)
             end = int(np.searchsorted(np.frombuffer(r["c"], np.uint64), _END))
             score = _log_chances(counts, word_of[of_pair], of_pair, seen, both, end, tokens + distinct + 1)
         else:
@@ -376,13 +381,13 @@ def _whole(learned: DataFrame, bits: int, tokens: int, distinct: int) -> Filter:
     return Filter(bits, np.frombuffer(b"".join(p["filter"] for p in parts), np.uint8), begin, size, tokens, distinct, highest)
 
 
-def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_count: int = 2) -> DataFrame:
     """Log10 probabilities of every whole text: by exact smoothed word counts, and by the bigram model of the filter.
 
     Learned from the texts whose ids may be (:func:`learnable`). Words and word pairs are counted in each batch, packed
-    by hash range, and summed in one task for each range; nothing is dropped. Each range enters its n-grams of two
-    and more occurrences into its own segment of a log-frequency Bloom filter: n-gram and level, for every level up to
-    its quantised count. A segment is sized by its entries, so false positives do not rise with the input. The filter is
+    by hash range, and summed in one task for each range; nothing is dropped. Each range enters its n-grams of
+    ``least_count`` (1 or 2) and more occurrences into its own segment of a log-frequency Bloom filter: n-gram and level,
+    for every level up to its quantised count. With 2, n-grams seen once count as unseen; the registered query uses 1. A segment is sized by its entries, so false positives do not rise with the input. The filter is
     broadcast up to ``BROADCAST_BYTES``; a larger one stays by hash range, where each batch asks once for the levels of its
     words and pairs, with the same results. A token's probability mixes the pair's share of its context, by levels found in repeated probes, with the add-one
     share of the token; without a known context it is the latter.
@@ -392,13 +397,15 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id",
     Repeated rows are scored each; null texts are empty and hold the end alone; a null id stays null and is held out;
     without anything to learn from every probability is 1.
     """
+    if least_count not in (1, 2):
+        raise ValueError(f"least_count is 1 or 2, not {least_count}")
     shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
     bits = min(24, (shards - 1).bit_length())
     heavy_share = max(1 / (16 << bits), HEAVY_SHARE)
     base = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     base = base.withColumn("held_out", ~learnable(F.col("doc_id")))
     counted = base.where("not held_out").select("text").mapInArrow(lambda b: _counted(b, bits), "shard long, words binary, n binary, pairs binary, m binary")
-    learned = stored(spark, counted.groupBy("shard").applyInArrow(lambda t: _learned(t, bits, heavy_share), _LEARNED), "word-counts")
+    learned = stored(spark, counted.groupBy("shard").applyInArrow(lambda t: _learned(t, bits, heavy_share, least_count), _LEARNED), "word-counts")
     sums = learned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("size")).first()
     # bounded: of words with that share of all tokens there are at most 1 / heavy_share, and they are told before any comes here
     often = learned.select(F.inline("heavy")).where(F.col("n") >= max(1, sums.n * heavy_share)).collect()
@@ -411,9 +418,9 @@ def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id",
     counts = learned.select(
         F.col("shard").alias("key"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("texts"), F.col("words").alias("a"), F.col("n").alias("b"), (none if small else F.col("filter")).alias("c"), (none if small else F.col("highest").cast("string").cast("binary")).alias("d")
     )
-    asked = base.mapInArrow(lambda b: _scored(b, bits, model.value), _PACKED).union(counts)
+    asked = base.mapInArrow(lambda b: _scored(b, bits, least_count, model.value), _PACKED).union(counts)
     answers = asked.groupBy("key").applyInArrow(lambda t: _answered(t, bits), "kind int, batch long, texts long, a binary, b binary, c binary, d binary")
     tokens, distinct = sums.n, sums.v
     return answers.groupBy("batch").applyInArrow(
-        lambda t: _finished(t, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        lambda t: _finished(t, tokens, distinct, least_count), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -56,7 +56,7 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score_texts(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+    return score_texts(spark, spark.read.parquet(f"{sf}/documents.parquet"), least_count=1)
 
 
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:

@@ -87,3 +87,39 @@ def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, texts, mon
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[6] for g in got] == [w[6] for w in want]
     assert {tuple(r)[-1] for r in score_texts(spark, texts([(None, "a b")])).collect()} == {0.0}
+
+
+def by_exact_counts(rows):
+    """Scores of the same mixture, with exact counts in place of quantised ones."""
+    toks = [(i, re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(ASCII_LOWER)) + ["\0end"]) for i, t in rows]
+    one, two = Counter(), Counter()
+    for i, t in toks:
+        if i is not None and zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(t)
+            two.update(zip(["\0start"] + t, t))
+    total, out = sum(one.values()) + len(one) + 1, {}
+    for i, t in toks:
+        chances = []
+        for before, w in zip(["\0start"] + t, t):
+            context, single = one["\0end" if before == "\0start" else before], (one[w] + 1) / total
+            chances.append(lm.WEIGHT * min(1, two[before, w] / context) + (1 - lm.WEIGHT) * single if context else single)
+        out[i] = sum(map(math.log10, chances))
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [64 << 20, -1])
+def test_what_is_seen_once_is_known(spark, texts, tmp_path, monkeypatch, broadcast):
+    from sediment.llm.queries import op9_scores
+
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", broadcast)
+    real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    seen = next(i for i in range(9000, 9100) if zlib.crc32(str(i).encode()) % 7 != 2)
+    held = [i for i in range(9100, 9200) if zlib.crc32(str(i).encode()) % 7 == 2]
+    line = [f"once{k}" for k in range(40)]
+    rows = real + [(seen, " ".join(line)), (held[0], " ".join(line)), (held[1], " ".join(line[::-1]))]
+    texts(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r.score for r in op9_scores(spark, str(tmp_path)).collect()}
+    want = by_exact_counts(rows)
+    assert got[held[0]] == pytest.approx(want[held[0]], rel=0.05)
+    assert got[held[0]] > 0.2 * got[held[1]]  # the same words in an order that was never seen
+    assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.02)
