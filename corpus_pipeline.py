@@ -27,7 +27,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = decontamination.contaminated(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("gone"))
+    gone = decontamination.contaminated(docs, benchmark, short_items=True).where("contaminated").select(F.col("doc_id").alias("gone"))
     return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti").select(*docs.columns)
 
 

@@ -16,9 +16,26 @@ _PAD = 6
 BROADCAST_BYTES, SEED_BYTES = 64 << 20, 256
 
 
+#: Characters of scripts that are written without spaces (with their marks), and non-ASCII spaces, punctuation and controls.
+_ALONE = "".join(
+    rf"\p{{Is{x}}}"
+    for x in ("Han", "Hiragana", "Katakana", "Bopomofo", "Yi", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Tai_Tham", "New_Tai_Lue", "Tai_Le", "Tai_Viet", "Javanese", "Balinese")
+)
+_BETWEEN = r"[\x{80}-\x{10FFFF}&&[\p{Z}\p{P}\p{Cc}\x{200B}\x{2060}\x{FEFF}]]"
+
+#: The only texts that can hold any of these; a cheap test that spares the others the costly one.
+_MAY_HOLD = r"[\x{80}-\x{BF}\x{37E}-\x{10FFFF}]"
+
+
 def word_hashes(text: Column) -> Column:
-    """Hashes of a text's words: runs of ASCII letters and digits and all non-ASCII characters, in lower case."""
-    words = F.split(F.lower(text), r"[^a-z0-9\x{80}-\x{10FFFF}]+")
+    """Hashes of a text's words, in lower case: runs of ASCII letters and digits and of non-ASCII characters.
+
+    Non-ASCII spaces, punctuation and controls end a word, and a character of a script without spaces is a word with
+    its marks. On texts without either these are the words of ``ORACLE_SQL``.
+    """
+    low = F.lower(text)
+    laid = F.when(low.rlike(_MAY_HOLD), F.regexp_replace(low, rf"{_BETWEEN}|([{_ALONE}]\p{{M}}*)", " $1 ")).otherwise(low)
+    words = F.split(laid, r"[^a-z0-9\x{80}-\x{10FFFF}]+")
     return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
@@ -42,6 +59,27 @@ def _seeds(df: DataFrame, name: str, step: int, pad: int, context: str) -> DataF
     return found.select(name, F.explode("seed.keys").alias("key"), f"seed.{context}")
 
 
+def _short(words: DataFrame, items: DataFrame, broadcast_bytes: int) -> DataFrame | None:
+    """(doc_id, item): items of fewer than ``MATCHES`` words that a text holds whole, by hashes of runs of their length.
+
+    A text brings each of its runs once, for the lengths that some item has; None if there are no such items.
+    """
+    wanted = items.withColumn("n", F.size("words")).where(f"n between 1 and {MATCHES - 1}")
+    wanted = wanted.select("item_id", "n", F.xxhash64("n", "words").alias("key")).distinct()
+    lengths = {r.n: r["count"] for r in wanted.groupBy("n").count().collect()}
+    if not lengths:
+        return None
+    if sum(lengths.values()) * SEED_BYTES <= broadcast_bytes:
+        wanted = F.broadcast(wanted)
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(starts, lambda e: F.xxhash64(F.lit(n), F.slice("words", e, F.lit(n)))))
+
+    found = words.select("doc_id", F.explode(F.concat(*(runs(n) for n in sorted(lengths)))).alias("key")).join(wanted, "key")
+    return found.select("doc_id", F.struct("item_id").alias("item"))
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -50,13 +88,14 @@ def contaminated(
     text_column: str = "text",
     item_column: str = "item_id",
     item_text_column: str = "text",
+    short_items: bool = False,
 ) -> DataFrame:
     """One row per document id: whether its texts hold a benchmark passage, how many items, and which.
 
     An item is in a document if, at some alignment of their words, ``MATCHES`` of ``WINDOW`` words in a row agree;
     places beyond either end count as disagreeing. Every such window holds an intact seed, which the join finds; the
-    words around each hit are then compared place by place. Items and texts with fewer than ``MATCHES`` words match
-    nothing. Texts are seeded at every fourth word, the benchmark at each; its seeds are broadcast if their number says
+    words around each hit are then compared place by place. Items with fewer than ``MATCHES`` words match
+    nothing, or with ``short_items``, as in the registered query and the pipeline, texts that hold them whole, word by word. Texts are seeded at every fourth word, the benchmark at each; its seeds are broadcast if their number says
     that they are small, else joined by shuffle. Null texts are empty; rows of one id (null is one) are one document's;
     null items are an item without number, which is counted and not listed. Built-in operations only.
     """
@@ -80,6 +119,9 @@ def contaminated(
         .select("doc_id", F.struct("item_id").alias("item"))
     )
     every = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.lit(None).cast("struct<item_id:bigint>").alias("item"))
+    short = _short(words, items, broadcast_bytes) if short_items else None
+    if short is not None:
+        hits = hits.union(short)
     pairs = every.union(hits).distinct()  # a document has at most as many rows here as items
     listed = F.array_sort(F.collect_list(F.col("item.item_id")))
     return pairs.groupBy("doc_id").agg(

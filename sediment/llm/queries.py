@@ -40,7 +40,7 @@ def op4_language(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op5_contaminated(spark: SparkSession, sf: str) -> DataFrame:
-    return contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"))
+    return contaminated(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet"), short_items=True)
 
 
 def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:

@@ -57,3 +57,34 @@ def test_empty_tables_and_null_ids(spark, texts):
 def test_plan_is_built_in(spark, texts):
     plan = contaminated(texts([(1, "a")]), spark.createDataFrame([(1, "b")], "item_id long, text string"))
     assert not re.search("Python|Pandas|Arrow", plan._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.mark.parametrize("room", [64 << 20, 0])
+def test_short_items_are_found_whole(spark, texts, room):
+    bench = [(1, "What is two plus two?"), (2, "Paris"), (3, "a b c d e f g h i j k l"), (4, "two two"), (5, "")]
+    docs = [(1, "so, what IS two plus two"), (2, "what is two minus two"), (3, "x a b c d e f g h i j k l y"), (4, "a b c d e f g h i j k"), (5, "paris, paris"), (6, None), (7, "")]
+    df = spark.createDataFrame(bench, "item_id long, text string")
+    got = {tuple(r) for r in contaminated(texts(docs), df, broadcast_bytes=room, short_items=True).collect()}
+    want = {1: "1", 3: "3", 5: "2"}
+    assert got == {(i, i in want, int(i in want), want.get(i, "")) for i, _ in docs}
+
+
+def test_registered_query_and_stage_use_short_items(spark, texts, tmp_path):
+    import corpus_pipeline
+    from sediment.llm.queries import op5_contaminated
+
+    docs = texts([(1, "it is said that two plus two is four"), (2, "it is said that two and two are four")])
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "Two plus two?")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert {r.doc_id for r in op5_contaminated(spark, str(tmp_path)).where("contaminated").collect()} == {1}
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
+
+
+def test_words_without_ascii_spaces(spark, texts):
+    chinese = "".join(chr(0x4E00 + 37 * k) for k in range(20))
+    thai = "".join(chr(0x0E01 + k) + ("\u0e34" if k % 3 else "") for k in range(20))
+    latin = [f"mot{k}" for k in range(20)]
+    bench = spark.createDataFrame([(1, chinese), (2, thai), (3, " ".join(latin))], "item_id long, text string")
+    docs = [(1, "vor " + chinese + "\u3002"), (2, "x" + thai), (3, "\u00a0".join(latin)), (4, "\u201c" + "\u2014".join(latin) + "\u201d"), (5, chinese[:10])]
+    got = {r.doc_id: r.item_ids for r in contaminated(texts(docs), bench).collect()}
+    assert got == {1: "1", 2: "2", 3: "3", 4: "3", 5: ""}
