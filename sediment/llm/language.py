@@ -8,9 +8,11 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.llm.components import stored
 from sediment.llm.textbytes import pieces_of
 
 NONE = "und"
@@ -18,17 +20,32 @@ NONE = "und"
 BUCKETS = 1 << 15
 #: Lengths of the n-grams in characters.
 LENGTHS = (1, 2, 3)
-#: The most languages a model holds, by number of texts. Bounds the broadcast to 2^15 x 256 x 4 bytes = 32 MiB.
-MOST_LANGUAGES = 256
+#: The most languages in a block of the model. Bounds a block to 2^15 x 256 x 4 bytes = 32 MiB; blocks are as many as needed.
+BLOCK_LANGUAGES = 256
 SCHEMA = "doc_id long, lang_pred string, score double"
 
 
-class Model(NamedTuple):
+class Block(NamedTuple):
+    """Some languages of a model, in alphabetical order: log share of the texts, and log probabilities by language."""
+
     languages: list[str]
     prior: np.ndarray
     log_p: np.ndarray
 
 
+class Model(NamedTuple):
+    """Broadcast blocks that follow each other in alphabetical order."""
+
+    blocks: list[Broadcast]
+
+    def each(self) -> Iterator[Block]:
+        """The blocks one after the other; with several a task holds one at a time."""
+        for shared in self.blocks:
+            yield shared.value
+            if len(self.blocks) > 1 and shared._path is not None:
+                shared.__dict__.pop("_value", None)  # else the worker keeps it; it is read again from its file
+
+
 def _letters() -> np.ndarray:
     """For each code point: itself if it is a letter, else a space."""
     codes = np.arange(0x110000, dtype=np.uint32)
@@ -76,43 +93,60 @@ def learnable(doc_id: Column) -> Column:
 def train(spark: SparkSession, docs: DataFrame, smoothing: float = 0.1, lang_column: str = "lang", text_column: str = "text") -> Model | None:
     """Counts n-grams of all rows with a language, per language; None if there are none.
 
-    Each task sums its texts first and sends at most one row per language and bucket; only the sums, whose size the
-    two constants bound, come to the driver.
+    Each task sums its texts first, for at most ``BLOCK_LANGUAGES`` languages at a time, and sends a row per language and
+    bucket. All languages are kept. Their sums pass through the driver in alphabetical order; it holds one block at a
+    time, whose size the two constants bound, and broadcasts it.
     """
 
+    def packed(sums: dict) -> Iterator[pa.RecordBatch]:
+        for lang, (n, counts) in sums.items():
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], names=["lang", "bucket", "n"]
+            )
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, sums = Grams(), {}
         for batch in pieces_of(batches):
-            langs = np.array(batch.column("lang").to_pylist(), object)
-            for lang in set(langs):
-                texts = [t for t, here in zip(batch.column("text").to_pylist(), langs == lang) if here]
+            texts_of = {}
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
+                texts_of.setdefault(lang, []).append(text)
+            for lang, texts in texts_of.items():
+                if lang not in sums and len(sums) == BLOCK_LANGUAGES:
+                    yield from packed(sums)
+                    sums.clear()
                 total = sums.setdefault(lang, [0, np.zeros(BUCKETS, np.int64)])
                 total[0] += len(texts)
                 total[1] += np.bincount(grams.of(texts)[0], minlength=BUCKETS)
-        for lang, (n, counts) in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * (len(at) + 1)), pa.array(np.append(at, -1)), pa.array(np.append(counts[at], n))], names=["lang", "bucket", "n"]
-            )
+        yield from packed(sums)
 
     rows = docs.selectExpr(f"cast(`{lang_column}` as string) lang", f"cast(`{text_column}` as string) text").where("lang is not null and text is not null")
     sums = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # one row per language: this many bytes at most for each, and no more languages than stated
-    packed = sums.groupBy("lang").agg(
+    # one row per language, of so many bytes at most
+    by_lang = stored(spark, sums.groupBy("lang").agg(
         F.sum(F.when(F.col("bucket") < 0, F.col("n"))).alias("texts"), F.collect_list(F.struct("bucket", "n")).alias("grams")
-    )
-    found = packed.orderBy(F.desc("texts"), "lang").limit(MOST_LANGUAGES).collect()
-    if not found:
-        return None
-    found.sort(key=lambda r: r.lang)
-    counts = np.full((len(found), BUCKETS), smoothing)
-    for i, row in enumerate(found):
-        for bucket, n in row.grams:
-            if bucket >= 0:
-                counts[i, bucket] += n
-    texts = np.array([r.texts for r in found], float)
-    log_p = np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32).T.copy()
-    return Model([r.lang for r in found], np.log(texts / texts.sum()), log_p)
+    ), "languages")
+    all_texts = by_lang.agg(F.sum("texts")).first()[0]
+    blocks, held = [], []
+
+    def close() -> None:
+        log_p = np.empty((len(held), BUCKETS), np.float32)
+        for i, (_, _, at, n) in enumerate(held):
+            counts = np.full(BUCKETS, smoothing)
+            counts[at] += n
+            log_p[i] = np.log(counts / counts.sum())
+        prior = np.log(np.array([h[1] for h in held], float) / all_texts)
+        blocks.append(spark.sparkContext.broadcast(Block([h[0] for h in held], prior, log_p)))
+        held.clear()
+
+    for row in by_lang.orderBy("lang").toLocalIterator():
+        found = np.array([(bucket, n) for bucket, n in row.grams if bucket >= 0], np.int64).reshape(-1, 2)
+        held.append((row.lang, row.texts, found[:, 0], found[:, 1]))
+        if len(held) == BLOCK_LANGUAGES:
+            close()
+    if held:
+        close()
+    return Model(blocks) if blocks else None
 
 
 def _best(grams: Grams, model: Model | None, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -123,13 +157,20 @@ def _best(grams: Grams, model: Model | None, texts: list[str]) -> tuple[list[str
     buckets, owners, lettered = grams.of(texts)
     # each distinct n-gram of a text once, with its count
     key, n = np.unique(owners * BUCKETS + buckets, return_counts=True)
-    rows = model.log_p[key & (BUCKETS - 1)].astype(np.float64) * n[:, None]
-    of = key // BUCKETS
-    total = np.stack([np.bincount(of, rows[:, k], len(texts)) for k in range(len(model.languages))], axis=1) + model.prior
-    top = total.argmax(axis=1)
-    share = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    of, bucket = key // BUCKETS, key & (BUCKETS - 1)
+    names, top = np.full(len(texts), NONE, object), np.full(len(texts), -np.inf)
+    rest = np.zeros(len(texts))  # sum over the languages so far of their probabilities as shares of the best one's
+    for block in model.each():
+        total = np.stack([np.bincount(of, p[bucket].astype(np.float64) * n, len(texts)) for p in block.log_p], axis=1) + block.prior
+        first, most = total.argmax(axis=1), total.max(axis=1)
+        above = most > top  # of equal ones the first stays
+        names[above] = np.array(block.languages, object)[first[above]]
+        new = np.maximum(top, most)
+        rest = rest * np.exp(top - new) + np.exp(total - new[:, None]).sum(axis=1)
+        top = new
+    share = 1 / rest
     for i in np.flatnonzero(lettered):
-        best[i] = model.languages[top[i]]
+        best[i] = names[i]
     posterior[lettered] = share[lettered]
     return best, posterior
 
@@ -137,14 +178,13 @@ def _best(grams: Grams, model: Model | None, texts: list[str]) -> tuple[list[str
 def predict(spark: SparkSession, docs: DataFrame, model: Model | None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Most probable language of each whole text and its posterior probability; ``und`` and 0 without a letter.
 
-    The model is broadcast. Texts are scored batch by batch: rows of the log-probability matrix are taken for the
-    n-grams that occur and summed by text. Ties go to the first language in alphabetical order. Null texts are empty;
+    The model is broadcast in blocks of languages. Texts are scored batch by batch: for each language the log
+    probabilities of the n-grams that occur are summed by text; the best language and the sum of all are kept over the
+    blocks. Ties go to the first language in alphabetical order. Null texts are empty;
     repeated rows are scored each; without a model every text is ``und``; other columns are not read.
     """
-    shared = spark.sparkContext.broadcast(model)
-
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, model = Grams(), shared.value
+        grams = Grams()
         for batch in pieces_of(batches, 1 << 20):
             best, posterior = _best(grams, model, pc.fill_null(batch.column("text"), "").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(best), pa.array(posterior)], names=["doc_id", "lang_pred", "score"])
@@ -157,10 +197,10 @@ def accepted(spark: SparkSession, docs: DataFrame, least_score: float = 0.5) ->
 
     The model is of the learnable rows of ``docs`` itself. Texts without a letter are rejected.
     """
-    shared = spark.sparkContext.broadcast(train(spark, docs.where(learnable(F.col("doc_id")))))
+    model = train(spark, docs.where(learnable(F.col("doc_id"))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, model = Grams(), shared.value
+        grams = Grams()
         for batch in pieces_of(batches, 1 << 20):
             best, posterior = _best(grams, model, pc.fill_null(batch.column("text"), "").to_pylist())
             yield batch.filter(pa.array((np.array(best) != NONE) & (posterior >= least_score)))

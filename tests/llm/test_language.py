@@ -44,3 +44,23 @@ def test_scores_are_those_of_bayes(spark, texts):
         got = predict(spark, texts([(1, text)]), model).first()
         assert got.lang_pred == "xy"[int(np.argmax(logs))]
         assert abs(got.score - np.exp(max(logs) - np.logaddexp(*logs))) < 1e-4
+
+
+def test_languages_beyond_one_block(spark):
+    import numpy as np
+
+    from sediment.llm.language import BUCKETS, Grams
+
+    rows = [(k, f"{chr(0x4E00 + k)}{chr(0x4E00 + 3 * k)} {chr(0x4E00 + k)}", f"l{k:03}") for k in range(300) for _ in range(2 if k < 260 else 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in predict(spark, docs.dropDuplicates(["doc_id"]), train(spark, docs, smoothing=0.01)).collect()}
+    assert {k: r.lang_pred for k, r in got.items()} == {k: f"l{k:03}" for k in range(300)}
+    grams, counts = Grams(), np.full((300, BUCKETS), 0.01)
+    texts = np.zeros(300)
+    for k, t, _ in rows:
+        np.add.at(counts[k], grams.of([t])[0], 1)
+        texts[k] += 1
+    log_p = np.log(counts / counts.sum(axis=1, keepdims=True))
+    for k in (0, 255, 256, 299):
+        logs = np.log(texts / texts.sum()) + log_p[:, grams.of([rows[[r[0] for r in rows].index(k)][1]])[0]].sum(axis=1)
+        assert abs(got[k].score - 1 / np.exp(logs - logs.max()).sum()) < 1e-4
