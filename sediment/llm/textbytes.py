@@ -1,7 +1,8 @@
 """Texts of an Arrow batch as byte arrays, with hashes of words and byte runs by prefix sums.
 
-All hashes are 64-bit polynomial hashes over random byte values, finished by a mixing step, so they depend on the
-bytes alone and are the same in every task.
+Runs of bytes are hashed by a polynomial modulo the prime 2^61 - 1, finished by a mixing step. A prime modulus has no
+zero divisors, so no family of words (such as the Thue-Morse words, whose sums agree modulo 2^64 for every base) has
+equal hashes by construction. Hashes depend on the bytes alone and are the same in every task.
 """
 
 from __future__ import annotations
@@ -12,8 +13,13 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BASE = 0x9E3779B97F4A7C15 | 1
-_VALUES = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PRIME = (1 << 61) - 1
+BASE = 0x1E3779B97F4A7C15 % PRIME
+_VALUES = np.random.default_rng(20240131).choice(np.arange(1, 1 << 16, dtype=np.uint64), 256, replace=False) * np.uint64(32_749) + np.uint64(17)
+_P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+#: Numbers that are worked on at a time, so that what comes in between stays in a core's cache.
+_STEP = 1 << 13
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
@@ -28,14 +34,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.minimum(x, x - _P)
+
+
+def _times_31_bits(x: np.ndarray) -> np.ndarray:
+    """x * 2^31 of numbers below 2^61, below 2^62: bits from 2^61 on come in again at the bottom."""
+    return ((x & _LOW30) << _31) + (x >> _30)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    return _reduced(((a1 * b1) << np.uint64(1)) + _times_31_bits(a1 * b0 + a0 * b1) + a0 * b0)
+
+
 def power(n: int, kind: str = "up") -> np.ndarray:
-    """The first ``n`` powers of the base, or of its inverse."""
-    if len(_powers[kind]) < n:
-        base = BASE if kind == "up" else pow(BASE, -1, 1 << 64)
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind][:n]
+    """The first ``n`` powers of the base, or of its inverse, modulo the prime."""
+    known = _powers[kind]
+    while len(known) < n:
+        base = BASE if kind == "up" else pow(BASE, -1, PRIME)
+        step = np.full(len(known), pow(base, len(known), PRIME), np.uint64)
+        known = np.concatenate([known, product(known, step)])
+        _powers[kind] = known
+    return known[:n]
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -76,9 +100,16 @@ class Texts:
         return np.diff(self.offsets)
 
     def prefix(self) -> np.ndarray:
-        """Sums for :func:`run_hash`, one longer than the data."""
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(_VALUES[self.data] * power(len(self.data)), out=sums[1:])
+        """Sums modulo the prime for :func:`run_hash`, one longer than the data."""
+        n = len(self.data)
+        sums, powers, before = np.zeros(n + 1, np.uint64), power(n), np.uint64(0)
+        for k in range(0, n, _STEP):
+            up, values = powers[k : k + _STEP], _VALUES[self.data[k : k + _STEP]]
+            terms = _reduced(_times_31_bits((up >> _31) * values) + (up & _LOW31) * values)
+            high = np.cumsum(terms >> _31)
+            part = _reduced(_times_31_bits(high) + np.cumsum(terms & _LOW31) + before)
+            sums[k + 1 : k + 1 + len(part)] = part
+            before = part[-1]
         return sums
 
     def words(self, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -102,7 +133,11 @@ class Texts:
 
 def run_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes from each start to each end."""
-    return mix((sums[ends] - sums[starts]) * power(len(sums), "down")[starts])
+    down, found = power(len(sums), "down"), np.empty(len(starts), np.uint64)
+    for k in range(0, len(starts), _STEP):
+        s, e = starts[k : k + _STEP], ends[k : k + _STEP]
+        found[k : k + _STEP] = mix(product(_reduced(sums[e] + (_P - sums[s])), down[s]))
+    return found
 
 
 def table(allowed: str | bytes, high: bool = False) -> np.ndarray:
