@@ -13,7 +13,9 @@ from sediment.llm.embeddings import near_vectors
 from sediment.llm.jaccard import near_documents
 from sediment.llm.language import identify
 from sediment.llm.lm import score_texts
+from sediment.llm.manifest import verified_documents
 from sediment.llm.packing import pack
+from sediment.llm.periodic import run_digests
 from sediment.llm.secrets import scan_secrets
 from sediment.llm.substrings import repeated_bytes
 from sediment.llm.token_counts import token_counts
@@ -63,6 +65,14 @@ def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return run_digests(spark.read.parquet(f"{sf}/documents.parquet"))
+
+
+def op13_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return verified_documents(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def reach_workers(spark: SparkSession) -> None:
     """Lets Python workers import this package from where the driver has it, unless they find it already."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
