@@ -193,3 +193,44 @@ def verified_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "doc_id", hexed(F.col("digest")).alias("leaf"), hexed(F.col("subroot")).alias("subroot"), hexed(F.col("root")).alias("root"),
         proof_digest(F.col("way")).alias("proof_sha256"), hexed(back).alias("folded_root"), (back == F.col("root")).alias("verified"),
     )
+
+
+def _oracle(leaf_levels: int = 7, group_levels: int = 4) -> str:
+    """SQL for :func:`verified_documents`: the tree level by level; as many levels as 16^7 leaves a source need."""
+    told = lambda v: f"CASE WHEN {v} IS NULL THEN '-' ELSE strlen({v}::VARCHAR) || ':' || {v}::VARCHAR END"
+    fields = lambda text: " || ".join(told(v) for v in [*FIELDS[:-1], text])
+    lower = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+    bit = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))"
+    letters = "list_transform(range(1, len(doc_id::VARCHAR) + 1), lambda i: ord((doc_id::VARCHAR)[i])::BIGINT)"
+    crc = f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], {letters}), lambda c, b: {bit}))"
+    parts = [
+        f"leaves AS MATERIALIZED (SELECT doc_id, source, sha256({fields('text')}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({fields(lower)}) END AS changed FROM documents)",
+        "l0 AS MATERIALIZED (SELECT source AS grp, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS nth, leaf AS node, doc_id, changed FROM leaves)",
+        "d0 AS MATERIALIZED (SELECT doc_id, node AS leaf, coalesce(changed, node) AS acc, '' AS proof, grp, nth FROM l0)",
+    ]
+
+    def level(k: int) -> list[str]:
+        siblings = [f"array_to_string(members[{a}:{b}], '')" for a, b in (("1", "d.nth % 16"), ("d.nth % 16 + 2", "16"))]
+        left, right = (f"CASE WHEN {c} THEN '' ELSE {x} END" for c, x in zip(("d.nth % 16 = 0", "false"), siblings))
+        return [
+            f"r{k} AS MATERIALIZED (SELECT grp, nth // 16 AS run_no, list(node ORDER BY nth) AS members, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY grp) AS n FROM l{k}) GROUP BY grp, nth // 16)",
+            f"l{k + 1} AS MATERIALIZED (SELECT grp, run_no AS nth, CASE WHEN n = 1 THEN members[1] ELSE sha256(array_to_string(members, '')) END AS node FROM r{k})",
+            f"d{k + 1} AS MATERIALIZED (SELECT doc_id, leaf, CASE WHEN n = 1 THEN acc ELSE sha256(({left}) || acc || ({right})) END AS acc, CASE WHEN n = 1 THEN proof ELSE proof || ({left}) || ({right}) END AS proof, d.grp, d.nth // 16 AS nth, EXTRA FROM d{k} d JOIN r{k} r ON d.grp IS NOT DISTINCT FROM r.grp AND d.nth // 16 = r.run_no)",
+        ]
+
+    for k in range(leaf_levels):
+        parts += [p.replace(", EXTRA", "") for p in level(k)]
+    m = leaf_levels
+    parts.append(f"tops AS MATERIALIZED (SELECT grp AS source, node AS subroot, row_number() OVER (ORDER BY grp NULLS FIRST) - 1 AS nth FROM l{m})")
+    parts.append(f"l{m + 1} AS MATERIALIZED (SELECT 0 AS grp, nth, subroot AS node FROM tops)")
+    parts.append(f"d{m + 1} AS MATERIALIZED (SELECT doc_id, leaf, acc, proof, 0 AS grp, t.nth, subroot FROM d{m} d JOIN tops t ON d.grp IS NOT DISTINCT FROM t.source)")
+    for k in range(m + 1, m + 1 + group_levels):
+        parts += [p.replace("EXTRA", "subroot") for p in level(k)]
+    end = m + 1 + group_levels
+    return (
+        f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, (SELECT node FROM l{end}) AS root, sha256(proof) AS proof_sha256, "
+        f"acc AS folded_root, acc = (SELECT node FROM l{end}) AS verified FROM d{end}"
+    )
+
+
+ORACLE_SQL = _oracle()

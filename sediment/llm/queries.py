@@ -7,10 +7,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sediment.llm import decontamination, embeddings, jaccard
+from sediment.llm import decontamination, embeddings, jaccard, kmers, manifest
 from sediment.llm.decontamination import contaminated
 from sediment.llm.embeddings import near_vectors
 from sediment.llm.jaccard import near_documents
+from sediment.llm.kmers import word_digests
 from sediment.llm.language import identify
 from sediment.llm.lm import score_texts
 from sediment.llm.manifest import verified_documents
@@ -58,13 +59,17 @@ def op8_secrets(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def op9_scores(spark: SparkSession, sf: str) -> DataFrame:
-    return score_texts(spark, spark.read.parquet(f"{sf}/documents.parquet"), least_count=1)
+    return score_texts(spark, spark.read.parquet(f"{sf}/documents.parquet"))
 
 
 def op10_urls(spark: SparkSession, sf: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf}/pages.parquet"))
 
 
+def op11_repeated_words(spark: SparkSession, sf: str) -> DataFrame:
+    return word_digests(spark, spark.read.parquet(f"{sf}/documents.parquet"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return run_digests(spark.read.parquet(f"{sf}/documents.parquet"))
 
@@ -99,4 +104,6 @@ def statements() -> dict[str, str]:
         "op2_near_vectors": embeddings.ORACLE_SQL,
         "op5_contaminated": decontamination.ORACLE_SQL,
         "op7_near_documents": jaccard.ORACLE_SQL,
+        "op11_repeated_words": kmers.ORACLE_SQL,
+        "op13_manifest": manifest.ORACLE_SQL,
     }

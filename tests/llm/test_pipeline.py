@@ -25,5 +25,5 @@ def test_stages_keep_clean_documents(spark, tmp_path):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if re.match(r"op\d+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
-    assert {n for n in entry.oracle_sql() if re.match(r"op\d+_", n)} == {"op2_near_vectors", "op5_contaminated", "op7_near_documents"}
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
+    assert {n for n in entry.oracle_sql() if re.match(r"op\d+_", n)} == {"op2_near_vectors", "op5_contaminated", "op7_near_documents", "op11_repeated_words", "op13_manifest"}
