@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.textbytes import pieces_of
+from sediment.llm.textbytes import Texts, pieces_of
 
 #: Fixed patterns, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -25,15 +27,17 @@ _MAY = {
     "assign": r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]""",
     "access": r"AKIA[A-Z0-9]{16}",
     "hex": r"[0-9a-f]{24}",
-    "format": r"[A-Za-z0-9+/_.=-]{16}",
 }
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 #: Character classes of the alphabet of formats, with the number of characters in each.
 CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "L": "GHIJKLMNOPQRSTUVWXYZ"} | {c: c for c in "+/_.=-"}
 _CLASS_OF = {ord(c): k for k, cs in CLASSES.items() for c in cs}
 _ALPHABET = sum(map(len, CLASSES.values()))
-#: Labelled shapes to learn from, of each kind, and their first characters.
-SHAPES, SHAPE_LENGTH = 600, 48
+_CODES = np.full(256, len(CLASSES), np.uint8)
+for _code, _members in enumerate(CLASSES.values()):
+    _CODES[np.frombuffer(_members.encode(), np.uint8)] = _code
+_PLAIN_BITS = np.array([math.log2(len(cs) / _ALPHABET) for cs in CLASSES.values()])
+#: Labelled shapes to learn from, of each kind, the characters in all of them, and in the longest. Shapes are whole.
+SHAPES, CHARACTERS, LONGEST = 600, 60_000, 4_096
 
 Span = tuple[int, int, str]
 
@@ -70,10 +74,11 @@ class Automaton:
         self.through: list[dict[str, int]] = [{}]
         self.ends, self.total = [0], [0]
         self.bound = math.sqrt(0.5 * math.log(2 / alpha))
+        self.shortest = min((len(word) for word, _ in shapes), default=1)
         for word, n in sorted(shapes):
             state = 0
             self.total[0] += n
-            for c in word[:SHAPE_LENGTH]:
+            for c in word:
                 if c not in self.next[state]:
                     self.next[state][c] = len(self.next)
                     self.next.append({})
@@ -89,6 +94,39 @@ class Automaton:
             {c: (self.next[s][c], math.log2((k + 0.1) / (self.total[s] + 0.1 * len(CLASSES)))) for c, k in self.through[s].items()}
             for s in range(len(self.next))
         ]
+        kept = {s: k for k, s in enumerate(self._reached())}
+        # the same as tables over class numbers, the bits of evenly drawn characters taken off
+        self.table, self.bits = np.zeros((len(kept), len(CLASSES)), np.int32), np.zeros((len(kept), len(CLASSES)))
+        for s, k in kept.items():
+            miss = math.log2(0.1 / (self.total[s] + 0.1 * len(CLASSES)))
+            for j, c in enumerate(CLASSES):
+                target, bits = self.steps[s].get(c, (0, miss))
+                self.table[k, j], self.bits[k, j] = kept[target], bits - _PLAIN_BITS[j]
+
+    def _reached(self) -> list[int]:
+        """The states that merging left, the first one first."""
+        found, waiting = [0], [0]
+        known = {0}
+        while waiting:
+            for target in self.next[waiting.pop()].values():
+                if target not in known:
+                    known.add(target)
+                    found.append(target)
+                    waiting.append(target)
+        return found
+
+    def gains(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """:meth:`gain` of many words at once, given as stretches of class numbers: one step for each place in a word."""
+        order = np.argsort(-sizes, kind="stable")
+        start, left = starts[order], np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
+        state, bits = np.zeros(len(order), np.int32), np.zeros(len(order))
+        for j, n in enumerate(left.tolist()):  # as many words are longer than j
+            code = codes[start[:n] + j]
+            bits[:n] += self.bits[state[:n], code]
+            state[:n] = self.table[state[:n], code]
+        out = np.empty(len(order))
+        out[order] = bits
+        return out
 
     def _differ(self, a: int, n: int, b: int, m: int) -> bool:
         return n > 0 and m > 0 and abs(a / n - b / m) > self.bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
@@ -121,15 +159,16 @@ class Automaton:
                     self.next[a][c] = target
 
     def _merge(self) -> None:
-        red, at = [0], 0
+        red, at, known = [0], 0, {0}
         while at < len(red):
             for c in sorted(self.next[red[at]]):
                 blue = self.next[red[at]][c]
-                if blue in red:
+                if blue in known:
                     continue
                 same = next((r for r in red if self._alike(r, blue)), None)
                 if same is None:
                     red.append(blue)
+                    known.add(blue)
                 else:
                     self.next[red[at]][c] = same
                     self._fold(same, blue)
@@ -153,8 +192,8 @@ class Automaton:
 def learn_formats(spark: SparkSession, docs: DataFrame, shapes: int = SHAPES, text_column: str = "text") -> dict[str, Automaton]:
     """An automaton per kind from the credentials that the fixed patterns find in all texts.
 
-    Shapes are counted over all texts; of each kind the ``shapes`` with the smallest hash are the bounded sample of
-    labelled rows that the automaton is fitted on.
+    Shapes are counted over all texts, whole. The automaton is fitted on a bounded sample of labelled rows: of each kind
+    the ``shapes`` with the smallest hash among those of up to ``LONGEST`` characters, as far as ``CHARACTERS`` go.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +201,7 @@ def learn_formats(spark: SparkSession, docs: DataFrame, shapes: int = SHAPES, te
             rows: dict[tuple[str, str], int] = {}
             for _, text, kinds in _likely(batch, KINDS[:3]):
                 for (_, _, kind), value in base_spans(text, kinds):
-                    key = kind, shape(value)[:SHAPE_LENGTH]
+                    key = kind, shape(value)
                     rows[key] = rows.get(key, 0) + 1
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -172,7 +211,9 @@ def learn_formats(spark: SparkSession, docs: DataFrame, shapes: int = SHAPES, te
     texts = docs.select(F.col(f"`{text_column}`").cast("string").alias("text")).where("text is not null")
     counts = texts.mapInArrow(find, "kind string, shape string, n long").groupBy("kind", "shape").agg(F.sum("n").alias("n"))
     by_hash = Window.partitionBy("kind").orderBy(F.xxhash64("shape"), "shape")
-    sample = counts.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= shapes).collect()
+    short = counts.where(F.length("shape") <= LONGEST)
+    ranked = short.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= shapes)
+    sample = ranked.withColumn("before", F.sum(F.length("shape")).over(by_hash)).where((F.col("before") <= CHARACTERS) | (F.col("rank") == 1)).collect()
     return {k: Automaton([(r["shape"], r.n) for r in sample if r.kind == k]) for k in KINDS[:3] if any(r.kind == k for r in sample)}
 
 
@@ -185,20 +226,87 @@ def _likely(batch: pa.RecordBatch, kinds: tuple[str, ...]) -> Iterator[tuple[int
         yield int(i), column[int(i)].as_py(), tuple(k for k in kinds if may[k][i])
 
 
-def _all_spans(text: str, kinds: tuple[str, ...], formats: dict[str, Automaton], least_bits: float, bits_per_character: float) -> tuple[list[Span], list[Span], float | None]:
-    base = [s for s, _ in base_spans(text, kinds)]
-    added, best = [], None
-    if "format" in kinds and formats:
-        for m in _CANDIDATE.finditer(text):
-            value = m[0]
-            if not (any(c.isdigit() for c in value) and any(c.isalpha() for c in value)):
-                continue
-            word = shape(value)
-            bits = max(a.gain(word) for a in formats.values())
-            best = max(bits / len(word), best if best is not None else -math.inf)
-            if bits >= least_bits and bits >= bits_per_character * len(word) and not any(s < m.end() and m.start() < e for s, e, _ in base):
-                added.append((m.start(), m.end(), "format"))
-    return base, sorted(base + added, key=lambda s: (s[0], KINDS.index(s[2]))), best
+def candidates(laid: Texts, shortest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, size and text of the longest runs of the characters of credentials, from ``shortest`` on."""
+    starts, ends, of = laid.words(_CODES < len(CLASSES))
+    long = ends - starts >= shortest
+    return starts[long], (ends - starts)[long], of[long]
+
+
+#: Kinds of characters that ordinary words and numbers keep to, and how often the next one is of the same kind.
+_KINDS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_.=-")
+STAY = 0.85
+_KIND_OF = np.full(256, 4, np.uint8)
+for _kind, _members in enumerate(_KINDS):
+    _KIND_OF[np.frombuffer(_members.encode(), np.uint8)] = _kind
+_EVENLY = math.log2(_ALPHABET)
+_SAME, _OTHER, _FIRST = (np.array([_EVENLY + math.log2(p / len(k)) for k in _KINDS] + [0.0]) for p in (STAY, (1 - STAY) / 3, 0.25))
+
+
+def plain_bits(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Bits by which ordinary writing explains each word better than evenly drawn characters do; 0 where it does not.
+
+    There are two such explanations: one character again and again (half of the characters are like the one before, the
+    others drawn), and words and numbers, where the next character is of the same kind with probability ``STAY``.
+    """
+    ends = starts + sizes
+    again, steps = np.zeros(len(data) + 1, np.int64), np.zeros(len(data) + 1)
+    np.cumsum(data[1:] == data[:-1], out=again[2:])
+    same = again[ends] - again[starts + 1]
+    kind = _KIND_OF[data]
+    np.cumsum(np.where(kind[1:] == kind[:-1], _SAME[kind[1:]], _OTHER[kind[1:]]), out=steps[2:])
+    words = _FIRST[kind[starts]] + steps[ends] - steps[starts + 1]
+    return np.maximum(np.maximum(same * (_EVENLY - 1) - (sizes - 1 - same), words), 0.0)
+
+
+def _all_spans(
+    batch: pa.RecordBatch, formats: dict[str, Automaton], least_bits: float, bits_per_character: float
+) -> tuple[dict[int, str], dict[int, list[Span]], dict[int, list[Span]], np.ndarray]:
+    """Texts, fixed and all spans of the rows that have any, and for each row the best candidate's bits a character.
+
+    Every candidate is scored; the texts of those that fit a format, few, are then looked at one by one.
+    """
+    base, texts = {}, {}
+    for i, text, kinds in _likely(batch, KINDS[:3]):
+        if found := [span for span, _ in base_spans(text, kinds)]:
+            base[i], texts[i] = found, text
+    every, best = dict(base), np.full(batch.num_rows, np.nan)
+    if formats:
+        laid = Texts(batch.column("text"))
+        start, size, of = candidates(laid, min(a.shortest for a in formats.values()))
+        codes, bits = _CODES[laid.data], np.full(len(start), -np.inf)
+        for automaton in formats.values():
+            own = size >= automaton.shortest
+            bits[own] = np.maximum(bits[own], automaton.gains(codes, start[own], size[own]))
+        bits -= plain_bits(laid.data, start, size)
+        np.fmax.at(best, of, bits / size)
+        fits = np.flatnonzero((bits >= least_bits) & (bits >= bits_per_character * size))
+        rows = of[fits]
+        for i in np.unique(rows).tolist():
+            text = texts.setdefault(i, batch.column("text")[i].as_py())
+            raw, first, taken = text.encode(), int(laid.offsets[i]), _taken(base.get(i, []))
+            own, at, points = [], 0, 0
+            for k in fits[np.searchsorted(rows, i) : np.searchsorted(rows, i, side="right")].tolist():
+                begin = int(start[k]) - first
+                points += len(raw[at:begin].decode())
+                at, span = begin, (points, points + int(size[k]), "format")
+                place = bisect.bisect_left(taken, (span[1],)) - 1
+                if place < 0 or taken[place][1] <= span[0]:
+                    own.append(span)
+            if own:
+                every[i] = sorted(base.get(i, []) + own, key=lambda s: (s[0], KINDS.index(s[2])))
+    return texts, base, every, best
+
+
+def _taken(spans: list[Span]) -> list[tuple[int, int]]:
+    """The union of spans that come in order of their start."""
+    out: list[tuple[int, int]] = []
+    for start, end, _ in spans:
+        if out and start <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], end)
+        else:
+            out.append((start, end))
+    return out
 
 
 def _joined(spans: list[Span]) -> str:
@@ -215,10 +323,10 @@ def scan_secrets(
 ) -> DataFrame:
     """Spans of credentials in every whole text: the fixed patterns', and candidates that a learned format fits.
 
-    A candidate is a run of 16 or more of the characters in which credentials are written, with a digit and a letter.
-    It is added, as kind ``format``, if some kind's automaton expects it by ``least_bits`` and ``bits_per_character``
-    more than evenly drawn characters, and if it overlaps no span of the fixed patterns. ``format_score`` is the best
-    candidate's bits a character. Null and empty texts have no spans; repeated rows are scanned each; null ids stay;
+    A candidate is a whole run of the characters in which credentials are written, as long as the shortest labelled one
+    or longer; each is scored, of any length. It is added, as kind ``format``, if some kind's automaton expects it by
+    ``least_bits`` and ``bits_per_character`` more than evenly drawn characters or ordinary writing (:func:`plain_bits`),
+    and if it overlaps no span of the fixed patterns. ``format_score`` is the best candidate's bits a character, null without one. Null and empty texts have no spans; repeated rows are scanned each; null ids stay;
     other columns are not read. No text is shuffled.
     """
     formats = spark.sparkContext.broadcast(learn_formats(spark, docs, text_column=text_column))
@@ -228,14 +336,17 @@ def scan_secrets(
         for batch in pieces_of(batches):
             n = batch.num_rows
             counts = {k: [0] * n for k in KINDS[:3]}
-            digests, spans, scores = [none] * n, [""] * n, [None] * n
-            for i, text, kinds in _likely(batch, KINDS):
-                base, every, scores[i] = _all_spans(text, kinds, formats.value, least_bits, bits_per_character)
-                for _, _, kind in base:
+            digests, spans = [none] * n, [""] * n
+            _, base, every, best = _all_spans(batch, formats.value, least_bits, bits_per_character)
+            scores = pa.array(best, mask=np.isnan(best))
+            for i, found in base.items():
+                for _, _, kind in found:
                     counts[kind][i] += 1
-                digests[i], spans[i] = hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(every)
+                digests[i] = hashlib.sha256(_joined(found).encode()).hexdigest()
+            for i, found in every.items():
+                spans[i] = _joined(found)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digests), pa.array(spans), pa.array(scores, pa.float64())],
+                [batch.column("doc_id"), *(pa.array(counts[k], pa.int64()) for k in KINDS[:3]), pa.array(digests), pa.array(spans), scores],
                 names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "format_score"],
             )
 
@@ -253,9 +364,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, mark: str = "[secret]",
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces_of(batches):
             changed = {}
-            for i, text, kinds in _likely(batch, KINDS):
-                spans = _all_spans(text, kinds, formats.value, least_bits, bits_per_character)[1]
-                out, at = [], 0
+            known, _, every, _ = _all_spans(batch, formats.value, least_bits, bits_per_character)
+            for i, spans in every.items():
+                text, out, at = known[i], [], 0
                 for start, end, _ in spans:
                     if start >= at:
                         out += [text[at:start], mark]

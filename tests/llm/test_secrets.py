@@ -1,8 +1,10 @@
 import hashlib
+import math
 import random
 import re
+import string
 
-from sediment.llm.secrets import Automaton, learn_formats, redact_secrets, scan_secrets, shape
+from sediment.llm.secrets import CLASSES, Automaton, learn_formats, redact_secrets, scan_secrets, shape
 
 FORMS = [
     ("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A), 2, 6),
@@ -89,3 +91,60 @@ def test_states_merge_into_loops():
     # the shares of a two-state language: after L always d, after d always L
     other = Automaton([("Ld" * n, 10) for n in range(1, 12)])
     assert other.gain("Ld" * 8) > 0 > other.gain("LL" * 8)
+
+
+def plain_gain(automaton, word):
+    """Bits of a word, state by state, from the merged counts."""
+    state, bits = 0, 0.0
+    for c in shape(word):
+        total = automaton.total[state] + 0.1 * len(CLASSES)
+        bits += math.log2((automaton.through[state].get(c, 0) + 0.1) / total) - math.log2(len(CLASSES[c]) / sum(map(len, CLASSES.values())))
+        state = automaton.next[state].get(c, 0)
+    return bits
+
+
+def ordinary_bits(word):
+    kinds = [string.ascii_lowercase, string.ascii_uppercase, string.digits, "+/_.=-"]
+    of = [next(k for k in kinds if c in k) for c in word]
+    same = sum(x == y for x, y in zip(word, word[1:]))
+    repeated = same * math.log2(68 / 2) + (len(word) - 1 - same) * math.log2(1 / 2)
+    chain = math.log2(68 * 0.25 / len(of[0])) + sum(math.log2(68 * (0.85 if x == y else 0.05) / len(y)) for x, y in zip(of, of[1:]))
+    return max(0, repeated, chain)
+
+
+def test_every_candidate_is_scored(spark, texts):
+    rng = random.Random(9)
+    key = lambda pairs: "".join(f"{rng.choice('ghij')}{rng.choice('klmn')}{rng.randint(10, 99)}" for _ in range(pairs))
+    labelled = [f"secret = {key(3)}" for _ in range(40)] + [f'the token: "{key(16)}"' for _ in range(20)]
+    short, long = key(3), key(16)
+    ordinary = "the ordinary words of a sentence, with (some) numbers 2024 and 12.5 and é a_name or an/other"
+    odd = f"é é token=abcdefgh {short}é\n{long}.x {short * 9} token={short}"
+    rows = list(enumerate([*labelled, f"bare {short} here", f"bare {long}", ordinary, odd, "x" * 5000, "k" * 70_000 + " " + short, ""]))
+    formats = learn_formats(spark, texts(rows))
+    shortest = min(a.shortest for a in formats.values())
+    assert shortest == 8
+    got = {r.doc_id: r for r in scan_secrets(spark, texts(rows)).collect()}
+    for i, text in rows:
+        base, want, best = by_force(text), [], None
+        covered = {k for span in base for k in range(int(span.split(":")[1]), int(span.split(":")[2]))}
+        for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text):
+            if len(m[0]) < shortest:
+                continue
+            bits = max(plain_gain(a, m[0]) for a in formats.values() if len(m[0]) >= a.shortest) - ordinary_bits(m[0])
+            best = max(bits / len(m[0]), best if best is not None else -math.inf)
+            if bits >= 24 and bits >= 1.2 * len(m[0]) and not covered & set(range(m.start(), m.end())):
+                want.append(f"format:{m.start()}:{m.end()}")
+        assert [s for s in got[i].spans.split(",") if s.startswith("format")] == want, text[:80]
+        assert (got[i].format_score is None) == (best is None) and (best is None or abs(got[i].format_score - best) < 1e-9)
+    assert got[60].spans == f"format:5:{5 + len(short)}" and got[61].spans == "format:5:69" and got[62].spans == ""
+    clean = {r.doc_id: r.text for r in redact_secrets(spark, texts(rows)).collect()}
+    assert clean[60] == "bare [secret] here" and clean[61] == "bare [secret]" and clean[62] == ordinary
+    assert short not in clean[63].replace(short * 9, "") and long not in clean[63]
+
+
+def test_long_labelled_values(spark, texts):
+    rng = random.Random(1)
+    draw = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    rows = [(i, f"token={draw(n)}") for i, n in enumerate([200_000, 3000, 3000, *[64] * 30])] + [(99, f"bare {draw(64)}x")]
+    got = {r.doc_id: r.spans for r in scan_secrets(spark, texts(rows)).collect()}
+    assert got[0] == "assign:0:200006,hex:6:200006" and got[99].startswith("hex:5:69")
