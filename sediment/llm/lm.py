@@ -1,4 +1,9 @@
-"""Language-model scores from a log-frequency Bloom filter, and exact unigram scores."""
+"""Language-model scores from a log-frequency Bloom filter, and exact unigram scores.
+
+N-grams are dealt out by ranges of their hashes, of which there are as many as the text needs, so that what a range holds,
+is asked and answers stays as small for any input. Each range has a segment of the filter. Segments are broadcast in
+groups of bounded size, one group after another; the levels that a group tells are kept with the texts until the last.
+"""
 
 from __future__ import annotations
 
@@ -14,19 +19,23 @@ from pyspark.sql import functions as F
 
 from sediment.llm.components import stored
 from sediment.llm.textbytes import Texts, mix, pieces_of, run_hash, table
+from sediment.session import scratch_dir
+from sediment.sources import filesystem
 
 #: A word is a run of bytes other than these.
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _NOT_SPACE = ~table(SPACE)
 _START, _END = np.uint64(0xA5A5A5A5A5A5A5A5), np.uint64(0x5A5A5A5A5A5A5A5B)
 _K1, _K2, _K3 = np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9), np.uint64(0x27D4EB2F165667C5)
-#: Bits of the filter for each entry at least, probes for each entry, and the most bytes of a filter that is broadcast.
-ENTRY_BITS, PROBES, BROADCAST_BYTES = 12, 4, 64 << 20
-#: Words with at least this share of all tokens are counted apart, unless a larger share is enough for the shards.
-HEAVY_SHARE = 2.0**-20
+#: Bits of the filter for each entry, probes for each entry, and the most bytes of segments that are broadcast at once.
+ENTRY_BITS, PROBES, BROADCAST_BYTES = 12, 4, 160 << 20
+#: Words with at least this share of all tokens, of which there are 2^18 at most, are broadcast with their counts.
+HEAVY_SHARE = 2.0**-18
+#: Bytes of text for which there is one range of hashes.
+RANGE_BYTES = 32 << 20
 #: Share of the bigram estimate in a probability.
 WEIGHT = 0.6
-BATCH_BYTES, BATCH_TEXTS = 4 << 20, 60_000
+BATCH_BYTES, BATCH_TEXTS = 8 << 20, 60_000
 
 
 def learnable(doc_id: Column) -> Column:
@@ -57,10 +66,11 @@ class Tokens:
         return mix(self.previous * _K1 + self.token * _K2 + _K3) & np.uint64(0xFFFFFFFFFFFFFFFF << (24 - bits) & 0xFFFFFFFFFFFFFFFF)
 
 
-def _shards(h: np.ndarray, bits: int) -> np.ndarray:
-    """Where each shard, named by the first bits, begins in sorted hashes, and the end."""
-    edges = np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)
-    return np.append(np.searchsorted(h, edges), len(h))
+def _shards(h: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
+    """The shards, named by the first bits, that sorted hashes are in, with where each begins and ends."""
+    shard = (h >> np.uint64(64 - bits)).astype(np.int64)
+    begin = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])[: len(h)])
+    return list(zip(shard[begin].tolist(), begin.tolist(), np.append(begin[1:], len(h)).tolist()))
 
 
 def _short(h: np.ndarray, bits: int) -> np.ndarray:
@@ -98,23 +108,23 @@ def expected(level: np.ndarray, least: int = 2) -> np.ndarray:
     return np.where(level > 0, np.sqrt(low * (2 * low - 1)), 0.0)
 
 
-def _places(h: np.ndarray, step: int, size: int) -> Iterator[np.ndarray]:
+def _places(h: np.ndarray, step: int, size: int | np.ndarray) -> Iterator[np.ndarray]:
     first = mix(h + np.uint64(step * int(_K3) & 0xFFFFFFFFFFFFFFFF))
     stride = mix(first ^ _K1) | np.uint64(1)
     for i in range(PROBES):
-        yield (first + np.uint64(i) * stride) & (size - np.uint64(1) if isinstance(size, np.ndarray) else np.uint64(size - 1))
+        yield mix(first + np.uint64(i) * stride) % (size if isinstance(size, np.ndarray) else np.uint64(size))
 
 
 def segment(h: np.ndarray, count: np.ndarray, most_bits: int | None = None) -> np.ndarray:
     """The filter of one shard: each n-gram is entered once for every level up to its own.
 
-    It grows with its entries; a ceiling holds only if one is given, which :func:`score_texts` never does.
+    It has ``ENTRY_BITS`` bits for each entry, in whole words of 64; a ceiling holds only if one is given, which
+    :func:`score_texts` never does.
     """
     levels = level(count)
-    entries = int(levels.sum())
-    size = 64
-    while size < ENTRY_BITS * entries and (most_bits is None or size * 2 <= most_bits):
-        size *= 2
+    size = 64 * max(1, -(-ENTRY_BITS * int(levels.sum()) // 64))
+    if most_bits is not None:
+        size = min(size, most_bits)
     bits = np.zeros(size, bool)
     for step in range(1, int(levels.max(initial=0)) + 1):
         for at in _places(h[levels >= step], step, size):
@@ -123,7 +133,8 @@ def segment(h: np.ndarray, count: np.ndarray, most_bits: int | None = None) -> n
 
 
 class Filter(NamedTuple):
-    """Segments laid end to end, with where each shard's begins (in bits), its size and the highest level in it."""
+    """Segments laid end to end, with where each shard's begins (in bits), its size and the highest level in it, from the
+    shard ``first`` on. N-grams of other shards are at level 0 until the group of theirs is asked."""
 
     bits: int
     data: np.ndarray
@@ -132,13 +143,15 @@ class Filter(NamedTuple):
     tokens: int
     distinct: int
     highest: np.ndarray | None = None
+    first: int = 0
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels found by repeated probes: one level after the other, until a probe misses or no higher one is there."""
         found = np.zeros(len(h), np.int64)
         alive, step = np.arange(len(h)), 1
-        shard = (h >> np.uint64(64 - self.bits)).astype(np.int64)
-        alive = alive[self.size[shard] > 0]
+        shard = (h >> np.uint64(64 - self.bits)).astype(np.int64) - self.first
+        alive = alive[(shard >= 0) & (shard < len(self.size))]
+        alive = alive[self.size[shard[alive]] > 0]
         while True:
             if self.highest is not None:
                 alive = alive[self.highest[shard[alive]] >= step]
@@ -159,12 +172,12 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
         tokens = Tokens(batch.column("text"))
         word, n = np.unique(tokens.token, return_counts=True)
         pair, m = np.unique(tokens.pairs(bits), return_counts=True)
-        w, p = _shards(word, bits), _shards(pair, bits)
-        rows = [
-            (s, word[w[s] : w[s + 1]].tobytes(), n[w[s] : w[s + 1]].astype("<u4").tobytes(), _short(pair[p[s] : p[s + 1]], bits), m[p[s] : p[s + 1]].astype("<u4").tobytes())
-            for s in range(1 << bits)
-            if w[s] < w[s + 1] or p[s] < p[s + 1]
-        ]
+        own: dict[int, list[bytes]] = {}
+        for shard, x, y in _shards(word, bits):
+            own[shard] = [word[x:y].tobytes(), n[x:y].astype("<u4").tobytes(), b"", b""]
+        for shard, x, y in _shards(pair, bits):
+            own.setdefault(shard, [b"", b"", b"", b""])[2:] = [_short(pair[x:y], bits), m[x:y].astype("<u4").tobytes()]
+        rows = [(shard, *packed) for shard, packed in own.items()]
         yield pa.RecordBatch.from_arrays(
             [pa.array([r[0] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))],
             names=["shard", "words", "n", "pairs", "m"],
@@ -192,26 +205,54 @@ def _learned(group: pa.Table, bits: int, heavy_share: float, least: int) -> pa.T
 _LEARNED = "shard long, tokens long, distinct long, words binary, n binary, filter binary, highest long, heavy array<struct<word:long,n:long>>"
 _WORD_COUNT = pa.struct([("word", pa.int64()), ("n", pa.int64())])
 _PACKED = "key long, kind int, batch long, texts long, a binary, b binary, c binary, d binary"
+_LEVELLED = "doc_id long, held_out boolean, text string, levels binary"
+
+
+def _levels(tokens: Tokens, word: np.ndarray, of_word: np.ndarray, held: Filter, known: pa.Array | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the level of its word and of its pair, by the segments at hand and by what earlier groups told."""
+    pair, of_pair = np.unique(tokens.pairs(bits), return_inverse=True)
+    single, both = held.levels(word).astype(np.uint8)[of_word], held.levels(pair).astype(np.uint8)[of_pair]
+    if known is not None:
+        _, offsets, data = known.cast(pa.large_binary()).buffers()
+        ends = np.frombuffer(offsets, np.int64)[known.offset : known.offset + len(known) + 1]
+        before = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, 2)
+        single, both = np.maximum(single, before[:, 0]), np.maximum(both, before[:, 1])
+    return single, both
+
+
+def _levelled(batches: Iterator[pa.RecordBatch], bits: int, model) -> Iterator[pa.RecordBatch]:
+    """The texts with two bytes for each of their tokens: the levels of its word and its pair, as far as they are known."""
+    for batch in pieces_of(batches, BATCH_BYTES):
+        tokens = Tokens(batch.column("text"))
+        word, of_word = np.unique(tokens.token, return_inverse=True)
+        known = batch.column("levels") if "levels" in batch.schema.names else None
+        both = np.stack(_levels(tokens, word, of_word, model.value, known, bits), axis=1)
+        ends = np.append(0, np.cumsum(tokens.counts) * 2).astype(np.int32)
+        levels = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(both.tobytes())])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), batch.column("text"), levels], names=["doc_id", "held_out", "text", "levels"])
 
 
-def _log_chances(counts: np.ndarray, of_word: np.ndarray, of_pair: np.ndarray, seen: np.ndarray, both: np.ndarray, end: int, total: int) -> np.ndarray:
-    """Sum of the tokens' log10 probabilities for each text, from the counts of its words and pairs; ``end`` is the end's place."""
+def _log_chances(counts: np.ndarray, seen: np.ndarray, both: np.ndarray, total: int) -> np.ndarray:
+    """Sum of the tokens' log10 probabilities for each text, from the counts of each token's word and pair."""
     last = np.cumsum(counts) - 1
-    context = np.append(0.0, seen[of_word[:-1]])
-    context[last - counts + 1] = seen[end]  # as many texts start as end
-    single = ((seen + 1) / total)[of_word]
-    share = np.minimum(1.0, both[of_pair] / np.maximum(context, 1))
+    context = np.append(0.0, seen[:-1])
+    context[last - counts + 1] = seen[last]  # as many texts start as end
+    single = (seen + 1) / total
+    share = np.minimum(1.0, both / np.maximum(context, 1))
     chance = np.where(context > 0, WEIGHT * share + (1 - WEIGHT) * single, single)
     return np.bincount(np.repeat(np.arange(len(counts)), counts), np.log10(np.minimum(chance, 1.0)), len(counts))
 
 
-def _scored(batches: Iterator[pa.RecordBatch], bits: int, least: int, model: tuple[Filter | None, np.ndarray, np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """For each batch one row on its texts (kind 0) and one for each shard whose counts its words need (kind 1).
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
+    names = ["key", "kind", "batch", "texts", "a", "b", "c", "d"]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    Without a filter at hand also one for each shard whose levels its words and pairs need (kind 4), and how its tokens
-    are made of them (kind 5).
-    """
-    filtered, heavy, heavy_n = model
+
+def _scored(batches: Iterator[pa.RecordBatch], bits: int, least: int, total: int, model, often) -> Iterator[pa.RecordBatch]:
+    """For each batch its scores and what is at hand of the exact counts (kind 0), its ids (kind 3), and a row for each
+    shard whose exact counts its other words need (kind 1)."""
+    heavy, heavy_n = often.value
     batch_id = TaskContext.get().partitionId() << 40
     for piece in pieces_of(batches, BATCH_BYTES):
         for start in range(0, piece.num_rows, BATCH_TEXTS):
@@ -219,14 +260,9 @@ def _scored(batches: Iterator[pa.RecordBatch], bits: int, least: int, model: tup
             texts = batch.num_rows
             tokens = Tokens(batch.column("text"))
             word, of_word = np.unique(tokens.token, return_inverse=True)
-            pair, of_pair = np.unique(tokens.pairs(bits), return_inverse=True)
-            score = np.zeros(texts)
-            if filtered is not None:
-                seen, both = expected(filtered.levels(word), least), expected(filtered.levels(pair), least)
-                end = int(np.searchsorted(word, _END))
-                score = _log_chances(tokens.counts, of_word, of_pair, seen, both, end, filtered.tokens + filtered.distinct + 1)
-            else:
-                yield from _levels_asked(word, of_word, pair, of_pair, batch_id, bits)
+            known = batch.column("levels") if "levels" in batch.schema.names else None
+            single, both = _levels(tokens, word, of_word, model.value, known, bits)
+            score = _log_chances(tokens.counts, expected(single, least), expected(both, least), total)
             # exact counts: the most frequent words are at hand, the others are asked for
             place = np.searchsorted(heavy, word)
             held = np.zeros(len(word), bool)
@@ -235,49 +271,21 @@ def _scored(batches: Iterator[pa.RecordBatch], bits: int, least: int, model: tup
             mine = held[of_word]
             value = np.log10(heavy_n[place[of_word[mine]]] + 1.0)
             part = np.bincount(tokens.of[mine], value, texts)
-            known = np.bincount(tokens.of[mine], minlength=texts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([-1 - batch_id]), pa.array([0], pa.int32()), pa.array([batch_id]), pa.array([texts]),
-                    *(pa.array([x.tobytes()], pa.binary()) for x in (tokens.counts.astype("<i8"), part, known.astype("<i8"), score)),
-                ],
-                names=["key", "kind", "batch", "texts", "a", "b", "c", "d"],
-            )
-            yield _asked(word, of_word[~mine], tokens.of[~mine], texts, batch_id, bits)
-            yield pa.RecordBatch.from_arrays(
+            seen = np.bincount(tokens.of[mine], minlength=texts)
+            ids = batch.column("doc_id")
+            told = tokens.counts.astype("<i8"), part, seen.astype("<i8"), score
+            about = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False), batch.column("held_out").to_numpy(zero_copy_only=False)
+            yield _packed(
                 [
-                    pa.array([-1 - batch_id]), pa.array([3], pa.int32()), pa.array([batch_id]), pa.array([texts]),
-                    pa.array([pc.fill_null(batch.column("doc_id"), 0).to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                    pa.array([batch.column("doc_id").is_null().to_numpy(zero_copy_only=False).tobytes()], pa.binary()),
-                    pa.array([batch.column("held_out").to_numpy(zero_copy_only=False).tobytes()], pa.binary()), pa.array([None], pa.binary()),
-                ],
-                names=["key", "kind", "batch", "texts", "a", "b", "c", "d"],
-            )
+                    (-1 - batch_id, 0, batch_id, texts, *(x.tobytes() for x in told)),
+                    (-1 - batch_id, 3, batch_id, texts, *(x.tobytes() for x in about), None),
+                    *_asked(word, of_word[~mine], tokens.of[~mine], texts, batch_id, bits),
+                ]
+            )
             batch_id += 1
 
 
-def _levels_asked(word: np.ndarray, of_word: np.ndarray, pair: np.ndarray, of_pair: np.ndarray, batch_id: int, bits: int) -> Iterator[pa.RecordBatch]:
-    """Words and pairs whose levels are wanted, by shard, and the pair of each token and the word of each pair."""
-    word_of = np.zeros(len(pair), "<u4")
-    word_of[of_pair] = of_word
-    w, p = _shards(word, bits), _shards(pair, bits)
-    rows = [(-1 - batch_id, 5, 0, of_pair.astype("<u4").tobytes(), word_of.tobytes(), word.tobytes())]
-    rows += [
-        (s, 4, s, word[w[s] : w[s + 1]].tobytes(), _short(pair[p[s] : p[s + 1]], bits), None)
-        for s in range(1 << bits)
-        if w[s] < w[s + 1] or p[s] < p[s + 1]
-    ]
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([batch_id] * len(rows), pa.int64()),
-            pa.array([r[2] for r in rows], pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(3, 6)),
-            pa.array([None] * len(rows), pa.binary()),
-        ],
-        names=["key", "kind", "batch", "texts", "a", "b", "c", "d"],
-    )
-
-
-def _asked(word: np.ndarray, of_word: np.ndarray, of_text: np.ndarray, texts: int, batch_id: int, bits: int) -> pa.RecordBatch:
+def _asked(word: np.ndarray, of_word: np.ndarray, of_text: np.ndarray, texts: int, batch_id: int, bits: int) -> list[tuple]:
     """Words whose counts are wanted, by shard, with the texts that hold them and how often."""
     key, times = np.unique(of_word.astype(np.int64) * texts + of_text, return_counts=True)
     more = -(-times // 65535)  # a count over 16 bits is sent in several parts
@@ -289,37 +297,24 @@ def _asked(word: np.ndarray, of_word: np.ndarray, of_text: np.ndarray, texts: in
     index, text = key // texts, (key % texts).astype("<u2")
     wanted, begin, n = np.unique(index, return_index=True, return_counts=True)
     hashes = word[wanted]
-    cut = _shards(hashes, bits)
     begin = np.append(begin, len(key))
     rows = []
-    for s in range(1 << bits):
-        x, y = cut[s], cut[s + 1]
-        if x < y:
-            p, q = begin[x], begin[y]
-            rows.append((s, hashes[x:y].tobytes(), n[x:y].astype("<u4").tobytes(), text[p:q].tobytes(), times[p:q].astype("<u2").tobytes()))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([r[0] for r in rows], pa.int64()), pa.array([1] * len(rows), pa.int32()), pa.array([batch_id] * len(rows), pa.int64()),
-            pa.array([texts] * len(rows), pa.int64()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5)),
-        ],
-        names=["key", "kind", "batch", "texts", "a", "b", "c", "d"],
-    )
+    for shard, x, y in _shards(hashes, bits):
+        p, q = begin[x], begin[y]
+        rows.append((shard, 1, batch_id, texts, hashes[x:y].tobytes(), n[x:y].astype("<u4").tobytes(), text[p:q].tobytes(), times[p:q].astype("<u2").tobytes()))
+    return rows
 
 
-def _answered(group: pa.Table, bits: int) -> pa.Table:
-    """Sums over the words of one shard for each asking batch (kind 1), levels (kind 4); rows on texts (kinds 0, 3, 5) pass."""
+def _answered(group: pa.Table) -> pa.Table:
+    """Sums over the words of one shard for each asking batch (kind 1), for the texts that hold one; other rows pass."""
     rows = group.to_pylist()
     counts = [r for r in rows if r["kind"] == 2]
     word = np.frombuffer(counts[0]["a"], np.uint64) if counts else np.zeros(0, np.uint64)
     n = np.frombuffer(counts[0]["b"], "<i8") if counts else np.zeros(0, np.int64)
-    held = None
-    if counts and counts[0]["c"] is not None:
-        data, highest = np.frombuffer(counts[0]["c"], np.uint8), int(counts[0]["d"])
-        held = Filter(0, data, np.zeros(1, np.int64), np.array([len(data) * 8]), 0, 0, np.array([highest]))
     out = []
     for r in rows:
-        if r["kind"] in (0, 3, 5):
-            out.append((r["kind"], r["batch"], r["texts"], r["a"], r["b"], r["c"], r["d"]))
+        if r["kind"] in (0, 3):
+            out.append(tuple(r[c] for c in ("kind", "batch", "texts", "a", "b", "c", "d")))
         elif r["kind"] == 1:
             h = np.frombuffer(r["a"], np.uint64)
             at = np.searchsorted(word, h)
@@ -328,37 +323,25 @@ def _answered(group: pa.Table, bits: int) -> pa.Table:
             inside = inside[word[at[inside]] == h[inside]]
             c[inside] = n[at[inside]]
             each = np.repeat(c, np.frombuffer(r["b"], "<u4"))
-            text, times = np.frombuffer(r["c"], "<u2").astype(np.int64), np.frombuffer(r["d"], "<u2").astype(np.float64)
-            part = np.bincount(text, times * np.log10(each + 1.0), r["texts"])
-            known = np.bincount(text, times * (each > 0), r["texts"]).astype("<u4")
-            out.append((1, r["batch"], r["texts"], None, part.tobytes(), known.tobytes(), None))
-        elif r["kind"] == 4:  # a shard without counts holds nothing: all are at level 0
-            asked = np.frombuffer(r["a"], np.uint64), _long(r["b"], r["key"], bits)
-            levels = [(held.levels(h) if held is not None else np.zeros(len(h), np.int64)).astype(np.uint8).tobytes() for h in asked]
-            out.append((4, r["batch"], r["texts"], *levels, None, None))
+            text, place = np.unique(np.frombuffer(r["c"], "<u2"), return_inverse=True)
+            times = np.frombuffer(r["d"], "<u2").astype(np.float64)
+            part = np.bincount(place, times * np.log10(each + 1.0), len(text))
+            known = np.bincount(place, times * (each > 0), len(text)).astype("<i8")
+            out.append((1, r["batch"], r["texts"], text.tobytes(), part.tobytes(), known.tobytes(), None))
     kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
     return pa.table({c: pa.array([r[i] for r in out], t) for i, (c, t) in enumerate(zip(["kind", "batch", "texts", "a", "b", "c", "d"], kinds))})
 
 
-def _finished(group: pa.Table, tokens: int, distinct: int, least: int) -> pa.Table:
+def _finished(group: pa.Table, tokens: int, distinct: int) -> pa.Table:
     """The rows of one batch's texts."""
-    part = known = None
-    words, pairs = [], []
-    for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["texts"], r["b"] or b"")):
+    for r in sorted(group.to_pylist(), key=lambda r: (r["kind"], r["a"])):  # in one order, so that sums come out alike
         if r["kind"] == 0:
             counts, score = np.frombuffer(r["a"], "<i8"), np.frombuffer(r["d"], np.float64)
             part, known = np.frombuffer(r["b"], np.float64).copy(), np.frombuffer(r["c"], "<i8").copy()
         elif r["kind"] == 1:
-            part += np.frombuffer(r["b"], np.float64)
-            known += np.frombuffer(r["c"], "<u4")
-        elif r["kind"] == 4:  # in the order of the shards, as the hashes are
-            words.append(np.frombuffer(r["a"], np.uint8))
-            pairs.append(np.frombuffer(r["b"], np.uint8))
-        elif r["kind"] == 5:
-            of_pair, word_of = np.frombuffer(r["a"], "<u4"), np.frombuffer(r["b"], "<u4")
-            seen, both = expected(np.concatenate(words), least), expected(np.concatenate(pairs), least)
-            end = int(np.searchsorted(np.frombuffer(r["c"], np.uint64), _END))
-            score = _log_chances(counts, word_of[of_pair], of_pair, seen, both, end, tokens + distinct + 1)
+            text = np.frombuffer(r["a"], "<u2")
+            part[text] += np.frombuffer(r["b"], np.float64)
+            known[text] += np.frombuffer(r["c"], "<i8")
         else:
             ids = pa.array(np.frombuffer(r["a"], "<i8"), mask=np.frombuffer(r["b"], bool))
             held_out = np.frombuffer(r["c"], bool)
@@ -371,56 +354,82 @@ def _finished(group: pa.Table, tokens: int, distinct: int, least: int) -> pa.Tab
     )
 
 
-def _whole(learned: DataFrame, bits: int, tokens: int, distinct: int) -> Filter:
-    """The filter of all shards, here at the driver."""
-    parts = learned.select("shard", "filter", "highest").orderBy("shard").collect()
-    size, begin, highest, at = np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), np.zeros(1 << bits, np.int64), 0
-    for p in parts:
-        size[p["shard"]], begin[p["shard"]], highest[p["shard"]] = len(p["filter"]) * 8, at, p["highest"]
-        at += len(p["filter"]) * 8
-    return Filter(bits, np.frombuffer(b"".join(p["filter"] for p in parts), np.uint8), begin, size, tokens, distinct, highest)
-
-
-def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_count: int = 2) -> DataFrame:
+def _groups(learned: DataFrame) -> list[list[int]]:
+    """Shards whose segments are broadcast together: in order, up to ``BROADCAST_BYTES``, one at least."""
+    sizes = learned.select("shard", F.length("filter").alias("size")).orderBy("shard").toArrow()
+    groups: list[list[int]] = [[]]
+    room = BROADCAST_BYTES
+    for shard, size in zip(sizes.column("shard").to_pylist(), sizes.column("size").to_pylist()):
+        if groups[-1] and size > room:
+            groups.append([])
+            room = BROADCAST_BYTES
+        groups[-1].append(shard)
+        room -= size
+    return groups
+
+
+def _segments(learned: DataFrame, shards: list[int], bits: int, tokens: int, distinct: int) -> Filter:
+    """The segments of a group, brought to the driver."""
+    first, after = (shards[0], shards[-1] + 1) if shards else (0, 0)
+    size, begin, highest = (np.zeros(after - first, np.int64) for _ in range(3))
+    parts = learned.where((F.col("shard") >= first) & (F.col("shard") < after)).select("shard", "filter", "highest").orderBy("shard").toArrow()
+    length = pc.binary_length(parts.column("filter")).to_numpy().astype(np.int64) * 8
+    at = parts.column("shard").to_numpy() - first
+    size[at], begin[at], highest[at] = length, np.cumsum(length) - length, parts.column("highest").to_numpy()
+    data = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in parts.column("filter"))])
+    return Filter(bits, data, begin, size, tokens, distinct, highest, first)
+
+
+def score_texts(spark: SparkSession, docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_count: int = 1) -> DataFrame:
     """Log10 probabilities of every whole text: by exact smoothed word counts, and by the bigram model of the filter.
 
     Learned from the texts whose ids may be (:func:`learnable`). Words and word pairs are counted in each batch, packed
-    by hash range, and summed in one task for each range; nothing is dropped. Each range enters its n-grams of
-    ``least_count`` (1 or 2) and more occurrences into its own segment of a log-frequency Bloom filter: n-gram and level,
-    for every level up to its quantised count. With 2, n-grams seen once count as unseen; the registered query uses 1. A segment is sized by its entries, so false positives do not rise with the input. The filter is
-    broadcast up to ``BROADCAST_BYTES``; a larger one stays by hash range, where each batch asks once for the levels of its
-    words and pairs, with the same results. A token's probability mixes the pair's share of its context, by levels found in repeated probes, with the add-one
-    share of the token; without a known context it is the latter.
-
-    Exact counts never go to one place: words with more than a fixed share of all tokens, of which there can be only so
-    many, are broadcast with their counts; for the others each batch sends its words, once, to the range that has them.
-    Repeated rows are scored each; null texts are empty and hold the end alone; a null id stays null and is held out;
-    without anything to learn from every probability is 1.
+    by hash range, and summed in one task for each range; nothing is dropped. Each range enters its n-grams into its own
+    segment of a log-frequency Bloom filter: n-gram and level, for every level up to its quantised count. With a
+    ``least_count`` of 2 n-grams seen once count as unseen. A segment is sized by its entries, so false positives do not
+    rise with the input. The segments are broadcast in groups of up to ``BROADCAST_BYTES``; with more than one
+    group the texts are read once for each, and carry the levels found so far, which gives the same results. A token's
+    probability mixes the pair's share of its context, by levels found in repeated probes, with the add-one share of the
+    token; without a known context it is the latter.
+
+    Exact counts never go to one place: words with a fixed share of all tokens, of which there can be only so many, are
+    broadcast with their counts; for the others each batch sends its words, once, to the range that has them, and is
+    answered with the sums of the texts that hold one. Repeated rows are scored each; null texts are empty and hold the
+    end alone; a null id stays null and is held out; without anything to learn from every probability is 1.
     """
     if least_count not in (1, 2):
         raise ValueError(f"least_count is 1 or 2, not {least_count}")
-    shards = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    bits = min(24, (shards - 1).bit_length())
-    heavy_share = max(1 / (16 << bits), HEAVY_SHARE)
     base = docs.select(F.col(f"`{id_column}`").cast("long").alias("doc_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     base = base.withColumn("held_out", ~learnable(F.col("doc_id")))
+    whole = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(24, max(1, (-(-whole // RANGE_BYTES) - 1).bit_length()))
     counted = base.where("not held_out").select("text").mapInArrow(lambda b: _counted(b, bits), "shard long, words binary, n binary, pairs binary, m binary")
-    learned = stored(spark, counted.groupBy("shard").applyInArrow(lambda t: _learned(t, bits, heavy_share, least_count), _LEARNED), "word-counts")
-    sums = learned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.length("filter")), F.lit(0)).alias("size")).first()
-    # bounded: of words with that share of all tokens there are at most 1 / heavy_share, and they are told before any comes here
-    often = learned.select(F.inline("heavy")).where(F.col("n") >= max(1, sums.n * heavy_share)).collect()
-    words, times = np.array([r["word"] for r in often], np.int64).view(np.uint64), np.array([r["n"] for r in often], np.int64)
-    order = np.argsort(words)
-    small = sums.size <= BROADCAST_BYTES
-    filtered = _whole(learned, bits, sums.n, sums.v) if small else None
-    model = spark.sparkContext.broadcast((filtered, words[order], times[order]))
-    none = F.lit(None).cast("binary")
-    counts = learned.select(
-        F.col("shard").alias("key"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("texts"), F.col("words").alias("a"), F.col("n").alias("b"), (none if small else F.col("filter")).alias("c"), (none if small else F.col("highest").cast("string").cast("binary")).alias("d")
-    )
-    asked = base.mapInArrow(lambda b: _scored(b, bits, least_count, model.value), _PACKED).union(counts)
-    answers = asked.groupBy("key").applyInArrow(lambda t: _answered(t, bits), "kind int, batch long, texts long, a binary, b binary, c binary, d binary")
+    learned = stored(spark, counted.groupBy("shard").applyInArrow(lambda t: _learned(t, bits, HEAVY_SHARE, least_count), _LEARNED), "word-counts")
+    sums = learned.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v")).first()
     tokens, distinct = sums.n, sums.v
+    # bounded: of words with that share of all tokens there are at most 1 / HEAVY_SHARE, and they are told before any comes here
+    frequent = learned.select(F.inline("heavy")).where(F.col("n") >= max(1, tokens * HEAVY_SHARE)).toArrow()
+    words, times = (np.array(frequent.column(c).to_numpy(), np.int64) for c in ("word", "n"))
+    order = np.argsort(words.view(np.uint64))
+    often = spark.sparkContext.broadcast((words.view(np.uint64)[order], times[order]))
+    groups = _groups(learned)
+    texts, before = base.select("doc_id", "held_out", "text"), None
+    for shards in groups[:-1]:
+        model = spark.sparkContext.broadcast(_segments(learned, shards, bits, tokens, distinct))
+        where = scratch_dir(spark, "levels")
+        texts.mapInArrow(lambda b, model=model: _levelled(b, bits, model), _LEVELLED).write.parquet(where)
+        model.destroy()
+        if before:
+            filesystem.delete(spark, before)
+        texts, before = spark.read.schema(_LEVELLED).parquet(where), where
+    model = spark.sparkContext.broadcast(_segments(learned, groups[-1], bits, tokens, distinct))
+    counts = learned.select(
+        F.col("shard").alias("key"), F.lit(2).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.lit(0).cast("long").alias("texts"), F.col("words").alias("a"), F.col("n").alias("b"),
+        F.lit(None).cast("binary").alias("c"), F.lit(None).cast("binary").alias("d"),
+    )
+    total = tokens + distinct + 1
+    asked = texts.mapInArrow(lambda b: _scored(b, bits, least_count, total, model, often), _PACKED).union(counts)
+    answers = asked.groupBy("key").applyInArrow(_answered, "kind int, batch long, texts long, a binary, b binary, c binary, d binary")
     return answers.groupBy("batch").applyInArrow(
-        lambda t: _finished(t, tokens, distinct, least_count), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        lambda t: _finished(t, tokens, distinct), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

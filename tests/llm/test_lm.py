@@ -40,7 +40,7 @@ def test_scores(spark, texts, monkeypatch, texts_at_once):
     monkeypatch.setattr(lm, "BATCH_TEXTS", texts_at_once)
     real = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows = real + [(9000, None), (9001, ""), (9002, "\x0b \x0c"), (9003, "Ä ä A\xa0a"), (9004, "the " * 70_000), (None, "the of")]
-    got = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
+    got = sorted((tuple(r) for r in score_texts(spark, texts(rows), least_count=2).collect()), key=repr)
     want = sorted(by_force(rows), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     for g, w in zip(got, want):
@@ -77,15 +77,21 @@ def test_segments_grow_and_probing_ends():
     assert (Filter(0, full, np.zeros(1, int), np.array([64]), 1, 1, np.array([3])).levels(h) == 3).all()
 
 
-def test_a_filter_too_large_to_broadcast_gives_the_same_scores(spark, texts, monkeypatch):
+def test_a_filter_in_several_groups_gives_the_same_scores(spark, texts, monkeypatch):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows += [(9000, None), (9004, "the " * 70_000), (None, "the of")]
+    monkeypatch.setattr(lm, "RANGE_BYTES", 100_000)
     want = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
-    monkeypatch.setattr(lm, "BROADCAST_BYTES", -1)
-    monkeypatch.setattr(lm, "_whole", None)  # nothing of it comes to the driver
+    monkeypatch.setattr(lm, "BROADCAST_BYTES", 40_000)
+    broadcast = []
+    monkeypatch.setattr(lm, "_segments", lambda *a, f=lm._segments: broadcast.append(f(*a)) or broadcast[-1])
     got = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert [g[6] for g in got] == [w[6] for w in want]
+    assert len(broadcast) > 2 and max(len(b.data) for b in broadcast) < 80_000
+    monkeypatch.undo()
+    one = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
+    assert [o[:6] for o in one] == [(*w[:5], pytest.approx(w[5], rel=1e-12)) for w in want]  # other ranges, the same exact sums
     assert {tuple(r)[-1] for r in score_texts(spark, texts([(None, "a b")])).collect()} == {0.0}
 
 
@@ -107,7 +113,7 @@ def by_exact_counts(rows):
     return out
 
 
-@pytest.mark.parametrize("broadcast", [64 << 20, -1])
+@pytest.mark.parametrize("broadcast", [64 << 20, 1])
 def test_what_is_seen_once_is_known(spark, texts, tmp_path, monkeypatch, broadcast):
     from sediment.llm.queries import op9_scores
 
