@@ -250,7 +250,7 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest.append(b" ".join(words))
         span = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(rest, pa.binary()).view(pa.string())],
+            [batch.column("own_id"), pa.array(counts, pa.int64()), pa.array(spans, span), pa.array(rest, pa.binary()).view(pa.string())],
             names=["doc_id", "n_words", "spans", "kept"],
         )
 
@@ -271,13 +271,14 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     left are cut into windows and sorted (:func:`window_ranks`), so that equal windows meet word by word. A bucket that
     holds a large share of all rows (:func:`frequent_buckets`) or more than ``BUCKET_ROWS`` is dealt out by its windows.
     """
-    rows = docs.select(F.coalesce(F.col(f"`{id_column}`").cast("long"), F.lit(_EARLIEST)).alias("doc_id"), F.col(f"`{id_column}`").cast("long").alias("own_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
+    own_id = F.col(f"`{id_column}`").cast("long")
+    rows = docs.select(F.coalesce(own_id, F.lit(_EARLIEST)).alias("doc_id"), own_id.alias("own_id"), F.col(f"`{text_column}`").cast("string").alias("text"))
     alone = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     rows = rows.withColumn("tie", F.lit(0).cast("long") if alone else F.xxhash64("text"))
-    texts = (rows if alone else rows.dropDuplicates(["doc_id", "tie"])).select("doc_id", "tie", "text")
-    frequent = frequent_buckets(spark, texts, window, gram)
+    texts = rows if alone else rows.dropDuplicates(["doc_id", "tie"])
+    frequent = frequent_buckets(spark, texts.select("text"), window, gram)
 
-    places = texts.mapInArrow(lambda batches: _places(batches, frequent, window, gram), "bucket long, doc_id long, tie long, place long")
+    places = texts.select("doc_id", "tie", "text").mapInArrow(lambda batches: _places(batches, frequent, window, gram), "bucket long, doc_id long, tie long, place long")
     of_bucket = Window.partitionBy("bucket")
     marked = F.col("place").bitwiseAND(128) != 0
     met = places.withColumns({"low": F.min("doc_id").over(of_bucket), "high": F.max("doc_id").over(of_bucket), "rows": F.count(F.lit(1)).over(of_bucket)})
@@ -285,7 +286,9 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     split = F.when(F.col("rows") > BUCKET_ROWS, F.col("place").bitwiseOR(128)).otherwise(F.col("place"))
     asked = shared.select("doc_id", "tie", F.struct(split.alias("place"), "bucket").alias("one")).groupBy("doc_id", "tie").agg(F.collect_list("one").alias("asked"))
 
-    strings = texts.join(asked, ["doc_id", "tie"]).mapInArrow(lambda batches: _pieces(batches, window), _PIECE)
+    # with the same columns as the last join, so that the texts are dealt out once for both
+    both = texts.join(asked, ["doc_id", "tie"]).select("doc_id", "tie", "own_id", "text", "asked")
+    strings = both.mapInArrow(lambda batches: _pieces(batches, window), _PIECE)
     same = Window.partitionBy("bucket", "packed")
     dealt = strings.repartition(F.col("bucket")).withColumn("first", F.min("doc_id").over(same))
     gone = F.col("packed").isNull() | (F.col("doc_id") > F.col("first"))
@@ -293,7 +296,7 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     spans = judged.sortWithinPartitions("bucket").mapInArrow(lambda batches: _compared(batches, window), "doc_id long, tie long, begin long, end long")
 
     lists = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
-    out = rows.join(lists, ["doc_id", "tie"], "left").select(F.col("own_id").alias("doc_id"), "text", "gone")
+    out = rows.join(lists, ["doc_id", "tie"], "left").select("own_id", "doc_id", "tie", "text", "gone")
     return out.mapInArrow(_kept, "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, kept string")
 
 
