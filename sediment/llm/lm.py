@@ -32,10 +32,10 @@ ENTRY_BITS, PROBES, BROADCAST_BYTES = 12, 4, 160 << 20
 #: Words with at least this share of all tokens, of which there are 2^18 at most, are broadcast with their counts.
 HEAVY_SHARE = 2.0**-18
 #: Bytes of text for which there is one range of hashes.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 #: Share of the bigram estimate in a probability.
 WEIGHT = 0.6
-BATCH_BYTES, BATCH_TEXTS = 8 << 20, 60_000
+BATCH_BYTES, BATCH_TEXTS = 4 << 20, 60_000
 
 
 def learnable(doc_id: Column) -> Column:

@@ -20,7 +20,6 @@ _P, _LOW31, _LOW30 = np.uint64(PRIME), np.uint64((1 << 31) - 1), np.uint64((1 <<
 _30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
 #: Numbers that are worked on at a time, so that what comes in between stays in a core's cache.
 _STEP = 1 << 13
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -51,15 +50,30 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return _reduced(((a1 * b1) << np.uint64(1)) + _times_31_bits(a1 * b0 + a0 * b1) + a0 * b0)
 
 
-def power(n: int, kind: str = "up") -> np.ndarray:
-    """The first ``n`` powers of the base, or of its inverse, modulo the prime."""
-    known = _powers[kind]
-    while len(known) < n:
-        base = BASE if kind == "up" else pow(BASE, -1, PRIME)
-        step = np.full(len(known), pow(base, len(known), PRIME), np.uint64)
-        known = np.concatenate([known, product(known, step)])
-        _powers[kind] = known
-    return known[:n]
+def power(n: int) -> np.ndarray:
+    """The first ``n`` powers of the base modulo the prime; kept, and made longer by a million at a time."""
+    global _powers
+    while len(_powers) < n:
+        block = _powers[: 1 << 20]
+        _powers = np.concatenate([_powers, product(block, np.full(len(block), pow(BASE, len(_powers), PRIME), np.uint64))])
+    return _powers[:n]
+
+
+def inverse_power(at: np.ndarray) -> np.ndarray:
+    """The powers of the base's inverse at some places, from two short tables: 4,096 powers, and every 4,096th."""
+    global _far
+    last = int(at.max(initial=0)) >> 12
+    if len(_far) <= last:
+        step, known = pow(_INVERSE, 1 << 12, PRIME), _far.tolist()
+        while len(known) <= last:
+            known.append(known[-1] * step % PRIME)
+        _far = np.array(known, np.uint64)
+    return product(_NEAR[at & 4095], _far[at >> 12])
+
+
+_INVERSE = pow(BASE, -1, PRIME)
+_powers, _far = np.ones(1, np.uint64), np.ones(1, np.uint64)
+_NEAR = np.array([pow(_INVERSE, k, PRIME) for k in range(1 << 12)], np.uint64)
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], most_bytes: int = 2 << 20, text: str = "text") -> Iterator[pa.RecordBatch]:
@@ -133,10 +147,10 @@ class Texts:
 
 def run_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Hash of the bytes from each start to each end."""
-    down, found = power(len(sums), "down"), np.empty(len(starts), np.uint64)
+    found = np.empty(len(starts), np.uint64)
     for k in range(0, len(starts), _STEP):
         s, e = starts[k : k + _STEP], ends[k : k + _STEP]
-        found[k : k + _STEP] = mix(product(_reduced(sums[e] + (_P - sums[s])), down[s]))
+        found[k : k + _STEP] = mix(product(_reduced(sums[e] + (_P - sums[s])), inverse_power(s)))
     return found
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 
-from sediment.llm.textbytes import BASE, PRIME, Texts, _VALUES, power, product, run_hash, table
+from sediment.llm.textbytes import BASE, PRIME, Texts, _VALUES, inverse_power, power, product, run_hash, table
 
 
 def thue_morse(size):
@@ -20,7 +20,9 @@ def test_arithmetic_modulo_the_prime():
     b = [PRIME - 1, 0, PRIME - 1, 2] + [rng.randrange(PRIME) for _ in range(500)]
     assert product(np.array(a, np.uint64), np.array(b, np.uint64)).tolist() == [x * y % PRIME for x, y in zip(a, b)]
     assert power(1000).tolist() == [pow(BASE, k, PRIME) for k in range(1000)]
-    assert [x * y % PRIME for x, y in zip(power(3000).tolist(), power(3000, "down").tolist())] == [1] * 3000
+    down = inverse_power(np.arange(20_000)).tolist()
+    assert [x * y % PRIME for x, y in zip(power(20_000).tolist(), down)] == [1] * 20_000
+    assert len(power((1 << 20) + 5)) == (1 << 20) + 5 and int(power((1 << 20) + 5)[-1]) == pow(BASE, (1 << 20) + 4, PRIME)
 
 
 def test_prefix_sums():
