@@ -132,18 +132,52 @@ def merged_view(base: DataFrame, pending: DataFrame, keys: Sequence[str]) -> Dat
     return merge_changes(base, fold_pending(pending, keys), keys, unique=True)
 
 
-def merge_guarded(target: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
-    """Merge that ignores a change older than the stored row.
+def merge_guarded(target: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str, tombstones: DataFrame | None = None) -> DataFrame:
+    """Merge that ignores a change older than what is known of its key.
 
     Both sides carry the event time in ``ts``.  The plain merge has no such guard: a change that arrives late
-    replaces newer state.  A deleted row leaves nothing to compare with, so the guard cannot hold back a change
-    that is older than a delete.
+    replaces newer state.  A deleted row leaves nothing to compare with but its tombstone (:func:`next_tombstones`):
+    with ``tombstones`` a change as old as the delete or older stays out, and a younger one brings the key back.
+    """
+    return merge_changes(target, _fresh(target, changes, list(keys), ts, tombstones), keys, unique=True)
+
+
+#: The time of the last delete of a key.
+DELETED_AT = "deleted_at"
+
+
+def _fresh(target: DataFrame, changes: DataFrame, keys: list[str], ts: str, tombstones: DataFrame | None) -> DataFrame:
+    """The changes that no stored row and no tombstone holds back. A key has one or the other, so one join finds both."""
+    none = F.lit(None).cast(target.schema[ts].dataType)
+    known = target.where(_has_key(keys)).select(*(F.col(f"`{k}`") for k in keys), F.col(f"`{ts}`").alias("_stored_ts"), none.alias("_gone_ts"))
+    if tombstones is not None:
+        gone = tombstones.select(*(F.col(f"`{k}`") for k in keys), none.alias("_stored_ts"), F.col(DELETED_AT).alias("_gone_ts"))
+        known = known.unionByName(gone)
+    own = F.col(f"`{ts}`")
+    again = F.col(OP).eqNullSafe(DELETE) & (own == F.col("_gone_ts"))
+    held = (own < F.col("_stored_ts")) | ((own <= F.col("_gone_ts")) & ~again)
+    joined = changes.join(known, keys, "left")
+    return joined.where(~F.coalesce(held, F.lit(False))).select(*(F.col(f"`{c}`") for c in changes.columns))
+
+
+def next_tombstones(
+    target: DataFrame, changes: DataFrame, keys: Sequence[str], ts: str, tombstones: DataFrame | None = None, keep_from: Column | None = None
+) -> DataFrame:
+    """The tombstones after the same ``changes`` were merged: keys with ``deleted_at``, one row each.
+
+    A delete that the guard lets through leaves one, also where no row was stored, because an older insert may still
+    come. A change that brings the key back takes it away: the stored row guards from then on. Tombstones older than
+    ``keep_from``, the time that no change is older than any more, are dropped; a change that is older than that all
+    the same finds no guard. Deletes without a time leave none. ``target`` is the state before the merge, so write
+    both results from the same inputs.
     """
     keys = list(keys)
-    known = target.where(_has_key(keys)).select(*keys, F.col(ts).alias("_stored_ts"))
-    fresh = (
-        changes.join(known, keys, "left")
-        .where(F.col("_stored_ts").isNull() | (F.col(ts) >= F.col("_stored_ts")))
-        .select(*changes.columns)
-    )
-    return merge_changes(target, fresh, keys, unique=True)
+    applied = _fresh(target, changes, keys, ts, tombstones).where(_has_key(keys))
+    named = [F.col(f"`{k}`") for k in keys]
+    new = applied.select(*named, F.when(F.col(OP) == DELETE, F.col(f"`{ts}`")).alias(DELETED_AT), F.lit(1).alias("_step"))
+    if tombstones is not None:
+        new = new.unionByName(tombstones.select(*named, DELETED_AT, F.lit(0).alias("_step")))
+    # the change of this step decides where there is one
+    last = new.groupBy(*keys).agg(F.max_by(F.struct(DELETED_AT), "_step").alias("_last")).select(*keys, F.col("_last")[DELETED_AT].alias(DELETED_AT))
+    kept = last.where(F.col(DELETED_AT).isNotNull())
+    return kept if keep_from is None else kept.where(F.col(DELETED_AT) >= keep_from)

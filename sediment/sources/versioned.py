@@ -1,8 +1,8 @@
 """Parquet tables with a commit log.
 
 Each write adds new folders and then one commit record naming all folders that make up the table.  Readers
-resolve a record and hand its folders to ``spark.read.parquet``; nothing is ever overwritten in place.  There is
-one writer per table.  This is what versions, increments, upkeep and health have to work on when no table format
+resolve a record and hand its folders to ``spark.read.parquet``; nothing is ever overwritten in place.  Several jobs
+may commit to one table where the file system renames atomically; on object stores a table has one writer.  This is what versions, increments, upkeep and health have to work on when no table format
 is on the class path; all work on rows is ordinary DataFrame work.
 
 A unit is one folder ``data/commit=<n>[/_part=<value>]``: a day of a raw table, a bucket of a state table.  Rows
@@ -99,6 +99,11 @@ class Unit:
     #: The last commit whose appended rows it holds; a rewrite keeps it, so it then differs from ``commit``.
     origin: int = -1
 
+    @property
+    def number(self) -> int:
+        """The number in the folder's name, which all parts of one write share."""
+        return int(self.path.partition("/")[0].partition("=")[2])
+
     @property
     def part(self) -> str | None:
         return self.path.partition(f"/{PART}=")[2] or None
@@ -276,7 +281,8 @@ class VersionedTable:
         Rows are spread by partition value with a rebalance: small values share a task, and a value that holds
         a third of all rows is split over several.  Counts come from the Parquet footers.
 
-        The folder's number grows with the versions, and no two writes share one.
+        No two writes share a folder's number. It says nothing about their order: of two jobs the one that
+        began first may commit last, so increments are ordered by the commit that lists them.
         """
         number = (max(self.versions(), default=-1) + 1) << 20 | secrets.randbits(20)
         folder = f"{self.path}/data/{COMMIT}={number}"
@@ -362,6 +368,9 @@ class VersionedTable:
         touched = {u.part for u in pending}
         schema = T.StructType([*commit.struct.fields, T.StructField(OP, T.StringType())])
         changes = self.scan(pending, schema, commit.layout, keep_layout=True).drop(PART)
+        # a folder is numbered when it is written; what counts is the commit that brought it
+        order = {u.number: u.commit for u in pending}
+        changes = changes.withColumn(COMMIT, F.element_at(F.create_map(*(F.lit(x).cast("bigint") for pair in order.items() for x in pair)), F.col(COMMIT)))
         held = self.scan([u for u in base if u.part in touched], commit.struct, commit.layout)
         merged = merged_view(held, changes, commit.layout.keys)
         # parts without a change pass the join by

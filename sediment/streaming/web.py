@@ -43,17 +43,45 @@ def land_hours(log: DataFrame, table: VersionedTable, checkpoint: str, lateness:
     """
 
     def work(batch: DataFrame, name: tuple[str, int]) -> None:
-        table.append(batch.withColumn("_batch", F.lit(name[1]).cast("long")), by_day("hour"), name)
+        head = table.head()
+        # batch numbers begin again with a new checkpoint, the table's versions do not
+        table.append(batch.withColumn("_batch", F.lit(head.version + 1 if head else 0).cast("long")), by_day("hour"), name)
 
     return run_batches(hourly_counts(log, lateness), checkpoint, work, interval, "update")
 
 
 def newest_hours(landed: DataFrame) -> DataFrame:
-    """The last counts of each hour and server."""
+    """The last counts of each hour and server, in the order in which they were committed.
+
+    A stream that starts anew with a new checkpoint counts what it reads from the start; its counts of an hour replace
+    those of the stream before, and hours that it does not see stay. Until it has read all, its hours may be too low.
+    """
     counts = [c for c in landed.columns if c not in ("hour", "server", "_batch")]
     return landed.groupBy("hour", "server").agg(F.max_by(F.struct(*counts), "_batch").alias("_last")).select("hour", "server", "_last.*")
 
 
+def hourly_distinct(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    """Different addresses per hour and server, given out once an hour is closed; null addresses are not counted.
+
+    Two stateful steps in a row: the first lets each address of an hour and server through once, the second counts
+    what comes through. The first forgets an address ``lateness`` after it came; with an hour at least, nothing that still
+    counts for its hour can come later than that. Its state is spread by address, so a busy server is no hot key.
+    """
+    hour = F.timestamp_seconds(F.floor(F.unix_seconds("ts") / 3600) * 3600)
+    once = log.select("ts", "server", "remote", hour.alias("_hour")).withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["_hour", "server", "remote"])
+    counted = once.groupBy(F.window("ts", "1 hour").alias("_window"), "server").agg(F.count("remote").alias("distinct_ip"))
+    return counted.select(F.col("_window.start").alias("hour"), "server", "distinct_ip")
+
+
+def land_distinct(log: DataFrame, table: VersionedTable, checkpoint: str, lateness: str = LATENESS, interval: str | None = None) -> StreamingQuery:
+    """The closed hours of :func:`hourly_distinct`, each once; it goes on after a restart where it stopped.
+
+    An hour is closed when a row later than its end plus ``lateness`` has come from anywhere, so a feed that may fall silent
+    needs a row now and then that only tells the time.
+    """
+    return run_batches(hourly_distinct(log, lateness), checkpoint, lambda batch, name: table.append(batch, by_day("hour"), name), interval)
+
+
 def late_rows(query: StreamingQuery) -> int:
     """Rows that came too late for the counts, over the query's kept progress reports."""
     return sum(int(s["numRowsDroppedByWatermark"]) for p in query.recentProgress for s in p["stateOperators"])

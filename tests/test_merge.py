@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sediment.operators.latest import current_state, latest_per_key, newest_event_time
-from sediment.operators.merge import fold_pending, merge_changes, merge_guarded, merged_view, upsert
+from sediment.operators.merge import fold_pending, merge_changes, merge_guarded, merged_view, next_tombstones, upsert
 from tests.conftest import rows
 from tests.helpers import changes, log, utc
 
@@ -215,3 +215,53 @@ def test_filter_on_the_key_reaches_the_scan(spark, path):
     out = merge_changes(spark.read.parquet(path + "/t"), changes(spark, [(5, "x", "U")]), ["id"], unique=True)
     assert rows(out.where("id = 5")) == [(5, "x")]
     assert "EqualTo(id,5)" in out.where("id = 5")._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- guard with tombstones
+
+AT = "id long, v string, _op string, at timestamp"
+
+
+def guarded(spark, batches, keep_from=None):
+    """State and tombstones after increments of (id, v, op, hour), one change per key each."""
+    state, tombs = spark.createDataFrame([], "id long, v string, at timestamp"), None
+    for batch in batches:
+        df = spark.createDataFrame([(i, v, op, utc(2026, 1, 1, hour)) for i, v, op, hour in batch], AT)
+        gone = next_tombstones(state, df, ["id"], "at", tombs, keep_from)
+        merged = merge_guarded(state, df, ["id"], "at", tombs)
+        state, tombs = (spark.createDataFrame(x.collect(), x.schema) for x in (merged, gone))
+    return rows(state, "id", "v"), [(i, t.hour) for i, t in rows(tombs, "id", "deleted_at")]
+
+
+def test_deletes_are_remembered(spark):
+    first = [(1, "a", "U", 3), (2, "b", "U", 3)]
+    assert guarded(spark, [first, [(1, None, "D", 5)]]) == ([(2, "b")], [(1, 5)])
+    # older or as old: stays out; younger: comes back and needs no tombstone any more
+    assert guarded(spark, [first, [(1, None, "D", 5)], [(1, "x", "U", 4)]]) == ([(2, "b")], [(1, 5)])
+    assert guarded(spark, [first, [(1, None, "D", 5)], [(1, "x", "I", 5)]]) == ([(2, "b")], [(1, 5)])
+    assert guarded(spark, [first, [(1, None, "D", 5)], [(1, "x", "U", 6)]]) == ([(1, "x"), (2, "b")], [])
+    # a delete that comes before its insert, a delete that comes too late, deletes of different ages
+    assert guarded(spark, [[(7, None, "D", 5)], [(7, "x", "I", 2)]]) == ([], [(7, 5)])
+    assert guarded(spark, [first, [(1, None, "D", 2)]]) == ([(1, "a"), (2, "b")], [])
+    assert guarded(spark, [[(7, None, "D", 5)], [(7, None, "D", 3)], [(7, "x", "I", 4)]]) == ([], [(7, 5)])
+    # the same increments again
+    assert guarded(spark, [first, [(1, None, "D", 5)], first, [(1, None, "D", 5)]]) == ([(2, "b")], [(1, 5)])
+    assert guarded(spark, [first, [(1, None, "D", 5)]], utc(2026, 1, 1, 6)) == ([(2, "b")], [])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_order_and_splits_do_not_matter_to_the_guard(spark, seed):
+    rng = random.Random(seed)
+    data = [(rng.randrange(6), f"v{i}", rng.choice("UUD"), i % 24) for i in range(24)]
+    newest = {}
+    for c in data:
+        if c[0] not in newest or c[3] > newest[c[0]][3]:
+            newest[c[0]] = c
+    want = sorted((i, v) for i, v, op, _ in newest.values() if op != "D"), sorted((i, h) for i, _, op, h in newest.values() if op == "D")
+    shuffled = rng.sample(data, len(data))
+    batches = []
+    for c in shuffled + rng.sample(data, 6):
+        if not batches or any(c[0] == o[0] for o in batches[-1]):
+            batches.append([])
+        batches[-1].append(c)
+    assert guarded(spark, batches) == want

@@ -339,3 +339,36 @@ def test_open_ended_objects_stay_one_column(spark, path):
     deliver(spark, path + "/topic", [(None, '{"a":1,"by_id":{"x7":{"n":1},"x9":2}}'), (None, '{"a":2,"by_id":[1]}'), (None, '{"a":3}')])
     finish(landing.land_json(kafka.file_stream(spark, path + "/topic"), good, dead, None, path + "/cp", whole=["by_id"]))
     assert rows(good.read(), "a", "by_id") == [(1, '{"x7":{"n":1},"x9":2}'), (2, "[1]"), (3, None)]
+
+
+def test_a_stream_that_starts_anew_replaces_the_hours_it_counts_again(spark, path):
+    schema, table = "ts timestamp, server string, code int, size long, agent string", VersionedTable(spark, path + "/hours")
+    one = [(utc(2026, 1, 1, 10, m), "w", 200, 1, "curl") for m in (1, 2, 3)]
+
+    def run(name):
+        finish(web_stream.land_hours(spark.readStream.schema(schema).parquet(path + "/log"), table, f"{path}/{name}"))
+        return rows(web_stream.newest_hours(table.read()), "hour", "requests")
+
+    # the first stream needs three batches for two requests and an hour of its own
+    for k, part in enumerate((one[:1], one[1:2], [(utc(2026, 1, 1, 12), "w", 200, 1, "curl")])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path + "/log")
+        run("first")
+    spark.createDataFrame(one[2:], schema).coalesce(1).write.mode("append").parquet(path + "/log")
+    assert [n for _, n in run("second")] == [3, 1]
+    assert [n for _, n in run("first")] == [3, 1]
+
+
+def test_distinct_addresses_of_closed_hours(spark, path):
+    schema, table = "ts timestamp, server string, remote string", VersionedTable(spark, path + "/hours")
+    parts = [
+        [(utc(2026, 1, 1, 0, 5), "w", "a"), (utc(2026, 1, 1, 0, 50), "w", "a"), (utc(2026, 1, 1, 0, 50), "v", "a"), (utc(2026, 1, 1, 0, 51), "w", None)],
+        [(utc(2026, 1, 1, 0, 10), "w", "a"), (utc(2026, 1, 1, 0, 59), "w", "b"), (utc(2026, 1, 1, 1, 0), "w", "a"), (utc(2026, 1, 1, 3), "u", None)],
+        [(utc(2026, 1, 1, 9), "w", "a")],
+        [(utc(2026, 1, 1, 0, 20), "w", "c"), (utc(2026, 1, 1, 20), None, None)],
+    ]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(path + "/log")
+        finish(web_stream.land_distinct(spark.readStream.schema(schema).parquet(path + "/log"), table, path + "/cp", "2 hours"))
+    got = [(str(h), s, n) for h, s, n in rows(table.read(), "hour", "server", "distinct_ip")]
+    # a request that is too late for its closed hour is not counted any more
+    assert sorted(got) == [("2026-01-01 00:00:00", "v", 1), ("2026-01-01 00:00:00", "w", 2), ("2026-01-01 01:00:00", "w", 1), ("2026-01-01 03:00:00", "u", 0), ("2026-01-01 09:00:00", "w", 1)]

@@ -203,3 +203,48 @@ def test_filter_sees_unmasked_values_and_reaches_the_scan(spark, path):
     out = secured_view(spark.read.parquet(path + "/o"), rules, Person("u"), "main", "s", "t")
     assert rows(out) == [(2, "shipped")]
     assert "PushedFilters: [IsNotNull(status), Not(EqualTo(status,shipped))]" in out._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- folded reports
+
+
+def test_folded_reports_equal_the_computed_ones(spark, path):
+    import random
+
+    from sediment.plans.folded import FoldedReports
+
+    rng = random.Random(8)
+    data = [
+        (utc(2026, 1, rng.randint(1, 3), rng.randrange(24)), rng.choice(["w", "v"]), rng.choice([None, *(f"10.0.0.{k}" for k in range(30))]), rng.choice(["/a", "/b/1", "/b/2", None]), rng.choice([200, 302, 401, 404, 500, None]), rng.choice([None, 10]), rng.choice(["curl", "Mozilla", None]))
+        for _ in range(300)
+    ]
+    reports, whole = FoldedReports(spark, path + "/folded"), web.requests(weblog(spark, *data))
+    for k, part in enumerate((data[:100], data[100:101], [], data[101:], data[101:])):
+        reports.fold(spark.createDataFrame(part, LOG), ("log", min(k, 3)))
+    for folded, report in ((reports.hourly(), web.hourly), (reports.ip_daily(), web.ip_daily), (reports.page_daily(), web.page_daily)):
+        assert rows(folded, *sorted(folded.columns)) == rows(report(whole), *sorted(folded.columns))
+    # addresses have one number each, without gaps
+    numbers = sorted(r.number for r in reports.table("addresses").read().collect())
+    assert numbers == list(range(30)) and reports.table("addresses").read().select("ip").distinct().count() == 30
+    # a fold replaces the days of its requests only
+    before = {u for u in reports.table("hour_sums").head().units if u.part != "2026-01-02"}
+    reports.fold(weblog(spark, (utc(2026, 1, 2, 5), "w", "new", "/a", 200, 1, "curl")), ("log", 4))
+    assert before <= set(reports.table("hour_sums").head().units)
+
+
+# ---- validity
+
+
+def test_validity_and_as_of(spark):
+    data = [(1, "a", "1", "I", "2026-01-01 00:00:00", 0), (1, "b", "1", "U", "2026-01-01 00:00:00", 1), (1, "c", "1", "U", "2026-01-20 00:00:00", 2), (1, None, "1", "D", "2026-03-01 00:00:00", 3), (1, "d", "1", "I", "2026-03-02 00:00:00", 4), (2, "x", "1", "I", "2026-01-05 00:00:00", 5), (None, "n", "1", "I", "2026-01-05 00:00:00", 6), (3, "t", "1", "I", None, 7)]
+    states = history.validity(log(spark, data).drop("amount"), ["id"])
+    got = [(i, s, str(f)[:10], t and str(t)[:10], alive) for i, s, f, t, alive in rows(states, "id", "status", "valid_from", "valid_to", "alive")]
+    assert got == [(1, "b", "2026-01-01", "2026-01-20", True), (1, "c", "2026-01-20", "2026-03-01", True), (1, "d", "2026-03-02", None, True), (1, None, "2026-03-01", "2026-03-02", False), (2, "x", "2026-01-05", None, True)]
+    facts = [(k, i, day and utc(*day)) for k, (i, day) in enumerate([(1, (2025, 12, 31)), (1, (2026, 1, 1)), (1, (2026, 1, 19)), (1, (2026, 1, 20)), (1, (2026, 3, 1)), (1, (2026, 3, 2)), (1, (2027, 1, 1)), (2, (2030, 1, 1)), (9, (2026, 1, 1)), (None, (2026, 1, 5)), (2, None)])]
+    df = spark.createDataFrame(facts, "k int, id long, when timestamp")
+    out = history.as_of_join(df, states, ["id"], "when")
+    assert [s for _, s in rows(out, "k", "status")] == [None, "b", "b", "c", None, "d", "d", "x", None, None, None]
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert history.as_of_join(df.limit(0), states, ["id"], "when").count() == 0
+    assert rows(history.as_of_join(df, states.limit(0), ["id"], "when"), "status") == [(None,)] * len(facts)

@@ -331,3 +331,19 @@ def test_retention_keeps_what_is_committed_meanwhile(spark, table, monkeypatch):
     # units without old rows are left as they are
     assert set(young) <= set(table.head().units)
     assert upkeep.apply_retention(table, utc(2026, 3, 5), 30) is None
+
+
+def test_increments_apply_in_the_order_of_their_commits(spark, table, monkeypatch):
+    """The writer that began first commits last: its increment wins, whatever the folders are called."""
+    from sediment.sources import versioned
+
+    layout = versioned.by_bucket(["id"], 1)
+    table.overwrite(spark.createDataFrame([(1, "stored")], "id long, v string"), layout)
+    change = lambda v: spark.createDataFrame([(1, v, "U")], "id long, v string, _op string")
+    drawn = iter((5, 900_000))
+    monkeypatch.setattr(versioned.secrets, "randbits", lambda n: next(drawn))
+    slow, fast = table.write_units(change("committed last"), layout, versioned.PENDING), table.write_units(change("committed first"), layout, versioned.PENDING)
+    assert slow[0].number < fast[0].number
+    table.change("merge", fast)
+    table.change("merge", slow)
+    assert table.read().first().v == "committed last"

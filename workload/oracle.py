@@ -295,6 +295,8 @@ both_logs AS (
     sql["web_reports_refreshed"] = _with(ACCESS_LOG) + (
         "SELECT CAST(day AS VARCHAR) AS day, ip, requests, client_error_4xx, distinct_pages, servers, bot, '2024-01-31 00:00:00.000000' AS computed_at FROM ip_daily"
     )
+    for name in ("web_hourly", "web_ip_daily", "web_page_daily"):
+        sql[f"{name}_folded"] = sql[name]
     sql["web_error_share"] = _with(ACCESS_LOG) + (
         "SELECT count(*) AS requests, count(*) FILTER (code >= 400) AS errors, count(*) FILTER (code >= 400) / count(*) AS error_share FROM requests"
     )
@@ -314,6 +316,11 @@ both_logs AS (
               SELECT hour - INTERVAL 3 HOUR AS h, * FROM hourly)"""
     )
 
+    sql["stream_hours_new_checkpoint"] = sql["stream_web_hourly"]
+    sql["stream_hourly_distinct"] = _with(ACCESS_LOG) + (
+        f"SELECT {_stamp('h')} AS hour, server, distinct_ip FROM (SELECT hour - INTERVAL 3 HOUR AS h, * FROM hourly)"
+    )
+
     # business reports
     sql["status_count"] = "SELECT o_orderstatus, count(*) AS rows FROM orders GROUP BY 1"
     sql["orders_daily"] = """SELECT CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS day, o_orderstatus, count(*) AS rows,
@@ -415,6 +422,23 @@ both_logs AS (
            UNION ALL SELECT 'source', 2 * count(*), count(DISTINCT id) FROM changes"""
     )
 
+    sql["reconcile_ranges"] = """
+        SELECT o_orderkey, 1::BIGINT AS left_n, 0::BIGINT AS right_n, 'missing' AS difference FROM orders WHERE o_orderkey % 97 = 0
+        UNION ALL SELECT o_orderkey, 1, 1, 'changed' FROM orders WHERE o_orderkey % 89 = 0 AND o_orderkey % 97 <> 0
+        UNION ALL SELECT -o_orderkey - 1, 0, 1, 'extra' FROM orders WHERE o_orderkey % 101 = 0"""
+
+    sql["merge_guard_after_delete"] = _with(CHANGES, """
+last AS (SELECT * FROM changes QUALIFY row_number() OVER (PARTITION BY id ORDER BY ts DESC) = 1)""") + f"""
+        SELECT id, CASE WHEN op <> 'D' THEN status END AS status, CASE WHEN op <> 'D' THEN CAST(amount AS DOUBLE) END AS amount,
+               CASE WHEN op <> 'D' THEN {_stamp('ts')} END AS "at", CASE WHEN op = 'D' THEN {_stamp('ts')} END AS deleted_at FROM last"""
+
+    sql["orders_as_of_event"] = _with(CHANGES, """
+states AS (SELECT *, lead(ts) OVER (PARTITION BY id ORDER BY ts, off) AS following FROM changes),
+facts AS (SELECT o_orderkey, o_custkey % 200 AS id, TIMESTAMP '2024-01-01' + to_hours(CAST(o_orderkey % 720 AS INTEGER)) AS at FROM orders)""") + f"""
+        SELECT f.o_orderkey, f.id, {_stamp('f.at')} AS "at", s.status, CAST(s.amount AS DOUBLE) AS amount,
+               {_stamp('s.ts')} AS valid_from, {_stamp('s.following')} AS valid_to
+        FROM facts f LEFT JOIN states s ON f.id = s.id AND f.at >= s.ts AND (s.following IS NULL OR f.at < s.following) AND s.op <> 'D'"""
+
     # written tables and streams
     for name in ("pipeline_merge_on_read", "pipeline_copy_on_write", "pipeline_folded", "stream_merge"):
         sql[name] = sql["cdc_merge_two_batches"]
@@ -424,6 +448,10 @@ both_logs AS (
     sql["compaction_rows"] = _with(CHANGES) + f"SELECT {full} FROM changes"
     sql["registered_csv"] = "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS o_orderdate FROM orders"
     sql["chunked_load"] = "SELECT o_orderkey AS id, o_orderstatus AS status, 'I' AS op FROM orders"
+    sql["chunked_load_live"] = """
+        SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'E' WHEN o_orderkey % 7 = 0 THEN 'L' WHEN o_orderkey % 13 = 0 THEN 'Z'
+                                      ELSE o_orderstatus END AS status
+        FROM orders WHERE o_orderkey % 11 = 0 OR o_orderkey % 14 <> 0"""
     sql["maintenance_state"] = sql["cdc_merge_two_batches"]
     sql["maintenance_health"] = _with(CHANGES, _latest("last", "changes")) + (
         """SELECT 'app_raw.events' AS "table", 'bronze' AS layer, count(*) AS records, 0::BIGINT AS delete_files

@@ -18,10 +18,11 @@ from sediment.model import COPY_ON_WRITE, META, Pipeline
 from sediment.operators import checks, health, history, offsets, schema, upkeep
 from sediment.operators.access import Person, secured_view
 from sediment.operators.latest import OP, current_state, latest_per_key, newest_event_time
-from sediment.operators.merge import merge_changes, merge_guarded, merged_view, upsert
+from sediment.operators.merge import merge_changes, merge_guarded, merged_view, next_tombstones, upsert
 from sediment.plans import business, maintenance, web
+from sediment.plans.folded import FoldedReports
 from sediment.session import scratch_dir
-from sediment.sources import accesslog, backfill, documents, envelopes, files, jsonstream, kafka, tables
+from sediment.sources import accesslog, backfill, documents, envelopes, files, jsonstream, kafka, liveload, tables
 from sediment.sources.catalog import TableRoot
 from sediment.sources.versioned import VersionedTable, by_day
 from sediment.streaming import landing, silver
@@ -136,6 +137,28 @@ def cdc_merge_ts_guard(spark, sf):
     return stamped(merge_guarded(target, second, ["id"], "at"))
 
 
+def _written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    where = scratch_dir(spark, name)
+    df.write.parquet(where)
+    return spark.read.schema(df.schema).parquet(where)
+
+
+@query
+def merge_guard_after_delete(spark, sf):
+    """Three increments that do not follow event time, the last one twice: deletes are remembered."""
+    log = derive.changes(spark, sf).withColumn("at", F.col(f"{META}.ts"))
+    state = log.drop(META).where("false")
+    tombstones = None
+    parts = _deliveries(log, 3)
+    for part in [*parts, parts[-1]]:
+        batch = _written(spark, latest_per_key(part, ["id"]), "batch")
+        gone = next_tombstones(state, batch, ["id"], "at", tombstones)
+        merged = merge_guarded(state, batch, ["id"], "at", tombstones)
+        state, tombstones = _written(spark, merged, "state"), _written(spark, gone, "tombstones")
+    alive = state.withColumn("deleted_at", F.lit(None).cast("timestamp"))
+    return stamped(alive.unionByName(tombstones, allowMissingColumns=True))
+
+
 @query
 def cdc_merge_replay(spark, sf):
     log = derive.changes(spark, sf)
@@ -181,6 +204,15 @@ def record_history(spark, sf):
     return stamped(history.record_history(derive.changes(spark, sf), ["id"]))
 
 
+@query
+def orders_as_of_event(spark, sf):
+    """Each order with the state of a user at a time, by intervals of validity."""
+    hour = F.timestamp_seconds(F.lit(1704067200) + (F.col("o_orderkey") % 720) * 3600)
+    facts = derive.table(spark, sf, "orders").select("o_orderkey", (F.col("o_custkey") % 200).alias("id"), hour.alias("at"))
+    states = history.validity(derive.changes(spark, sf), ["id"], 86400)
+    return stamped(history.as_of_join(facts, states, ["id"], "at", 86400))
+
+
 @query
 def newest_event(spark, sf):
     return stamped(newest_event_time(derive.changes(spark, sf)))
@@ -332,6 +364,30 @@ def web_reports_refreshed(spark, sf):
     return stamped(spark.read.parquet(folders["web_ip_daily"]).select("day", "ip", "requests", "client_error_4xx", "distinct_pages", "servers", "bot", "computed_at"))
 
 
+def _folded(spark: SparkSession, sf: str) -> FoldedReports:
+    """The log in two increments that do not follow its time, the second one twice."""
+    reports, log = FoldedReports(spark, scratch_dir(spark, "folded")), derive.access_log(spark, sf)
+    part = F.pmod(F.xxhash64("remote", "ts", "path"), F.lit(2))
+    for k in (0, 1, 1):
+        reports.fold(log.where(part == k), ("log", k))
+    return reports
+
+
+@query
+def web_hourly_folded(spark, sf):
+    return stamped(_folded(spark, sf).hourly())
+
+
+@query
+def web_ip_daily_folded(spark, sf):
+    return stamped(_folded(spark, sf).ip_daily())
+
+
+@query
+def web_page_daily_folded(spark, sf):
+    return stamped(_folded(spark, sf).page_daily())
+
+
 @query
 def web_error_share(spark, sf):
     return web.error_share(web.hourly(_requests(spark, sf)))
@@ -586,6 +642,17 @@ def reconcile_counts(spark, sf):
 # ---- written tables and streams ---------------------------------------------------------------------------
 
 
+@query
+def reconcile_ranges(spark, sf):
+    """Orders against a copy that lost some, changed some and has some of its own."""
+    orders = derive.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    key = F.col("o_orderkey")
+    status = F.when(key % 89 == 0, "X").otherwise(F.col("o_orderstatus"))
+    copy = orders.where(key % 97 != 0).withColumn("o_orderstatus", status)
+    own = orders.where(key % 101 == 0).withColumn("o_orderkey", -key - 1)
+    return checks.reconcile_ranges(spark, orders, copy.unionByName(own), ["o_orderkey"], fetched_rows=1000)
+
+
 def _pipeline(mode: str, **more) -> Pipeline:
     return Pipeline("app_raw.events", ("id",), mode, 4, **more)
 
@@ -716,6 +783,48 @@ def chunked_load(spark, sf):
     return table.read().select("id", "status", f"{META}.op")
 
 
+@query
+def chunked_load_live(spark, sf):
+    """A table loaded in key ranges while changes land, whose event times are older than the load's.
+
+    Orders divisible by 11 changed before the load. Those divisible by 7 change while their own range is being read:
+    every second one is deleted. Those divisible by 13 change after the load.
+    """
+    number = F.col("id")
+    rows = derive.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    before, during = number % 11 == 0, (number % 7 == 0) & (number % 11 != 0)
+    after = (number % 13 == 0) & ~before & ~during
+    source = rows.withColumn("status", F.when(before, "E").otherwise(F.col("status")))
+    table = VersionedTable(spark, scratch_dir(spark, "live"))
+    bounds = [tuple(b if b is None else str(b) for b in pair) for pair in backfill.key_ranges(rows, "id", 4)]
+    width = 1 + rows.agg(F.max("id")).first()[0]
+    placed = 0
+
+    def land(changed: Column, status: str, day: int, step: int, part: DataFrame = rows) -> None:
+        op = F.when(changed & (number % 14 == 0) & during, "D").otherwise("U")
+        ts = F.lit(datetime(2024, 1, day, tzinfo=timezone.utc))
+        meta = F.struct(op.alias("op"), ts.alias("ts"), (number + step * width).alias("offset"), F.lit("app.public.orders").alias("source"), F.lit("app_raw.orders").alias("target"), F.struct("id").alias("key"))
+        table.append(part.where(changed).select("id", F.lit(status).alias("status"), meta.alias(META)), by_day(f"{META}.ts"))
+
+    def mark() -> liveload.Mark:
+        nonlocal placed
+        step, chunk = placed, placed // 2
+        placed += 1
+        if step % 2:  # between the marks of a range
+            land(during, "L", 14, step, backfill.chunk(rows, "id", *bounds[chunk]))
+        return liveload.Mark.at((step + 1) * width, HALF)
+
+    def read(pair):
+        return backfill.chunk(source, "id", *pair)
+
+    land(before, "E", 12, -1)
+    progress = liveload.Progress(0, 1)
+    while progress.left:
+        progress = liveload.load_live(table, read, bounds, ["id"], mark, "first", "app.public.orders", "app_raw.orders")
+        land(after, "Z", 17, placed + 1)  # the feed goes on past the high mark
+    return current_state(table.read(), ["id"])
+
+
 def _maintained(spark: SparkSession, sf: str) -> TableRoot:
     """A raw table and its state, each half merged, then every kind of upkeep."""
     root = TableRoot(spark, scratch_dir(spark, "tables"))
@@ -852,3 +961,32 @@ def stream_web_hourly(spark, sf):
     table = VersionedTable(spark, f"{root}/hours")
     _finish(web_stream.land_hours(stream, table, f"{root}/checkpoint"))
     return stamped(web_stream.newest_hours(table.read()))
+
+
+@query
+def stream_hours_new_checkpoint(spark, sf):
+    """A stream that has read part of the log, then one with a new checkpoint that reads all of it into the same table."""
+    root = scratch_dir(spark, "stream")
+    log = derive.access_log(spark, sf)
+    early = F.pmod(F.xxhash64("remote", "ts"), F.lit(3)) > 0
+    table = VersionedTable(spark, f"{root}/hours")
+    for k, part in enumerate((early, ~early)):
+        log.where(part).repartition(3).write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        _finish(web_stream.land_hours(stream, table, f"{root}/checkpoint-{k}"))
+    return stamped(web_stream.newest_hours(table.read()))
+
+
+@query
+def stream_hourly_distinct(spark, sf):
+    """Different addresses of every hour, counted as they come, over a restart; a last row that only tells the time closes all hours."""
+    root = scratch_dir(spark, "stream")
+    log = derive.access_log(spark, sf)
+    table = VersionedTable(spark, f"{root}/hours")
+    clock = log.agg((F.max("ts") + F.expr("INTERVAL 4 DAYS")).alias("ts"))
+    parts = (F.col("ts") < F.lit(HALF), F.col("ts") >= F.lit(HALF))
+    for part in (*(log.where(p) for p in parts), log.where("false").unionByName(clock, allowMissingColumns=True)):
+        part.write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        _finish(web_stream.land_distinct(stream, table, f"{root}/checkpoint"))
+    return stamped(table.read())
