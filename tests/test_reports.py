@@ -216,11 +216,11 @@ def test_folded_reports_equal_the_computed_ones(spark, path):
     rng = random.Random(8)
     data = [
         (utc(2026, 1, rng.randint(1, 3), rng.randrange(24)), rng.choice(["w", "v"]), rng.choice([None, *(f"10.0.0.{k}" for k in range(30))]), rng.choice(["/a", "/b/1", "/b/2", None]), rng.choice([200, 302, 401, 404, 500, None]), rng.choice([None, 10]), rng.choice(["curl", "Mozilla", None]))
-        for _ in range(300)
+        for _ in range(200)
     ]
     reports, whole = FoldedReports(spark, path + "/folded"), web.requests(weblog(spark, *data))
-    for k, part in enumerate((data[:100], data[100:101], [], data[101:], data[101:])):
-        reports.fold(spark.createDataFrame(part, LOG), ("log", min(k, 3)))
+    for k, part in enumerate((data[:100], [], data[100:], data[100:])):
+        reports.fold(spark.createDataFrame(part, LOG), ("log", min(k, 2)))
     for folded, report in ((reports.hourly(), web.hourly), (reports.ip_daily(), web.ip_daily), (reports.page_daily(), web.page_daily)):
         assert rows(folded, *sorted(folded.columns)) == rows(report(whole), *sorted(folded.columns))
     # addresses have one number each, without gaps
@@ -228,7 +228,7 @@ def test_folded_reports_equal_the_computed_ones(spark, path):
     assert numbers == list(range(30)) and reports.table("addresses").read().select("ip").distinct().count() == 30
     # a fold replaces the days of its requests only
     before = {u for u in reports.table("hour_sums").head().units if u.part != "2026-01-02"}
-    reports.fold(weblog(spark, (utc(2026, 1, 2, 5), "w", "new", "/a", 200, 1, "curl")), ("log", 4))
+    reports.fold(weblog(spark, (utc(2026, 1, 2, 5), "w", "new", "/a", 200, 1, "curl")), ("log", 3))
     assert before <= set(reports.table("hour_sums").head().units)
 
 
@@ -243,7 +243,7 @@ def test_validity_and_as_of(spark):
     facts = [(k, i, day and utc(*day)) for k, (i, day) in enumerate([(1, (2025, 12, 31)), (1, (2026, 1, 1)), (1, (2026, 1, 19)), (1, (2026, 1, 20)), (1, (2026, 3, 1)), (1, (2026, 3, 2)), (1, (2027, 1, 1)), (2, (2030, 1, 1)), (9, (2026, 1, 1)), (None, (2026, 1, 5)), (2, None)])]
     df = spark.createDataFrame(facts, "k int, id long, when timestamp")
     out = history.as_of_join(df, states, ["id"], "when")
-    assert [s for _, s in rows(out, "k", "status")] == [None, "b", "b", "c", None, "d", "d", "x", None, None, None]
+    assert [s for _, s in sorted(rows(out, "k", "status"), key=lambda r: r[0])] == [None, "b", "b", "c", None, "d", "d", "x", None, None, None]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert history.as_of_join(df.limit(0), states, ["id"], "when").count() == 0
