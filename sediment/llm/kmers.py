@@ -22,6 +22,8 @@ from sediment.llm.textbytes import Texts, mix, pieces_of, run_hash, table
 WINDOW, GRAM = 13, 4
 #: A bucket with more than one in so many super-k-mers, or with more than so many rows, is dealt out window by window.
 SHARE, BUCKET_ROWS = 4096, 20_000
+#: Bytes of text whose packed strings are brought together before they are dealt out.
+PIECE_BYTES = 16 << 20
 #: Rows of whole buckets that are sorted together.
 SORTED_ROWS = 20_000
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -111,7 +113,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     Equal strings of a batch become one row, that of the smallest document; a larger document's windows are removed
     then, which is told by a row without a string. Several places of one document are one row.
     """
-    for batch in pieces_of(batches):
+    for batch in pieces_of(batches, PIECE_BYTES):
         where: dict[bytes, dict[tuple[int, int], list[int]]] = {}
         key: dict[bytes, tuple[int, int]] = {}
         ids, ties = batch.column("doc_id").to_pylist(), batch.column("tie").to_pylist()
@@ -276,6 +278,8 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     alone = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
     rows = rows.withColumn("tie", F.lit(0).cast("long") if alone else F.xxhash64("text"))
     texts = rows if alone else rows.dropDuplicates(["doc_id", "tie"])
+    # what is grouped by these is dealt out as the join needs it; a constant would not be a key of the join
+    text_key = ["doc_id"] if alone else ["doc_id", "tie"]
     frequent = frequent_buckets(spark, texts.select("text"), window, gram)
 
     places = texts.select("doc_id", "tie", "text").mapInArrow(lambda batches: _places(batches, frequent, window, gram), "bucket long, doc_id long, tie long, place long")
@@ -284,10 +288,10 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     met = places.withColumns({"low": F.min("doc_id").over(of_bucket), "high": F.max("doc_id").over(of_bucket), "rows": F.count(F.lit(1)).over(of_bucket)})
     shared = met.where(marked | (F.col("low") < F.col("high")))
     split = F.when(F.col("rows") > BUCKET_ROWS, F.col("place").bitwiseOR(128)).otherwise(F.col("place"))
-    asked = shared.select("doc_id", "tie", F.struct(split.alias("place"), "bucket").alias("one")).groupBy("doc_id", "tie").agg(F.collect_list("one").alias("asked"))
+    asked = shared.select(*text_key, F.struct(split.alias("place"), "bucket").alias("one")).groupBy(*text_key).agg(F.collect_list("one").alias("asked"))
 
     # with the same columns as the last join, so that the texts are dealt out once for both
-    both = texts.join(asked, ["doc_id", "tie"]).select("doc_id", "tie", "own_id", "text", "asked")
+    both = texts.join(asked, text_key).select("doc_id", "tie", "own_id", "text", "asked")
     strings = both.mapInArrow(lambda batches: _pieces(batches, window), _PIECE)
     same = Window.partitionBy("bucket", "packed")
     dealt = strings.repartition(F.col("bucket")).withColumn("first", F.min("doc_id").over(same))
@@ -295,8 +299,8 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     judged = dealt.select("bucket", F.when(~gone, F.col("packed")).alias("packed"), "doc_id", "tie", "begins", "n", gone.alias("gone"))
     spans = judged.sortWithinPartitions("bucket").mapInArrow(lambda batches: _compared(batches, window), "doc_id long, tie long, begin long, end long")
 
-    lists = spans.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
-    out = rows.join(lists, ["doc_id", "tie"], "left").select("own_id", "doc_id", "tie", "text", "gone")
+    lists = spans.groupBy(*text_key).agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
+    out = rows.join(lists, text_key, "left").select("own_id", "doc_id", "tie", "text", "gone")
     return out.mapInArrow(_kept, "doc_id long, n_words long, spans array<struct<begin:long,end:long>>, kept string")
 
 
