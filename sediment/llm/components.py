@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
+def plain_names(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with a plain name for every column whose own has other characters than letters, digits and underscores, as
+    Arrow functions need, and the names to give back with ``toDF``."""
+    return df.toDF(*(c if re.fullmatch(r"\w+", c) else f"_column_{i}" for i, c in enumerate(df.columns))), df.columns
+
+
 def components(spark: SparkSession, links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every id in a link: the smallest id that it reaches, itself included.
 

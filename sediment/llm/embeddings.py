@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm.components import components, stored
-from sediment.llm.groups import met_in_blocks, roots
+from sediment.llm.groups import met_in_large_blocks, roots
 
 #: Vectors of a bucket that are compared in one task.
 BLOCK = 4096
@@ -28,23 +28,53 @@ class Codes:
 
     The code of ``o`` is the corner ``x`` of the cube that is nearest to the rotated vector; ``<x, o>`` is stored. For
     another vector ``q``, ``<x, q> / <x, o>`` estimates ``<o, q>``, with an error that exceeds
-    ``width * sqrt((1 / <x, o>**2 - 1) / (dim - 1))`` with a probability that falls as a normal tail in ``width``.
+    ``width * sqrt((1 / <x, o>**2 - 1) / (dim - 1))`` with a probability that falls as a normal tail in ``width``. As ``q``
+    the rotated vector is stored too, in steps of a byte; what that can make out at most is added to the bounds.
+
+    :meth:`packed` gives a row of bytes for each vector: three floats (what an inner product with the code is multiplied
+    with, the error, the step), the code's bits, and the bytes of ``q``.
     """
 
-    def __init__(self, unit: np.ndarray, width: float):
+    def __init__(self, signs: np.ndarray, steps: np.ndarray, numbers: np.ndarray):
+        self.bits, self.steps, self.numbers = signs, steps, numbers
+        dim = steps.shape[1]
+        self.signs = np.where(np.unpackbits(signs, axis=1, count=dim, bitorder="little") > 0, np.float32(1), np.float32(-1))
+        self.rotated = steps.astype(np.float32) * numbers[:, 2:3]
+
+    @classmethod
+    def of(cls, unit: np.ndarray, width: float) -> Codes:
         dim = unit.shape[1]
-        self.rotated = (unit @ rotation(dim, 0).T).astype(np.float32)
-        self.signs = np.where(self.rotated >= 0, np.float32(1), np.float32(-1))
-        factor = np.abs(self.rotated).sum(axis=1) / math.sqrt(dim)
-        self.scale = (1 / (factor * math.sqrt(dim))).astype(np.float32)
-        self.error = (width * np.sqrt(np.maximum(1 / factor**2 - 1, 0) / max(dim - 1, 1)) + 1e-5).astype(np.float32)
+        rotated = (unit @ rotation(dim, 0).T).astype(np.float32)
+        factor = np.abs(rotated).sum(axis=1) / math.sqrt(dim)
+        step = np.maximum(np.abs(rotated).max(axis=1), 1e-9) / 127
+        scale = 1 / (factor * math.sqrt(dim))
+        error = width * np.sqrt(np.maximum(1 / factor**2 - 1, 0) / max(dim - 1, 1)) + 1e-5
+        numbers = np.stack([scale, error, step], axis=1).astype(np.float32)
+        return cls(np.packbits(rotated >= 0, axis=1, bitorder="little"), np.rint(rotated / step[:, None]).astype(np.int8), numbers)
+
+    def packed(self) -> np.ndarray:
+        return np.concatenate([self.numbers.view(np.uint8).reshape(len(self.numbers), 12), self.bits, self.steps.view(np.uint8)], axis=1)
+
+    @classmethod
+    def read(cls, packed: np.ndarray, dim: int) -> Codes:
+        code = -(-dim // 8)
+        return cls(packed[:, 12 : 12 + code], np.ascontiguousarray(packed[:, 12 + code :]).view(np.int8), np.ascontiguousarray(packed[:, :12]).view(np.float32))
 
     def may_reach(self, rows: slice, others: slice, threshold: float) -> np.ndarray:
         """Which pairs the bounds of either code allow to reach the threshold."""
-        there = (self.signs[rows] @ self.rotated[others].T) * self.scale[rows, None] + self.error[rows, None]
-        back = (self.rotated[rows] @ self.signs[others].T) * self.scale[others] + self.error[others]
+        scale, error, step = self.numbers.T
+        most = self.steps.shape[1] / 2
+        there = (self.signs[rows] @ self.rotated[others].T + most * step[others]) * scale[rows, None] + error[rows, None]
+        back = (self.rotated[rows] @ self.signs[others].T + most * step[rows, None]) * scale[others] + error[others]
         return np.minimum(there, back) >= threshold
 
+    def open_pairs(self, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs (a < b) that the bounds leave open, some rows at a time."""
+        for start in range(0, len(self.steps), 512):
+            a, b = np.nonzero(self.may_reach(slice(start, min(start + 512, len(self.steps))), slice(start, None), threshold))
+            a, b = a + start, b + start
+            yield a[a < b], b[a < b]
+
 
 def tables_for(bits: int, threshold: float, recall: float) -> int:
     """How many tables find a pair at the threshold with the given probability, if a key has so many sign bits."""
@@ -52,24 +82,6 @@ def tables_for(bits: int, threshold: float, recall: float) -> int:
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meet))) if meet < 1 else 1
 
 
-def _linked(unit: np.ndarray, exact: np.ndarray, norm: np.ndarray, threshold: float, width: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (a < b) with a cosine of at least the threshold: those the codes allow, recomputed in double precision."""
-    codes, found = Codes(unit, width), []
-    for start in range(0, len(unit), 512):
-        rows = slice(start, min(start + 512, len(unit)))
-        a, b = np.nonzero(codes.may_reach(rows, slice(start, None), threshold))
-        a, b = a + start, b + start
-        a, b = a[a < b], b[a < b]
-        for i in range(0, len(a), 200_000):
-            x, y = a[i : i + 200_000], b[i : i + 200_000]
-            near = np.einsum("ij,ij->i", exact[x], exact[y]) / (norm[x] * norm[y]) >= threshold
-            found.append((x[near], y[near]))
-    if not found:
-        none = np.zeros(0, np.int64)
-        return none, none
-    return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
-
-
 def near_vectors(
     spark: SparkSession,
     vectors: DataFrame,
@@ -89,10 +101,12 @@ def near_vectors(
 
     Candidates share a label and, in one of several rotations, the signs of the first few coordinates; how many signs
     follows from the largest label, how many rotations from the ``recall`` wanted for a pair just at the threshold.
-    In a bucket the binary codes' confidence bounds (``width`` standard errors, and both codes must exclude a pair)
-    decide which pairs are recomputed. A pair is counted only in the first rotation in which it meets, so no pairs
-    are sent: each block sends a number of links and a root for each vector. Buckets of any size are compared whole,
-    in pairs of blocks. Repeated rows are one vector; rows of one id with unlike vectors are vectors of their own.
+    Only binary codes with their correction factors travel to the buckets (:class:`Codes`); they are made and written
+    once. There the confidence bounds (``width`` standard errors; a pair is left out only if the bounds of both codes
+    exclude it) decide which pairs need exact recomputation, and only for vectors in such a pair the exact ones are
+    fetched. A pair is counted only in the first rotation in which it meets, and no pairs are sent: a block tells
+    which of its vectors have an open pair, and after recomputation a number of links and a root for each. Buckets of any
+    size are compared whole, in pairs of blocks. Repeated rows are one vector; rows of one id with unlike vectors are vectors of their own.
     """
     base = vectors.select(
         F.col(f"`{id_column}`").cast("long").alias("vec_id"),
@@ -111,49 +125,81 @@ def near_vectors(
     bits = min(30, max(2, math.ceil(math.log2(max(2, largest / bucket)))))
     tables = tables_for(bits, threshold, recall)
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, list[np.ndarray]] = {}
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
             lists = batch.column("v").to_pylist()
             dims = np.array([len(x) for x in lists], np.int32)
-            keys = np.zeros((len(lists), tables), np.int64)
-            for dim in np.unique(dims):
+            keys, codes = np.zeros((len(lists), tables), np.int32), [b""] * len(lists)
+            for dim in np.unique(dims).tolist():
                 here = np.flatnonzero(dims == dim)
                 x = np.array([lists[i] for i in here])
                 for t in range(tables):
                     if (dim, t) not in planes:
                         planes[dim, t] = rotation(dim, t + 1)[:bits] if dim <= 4096 else np.random.default_rng(t + 1).standard_normal((bits, dim))
                     keys[here, t] = (x @ planes[dim, t].T >= 0) @ (1 << np.arange(len(planes[dim, t]), dtype=np.int64))
+                largest = np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
+                unit = (x / largest) / np.linalg.norm(x / largest, axis=1, keepdims=True)
+                for i, row in zip(here.tolist(), Codes.of(unit, width).packed()):
+                    codes[i] = row.tobytes()
             flat = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(dims)], names=[*batch.schema.names, "keys", "dim"])
-
-    rows = kinds.select("rep", "copies", "label", "v").mapInArrow(keyed, "rep long, copies long, label string, v array<double>, keys array<long>, dim int")
-    dealt = rows.select("*", F.posexplode("keys").alias("t", "key"))
-    names = ["label", "dim", "t", "key"]
-    blocks = met_in_blocks(dealt, names, "rep", BLOCK).repartition(*names, "block_a", "block_b")
-
-    def compare(group: pa.Table) -> pa.Table:
-        rep, copies = (group.column(c).to_numpy() for c in ("rep", "copies"))
-        exact = np.stack(group.column("v").to_numpy())
+            yield pa.RecordBatch.from_arrays([*batch.columns, flat, pa.array(dims), pa.array(codes, pa.binary())], names=[*batch.schema.names, "keys", "dim", "code"])
+
+    schema = "rep long, copies long, label string, v array<double>, keys array<int>, dim int, code binary"
+    rows = stored(spark, kinds.select("rep", "copies", "label", "v").mapInArrow(coded, schema), "vector-codes")
+    light = rows.select("rep", "label", "dim", "keys", "code", F.posexplode("keys").alias("t", "key"))
+    # a bucket is named by a hash; two that share one are compared together, and labels are told apart in the end
+    dealt = light.select("rep", "dim", "keys", "code", F.col("t").cast("short").alias("t"), F.xxhash64("label", "dim", "t", "key").alias("bucket"))
+    large = stored(spark, dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("group_rows")).where(F.col("group_rows") > BLOCK), "large-buckets")
+    names = ["bucket", "block_a", "block_b"]
+    blocks = met_in_large_blocks(dealt, large, ["bucket"], "rep", BLOCK).repartition(*names)
+
+    def pairs(group: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The open pairs of a block that meet in it first; vectors of other lengths share nothing with each other."""
+        dims, t = group.column("dim").to_numpy(), group.column("t")[0].as_py()
         keys = np.stack(group.column("keys").to_numpy())
-        own, t = group.column("row_block").to_numpy(), group.column("t")[0].as_py()
+        own = group.column("row_block").to_numpy()
         two = group.column("block_a")[0].as_py() != group.column("block_b")[0].as_py()
-        norm = np.sqrt(np.einsum("ij,ij->i", exact, exact))
-        a, b = _linked(exact / norm[:, None], exact, norm, threshold, width)
-        use = ~(keys[a, :t] == keys[b, :t]).any(axis=1)
-        if two:
-            use &= own[a] != own[b]
-        a, b = a[use], b[use]
-        links = np.zeros(len(rep), np.int64)
+        for dim in np.unique(dims).tolist():
+            here = np.flatnonzero(dims == dim)
+            packed = np.frombuffer(b"".join(group.column("code").take(pa.array(here)).to_pylist()), np.uint8).reshape(len(here), -1)
+            for a, b in Codes.read(packed, dim).open_pairs(threshold):
+                a, b = here[a], here[b]
+                use = ~(keys[a, :t] == keys[b, :t]).any(axis=1)
+                if two:
+                    use &= own[a] != own[b]
+                yield a[use], b[use]
+
+    def wanted(group: pa.Table) -> pa.Table:
+        seen = np.zeros(group.num_rows, bool)
+        if group.num_rows > 1:
+            for a, b in pairs(group):
+                seen[a] = seen[b] = True
+        return group.filter(pa.array(seen)).select([*names, "row_block", "t", "rep"])
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, copies, label = (group.column(c).to_numpy() for c in ("rep", "copies", "label"))
+        exact = group.column("v").to_pylist()
+        links, ones, others = np.zeros(len(rep), np.int64), [], []
+        for a, b in pairs(group):
+            for i in range(0, len(a), 100_000):
+                x, y = a[i : i + 100_000], b[i : i + 100_000]
+                used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+                v = np.array([exact[k] for k in used])
+                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                p, q = place[: len(x)], place[len(x) :]
+                near = (np.einsum("ij,ij->i", v[p], v[q]) / (norm[p] * norm[q]) >= threshold) & (label[x] == label[y])
+                ones.append(x[near])
+                others.append(y[near])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ones, others))
         np.add.at(links, a, copies[b])
         np.add.at(links, b, copies[a])
         seen = np.flatnonzero(links)
-        root = roots(len(rep), a, b)
-        return pa.table({"rep": rep[seen], "links": links[seen], "root": rep[root[seen]]})
+        return pa.table({"rep": rep[seen], "links": links[seen], "root": rep[roots(len(rep), a, b)[seen]]})
 
-    found = stored(
-        spark, blocks.groupBy(*names, "block_a", "block_b").applyInArrow(compare, "rep long, links long, root long"), "vector-links"
-    )
+    opened = stored(spark, blocks.groupBy(*names).applyInArrow(wanted, "bucket long, block_a int, block_b int, row_block int, t short, rep long"), "open-vectors")
+    fetched = opened.join(rows, "rep").repartition(*names)
+    found = stored(spark, fetched.groupBy(*names).applyInArrow(compare, "rep long, links long, root long"), "vector-links")
     linked = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(spark, found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     # the smallest id of a component: of its kinds' smallest ids

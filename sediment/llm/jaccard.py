@@ -19,6 +19,8 @@ WORD = table("abcdefghijklmnopqrstuvwxyz0123456789", high=True)
 WORDS, SIMILARITY = 5, 0.8
 #: Minima in a sketch; rows of a bucket that are compared in one task; depth of the recursion.
 SKETCH, BUCKET, DEPTH = 64, 1024, 3
+#: Shingles of the sets that are compared exactly in one task, unless two sets alone have more.
+SHINGLES = 1 << 22
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, 1024, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -236,7 +238,8 @@ def near_documents(
     ``DEPTH`` times; what is still larger is compared whole, in pairs of blocks. Runs are as many as give ``recall``
     for a pair just at the threshold that meets at the deepest level. In a bucket, sketches leave out pairs that are
     four standard errors below the threshold. What is left are candidate components; each of their sets is fetched once
-    and all pairs inside are computed exactly, so that links are exact within a component, whatever run found it.
+    and all pairs inside are computed exactly, so that links are exact within a component, whatever run found it; large
+    components are cut into blocks by their number of sets and of shingles.
 
     Texts of one id are one document, joined by line breaks in order. Texts without words link with nothing, and so do
     rows without an id, which are returned as they are. An empty table gives no rows. Pairs are never sent.
@@ -287,7 +290,8 @@ def near_documents(
     wanted = near.join(kinds.select(F.col("rep").alias("id"), "copies"), "id").withColumnRenamed("id", "rep")
     held = wanted.join(texts, F.col("rep") == F.col("doc_id")).select("component", "rep", "copies", "text")
     fetched = stored(spark, held.mapInArrow(fetch, "component long, rep long, copies long, members binary"), "set-members")
-    blocks = met_in_blocks(fetched, ["component"], "rep", BUCKET).repartition("component", "block_a", "block_b")
+    shingles = F.length("members") / 8
+    blocks = met_in_blocks(fetched, ["component"], "rep", BUCKET, shingles, SHINGLES).repartition("component", "block_a", "block_b")
     links = stored(
         spark,
         blocks.groupBy("component", "block_a", "block_b").applyInArrow(lambda t: _exact(t, similarity), "rep long, links long, root long"),

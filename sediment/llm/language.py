@@ -12,7 +12,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.components import stored
+from sediment.llm.components import plain_names, stored
 from sediment.llm.textbytes import pieces_of
 
 NONE = "und"
@@ -195,8 +195,10 @@ def predict(spark: SparkSession, docs: DataFrame, model: Model | None, id_column
 def accepted(spark: SparkSession, docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows, with all columns, whose text is in a learned language with at least this posterior probability.
 
-    The model is of the learnable rows of ``docs`` itself. Texts without a letter are rejected.
+    The model is of the learnable rows of ``docs`` itself. Null texts and texts without a letter are rejected; a null id is
+    judged like any other; repeated rows are judged each. Columns may have any names.
     """
+    docs, names = plain_names(docs)
     model = train(spark, docs.where(learnable(F.col("doc_id"))))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +207,7 @@ def accepted(spark: SparkSession, docs: DataFrame, least_score: float = 0.5) ->
             best, posterior = _best(grams, model, pc.fill_null(batch.column("text"), "").to_pylist())
             yield batch.filter(pa.array((np.array(best) != NONE) & (posterior >= least_score)))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema).toDF(*names)
 
 
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:

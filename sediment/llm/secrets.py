@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sediment.llm.components import plain_names
 from sediment.llm.textbytes import Texts, pieces_of
 
 #: Fixed patterns, in the order in which kinds are listed.
@@ -357,8 +358,10 @@ def scan_secrets(
 def redact_secrets(spark: SparkSession, docs: DataFrame, mark: str = "[secret]", least_bits: float = 24.0, bits_per_character: float = 1.2) -> DataFrame:
     """The same rows and columns with every span that :func:`scan_secrets` finds in ``text`` replaced by ``mark``.
 
-    ``n_chars``, if there, is counted anew. Overlapping spans are replaced as one. Other texts stay as they are.
+    ``n_chars``, if there, is counted anew. Overlapping spans are replaced as one. Other texts, null ones too, stay as they
+    are; repeated rows are treated each; columns may have any names.
     """
+    docs, names = plain_names(docs)
     formats = spark.sparkContext.broadcast(learn_formats(spark, docs))
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,4 +389,4 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, mark: str = "[secret]",
                 batch = pa.RecordBatch.from_arrays(list(columns.values()), schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(cover, docs.schema)
+    return docs.mapInArrow(cover, docs.schema).toDF(*names)
