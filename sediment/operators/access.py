@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -86,3 +86,58 @@ def secured_view(df: DataFrame, rules: Mapping, person: Person, catalog: str, sc
     rows = df.where(grant.row_filter) if grant.row_filter else df
     types = {f.name: f.dataType for f in df.schema.fields}
     return rows.withColumns({c: F.expr(mask).cast(types[c]) for c, mask in grant.masks.items() if c in types})
+
+
+#: Characters with a meaning in a pattern; what stands before the first of them has to be there as it is.
+_SPECIAL = r"[\\^$.|?*+()\[\]{}].*$"
+_ANY = "(?s).*"
+
+
+def rule_rows(spark: SparkSession, rules: Mapping) -> DataFrame:
+    """The table rules as rows: number, a pattern for each name, privileges, row filter, and masked columns."""
+    fields = ("user", "group", "catalog", "schema", "table")
+    rows = []
+    for i, rule in enumerate(rules.get("tables", ())):
+        masks = {c["name"]: c["mask"] for c in rule.get("columns", ()) if "mask" in c}
+        rows.append((i, *(rule.get(f) for f in fields), sorted(rule.get("privileges", ())), rule.get("filter"), masks))
+    schema = "rule int, " + ", ".join(f"{f}_pattern string" for f in fields) + ", privileges array<string>, row_filter string, masks map<string,string>"
+    return spark.createDataFrame(rows, schema)
+
+
+def _matched(names: DataFrame, column: str, rules: DataFrame, pattern: str) -> DataFrame:
+    """(column, rule) of the names that a rule's pattern fits whole; a rule without a pattern fits all.
+
+    Names and patterns meet by the first character that the pattern begins with literally; patterns that begin with
+    none, and rules without a pattern, meet every name, in a list that is as short as the rules.
+    """
+    # an alternative may begin with another character
+    literal = F.when(F.col(pattern).contains("|"), "").otherwise(F.regexp_replace(pattern, _SPECIAL, ""))
+    begin = F.substring(F.when(F.length(literal) > 1, literal).otherwise(F.when(literal == F.col(pattern), literal).otherwise("")), 1, 1)
+    told = rules.select("rule", F.coalesce(pattern, F.lit(_ANY)).alias("_pattern"), F.coalesce(begin, F.lit("")).alias("_begin"))
+    keyed = names.select(column).distinct().withColumn("_begin", F.explode(F.array_distinct(F.array(F.substring(column, 1, 1), F.lit("")))))
+    fits = F.regexp_like(F.col(column), F.concat(F.lit("^(?:"), F.col("_pattern"), F.lit(")\\z")))
+    return keyed.join(told, "_begin").where(fits).select(column, "rule")
+
+
+def effective_rights(spark: SparkSession, rules: Mapping, persons: DataFrame, tables: DataFrame) -> DataFrame:
+    """What every person may do with every table: user, catalog, schema, table, rule, privileges, row_filter, masks.
+
+    ``persons`` are (user, groups), ``tables`` (catalog, schema, table). The rule with the smallest number among those
+    that fit the user, one of the groups and all names decides, as :func:`grant_for` has it; pairs that no rule
+    fits, or whose rule grants nothing, are left out. Persons and tables are matched with the rules apart and meet by
+    rule, so no pair is looked at that no rule fits.
+    """
+    numbered = rule_rows(spark, rules)
+    users = _matched(persons, "user", numbered, "user_pattern")
+    groups = persons.select("user", F.explode("groups").alias("group"))
+    in_group = groups.join(_matched(groups, "group", numbered, "group_pattern"), "group").select("user", "rule")
+    free = numbered.where("group_pattern IS NULL").select("rule")
+    who = users.join(in_group, ["user", "rule"], "left_semi").union(users.join(free, "rule", "left_semi").select("user", "rule")).distinct()
+    what = tables.distinct()
+    for name in ("catalog", "schema", "table"):
+        own = _matched(tables, name, numbered, f"{name}_pattern")
+        what = what.join(own, [name] if "rule" not in what.columns else [name, "rule"])
+    names = ["user", "catalog", "schema", "table"]
+    first = who.join(what, "rule").groupBy(*names).agg(F.min("rule").alias("rule"))
+    granted = first.join(numbered.select("rule", "privileges", "row_filter", "masks"), "rule").where(F.size("privileges") > 0)
+    return granted.select(*names, "rule", "privileges", "row_filter", "masks")

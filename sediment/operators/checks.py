@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from operator import and_
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,23 @@ def check_table(df: DataFrame, check: TableCheck) -> DataFrame:
     return seen.select(F.inline(F.array(*results)))
 
 
+def first_readable(*reads: Callable[[], DataFrame]) -> tuple[DataFrame, int]:
+    """The first of several reads that can be planned and gives a row or none, with its place among them.
+
+    A read is lazy and fails late; asking for one row makes its plan, opens its files and costs no more than that. An
+    error of the last one is raised.
+    """
+    for i, read in enumerate(reads):
+        try:
+            df = read()
+            df.limit(1).count()
+            return df, i
+        except (PySparkException, Py4JJavaError, LookupError):
+            if i + 1 == len(reads):
+                raise
+    raise ValueError("nothing to read")
+
+
 def previous_rows(table: VersionedTable) -> int:
     """Rows of the version before the present one: still readable, and what time travel is checked with."""
     return table.read(version=table.resolve().parent).count()

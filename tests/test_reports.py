@@ -248,3 +248,60 @@ def test_validity_and_as_of(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert history.as_of_join(df.limit(0), states, ["id"], "when").count() == 0
     assert rows(history.as_of_join(df, states.limit(0), ["id"], "when"), "status") == [(None,)] * len(facts)
+
+
+# ---- effective rights, frequent addresses, validated reads
+
+
+def test_effective_rights_are_those_of_each_person(spark):
+    from sediment.operators.access import effective_rights, grant_for
+
+    rules = {
+        "tables": [
+            {"user": "root", "privileges": ["SELECT", "OWNERSHIP"]},
+            {"group": "a|b", "schema": "s[0-9]", "table": "secret.*", "privileges": []},
+            {"group": "a+", "catalog": "main", "privileges": ["SELECT"], "filter": "x = 1", "columns": [{"name": "c", "mask": "'-'"}]},
+            {"user": "(?i)ANN", "table": "t\\.1", "privileges": ["INSERT"]},
+            {"user": "b*ob", "schema": "s1", "privileges": ["SELECT"]},
+            {"table": "", "privileges": ["SELECT"]},
+            {"user": "x|yy", "privileges": ["DELETE"]},
+        ]
+    }
+    persons = {"root": [], "ann": ["a"], "Ann": [], "bob": ["b"], "ob": ["c", "aa"], "bobby": [], "x": ["b", "c"], "yy": ["a", "b"], "": []}
+    tables = [("main", "s1", "secret_1"), ("main", "s1", "t.1"), ("main", "s12", "secret"), ("other", "s1", "t.1"), ("other", "s1", "txx1"), ("main", "s2", "")]
+    got = effective_rights(
+        spark, rules, spark.createDataFrame(list(persons.items()), "user string, groups array<string>"), spark.createDataFrame(tables + tables[:1], "catalog string, schema string, table string")
+    )
+    found = {(r.user, r.catalog, r.schema, r.table): (set(r.privileges), r.row_filter, r.masks) for r in got.collect()}
+    assert len(found) == got.count()
+    for user, groups in persons.items():
+        for t in tables:
+            grant = grant_for(rules, Person(user, groups), *t)
+            assert found.get((user, *t)) == ((set(grant.privileges), grant.row_filter, dict(grant.masks)) if grant.privileges else None), (user, t)
+    assert effective_rights(spark, {}, spark.createDataFrame([("u", ["g"])], "user string, groups array<string>"), spark.createDataFrame(tables, "catalog string, schema string, table string")).count() == 0
+
+
+@pytest.mark.parametrize("tracked", [10_000, 100])
+def test_frequent_addresses_are_exact(spark, tracked):
+    heavy = [(utc(2026, 1, 1), "w", f"10.0.0.{k}", "/a", 404, 1, None) for k in range(12) for _ in range(60 - 4 * k)]
+    light = [(utc(2026, 1, 1), "w", f"10.1.{k // 200}.{k % 200}", "/a", 403 if k % 2 else 200, 1, None) for k in range(400)]
+    df = web.requests(weblog(spark, *heavy, *light, (utc(2026, 1, 1), "w", None, "/a", 401, 1, None)))
+    whole = [tuple(r) for r in web.suspicious_ips(web.ip_daily(df)).collect()]
+    assert [tuple(r) for r in web.suspicious_ips_fast(df, tracked=tracked).collect()] == whole
+    # a tie at the end, and nothing at all
+    assert [tuple(r) for r in web.suspicious_ips_fast(df, 30, tracked).collect()] == [tuple(r) for r in web.suspicious_ips(web.ip_daily(df), 30).collect()]
+    assert web.suspicious_ips_fast(df.limit(0)).count() == 0
+
+
+def test_the_first_readable(spark, path):
+    spark.range(3).write.parquet(path + "/a")
+    spark.range(5).write.parquet(path + "/b")
+    lost = spark.read.parquet(path + "/a")
+    from sediment.sources import filesystem
+
+    filesystem.delete(spark, path + "/a")
+    df, place = checks.first_readable(lambda: spark.read.parquet(path + "/never"), lambda: lost, lambda: spark.read.parquet(path + "/b"))
+    assert (df.count(), place) == (5, 2)
+    with pytest.raises(Exception, match="never"):
+        checks.first_readable(lambda: lost, lambda: spark.read.parquet(path + "/never"))
+    assert checks.first_readable(lambda: spark.range(0))[1] == 0

@@ -439,6 +439,19 @@ facts AS (SELECT o_orderkey, o_custkey % 200 AS id, TIMESTAMP '2024-01-01' + to_
                {_stamp('s.ts')} AS valid_from, {_stamp('s.following')} AS valid_to
         FROM facts f LEFT JOIN states s ON f.id = s.id AND f.at >= s.ts AND (s.following IS NULL OR f.at < s.following) AND s.op <> 'D'"""
 
+    sql["web_top_suspicious_fast"] = sql["web_top_suspicious_ip"]
+    sql["validated_read"] = _with(CHANGES) + "SELECT id, status, CAST(amount AS DOUBLE) AS amount, 1::BIGINT AS place FROM changes"
+    sql["effective_rights"] = """
+        WITH persons AS (SELECT 'u' || c_custkey AS "user", lower(c_mktsegment) AS segment, c_custkey % 3 = 0 AS admin FROM customer),
+             brands AS (SELECT DISTINCT lower(replace(p_brand, '#', '_')) AS "table" FROM part),
+             tables AS (SELECT *, CASE WHEN "table"[-1] IN ('1', '3') THEN 'odd' ELSE 'even' END AS schema FROM brands),
+             pairs AS (SELECT *, CASE WHEN regexp_full_match("user", 'u1[0-9]*') AND schema = 'odd' THEN 0 WHEN admin THEN 1
+                                      WHEN segment IN ('building', 'machinery') AND regexp_full_match("table", 'brand_[12].*') THEN 2
+                                      WHEN "user" LIKE 'u2%' AND schema LIKE 'e%' THEN 3 END AS rule FROM persons, tables)
+        SELECT "user", schema, "table", rule, CASE rule WHEN 1 THEN 'INSERT,SELECT' ELSE 'SELECT' END AS privileges,
+               CASE rule WHEN 2 THEN 'region = 1' END AS row_filter, CASE rule WHEN 2 THEN 1 ELSE 0 END::BIGINT AS masks
+        FROM pairs WHERE rule > 0"""
+
     # written tables and streams
     for name in ("pipeline_merge_on_read", "pipeline_copy_on_write", "pipeline_folded", "stream_merge"):
         sql[name] = sql["cdc_merge_two_batches"]

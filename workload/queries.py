@@ -15,14 +15,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sediment.model import COPY_ON_WRITE, META, Pipeline
-from sediment.operators import checks, health, history, offsets, schema, upkeep
+from sediment.operators import access, checks, health, history, offsets, schema, upkeep
 from sediment.operators.access import Person, secured_view
 from sediment.operators.latest import OP, current_state, latest_per_key, newest_event_time
 from sediment.operators.merge import merge_changes, merge_guarded, merged_view, next_tombstones, upsert
 from sediment.plans import business, maintenance, web
 from sediment.plans.folded import FoldedReports
 from sediment.session import scratch_dir
-from sediment.sources import accesslog, backfill, documents, envelopes, files, jsonstream, kafka, liveload, tables
+from sediment.sources import accesslog, backfill, documents, envelopes, files, filesystem, jsonstream, kafka, liveload, tables
 from sediment.sources.catalog import TableRoot
 from sediment.sources.versioned import VersionedTable, by_day
 from sediment.streaming import landing, silver
@@ -408,6 +408,11 @@ def web_top_suspicious_ip(spark, sf):
     return web.suspicious_ips(web.ip_daily(_requests(spark, sf)))
 
 
+@query
+def web_top_suspicious_fast(spark, sf):
+    return web.suspicious_ips_fast(web.requests(derive.access_log(spark, sf)))
+
+
 @query
 def web_top_error_pages(spark, sf):
     return web.error_pages(web.page_daily(_requests(spark, sf)))
@@ -623,6 +628,19 @@ def masked_log(spark, sf):
     return log.select("remote", "path", "code", "size", "server")
 
 
+@query
+def effective_rights(spark, sf):
+    """Everybody's rights on every table: persons are the customers in groups by segment, tables the parts' brands by type."""
+    segment = F.lower("c_mktsegment")
+    groups = F.when(F.col("c_custkey") % 3 == 0, F.array(segment, F.lit("admins"))).otherwise(F.array(segment))
+    persons = derive.table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("user"), groups.alias("groups"))
+    brands = derive.table(spark, sf, "part").select(F.lower(F.translate("p_brand", "#", "_")).alias("table")).distinct()
+    schema = F.when(F.col("table").rlike("[13]$"), "odd").otherwise("even")
+    tables = brands.select(F.lit("main").alias("catalog"), schema.alias("schema"), "table")
+    rights = access.effective_rights(spark, BRAND_RULES, persons, tables)
+    return rights.select("user", "schema", "table", "rule", F.array_join("privileges", ",").alias("privileges"), "row_filter", F.size("masks").cast("long").alias("masks"))
+
+
 @query
 def table_assertions(spark, sf):
     check = checks.TableCheck(
@@ -639,6 +657,29 @@ def reconcile_counts(spark, sf):
     return checks.reconcile({"bronze": log, "silver": current_state(log, ["id"]), "source": log.unionByName(log)}, ["id"])
 
 
+BRAND_RULES = {
+    "tables": [
+        {"user": "u1[0-9]*", "schema": "odd", "privileges": []},
+        {"group": "admins", "catalog": "main", "privileges": ["SELECT", "INSERT"]},
+        {"group": "building|machinery", "table": "brand_[12].*", "privileges": ["SELECT"], "filter": "region = 1", "columns": [{"name": "price", "mask": "0"}]},
+        {"user": "u2.*", "schema": "e.*", "privileges": ["SELECT"]},
+    ]
+}
+
+
+@query
+def validated_read(spark, sf):
+    """An increment whose files are gone is noticed by asking for a row; the whole log is read in its place."""
+    root = scratch_dir(spark, "probe")
+    log = derive.changes(spark, sf)
+    log.where(_at(HALF)).write.parquet(f"{root}/increment")
+    log.write.parquet(f"{root}/log")
+    increment = spark.read.schema(log.schema).parquet(f"{root}/increment")
+    filesystem.delete(spark, f"{root}/increment")
+    read, place = checks.first_readable(lambda: increment, lambda: spark.read.schema(log.schema).parquet(f"{root}/log"))
+    return stamped(read.select("id", "status", "amount", F.lit(place).cast("long").alias("place")))
+
+
 # ---- written tables and streams ---------------------------------------------------------------------------
 
 
