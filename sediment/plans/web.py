@@ -195,7 +195,7 @@ def suspicious_ips_fast(rows: DataFrame, n: int = 10, tracked: int = TRACKED) ->
     count is above both, the answer is complete. Otherwise, a tie at the end among them, all addresses are counted.
     """
     bad = rows.where(F.col("code").between(400, 499))
-    named = n * 10
+    named = min(n * 10, tracked)
     found = bad.agg(F.count(F.lit(1)).alias("total"), F.expr(f"approx_top_k(ip, {named}, {tracked})").alias("top")).first()
     top = [(x[0], x[1]) for x in found["top"] or []]
     bound = max(TRACKED_ERROR * found["total"] / tracked, top[-1][1] if len(top) == named else 0)

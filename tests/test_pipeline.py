@@ -372,3 +372,26 @@ def test_distinct_addresses_of_closed_hours(spark, path):
     got = [(str(h), s, n) for h, s, n in rows(table.read(), "hour", "server", "distinct_ip")]
     # a request that is too late for its closed hour is not counted any more
     assert sorted(got) == [("2026-01-01 00:00:00", "v", 1), ("2026-01-01 00:00:00", "w", 2), ("2026-01-01 01:00:00", "w", 1), ("2026-01-01 03:00:00", "u", 0), ("2026-01-01 09:00:00", "w", 1)]
+
+
+def test_newest_changes_in_the_state_of_a_stream(spark, path):
+    from sediment.operators.latest import current_state
+    from sediment.streaming.latest import land_newest
+
+    table, keys = VersionedTable(spark, path + "/newest"), ["id"]
+    parts = [
+        [(1, "a", "1", "I", "2026-01-01 00:00:00", 0), (2, "b", "1", "I", "2026-01-01 01:00:00", 1), (1, "c", "1", "U", "2026-01-01 02:00:00", 2), (None, "n", "1", "I", "2026-01-01 02:00:00", 3)],
+        # a late change of the same day, one of a later day, a delete
+        [(1, "late", "1", "U", "2026-01-01 01:30:00", 9), (2, None, "1", "D", "2026-01-02 00:00:00", 5), (3, "d", "1", "I", "2026-01-02 00:00:00", 6)],
+        [(1, "e", "1", "U", "2026-01-20 00:00:00", 7)],
+        # too late to count
+        [(3, "lost", "1", "U", "2026-01-03 00:00:00", 8)],
+    ]
+    for part in parts:
+        df = log(spark, part)
+        df.coalesce(1).write.mode("append").parquet(path + "/log")
+        query = land_newest(spark.readStream.schema(df.schema).parquet(path + "/log"), keys, table, path + "/cp")
+        finish(query)
+    assert rows(current_state(table.read(), keys), "id", "status") == [(1, "e"), (3, "d"), (None, "n")]
+    # the second batch gives the first day's newest once more
+    assert web_stream.late_rows(query) == 1 and table.read().where("id = 1").count() == 3

@@ -483,6 +483,7 @@ facts AS (SELECT o_orderkey, o_custkey % 200 AS id, TIMESTAMP '2024-01-01' + to_
         FROM events_read WHERE NOT (event_id % 13 = 0 AND event_type IN ('view', 'click'))
         UNION ALL SELECT 'bad-value', 'dead', event_id, NULL, NULL, NULL, NULL FROM events_read WHERE event_id % 13 = 0 AND event_type IN ('view', 'click')
         UNION ALL SELECT 'bad-envelope', 'dead', event_id, NULL, NULL, NULL, NULL FROM events WHERE event_id % 37 <> 0 AND event_id % 41 = 0"""
+    sql["stream_latest_state"] = _with(CHANGES, _latest("last", "changes")) + _ALIVE
     sql["stream_two_sources"] = sql["stream_access_log"]
     sql["stream_new_checkpoint"] = sql["document_state"]
     sql["retention_flat_table"] = sql["retention_kept_rows"]

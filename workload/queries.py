@@ -26,6 +26,7 @@ from sediment.sources import accesslog, backfill, documents, envelopes, files, f
 from sediment.sources.catalog import TableRoot
 from sediment.sources.versioned import VersionedTable, by_day
 from sediment.streaming import landing, silver
+from sediment.streaming import latest as latest_stream
 from sediment.streaming import web as web_stream
 from workload import derive
 
@@ -1031,3 +1032,18 @@ def stream_hourly_distinct(spark, sf):
         stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
         _finish(web_stream.land_distinct(stream, table, f"{root}/checkpoint"))
     return stamped(table.read())
+
+
+@query
+def stream_latest_state(spark, sf):
+    """The newest change per key in the stream's state, over three restarts on a log in the order of its time."""
+    root = scratch_dir(spark, "stream")
+    log = derive.changes(spark, sf)
+    table = VersionedTable(spark, f"{root}/newest")
+    cuts = [datetime(2024, 1, day, tzinfo=timezone.utc) for day in (1, 10, 20)]
+    for low, high in zip(cuts, [*cuts[1:], datetime(2024, 2, 9, tzinfo=timezone.utc)]):
+        at = F.col(f"{META}.ts")
+        log.where((at >= F.lit(low)) & (at < F.lit(high))).write.mode("append").parquet(f"{root}/log")
+        stream = spark.readStream.schema(log.schema).parquet(f"{root}/log")
+        _finish(latest_stream.land_newest(stream, ["id"], table, f"{root}/checkpoint"))
+    return stamped(current_state(table.read(), ["id"]))
