@@ -46,9 +46,12 @@ def retained(df: DataFrame, now: datetime, days: int, column: str | None = None)
 def apply_retention(table: VersionedTable, now: datetime, days: int, column: str | None = None) -> Commit | None:
     """Drop old rows.  In a table laid out by the day of the time column only folders are dropped, nothing is read.
 
-    In another only the units that hold old rows are rewritten.  What is committed meanwhile is carried over.
+    In another only the units that hold old rows are rewritten.  What is committed meanwhile is carried over.  A table
+    without a commit has nothing to drop.
     """
     head = table.head()
+    if head is None:
+        return None
     column = column or retention_column(head.struct.fieldNames())
     cutoff = retention_cutoff(now, days).date()
     if head.layout.kind == "day" and head.layout.column == column:

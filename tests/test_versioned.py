@@ -347,3 +347,7 @@ def test_increments_apply_in_the_order_of_their_commits(spark, table, monkeypatc
     table.change("merge", fast)
     table.change("merge", slow)
     assert table.read().first().v == "committed last"
+
+
+def test_retention_of_a_table_without_a_commit(spark, table):
+    assert upkeep.apply_retention(table, utc(2026, 3, 5), 30) is None
