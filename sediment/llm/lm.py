@@ -213,7 +213,8 @@ def _levels(tokens: Tokens, word: np.ndarray, of_word: np.ndarray, held: Filter,
     pair, of_pair = np.unique(tokens.pairs(bits), return_inverse=True)
     single, both = held.levels(word).astype(np.uint8)[of_word], held.levels(pair).astype(np.uint8)[of_pair]
     if known is not None:
-        _, offsets, data = known.cast(pa.large_binary()).buffers()
+        known = known.cast(pa.large_binary())
+        _, offsets, data = known.buffers()
         ends = np.frombuffer(offsets, np.int64)[known.offset : known.offset + len(known) + 1]
         before = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]].reshape(-1, 2)
         single, both = np.maximum(single, before[:, 0]), np.maximum(both, before[:, 1])

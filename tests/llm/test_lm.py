@@ -81,6 +81,7 @@ def test_a_filter_in_several_groups_gives_the_same_scores(spark, texts, monkeypa
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     rows += [(9000, None), (9004, "the " * 70_000), (None, "the of")]
     monkeypatch.setattr(lm, "RANGE_BYTES", 100_000)
+    monkeypatch.setattr(lm, "BATCH_TEXTS", 7)  # batches that begin inside those that arrive
     want = sorted((tuple(r) for r in score_texts(spark, texts(rows)).collect()), key=repr)
     monkeypatch.setattr(lm, "BROADCAST_BYTES", 40_000)
     broadcast = []
