@@ -138,11 +138,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
             for (doc, tie), begins in found.items():
                 if doc == least:
                     rows.append((bucket, packed, doc, tie, begins, count))
-                else:
+                else:  # needs no bucket: dealt out anywhere
                     rows.append((begins[0] * 7919 + doc, None, doc, tie, begins, count))
         columns = list(zip(*rows)) or [()] * 6
-        # a window of its own goes by its content
         packed = pa.array(columns[1], pa.binary())
+        # a window that goes by itself has no bucket yet: its own words choose one
         given = pa.array([x if x is None else ((x + (1 << 63)) % (1 << 64)) - (1 << 63) for x in columns[0]], pa.int64())
         if given.null_count:
             laid = Texts(packed)
@@ -267,8 +267,8 @@ def repeated_words(spark: SparkSession, docs: DataFrame, window: int = WINDOW, g
     comes before all others. Rows of one id are one document for the comparison, none removes words of another;
     each keeps its row. An empty table gives no row. Other columns are not read.
 
-    First only the minimisers travel, eight bytes for each super-k-mer, to find the buckets that several documents
-    share; the words of the others need not. The super-k-mers of shared buckets then go there as packed strings, equal
+    First only minimisers and places travel, without words, to find the buckets that several documents share; the words
+    of the others need not. The super-k-mers of shared buckets then go there as packed strings, equal
     ones of a batch as one. In a bucket the smallest document of each string settles its copies; the strings that are
     left are cut into windows and sorted (:func:`window_ranks`), so that equal windows meet word by word. A bucket that
     holds a large share of all rows (:func:`frequent_buckets`) or more than ``BUCKET_ROWS`` is dealt out by its windows.
