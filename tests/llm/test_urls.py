@@ -1,3 +1,4 @@
+import random
 import time
 from collections import Counter
 from itertools import combinations
@@ -87,3 +88,31 @@ def test_tokens_of_the_same_rows_are_one_class(spark):
     urls = spark.createDataFrame([(["h:b", "p1:y"],), (["h:a"],), (["p0:z", "p9:q"],), ([],)], "tokens array<string>")
     got = {tuple(r.tokens): r.mined for r in match_rules(urls, rules, classes).collect()}
     assert got == {("h:b", "p1:y"): "block", ("p0:z", "p9:q"): "allow"}
+
+
+def test_rows_with_many_classes_are_mined_whole(spark):
+    """What decides are the most frequent of eleven classes, which rows with all of them bring too."""
+    rng = random.Random(1)
+    tokens = [f"p{k}:{chr(97 + k)}" for k in range(11)]
+    chance = [0.6] * 8 + [0.8, 0.85, 0.9]
+    labelled, urls = [], []
+    for i in range(240):
+        own = [t for t, c in zip(tokens, chance) if rng.random() < c] if i % 20 else tokens
+        decided = tokens[9] in own and tokens[10] in own and tokens[i % 2] in own
+        labelled.append((own, "block" if decided == (rng.random() < 0.95) else "allow"))
+    for _ in range(60):
+        urls.append([t for t, c in zip(tokens, chance) if rng.random() < c - 0.1])
+    urls = [list(u) for u in {tuple(u) for u in urls + [tokens]}]
+    expected = mined_by_force([(t, v) for t, v in labelled], 0.1, 0.7)
+    df, open_urls = spark.createDataFrame(labelled, "tokens array<string>, verdict string"), spark.createDataFrame([(u,) for u in urls], "tokens array<string>")
+    rules, classes = mine_rules(spark, df, 0.1, 0.7, urls=open_urls)
+    found = {(tuple(sorted(r.classes)), r.verdict): (r.confidence, r.support) for r in rules.collect()}
+
+    def fitting(of):
+        return {(p, v, round(c, 9), round(s, 9)) for (p, v), (c, s) in of.items() if any(set(p) <= set(u) for u in urls)}
+
+    assert fitting(found) == fitting(expected) and any(len(p) > 1 for p, *_ in fitting(expected))
+    got = {tuple(r.tokens): r.mined for r in match_rules(open_urls, rules, classes).collect()}
+    for u in urls:
+        fits = [(round(c, 9), round(s, 9), len(p), v == "block", v) for (p, v), (c, s) in expected.items() if set(p) <= set(u)]
+        assert got.get(tuple(u)) == (max(fits)[-1] if fits else None)
