@@ -119,25 +119,32 @@ def _matched(names: DataFrame, column: str, rules: DataFrame, pattern: str) -> D
     return keyed.join(told, "_begin").where(fits).select(column, "rule")
 
 
+def _by_rule(fits: DataFrame, *names: str, rules: str) -> DataFrame:
+    """A row for each rule that fits the names, with all the rules that do."""
+    return fits.groupBy(*names).agg(F.collect_set("rule").alias(rules)).withColumn("rule", F.explode(rules))
+
+
 def effective_rights(spark: SparkSession, rules: Mapping, persons: DataFrame, tables: DataFrame) -> DataFrame:
     """What every person may do with every table: user, catalog, schema, table, rule, privileges, row_filter, masks.
 
     ``persons`` are (user, groups), ``tables`` (catalog, schema, table). The rule with the smallest number among those
     that fit the user, one of the groups and all names decides, as :func:`grant_for` has it; pairs that no rule
     fits, or whose rule grants nothing, are left out. Persons and tables are matched with the rules apart and meet by
-    rule, so no pair is looked at that no rule fits.
+    rule, so no pair is looked at that no rule fits. Both bring all the rules that fit them, so a pair is told at once
+    whether the rule it meets by is its first one, and pairs are neither gathered nor compared.
     """
     numbered = rule_rows(spark, rules)
     users = _matched(persons, "user", numbered, "user_pattern")
     groups = persons.select("user", F.explode("groups").alias("group"))
     in_group = groups.join(_matched(groups, "group", numbered, "group_pattern"), "group").select("user", "rule")
     free = numbered.where("group_pattern IS NULL").select("rule")
-    who = users.join(in_group, ["user", "rule"], "left_semi").union(users.join(free, "rule", "left_semi").select("user", "rule")).distinct()
+    who = users.join(in_group, ["user", "rule"], "left_semi").union(users.join(free, "rule", "left_semi").select("user", "rule"))
     what = tables.distinct()
     for name in ("catalog", "schema", "table"):
         own = _matched(tables, name, numbered, f"{name}_pattern")
         what = what.join(own, [name] if "rule" not in what.columns else [name, "rule"])
     names = ["user", "catalog", "schema", "table"]
-    first = who.join(what, "rule").groupBy(*names).agg(F.min("rule").alias("rule"))
+    persons_of, tables_of = _by_rule(who, "user", rules="_own"), _by_rule(what, *names[1:], rules="_its")
+    first = persons_of.join(tables_of, "rule").where(F.col("rule") == F.array_min(F.array_intersect("_own", "_its")))
     granted = first.join(numbered.select("rule", "privileges", "row_filter", "masks"), "rule").where(F.size("privileges") > 0)
     return granted.select(*names, "rule", "privileges", "row_filter", "masks")

@@ -281,6 +281,19 @@ def test_effective_rights_are_those_of_each_person(spark):
     assert effective_rights(spark, {}, spark.createDataFrame([("u", ["g"])], "user string, groups array<string>"), spark.createDataFrame(tables, "catalog string, schema string, table string")).count() == 0
 
 
+def test_effective_rights_gather_no_pairs(spark):
+    from sediment.operators.access import effective_rights
+
+    rules = {"tables": [{"user": "u1", "privileges": []}, {"user": "u.", "table": "t[12]", "privileges": ["SELECT"]}, {"privileges": ["INSERT"]}]}
+    persons = spark.createDataFrame([("u1", ["g"]), ("u2", ["g"]), ("u2", None), (None, ["g"])], "user string, groups array<string>")
+    tables = spark.createDataFrame([("c", "s", f"t{k}") for k in range(1, 4)] + [("c", None, "t1")], "catalog string, schema string, table string")
+    got = effective_rights(spark, rules, persons, tables)
+    assert sorted((r.user, r.table, r.rule) for r in got.collect()) == [("u2", "t1", 1), ("u2", "t2", 1), ("u2", "t3", 2)]
+    # no aggregate holds persons and tables together: its memory would grow with their product
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Aggregate [" in line and "user#" in line and "table#" in line]
+
+
 @pytest.mark.parametrize("tracked", [10_000, 100])
 def test_frequent_addresses_are_exact(spark, tracked):
     heavy = [(utc(2026, 1, 1), "w", f"10.0.0.{k}", "/a", 404, 1, None) for k in range(12) for _ in range(60 - 4 * k)]
