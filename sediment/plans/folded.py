@@ -1,8 +1,9 @@
 """The traffic reports kept as sums that new requests are folded into, in place of computing days again.
 
 Counts, bytes and times add up; numbers of different addresses do not. Every address therefore has a number of its own,
-given once, and the addresses of an hour or of a page are bits in bitmaps, which are joined by *or*: exact, whatever
-is folded in what order. What an address asked for is a small set, so its pages and servers are kept as rows.
+given once, and the addresses of an hour or of a page are bits in words of 64, which are joined by *or*: exact, whatever
+is folded in what order. Words without a bit are not kept, so there is never more than a row for each address of an hour or
+a page, however few of all the addresses it has. What an address asked for is a small set, so its pages and servers are kept as rows.
 
 Each table is laid out by day, and a fold replaces the days that the new requests are of, in one commit that names the
 increment: an increment that comes again changes nothing. Late requests fold into their own day. Nothing but the new
@@ -50,15 +51,15 @@ class FoldedReports:
 
             def bits(keys: Sequence[str]) -> DataFrame:
                 pairs = groups.select(*keys, "ip").distinct().join(numbers, "ip")
-                place = F.bitmap_bit_position("number")
-                return pairs.groupBy(*keys, F.bitmap_bucket_number("number").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+                bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("number") % 64).cast("int"))
+                return pairs.groupBy(*keys, F.shiftright("number", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
 
-            joined = F.bitmap_or_agg("bits").alias("bits")
+            joined = F.bit_or("bits").alias("bits")
             parts = {
                 "hour_sums": (hourly(groups).drop("distinct_ip"), _added(HOUR)),
-                "hour_bits": (bits(HOUR), lambda df: df.groupBy(*HOUR, "bucket").agg(joined)),
+                "hour_bits": (bits(HOUR), lambda df: df.groupBy(*HOUR, "word").agg(joined)),
                 "page_sums": (page_daily(groups).drop("distinct_ip"), _added(PAGE)),
-                "page_bits": (bits(PAGE), lambda df: df.groupBy(*PAGE, "bucket").agg(joined)),
+                "page_bits": (bits(PAGE), lambda df: df.groupBy(*PAGE, "word").agg(joined)),
                 "ip_sums": (ip_daily(groups).drop("distinct_pages", "servers"), _added(ADDRESS)),
                 "ip_pages": (groups.select(*ADDRESS, "page").distinct(), DataFrame.distinct),
                 "ip_servers": (groups.select(*ADDRESS, "server").distinct(), DataFrame.distinct),
@@ -78,7 +79,7 @@ class FoldedReports:
         table.replace_units(old, merge(table.scan(old, head.struct, head.layout).unionByName(rows)), "fold", batch=batch)
 
     def _numbered(self, addresses: DataFrame, batch: Batch) -> DataFrame:
-        """The addresses' numbers; new ones get the numbers after the last, without gaps, so that bitmaps are full."""
+        """The addresses' numbers; new ones get the numbers after the last, without gaps, so that words are full."""
         table = self.table("addresses")
         head = table.head() or table.create(addresses.withColumn("number", F.lit(0).cast("bigint")).schema, Layout())
         known = table.scan(head.units, head.struct, head.layout)
@@ -100,10 +101,10 @@ class FoldedReports:
     # ---- reports --------------------------------------------------------------------------------------------
 
     def hourly(self) -> DataFrame:
-        return self._counted("hour_sums", HOUR, distinct_ip=("hour_bits", F.sum(F.bitmap_count("bits"))))
+        return self._counted("hour_sums", HOUR, distinct_ip=("hour_bits", F.sum(F.bit_count("bits"))))
 
     def page_daily(self) -> DataFrame:
-        return self._counted("page_sums", PAGE, distinct_ip=("page_bits", F.sum(F.bitmap_count("bits"))))
+        return self._counted("page_sums", PAGE, distinct_ip=("page_bits", F.sum(F.bit_count("bits"))))
 
     def ip_daily(self) -> DataFrame:
         return self._counted("ip_sums", ADDRESS, distinct_pages=("ip_pages", F.count("page")), servers=("ip_servers", F.count("server")))

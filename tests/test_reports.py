@@ -250,6 +250,21 @@ def test_validity_and_as_of(spark):
     assert rows(history.as_of_join(df, states.limit(0), ["id"], "when"), "status") == [(None,)] * len(facts)
 
 
+def test_folded_addresses_take_no_more_room_than_they_are(spark, path):
+    from sediment.plans.folded import FoldedReports
+
+    data = [(utc(2026, 1, 1), "w", f"10.0.{k // 200}.{k % 200}", f"/p{k % 150}x", 200, 1, None) for k in range(300)]
+    reports = FoldedReports(spark, path + "/folded")
+    for k in (0, 1):
+        reports.fold(weblog(spark, *data[k * 140 : k * 140 + 160]), ("log", k))
+    pages = {r.page: r.distinct_ip for r in reports.page_daily().collect()}
+    assert pages == {f"/p{k}x": 2 for k in range(150)} and [r.distinct_ip for r in reports.hourly().collect()] == [300]
+    # a page's few addresses are a few numbers, not a map of all addresses
+    kept = reports.table("page_bits").read()
+    assert dict(kept.dtypes)["bits"] == "bigint" and kept.count() <= 300
+    assert reports.table("hour_bits").read().count() == -(-300 // 64)
+
+
 # ---- effective rights, frequent addresses, validated reads
 
 
