@@ -36,6 +36,8 @@ RANGE_BYTES = 16 << 20
 #: Share of the bigram estimate in a probability.
 WEIGHT = 0.6
 BATCH_BYTES, BATCH_TEXTS = 4 << 20, 60_000
+#: Bytes of text that are hashed, and n-grams that are probed, at a time: what comes in between stays small.
+_HASHED_BYTES, _PROBED = 1 << 20, 1 << 16
 
 
 def learnable(doc_id: Column) -> Column:
@@ -47,15 +49,21 @@ class Tokens:
     """Hashes of the tokens of texts, text after text: the words with A to Z in lower case, then the end."""
 
     def __init__(self, column: pa.Array):
-        laid = Texts(pc.ascii_lower(pc.fill_null(column, "")))
-        starts, ends, of = laid.words(_NOT_SPACE)
-        n = len(laid)
+        n, hashes, of = 0, [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for piece in pieces_of(iter([pa.RecordBatch.from_arrays([column], names=["text"])]), _HASHED_BYTES):
+            laid = Texts(pc.ascii_lower(pc.fill_null(piece.column("text"), "")))
+            starts, ends, text = laid.words(_NOT_SPACE)
+            if len(text):
+                hashes.append(run_hash(laid.prefix(), starts, ends))
+                of.append(text + n)
+            n += len(laid)
+        of = np.concatenate(of)
         words = np.bincount(of, minlength=n)
         self.counts = words + 1
         self.token = np.empty(len(of) + n, np.uint64)
         last = np.cumsum(self.counts) - 1
         if len(of):
-            self.token[np.arange(len(of)) + of] = run_hash(laid.prefix(), starts, ends)
+            self.token[np.arange(len(of)) + of] = np.concatenate(hashes)
         self.token[last] = _END
         self.of = np.repeat(np.arange(n), self.counts)
         self.previous = np.append(_START, self.token[:-1])
@@ -147,6 +155,10 @@ class Filter(NamedTuple):
 
     def levels(self, h: np.ndarray) -> np.ndarray:
         """Levels found by repeated probes: one level after the other, until a probe misses or no higher one is there."""
+        parts = [self._probed(h[k : k + _PROBED]) for k in range(0, len(h), _PROBED)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
+
+    def _probed(self, h: np.ndarray) -> np.ndarray:
         found = np.zeros(len(h), np.int64)
         alive, step = np.arange(len(h)), 1
         shard = (h >> np.uint64(64 - self.bits)).astype(np.int64) - self.first

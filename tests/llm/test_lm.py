@@ -1,3 +1,4 @@
+import pyarrow as pa
 import math
 import re
 import zlib
@@ -130,3 +131,20 @@ def test_what_is_seen_once_is_known(spark, texts, tmp_path, monkeypatch, broadca
     assert got[held[0]] == pytest.approx(want[held[0]], rel=0.05)
     assert got[held[0]] > 0.2 * got[held[1]]  # the same words in an order that was never seen
     assert sum(got.values()) == pytest.approx(sum(want.values()), rel=0.02)
+
+
+def test_texts_are_hashed_in_small_pieces(monkeypatch):
+    """Tokens and levels are the same however many texts are hashed or n-grams probed at a time, and that stays bounded."""
+    texts = pa.array(["", None, "A b  a", "\t", *(f"w{k % 7} x{k} é" * 9 for k in range(400)), "z" * 5000], pa.string())
+    whole, laid = lm.Tokens(texts), []
+    pairs = np.unique(whole.pairs(3))
+    held = lm.Filter(3, np.random.default_rng(1).integers(0, 256, 1 << 10, dtype=np.uint8), np.arange(8) * 1024, np.full(8, 1024), 1, 1, np.full(8, 4))
+    levels = held.levels(pairs)
+    monkeypatch.setattr(lm, "_HASHED_BYTES", 2000)
+    monkeypatch.setattr(lm, "_PROBED", 64)
+    monkeypatch.setattr(lm, "Texts", lambda column, of=lm.Texts: laid.append(of(column)) or laid[-1])
+    pieces = lm.Tokens(texts)
+    for name in ("token", "of", "previous", "counts"):
+        assert np.array_equal(getattr(whole, name), getattr(pieces, name))
+    assert len(laid) > 5 and max(len(x.data) for x in laid[:-1]) <= 2000 and len(laid[-1].data) == 5000
+    assert np.array_equal(held.levels(pairs), levels) and len(set(levels.tolist())) > 1
