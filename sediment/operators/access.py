@@ -91,6 +91,8 @@ def secured_view(df: DataFrame, rules: Mapping, person: Person, catalog: str, sc
 #: Characters with a meaning in a pattern; what stands before the first of them has to be there as it is.
 _SPECIAL = r"[\\^$.|?*+()\[\]{}].*$"
 _ANY = "(?s).*"
+#: Shares that the persons of a rule are dealt out to.
+_SHARES = 32
 
 
 def rule_rows(spark: SparkSession, rules: Mapping) -> DataFrame:
@@ -145,6 +147,10 @@ def effective_rights(spark: SparkSession, rules: Mapping, persons: DataFrame, ta
         what = what.join(own, [name] if "rule" not in what.columns else [name, "rule"])
     names = ["user", "catalog", "schema", "table"]
     persons_of, tables_of = _by_rule(who, "user", rules="_own"), _by_rule(what, *names[1:], rules="_its")
-    first = persons_of.join(tables_of, "rule").where(F.col("rule") == F.array_min(F.array_intersect("_own", "_its")))
-    granted = first.join(numbered.select("rule", "privileges", "row_filter", "masks"), "rule").where(F.size("privileges") > 0)
-    return granted.select(*names, "rule", "privileges", "row_filter", "masks")
+    # rules are few: persons of one rule are dealt out to shares, in each of which its tables are
+    persons_of = persons_of.withColumn("_share", F.pmod(F.xxhash64("user"), F.lit(_SHARES)))
+    # what a rule grants comes with the tables: joined to the pairs it would have all pairs of a rule sorted in one task
+    tables_of = tables_of.join(numbered.select("rule", "privileges", "row_filter", "masks"), "rule")
+    tables_of = tables_of.withColumn("_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(_SHARES - 1).cast("bigint"))))
+    first = persons_of.join(tables_of, ["rule", "_share"]).where(F.col("rule") == F.array_min(F.array_intersect("_own", "_its")))
+    return first.where(F.size("privileges") > 0).select(*names, "rule", "privileges", "row_filter", "masks")
